@@ -3,8 +3,8 @@
 Law `bytes`: groups of equal texts are indivisible and go to shards of near equal bytes. A partial
 partition is a tuple of shard sums; the two with the largest spread are combined, one's largest sums
 with the other's smallest, until one is left. While there are more than `CELL` items, cells of that many
-are differenced in parallel, each into as many bundles as there are shards, and the bundles are the next
-level's items; the last level is one task over at most `CELL` items. A large group ends up alone in its
+are differenced in parallel, each into `FINE` bundles for every shard, and the bundles are the next level's
+items; the last level is one task over at most `CELL` items. A large group ends up alone in its
 bundle, so the small ones can even it out; a group larger than a shard's share stays whole.
 
 Slots are gapless within a shard: counts of (shard, bucket) give each bucket's offset, and rows are
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from crease.llm.common import cut
 
-CELL = 2048
+CELL, FINE = 4096, 4
 
 
 def difference(parts: list[list[int]]) -> list[list[int]]:
@@ -54,27 +54,31 @@ def difference(parts: list[list[int]]) -> list[list[int]]:
 
 def assign(groups: DataFrame, shards: int, cell: int = CELL) -> DataFrame:
     """key, shard of each (key, bytes); keys must be distinct. `cell` must be well above `shards`."""
-    if cell < 4 * shards:
-        raise ValueError("a cell needs at least four items a shard")
+    if cell < 4 * FINE * shards:
+        raise ValueError("a cell needs at least four items a bundle")
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item")
-        goes = difference([[x] + [0] * (shards - 1) for x in pdf["bytes"].tolist()])
-        return pdf.assign(bundle=pdf["cell"] * shards + [x[0] for x in goes])[["item", "bundle", "bytes"]]
+    def split(parts: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("item")
+            goes = difference([[x] + [0] * (parts - 1) for x in pdf["bytes"].tolist()])
+            return pdf.assign(bundle=pdf["cell"] * parts + [x[0] for x in goes])[["item", "bundle", "bytes"]]
+
+        return run
 
     n = groups.count()
     items = groups.withColumnRenamed("key", "item")
     where = None
     while True:
         cells = max(1, -(-n // cell))
-        step = cut(items.withColumn("cell", F.pmod(F.xxhash64("item"), F.lit(cells))).groupBy("cell").applyInPandas(split, "item long, bundle long, bytes long"))
+        parts = shards if cells == 1 else FINE * shards
+        step = cut(items.withColumn("cell", F.pmod(F.xxhash64("item"), F.lit(cells))).groupBy("cell").applyInPandas(split(parts), "item long, bundle long, bytes long"))
         goes = step.select(F.col("item").alias("at"), "bundle")
         where = goes.withColumnRenamed("at", "key") if where is None else where.join(goes, "at").select("key", "bundle")
         if cells == 1:
             return where.select("key", F.col("bundle").cast("int").alias("shard"))
         where = where.withColumnRenamed("bundle", "at")
         items = step.groupBy(F.col("bundle").alias("item")).agg(F.sum("bytes").alias("bytes"))
-        n = cells * shards
+        n = cells * parts
 
 
 def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", cell: int = CELL, bucket_rows: int = 20_000) -> DataFrame:

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crease.functions.dialect import Dialect
-from crease.operators import fantasy, matches, players
+from crease.operators import fantasy, features, lineup, matches, players, service
 from crease.sources import projection
 
-TEMPLATES = {**players.QUERIES, **matches.QUERIES, **fantasy.QUERIES}
+TEMPLATES = {**players.QUERIES, **matches.QUERIES, **fantasy.QUERIES, **features.QUERIES, **service.QUERIES}
 
 
 def spark_dialect(sf_dir: str) -> Dialect:
-    return Dialect("spark", projection.base(*(f"parquet.`{sf_dir}/{t}.parquet`" for t in ("lineitem", "orders", "customer"))))
+    return Dialect("spark", projection.base(*(f"parquet.`{sf_dir}/{t}.parquet`" for t in ("lineitem", "orders", "customer"))), f"parquet.`{sf_dir}/events.parquet`", f"parquet.`{sf_dir}/pages.parquet`")
 
 
 def duckdb_dialect() -> Dialect:
@@ -34,7 +34,9 @@ def run(spark: SparkSession, name: str, dialect: Dialect, **options) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, name=name: run(spark, name, spark_dialect(sf_dir))) for name in TEMPLATES}
+    out = {name: (lambda spark, sf_dir, name=name: run(spark, name, spark_dialect(sf_dir))) for name in TEMPLATES}
+    out["x07_lineups"] = lambda spark, sf_dir: lineup.lineups(run(spark, "x07_candidates", spark_dialect(sf_dir)))
+    return out
 
 
 def oracles() -> dict[str, str]:

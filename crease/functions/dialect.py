@@ -11,6 +11,8 @@ class Dialect:
 
     name: str
     base: str
+    events: str = "events"
+    pages: str = "pages"
     as_of: str = "date '1998-08-02'"
 
     def r(self, x: str, n: int) -> str:
@@ -25,6 +27,9 @@ class Dialect:
         x = self.r(f"({a}) / nullif({b}, 0) * {times}", n)
         return x if default == "null" else f"coalesce({x}, {default})"
 
+    def add_days(self, date: str, n: str) -> str:
+        return f"date_add({date}, {n})" if self.name == "spark" else f"cast({date} + cast({n} as int) as date)"
+
     def grid(self, last: str) -> str:
         """A relation (g) of the integers from 1 to `last`."""
         return f"(SELECT explode(sequence(1, {last})) AS g)" if self.name == "spark" else f"(SELECT unnest(range(1, {last} + 1)) AS g)"

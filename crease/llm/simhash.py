@@ -125,7 +125,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     linked = components(near_edges(nodes))
     members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).join(nodes.withColumnRenamed("fp", "node"), "node")
     named = members.join(members.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("node").alias("fp"), "component")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # cut: as a plain table on one side, Spark can split the rows of a fingerprint that many documents share
+    labels = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
     return found.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -37,6 +37,18 @@ def g04_training_rows(s: Dialect, fmt: str = "T20", prior: int = 3) -> str:
     return f"{_form(s)}\nSELECT player_id, match_id, target, points_mean_5, points_std_5 FROM form WHERE prior_matches >= {prior}"
 
 
+def g06_versus_opposition(s: Dialect, fmt: str = "T20") -> str:
+    """Mean points and number of a player's earlier matches against the team met; who bats first is known from the toss, or the match is left out."""
+    first = "CASE toss_decision WHEN 'bat' THEN toss_winner WHEN 'field' THEN CASE WHEN toss_winner = team1 THEN team2 ELSE team1 END END"
+    w = "PARTITION BY player_id, opponent ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""{points(s)},
+side AS (SELECT striker_id AS player_id, match_id, innings AS bats FROM d UNION SELECT bowler_id, match_id, 3 - innings FROM d),
+known AS (SELECT match_id, {first} AS first_team, team1, team2 FROM matches WHERE toss_decision IS NOT NULL),
+o AS (SELECT side.player_id, side.match_id, CASE WHEN (first_team = team1) = (bats = 1) THEN team2 ELSE team1 END AS opponent FROM side JOIN known ON side.match_id = known.match_id),
+h AS (SELECT fp.player_id, fp.match_id, fp.match_date, fp.total_points, o.opponent FROM fp JOIN o ON fp.player_id = o.player_id AND fp.match_id = o.match_id)
+SELECT player_id, match_id, opponent, {s.r(f'avg(total_points) OVER ({w})', 6)} AS versus_mean, count(*) OVER ({w}) AS versus_matches FROM h"""
+
+
 def g07_pace_share(s: Dialect, fmt: str = "T20") -> str:
     """Share of balls bowled by pace in each team's last five matches."""
     pace = "b.bowling_style IN ('right-arm fast', 'right-arm medium', 'left-arm fast')"

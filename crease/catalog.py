@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crease.functions.dialect import Dialect
-from crease.operators import fantasy, features, lineup, matches, players, service
+from crease.operators import fantasy, features, lineup, matches, models, players, service
+from crease.session import kept
 from crease.sources import projection
 
+#: Date from which the order tables' matches are kept from the models' training.
+CUTOFF = "1997-06-01"
 TEMPLATES = {**players.QUERIES, **matches.QUERIES, **fantasy.QUERIES, **features.QUERIES, **service.QUERIES}
 
 
@@ -33,10 +37,30 @@ def run(spark: SparkSession, name: str, dialect: Dialect, **options) -> DataFram
     return spark.sql(TEMPLATES[name](dialect, **options))
 
 
+def x01_points_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
+    """Metrics of a model of points, fitted before `cutoff`, on the matches from then on."""
+    train, val = models.split(kept(run(spark, "g14_matrix", spark_dialect(sf_dir))), cutoff)
+    return models.metrics(kept(models.score(models.fit_points(train, val), val)))
+
+
+def x02_outcome_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
+    """Predicted and real winner (1: the first team) of every match from `cutoff` on, fitted on those before."""
+    rows = kept(run(spark, "g15_outcome_rows", spark_dialect(sf_dir)))
+    at = F.lit(cutoff).cast("date")
+    model = models.fit_outcome(rows.filter(F.col("match_date") < at))
+    return model.transform(models.numbers(rows.filter(F.col("match_date") >= at), models.OUTCOME)).select("match_id", F.col("target").cast("long").alias("target"), F.col("prediction").cast("long").alias("predicted"))
+
+
+def x06_predictions(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
+    """Predicted points and rank of each player in the matches from `cutoff` on."""
+    train, val = models.split(kept(run(spark, "g14_matrix", spark_dialect(sf_dir))), cutoff)
+    return models.predict(models.fit_points(train, val), val)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: (lambda spark, sf_dir, name=name: run(spark, name, spark_dialect(sf_dir))) for name in TEMPLATES}
     out["x07_lineups"] = lambda spark, sf_dir: lineup.lineups(run(spark, "x07_candidates", spark_dialect(sf_dir)))
-    return out
+    return {**out, "x01_points_model": x01_points_model, "x02_outcome_model": x02_outcome_model, "x06_predictions": x06_predictions}
 
 
 def oracles() -> dict[str, str]:

@@ -34,6 +34,16 @@ class Dialect:
         """A relation (g) of the integers from 1 to `last`."""
         return f"(SELECT explode(sequence(1, {last})) AS g)" if self.name == "spark" else f"(SELECT unnest(range(1, {last} + 1)) AS g)"
 
+    def latest(self, x: str, window: str) -> str:
+        """The last value of `x` within `window` that isn't missing."""
+        return f"last_value({x}, true) OVER ({window})" if self.name == "spark" else f"last_value({x} IGNORE NULLS) OVER ({window})"
+
+    def faded(self, x: str, fade: str, window: str) -> str:
+        """Sum of `x` over `window`, each value weighing `fade` times the one after it; 0 over no rows."""
+        if self.name == "spark":
+            return f"aggregate(collect_list({x}) OVER ({window}), 0e0, (a, v) -> a * {fade} + v)"
+        return f"coalesce(list_reduce(list({x}) OVER ({window}), lambda a, v: a * {fade} + v), 0e0)"
+
     def text(self, x: str) -> str:
         return f"cast({x} as {'string' if self.name == 'spark' else 'varchar'})"
 

@@ -15,28 +15,59 @@ def _last(x: str, n: int, f: str = "avg") -> str:
     return f"{f}({x}) OVER ({W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
 
 
+PACE = "('right-arm fast', 'right-arm medium', 'left-arm fast')"
+SPIN = "('right-arm offbreak', 'left-arm orthodox', 'legbreak')"
+PAST = f"{W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+#: What a player's last innings with the bat, and last matches with the ball, said.
+BAT = ["runs_mean_5", "sr_mean_5", "boundary_rate_5", "fifty_rate_10"]
+BOWL = ["wickets_mean_5", "economy_mean_5", "bowling_sr_5"]
+
+
 def _form(s: Dialect) -> str:
+    """CTEs up to form: points over matches that count, batting over innings faced, bowling over matches bowled.
+
+    The weights of the faded mean fall to 3e-1 of the next match's; beyond 40 matches they are below a double's precision.
+    """
+    five, ten = (f"{W} ROWS BETWEEN {n} PRECEDING AND CURRENT ROW" for n in (4, 9))
+    credited = "wicket_type NOT IN ('run out', 'retired hurt', 'retired not out', 'obstructing the field')"
+    carried = ", ".join(f"coalesce({s.latest(c, PAST)}, 0e0) AS {c}" for c in BAT + BOWL)
+    means = ", ".join(f"{s.r(f'coalesce({_last("total_points", n)}, 0e0)', 6)} AS points_mean_{n}" for n in (3, 5, 10))
     return f"""{points(s)},
-bs AS (SELECT striker_id AS player_id, match_id, count(*) AS balls, {total('runs_batter')} AS runs, {count('runs_batter IN (4, 6)')} AS big FROM d WHERE faced GROUP BY 1, 2),
-ws AS (SELECT bowler_id AS player_id, match_id, count(*) AS bowled, {total('runs_total')} AS conceded, {count('wicket_type IS NOT NULL')} AS wickets FROM d WHERE legal GROUP BY 1, 2),
-h AS (SELECT fp.*, coalesce(bs.balls, 0) AS balls, coalesce(bs.runs, 0) AS runs, coalesce(bs.big, 0) AS big, coalesce(ws.bowled, 0) AS bowled, coalesce(ws.conceded, 0) AS conceded, coalesce(ws.wickets, 0) AS wickets
-  FROM fp LEFT JOIN bs ON fp.player_id = bs.player_id AND fp.match_id = bs.match_id LEFT JOIN ws ON fp.player_id = ws.player_id AND fp.match_id = ws.match_id WHERE NOT training_exclude),
-k AS (SELECT *, row_number() OVER ({W}) - 1 AS prior_matches, lag(match_date) OVER ({W}) AS last_date FROM h),
-form AS (SELECT player_id, match_id, total_points AS target, prior_matches, coalesce({s.days('match_date', 'last_date')}, 999) AS days_since_last,
-  {s.r(f"coalesce({_last('total_points', 3)}, 0e0)", 6)} AS points_mean_3, {s.r(f"coalesce({_last('total_points', 5)}, 0e0)", 6)} AS points_mean_5, {s.r(f"coalesce({_last('total_points', 10)}, 0e0)", 6)} AS points_mean_10,
-  {s.r(f"coalesce({_last('total_points', 5, 'stddev_pop')}, 0e0)", 6)} AS points_std_5, {s.r(f"coalesce({_last('runs', 5)}, 0e0)", 6)} AS runs_mean_5, {s.r(f"coalesce({_last('CASE WHEN balls >= 10 THEN runs / balls * 100 END', 5)}, 0e0)", 6)} AS sr_mean_5,
-  {s.r(f"coalesce({_last('big', 5, 'sum')} / nullif({_last('balls', 5, 'sum')}, 0), 0e0)", 6)} AS boundary_rate_5, {s.r(f"coalesce({_last('CASE WHEN runs >= 50 THEN 1 ELSE 0 END', 10)}, 0e0)", 6)} AS fifty_rate_10,
-  {s.r(f"coalesce({_last('wickets', 5)}, 0e0)", 6)} AS wickets_mean_5, {s.r(f"coalesce({_last('CASE WHEN bowled >= 12 THEN conceded / bowled * 6 END', 5)}, 0e0)", 6)} AS economy_mean_5, {s.r(f"coalesce({_last('bowled', 5, 'sum')} / nullif({_last('wickets', 5, 'sum')}, 0), 0e0)", 6)} AS bowling_sr_5 FROM k)"""
+bs AS (SELECT striker_id AS player_id, match_id, match_date, count(*) AS balls, {total('runs_batter')} AS runs, {count('runs_batter IN (4, 6)')} AS big FROM d WHERE faced AND striker_id IS NOT NULL GROUP BY 1, 2, 3),
+bw AS (SELECT player_id, match_id, {s.r(f'avg(runs) OVER ({five})', 6)} AS runs_mean_5, {s.r(f'coalesce(avg(CASE WHEN balls >= 10 THEN runs / balls * 100 END) OVER ({five}), 0e0)', 6)} AS sr_mean_5, {s.r(f'sum(big) OVER ({five}) / sum(balls) OVER ({five})', 6)} AS boundary_rate_5,
+  {s.r(f'avg(CASE WHEN runs >= 50 THEN 1 ELSE 0 END) OVER ({ten})', 6)} AS fifty_rate_10 FROM bs),
+ws AS (SELECT bowler_id AS player_id, match_id, match_date, {count('legal')} AS bowled, {total('runs_total', 'legal')} AS conceded, {count(credited)} AS wickets FROM d WHERE bowler_id IS NOT NULL GROUP BY 1, 2, 3),
+ww AS (SELECT player_id, match_id, {s.r(f'avg(wickets) OVER ({five})', 6)} AS wickets_mean_5, {s.r(f'coalesce(avg(CASE WHEN bowled >= 12 THEN conceded / bowled * 6 END) OVER ({five}), 0e0)', 6)} AS economy_mean_5, {s.r(f'coalesce(sum(bowled) OVER ({five}) / nullif(sum(wickets) OVER ({five}), 0), 0e0)', 6)} AS bowling_sr_5 FROM ws WHERE bowled > 0),
+h AS (SELECT fp.*, {', '.join(BAT + BOWL)} FROM fp LEFT JOIN bw ON fp.player_id = bw.player_id AND fp.match_id = bw.match_id LEFT JOIN ww ON fp.player_id = ww.player_id AND fp.match_id = ww.match_id),
+cf AS (SELECT player_id, match_id, match_date, league_id, season, total_points, training_exclude, {carried} FROM h),
+k AS (SELECT *, row_number() OVER ({W}) - 1 AS prior_matches, lag(match_date) OVER ({W}) AS last_date FROM cf WHERE NOT training_exclude),
+form AS (SELECT player_id, match_id, match_date, league_id, season, total_points AS target, prior_matches, coalesce({s.days('match_date', 'last_date')}, 999) AS days_since_last, {means}, {s.r(f"coalesce({_last('total_points', 5, 'stddev_pop')}, 0e0)", 6)} AS points_std_5,
+  CASE WHEN prior_matches > 0 THEN {s.r(f"{s.faded('total_points', '3e-1', f'{W} ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING')} * 7e-1 / (1 - power(3e-1, least(prior_matches, 40)))", 6)} ELSE 0e0 END AS points_faded_mean,
+  CASE WHEN prior_matches >= 3 THEN {s.r(f'regr_slope(total_points, cast(prior_matches as double)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)', 6)} ELSE 0e0 END AS points_trend, {', '.join(BAT + BOWL)} FROM k)"""
+
+
+FORM = ["prior_matches", "days_since_last", "points_mean_3", "points_mean_5", "points_mean_10", "points_std_5", "points_faded_mean", "points_trend", *BAT, *BOWL]
 
 
 def g02_form(s: Dialect, fmt: str = "T20") -> str:
-    return f"{_form(s)}\nSELECT player_id, match_id, prior_matches, days_since_last, points_mean_3, points_mean_5, points_mean_10, points_std_5, runs_mean_5, sr_mean_5, boundary_rate_5, fifty_rate_10, wickets_mean_5, economy_mean_5, bowling_sr_5 FROM form"
+    return f"{_form(s)}\nSELECT player_id, match_id, {', '.join(FORM)} FROM form"
 
 
 def g04_training_rows(s: Dialect, fmt: str = "T20", prior: int = 3) -> str:
     return f"{_form(s)}\nSELECT player_id, match_id, target, points_mean_5, points_std_5 FROM form WHERE prior_matches >= {prior}"
 
 
+def g05_opposition(s: Dialect, fmt: str = "T20") -> str:
+    """How strong a team met is: mean points of all players in its last five matches."""
+    w = "PARTITION BY team ORDER BY match_date, match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING"
+    mean = lambda x, other: s.r(f"coalesce(sum({x}) OVER ({w}) / nullif(sum(n) OVER ({w}), 0), {other})", 6)
+    return f"""{points(s)},
+q AS (SELECT match_id, match_date, sum(batting_points) AS sb, sum(bowling_points) AS sw, count(*) AS n FROM fp GROUP BY match_id, match_date),
+t AS (SELECT match_id, team1 AS team FROM matches UNION ALL SELECT match_id, team2 FROM matches),
+j AS (SELECT t.team, q.* FROM t JOIN q ON t.match_id = q.match_id)
+SELECT team, match_id, {mean('sb', '15e0')} AS opposition_batting, {mean('sw', '8e0')} AS opposition_bowling FROM j"""
+
+
 def g06_versus_opposition(s: Dialect, fmt: str = "T20") -> str:
     """Mean points and number of a player's earlier matches against the team met; who bats first is known from the toss, or the match is left out."""
     first = "CASE toss_decision WHEN 'bat' THEN toss_winner WHEN 'field' THEN CASE WHEN toss_winner = team1 THEN team2 ELSE team1 END END"
@@ -51,7 +82,7 @@ SELECT player_id, match_id, opponent, {s.r(f'avg(total_points) OVER ({w})', 6)}
 
 def g07_pace_share(s: Dialect, fmt: str = "T20") -> str:
     """Share of balls bowled by pace in each team's last five matches."""
-    pace = "b.bowling_style IN ('right-arm fast', 'right-arm medium', 'left-arm fast')"
+    pace = f"b.bowling_style IN {PACE}"
     return f"""{s.base},
 m AS (SELECT d.match_id, count(*) FILTER (WHERE {pace}) AS pace, count(b.bowling_style) AS known FROM d LEFT JOIN players b ON d.bowler_id = b.player_id GROUP BY d.match_id),
 t AS (SELECT match_id, match_date, team1 AS team FROM matches UNION ALL SELECT match_id, match_date, team2 FROM matches),
@@ -59,36 +90,59 @@ j AS (SELECT t.team, t.match_id, sum(pace) OVER (PARTITION BY t.team ORDER BY t.
 SELECT team, match_id, {s.r('coalesce(p / nullif(k, 0), 5e-1)', 6)} AS opposition_pace_ratio FROM j"""
 
 
-def _matchup(s: Dialect, key: str, other: str, column: str, values: dict[str, str], ok: str, value: str, least: int, times: int) -> str:
-    w = "PARTITION BY player_id ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+def _matchup(s: Dialect, key: str, other: str, values: dict[str, str], ok: str, value: str, least: int, times: int, none: str) -> str:
+    """Rates against kinds of opponents over all earlier matches, for every match of a player; `none` if there was no ball at all before."""
     sums = ", ".join(f"{total(value, c)} AS r_{k}, {count(c)} AS b_{k}" for k, c in values.items())
-    rates = ", ".join(f"CASE WHEN sum(b_{k}) OVER ({w}) >= {least} THEN {s.r(f'sum(r_{k}) OVER ({w}) / nullif(sum(b_{k}) OVER ({w}), 0) * {times}', 6)} END AS vs_{k}" for k in values)
+    zero = ", ".join(f"coalesce(r_{k}, 0) AS r_{k}, coalesce(b_{k}, 0) AS b_{k}" for k in values)
+    rates = ", ".join(f"CASE WHEN coalesce(sum(n) OVER ({PAST}), 0) = 0 THEN {none} WHEN sum(b_{k}) OVER ({PAST}) >= {least} THEN {s.r(f'sum(r_{k}) OVER ({PAST}) / nullif(sum(b_{k}) OVER ({PAST}), 0) * {times}', 6)} END AS vs_{k}" for k in values)
     return f"""{s.base},
-g AS (SELECT d.{key} AS player_id, d.match_id, d.match_date, {sums} FROM d LEFT JOIN players o ON d.{other} = o.player_id WHERE {ok} GROUP BY 1, 2, 3)
-SELECT player_id, match_id, {rates} FROM g"""
+e AS (SELECT striker_id AS player_id, match_id, match_date FROM d WHERE striker_id IS NOT NULL UNION SELECT bowler_id, match_id, match_date FROM d WHERE bowler_id IS NOT NULL),
+g AS (SELECT d.{key} AS player_id, d.match_id, count(*) AS n, {sums} FROM d LEFT JOIN players o ON d.{other} = o.player_id WHERE {ok} GROUP BY 1, 2),
+j AS (SELECT e.player_id, e.match_id, e.match_date, coalesce(n, 0) AS n, {zero} FROM e LEFT JOIN g ON e.player_id = g.player_id AND e.match_id = g.match_id)
+SELECT player_id, match_id, {rates} FROM j"""
 
 
 def g08_batter_matchups(s: Dialect, fmt: str = "T20") -> str:
-    kinds = {"pace": "o.bowling_style IN ('right-arm fast', 'right-arm medium', 'left-arm fast')", "spin": "o.bowling_style IN ('right-arm offbreak', 'left-arm orthodox', 'legbreak')", "left_arm": "o.bowling_style IN ('left-arm fast', 'left-arm orthodox')"}
-    return _matchup(s, "striker_id", "bowler_id", "bowling_style", kinds, "faced", "runs_batter", 10, 100)
+    kinds = {"pace": f"o.bowling_style IN {PACE}", "spin": f"o.bowling_style IN {SPIN}", "left_arm": "o.bowling_style IN ('left-arm fast', 'left-arm orthodox')"}
+    return _matchup(s, "striker_id", "bowler_id", kinds, "faced", "runs_batter", 10, 100, "NULL")
 
 
 def g09_bowler_matchups(s: Dialect, fmt: str = "T20") -> str:
-    return _matchup(s, "bowler_id", "striker_id", "batting_hand", {"left": "o.batting_hand = 'Left hand'", "right": "o.batting_hand = 'Right hand'"}, "legal", "runs_total", 12, 6)
+    return _matchup(s, "bowler_id", "striker_id", {"left": "o.batting_hand = 'Left hand'", "right": "o.batting_hand = 'Right hand'"}, "legal", "runs_total", 12, 6, "75e-1")
 
 
 def g10_venue(s: Dialect, fmt: str = "T20") -> str:
     """Of earlier matches at the venue only."""
     w = "PARTITION BY venue_id ORDER BY match_date, t.match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    eco = lambda k: s.r(f"coalesce(sum({k}_runs) OVER ({w}) / nullif(sum({k}_balls) OVER ({w}), 0) * 6, 75e-1)", 6)
+    kinds = ", ".join(f"{total('d.runs_total', f'legal AND b.bowling_style IN {styles}')} AS {k}_runs, {count(f'legal AND b.bowling_style IN {styles}')} AS {k}_balls" for k, styles in (("pace", PACE), ("spin", SPIN)))
     return f"""{points(s)},
-t AS (SELECT match_id, venue_id, match_date, {total('runs_total', 'innings = 1')} AS first_total FROM d GROUP BY 1, 2, 3),
-q AS (SELECT match_id, sum(batting_points) AS sb, sum(bowling_points) AS sw, count(*) AS n FROM fp GROUP BY match_id)
-SELECT t.match_id, t.venue_id, {s.r(f'coalesce(avg(first_total) OVER ({w}), 160e0)', 6)} AS venue_first_innings, {s.r(f'coalesce(sum(sb) OVER ({w}) / nullif(sum(n) OVER ({w}), 0), 20e0)', 6)} AS venue_batting_points, {s.r(f'coalesce(sum(sw) OVER ({w}) / nullif(sum(n) OVER ({w}), 0), 10e0)', 6)} AS venue_bowling_points FROM t JOIN q ON t.match_id = q.match_id"""
+t AS (SELECT d.match_id, d.venue_id, d.match_date, {total('runs_total', 'innings = 1')} AS first_total, {kinds} FROM d LEFT JOIN players b ON d.bowler_id = b.player_id WHERE d.venue_id IS NOT NULL GROUP BY 1, 2, 3),
+q AS (SELECT match_id, sum(batting_points) AS sb, sum(bowling_points) AS sw, count(*) AS n FROM fp GROUP BY match_id),
+v AS (SELECT t.match_id, t.venue_id, {s.r(f'coalesce(avg(first_total) OVER ({w}), 160e0)', 6)} AS venue_first_innings, {eco('pace')} AS venue_pace_economy, {eco('spin')} AS venue_spin_economy,
+  {s.r(f'coalesce(sum(sb) OVER ({w}) / nullif(sum(n) OVER ({w}), 0), 20e0)', 6)} AS venue_batting_points, {s.r(f'coalesce(sum(sw) OVER ({w}) / nullif(sum(n) OVER ({w}), 0), 10e0)', 6)} AS venue_bowling_points FROM t JOIN q ON t.match_id = q.match_id)
+SELECT *, {s.rate('venue_pace_economy', 'venue_spin_economy', '1', 6, '1e0')} AS venue_pace_spin_ratio FROM v"""
+
+
+def g11_player_venue(s: Dialect, fmt: str = "T20") -> str:
+    """Mean points and number of a player's earlier matches at the venue."""
+    w = "PARTITION BY fp.player_id, m.venue_id ORDER BY fp.match_date, fp.match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""{points(s)}
+SELECT fp.player_id, fp.match_id, {s.r(f'avg(total_points) OVER ({w})', 6)} AS at_venue_mean, count(*) OVER ({w}) AS at_venue_matches FROM fp JOIN matches m ON fp.match_id = m.match_id WHERE m.venue_id IS NOT NULL"""
 
 
 def g12_static(s: Dialect, fmt: str = "T20") -> str:
-    flag = lambda c, v, n: f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS {n}"
-    return f"{s.base}\nSELECT player_id, {', '.join(flag('primary_role', r, f'is_{r.lower()}') for r in ('BAT', 'BOWL', 'AR', 'WK'))}, {flag('batting_hand', 'Left hand', 'is_left_hand')} FROM players"
+    flag = lambda c, n: f"CASE WHEN {c} THEN 1 ELSE 0 END AS {n}"
+    roles = ", ".join(flag(f"primary_role = '{r}'", f"is_{r.lower()}") for r in ("BAT", "BOWL", "AR", "WK"))
+    return f"{s.base}\nSELECT player_id, {roles}, {flag("batting_hand = 'Left hand'", 'is_left_hand')}, {flag(f'bowling_style IN {PACE}', 'is_pacer')}, {flag(f'bowling_style IN {SPIN}', 'is_spinner')} FROM players"
+
+
+def g12_batting_position(s: Dialect, fmt: str = "T20") -> str:
+    """Mean over earlier matches of the over and ball that a player first faced, for every match of the player."""
+    return f"""{s.base},
+e AS (SELECT striker_id AS player_id, match_id, match_date FROM d WHERE striker_id IS NOT NULL UNION SELECT bowler_id, match_id, match_date FROM d WHERE bowler_id IS NOT NULL),
+b AS (SELECT striker_id AS player_id, match_id, cast(min(over_ball) as double) AS first_over FROM d GROUP BY 1, 2)
+SELECT e.player_id, e.match_id, {s.r(f"avg(first_over) OVER (PARTITION BY e.player_id ORDER BY e.match_date, e.match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", 6)} AS batting_position_mean FROM e LEFT JOIN b ON e.player_id = b.player_id AND e.match_id = b.match_id"""
 
 
 def g13_context(s: Dialect, fmt: str = "T20") -> str:
@@ -97,6 +151,38 @@ t AS (SELECT match_id, league_id, toss_winner, toss_decision, team1 AS team FROM
 SELECT t.match_id, t.team, CASE WHEN t.toss_winner = t.team THEN 1 ELSE 0 END AS toss_won, CASE WHEN (t.toss_winner = t.team) = (t.toss_decision = 'bat') THEN 1 ELSE 0 END AS batting_first, coalesce(l.difficulty, 1e0) AS league_difficulty, coalesce(l.similarity, 1e0) AS format_similarity, coalesce(l.tier, 2) AS league_tier FROM t LEFT JOIN leagues l ON t.league_id = l.league_id"""
 
 
+#: Columns a model of points learns from; missing ones stay null.
+FEATURES = [
+    *FORM, "versus_mean", "versus_matches", "opposition_batting", "opposition_bowling", "opposition_pace_ratio", "vs_pace", "vs_spin", "vs_left_arm", "vs_left", "vs_right", "venue_first_innings", "venue_pace_economy", "venue_spin_economy", "venue_pace_spin_ratio",
+    "venue_batting_points", "venue_bowling_points", "at_venue_mean", "at_venue_matches", "is_bat", "is_bowl", "is_ar", "is_wk", "is_left_hand", "is_pacer", "is_spinner", "batting_position_mean", "toss_won", "batting_first", "league_difficulty", "format_similarity", "league_tier",
+]
+
+
+def g14_matrix(s: Dialect, fmt: str = "T20", prior: int = 3) -> str:
+    """One row of all features and the target for each player and match with at least `prior` earlier matches; where the toss is unknown, so are the teams and what hangs on them."""
+    sub = lambda f: f"({f(s)})"
+    on = lambda a: f"{a}.player_id = f.player_id AND {a}.match_id = f.match_id"
+    return f"""SELECT f.player_id, f.match_id, f.match_date, f.league_id, f.season, f.target, {', '.join(FEATURES)}
+FROM ({_form(s)} SELECT * FROM form WHERE prior_matches >= {prior}) f
+LEFT JOIN {sub(g06_versus_opposition)} o ON {on('o')}
+LEFT JOIN {sub(g05_opposition)} st ON st.match_id = f.match_id AND st.team = o.opponent
+LEFT JOIN {sub(g07_pace_share)} ps ON ps.match_id = f.match_id AND ps.team = o.opponent
+LEFT JOIN {sub(g08_batter_matchups)} bm ON {on('bm')}
+LEFT JOIN {sub(g09_bowler_matchups)} wm ON {on('wm')}
+LEFT JOIN {sub(g10_venue)} v ON v.match_id = f.match_id
+LEFT JOIN {sub(g11_player_venue)} pv ON {on('pv')}
+LEFT JOIN {sub(g12_static)} ps2 ON ps2.player_id = f.player_id
+LEFT JOIN {sub(g12_batting_position)} bp ON {on('bp')}
+LEFT JOIN {sub(g13_context)} cx ON cx.match_id = f.match_id AND cx.team <> o.opponent"""
+
+
+def g15_outcome_rows(s: Dialect, fmt: str = "T20") -> str:
+    """One row for each decided match: the toss, and both teams' strength in their last five matches."""
+    return f"""SELECT m.match_id, m.match_date, CASE WHEN m.toss_winner = m.team1 THEN 1 ELSE 0 END AS toss_first_team, CASE WHEN m.toss_decision = 'bat' THEN 1 ELSE 0 END AS toss_bat, a.opposition_batting AS batting_1, a.opposition_bowling AS bowling_1, b.opposition_batting AS batting_2, b.opposition_bowling AS bowling_2,
+  CASE WHEN m.winner = m.team1 THEN 1 ELSE 0 END AS target
+FROM ({s.base} SELECT * FROM matches WHERE winner IS NOT NULL) m JOIN ({g05_opposition(s)}) a ON a.match_id = m.match_id AND a.team = m.team1 JOIN ({g05_opposition(s)}) b ON b.match_id = m.match_id AND b.team = m.team2"""
+
+
 def x04_backtest_windows(s: Dialect, fmt: str = "T20") -> str:
     """Walk-forward windows of 90 days, stepped by 30: rows to train on and to validate on."""
     return f"""{_form(s)},

@@ -6,7 +6,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -19,3 +19,11 @@ def ship(spark: SparkSession) -> None:
         zipped = shutil.make_archive(f"{tempfile.mkdtemp(prefix='crease-')}/{package.name}", "zip", package.parent, package.name)
         spark.sparkContext.addPyFile(zipped)
         _shipped.add(app)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Write `df` to the session's shared checkpoint folder and go on from there; a temporary folder only where that is unset (tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crease-"))
+    return df.checkpoint()

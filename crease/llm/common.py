@@ -55,6 +55,28 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1_500_00
             yield batch.slice(start)
 
 
+def before(values: Column, zero: int, op: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """For each place of an array<int>, `op` (associative) over all earlier values; `zero` before the first.
+
+    By blocks: each block's total, the totals before each block, then what stands earlier in the own block. A
+    running result in an aggregate's state would be copied at every step, so that the cost grew with the square.
+    """
+
+    def over(v: Column, start: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(v, start + 1, n), F.lit(zero), lambda a, b: op(a, b))
+
+    def whole(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / block).cast("int")), lambda b: over(v, b * block, F.lit(block)))
+
+    def ahead(totals: Column) -> Column:
+        return F.transform(totals, lambda _, b: over(totals, F.lit(0), b))
+
+    def place(v: Column, p: Column) -> Column:
+        return F.transform(v, lambda _, i: op(F.get(p, F.floor(i / block).cast("int")), over(v, i - i % block, i % block)))
+
+    return let(values, lambda v: let(whole(v), lambda totals: let(ahead(totals), lambda p: place(v, p))))
+
+
 def regex_spans(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
     """Leftmost non-overlapping matches of `pattern` as array<struct<start,end,kind>>, in code points.
 
@@ -65,14 +87,11 @@ def regex_spans(text: Column, pattern: str, kind: str, keep: Callable[[Column],
     found = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part")
     )
-    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
+    sizes = F.transform(found, lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.coalesce(F.char_length(x["hit"]), F.lit(0)).alias("hit"), (x["hit"].isNotNull() & (keep(x["part"]) if keep else F.lit(True))).alias("ok")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        ok = x["hit"].isNotNull() & (keep(x["part"]) if keep else F.lit(True))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(ok, F.concat(F.coalesce(acc["out"], F.array().cast("array<struct<start:int,end:int,kind:string>>")), one)).otherwise(acc["out"]).alias("out"))
+    def spans(s: Column, at: Column) -> Column:
+        placed = F.transform(s, lambda x, i: F.struct((F.get(at, i) + x["gap"]).alias("start"), (F.get(at, i) + x["gap"] + x["hit"]).alias("end"), F.lit(kind).alias("kind"), x["ok"].alias("ok")))
+        return F.transform(F.filter(placed, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
 
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return F.when(text.rlike(pattern), F.coalesce(F.aggregate(found, zero, step)["out"], empty)).otherwise(empty)
+    all_spans = let(sizes, lambda s: let(before(F.transform(s, lambda x: x["gap"] + x["hit"]), 0, lambda a, b: a + b), lambda at: spans(s, at)))
+    return F.when(text.rlike(pattern), all_spans).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))

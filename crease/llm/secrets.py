@@ -15,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.llm.common import let, regex_spans
+from crease.llm.common import before, let, regex_spans
 
 SCOPE = 200
+#: Code points of the pieces in which a text is masked.
+PIECE = 4096
 
 #: The base kinds in order, with their patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -66,20 +68,25 @@ def linked(strong: Column, weak: Column, scope: int = SCOPE) -> Column:
     (after) it.
     """
     far = 1 << 30
-    # a weak secret that lies in a strong one is the same finding
-    fresh = F.filter(weak, lambda w: ~F.exists(strong, lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"])))
-    parts = F.array_sort(F.concat(strong, fresh))
 
-    def sweep(ordered: Column, gap) -> Column:
-        zero = F.struct(F.lit(-far).alias("i"), F.lit(-far).alias("s"), F.array().cast("array<struct<i:boolean,s:boolean>>").alias("out"))
+    # A weak secret that lies in a strong finding is the same one. In order of start, the longer first and a strong
+    # one before a weak one, it lies in one exactly if some strong one before it ends no sooner.
+    def keyed(spans: Column, is_weak: int) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit(is_weak).alias("weak"), x["kind"].alias("kind")))
+
+    def fresh(k: Column) -> Column:
+        reach = before(F.transform(k, lambda x: F.when(x["weak"] == 0, -x["back"]).otherwise(-1)), -1, F.greatest)
+        own = let(reach, lambda r: F.filter(k, lambda x, i: (x["weak"] == 0) | (F.get(r, i) < -x["back"])))
+        return F.transform(own, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["kind"].alias("kind")))
+
+    parts = F.array_sort(let(F.array_sort(F.concat(keyed(strong, 0), keyed(weak, 1))), fresh))
 
-        def step(a: Column, x: Column) -> Column:
-            start, end = gap(x)
-            near = F.struct((start - a["i"] <= scope).alias("i"), (start - a["s"] <= scope).alias("s"))
-            role = _role(x)
-            return F.struct(F.when(role == "i", F.greatest(end, a["i"])).otherwise(a["i"]).alias("i"), F.when(role == "s", F.greatest(end, a["s"])).otherwise(a["s"]).alias("s"), F.concat(a["out"], F.array(near)).alias("out"))
+    def sweep(ordered: Column, gap) -> Column:
+        def ends(role: str) -> Column:
+            return before(F.transform(ordered, lambda x: F.when(_role(x) == role, gap(x)[1]).otherwise(-far)), -far, F.greatest)
 
-        return F.aggregate(ordered, zero, step)["out"]
+        near = lambda last: F.transform(ordered, lambda x, k: gap(x)[0] - F.get(last, k) <= scope)
+        return F.arrays_zip(let(ends("i"), near).alias("i"), let(ends("s"), near).alias("s"))
 
     def join(p: Column) -> Column:
         before = sweep(p, lambda x: (x["start"], x["end"]))
@@ -129,14 +136,22 @@ def mask(docs: DataFrame, text: str = "text", mark: str = "[secret]", scope: int
     """`docs` with every finding in `text` replaced by `mark`; touching or overlapping ones by one mark. Nulls stay."""
     found = find(docs.select(*[F.col(c) for c in docs.columns if c not in ("base", "spans")]), text, scope)
     t = F.col(text)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        new = x["start"] >= a["at"]
-        gap = F.substring(t, a["at"] + 1, x["start"] - a["at"])
-        joined = (x["start"] == a["at"]) & (F.size(a["out"]) > 0)
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(new & ~joined, F.concat(a["out"], F.array(gap, F.lit(mark)))).otherwise(a["out"]).alias("out"))
+    def between(pieces: Column, start: Column, n: Column) -> Column:
+        """`n` code points from `start` on; only the pieces they lie in are looked at."""
+        first = F.floor(start / PIECE).cast("int")
+        return F.substring(F.array_join(F.slice(pieces, first + 1, F.floor((start + n) / PIECE).cast("int") - first + 1), ""), F.pmod(start, F.lit(PIECE)) + 1, n)
+
+    def texts(pieces: Column, at: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            done = F.get(at, k)
+            return F.when((x["start"] > done) | (k == 0), F.array(between(pieces, done, x["start"] - done), F.lit(mark))).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.transform("spans", one))
 
-    masked = let(F.aggregate("spans", zero, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.char_length(t))))
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    last = F.array_max(F.transform("spans", lambda x: x["end"]))
+    head = let(pieces, lambda p: let(before(F.transform("spans", lambda x: x["end"]), 0, F.greatest), lambda at: texts(p, at)))
+    masked = F.concat(F.array_join(head, ""), F.substring(t, last + 1, F.char_length(t)))
     out = found.withColumn(text, F.when(t.isNull() | (F.size("spans") == 0), t).otherwise(masked))
     return out.select(*docs.columns) if not {"base", "spans"} & set(docs.columns) else out.drop("base", "spans")

@@ -26,7 +26,7 @@ BOWL = ["wickets_mean_5", "economy_mean_5", "bowling_sr_5"]
 def _form(s: Dialect) -> str:
     """CTEs up to form: points over matches that count, batting over innings faced, bowling over matches bowled.
 
-    The weights of the faded mean fall to 3e-1 of the next match's; beyond 40 matches they are below a double's precision.
+    The weights of the faded mean fall to 3e-1 of the next match's; beyond 40 matches they are below a double's precision. A level trend is 0, not the negative zero that rounding can give.
     """
     five, ten = (f"{W} ROWS BETWEEN {n} PRECEDING AND CURRENT ROW" for n in (4, 9))
     credited = "wicket_type NOT IN ('run out', 'retired hurt', 'retired not out', 'obstructing the field')"
@@ -43,7 +43,7 @@ cf AS (SELECT player_id, match_id, match_date, league_id, season, total_points,
 k AS (SELECT *, row_number() OVER ({W}) - 1 AS prior_matches, lag(match_date) OVER ({W}) AS last_date FROM cf WHERE NOT training_exclude),
 form AS (SELECT player_id, match_id, match_date, league_id, season, total_points AS target, prior_matches, coalesce({s.days('match_date', 'last_date')}, 999) AS days_since_last, {means}, {s.r(f"coalesce({_last('total_points', 5, 'stddev_pop')}, 0e0)", 6)} AS points_std_5,
   CASE WHEN prior_matches > 0 THEN {s.r(f"{s.faded('total_points', '3e-1', f'{W} ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING')} * 7e-1 / (1 - power(3e-1, least(prior_matches, 40)))", 6)} ELSE 0e0 END AS points_faded_mean,
-  CASE WHEN prior_matches >= 3 THEN {s.r(f'regr_slope(total_points, cast(prior_matches as double)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)', 6)} ELSE 0e0 END AS points_trend, {', '.join(BAT + BOWL)} FROM k)"""
+  CASE WHEN prior_matches >= 3 THEN coalesce(nullif({s.r(f'regr_slope(total_points, cast(prior_matches as double)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)', 6)}, 0), 0e0) ELSE 0e0 END AS points_trend, {', '.join(BAT + BOWL)} FROM k)"""
 
 
 FORM = ["prior_matches", "days_since_last", "points_mean_3", "points_mean_5", "points_mean_10", "points_std_5", "points_faded_mean", "points_trend", *BAT, *BOWL]

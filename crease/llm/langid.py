@@ -33,6 +33,11 @@ CACHE_WORDS = 200_000
 EDGE = "\x02"
 
 
+def lettered(words: list[str]) -> list[str]:
+    """`words` without those of no letter, such as a superscript or a fraction."""
+    return words if all(map(str.isalpha, words)) else [w for w in words if any(map(str.isalpha, w))]
+
+
 def grams(word: str, n: int) -> list[str]:
     if n == 1:
         return list(word)
@@ -54,7 +59,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE, top_words: int = TOP_WORDS, top_g
             seen: dict[tuple[str, int, str], int] = {}
             words: dict[tuple[str, str], int] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                for w in WORD.findall(text.lower()):
+                for w in lettered(WORD.findall(text.lower())):
                     words[lang, w] = words.get((lang, w), 0) + 1
             for (lang, w), n in words.items():
                 seen[lang, 0, w] = n
@@ -95,7 +100,7 @@ class Scorer:
         return np.zeros(len(self.langs), np.float32)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [lettered(WORD.findall(t.lower())) if t else [] for t in texts]
         new = list(set().union(*words) - self.index.keys())
         if new:
             start = len(self.rows)

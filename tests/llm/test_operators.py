@@ -434,3 +434,8 @@ def test_quality_hosts(spark):
     kept = {r["doc_id"]: r["kept"] for r in quality.verdicts(df).collect()}
     assert all(kept[i] == (i % 4 == 0) for i in range(400)) and all(kept[1000 + i] for i in range(1000))
     assert {r["doc_id"] for r in quality.keep_good(df).collect()} == {i for i, k in kept.items() if k}
+
+
+def test_language_of_numbers_that_are_no_letters_is_undetermined():
+    scorer = langid.Scorer({"langs": ["a", "b"], "tables": {k: {} for k in range(langid.GRAM + 1)}})
+    assert [x for x, _ in scorer.predict(["\u00b2 \u00bd", "", None, "x\u00b2"])] == ["und", "und", "und", "a"]

@@ -2,7 +2,10 @@
 
 Method: failures of the rules are summed by host (here `source`), each host's rate is shrunk towards an
 empirical beta prior (fitted by moments over the hosts, so small hosts say little), and the verdict is
-joined back: on a host whose shrunk rate exceeds `host_rate`, a document that breaks a soft rule goes too.
+joined back: on a host that is worse than hosts usually are (its posterior, but for a share of
+1 - `credible`, lies more than the prior's deviation above the corpus rate) or whose shrunk rate exceeds
+`host_rate`, a document that breaks a soft rule goes too. The bar thus follows the table: where hosts
+differ by no more than chance the prior is narrow, posteriors hardly leave it, and no host stands out.
 Documents that break no rule stay wherever they are from.
 
 DataFrame functions only. Null texts count as empty (and fail the base rules); null hosts give no
@@ -11,6 +14,8 @@ evidence and get no verdict; empty tables give empty results; other columns are
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,8 @@ from crease.llm.common import SPACE, cut, let
 
 #: Hosts up to which the verdicts are sent to every task; about 100 bytes each.
 BROADCAST_HOSTS = 10_000
+#: Share of a host's posterior that must lie above the bar.
+CREDIBLE = 0.95
 
 
 def repeated_words(words: Column) -> Column:
@@ -66,20 +73,27 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     return rows.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), soft.alias("soft_failed"))
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
-    """host, n, failed, rate: the share of documents that fail, shrunk by a beta prior fitted over all hosts."""
+def host_rates(measured: DataFrame, credible: float = CREDIBLE) -> DataFrame:
+    """host, n, failed, rate, worse: the share of documents that fail, shrunk by a beta prior fitted over all hosts.
+
+    `worse`: at least `credible` of the host's posterior, taken as normal, lies above the corpus rate and one
+    deviation of the prior.
+    """
     hosts = measured.filter("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("failed"))
     raw = F.col("failed") / F.col("n")
     prior = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("v"), F.avg(1 / F.col("n")).alias("inv")).first()
     m = min(max(prior["m"] or 0.0, 1e-6), 1 - 1e-6)
     spread = max((prior["v"] or 0.0) - m * (1 - m) * (prior["inv"] or 0.0), 1e-6)  # without what sampling adds
     strength = min(max(m * (1 - m) / spread - 1, 1.0), 1e4)
-    return hosts.withColumn("rate", (F.col("failed") + m * strength) / (F.col("n") + strength))
+    rated = hosts.withColumn("rate", (F.col("failed") + m * strength) / (F.col("n") + strength))
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + strength + 1))
+    bar = m + (m * (1 - m) / (strength + 1)) ** 0.5
+    return rated.withColumn("worse", F.col("rate") - NormalDist().inv_cdf(credible) * deviation > bar)
 
 
 def _with_verdict(rows: DataFrame, host: str, rates: DataFrame, host_rate: float) -> DataFrame:
-    """`rows` with `strict`: whether the host's rate is above `host_rate`."""
-    bad = rates.filter(F.col("rate") > host_rate).select(F.col("host").alias(host), F.lit(True).alias("strict"))
+    """`rows` with `strict`: whether the host is worse than hosts usually are or its rate is above `host_rate`."""
+    bad = rates.filter(F.col("worse") | (F.col("rate") > host_rate)).select(F.col("host").alias(host), F.lit(True).alias("strict"))
     if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
     return rows.join(bad, host, "left").withColumn("strict", F.coalesce("strict", F.lit(False)))

@@ -11,6 +11,7 @@ from itertools import combinations
 import duckdb
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crease.llm import bpe, decontam, html_text, langid, licenses, pii, quality, secrets, sharding, simhash
@@ -439,3 +440,19 @@ def test_quality_hosts(spark):
 def test_language_of_numbers_that_are_no_letters_is_undetermined():
     scorer = langid.Scorer({"langs": ["a", "b"], "tables": {k: {} for k in range(langid.GRAM + 1)}})
     assert [x for x, _ in scorer.predict(["\u00b2 \u00bd", "", None, "x\u00b2"])] == ["und", "und", "und", "a"]
+
+
+def test_quality_host_verdicts_take_effect_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    # every third document of one source gets symbols: its rate stays under one half, but is far from the others'
+    spoilt = (docs["source"] == "src3") & (docs["doc_id"] % 3 == 0)
+    worse = docs.withColumn("text", F.when(spoilt, F.concat("text", F.lit(" "), F.repeat(F.lit("#"), F.length("text")))).otherwise(docs["text"]))
+    measured = quality.measures(worse).cache()
+    rates = {r["host"]: r for r in quality.host_rates(measured).collect()}
+    assert [h for h, r in rates.items() if r["worse"]] == ["src3"] and rates["src3"]["rate"] < 0.5
+    rows = {r["doc_id"]: (r["host"] == "src3", r["base_failed"], r["soft_failed"]) for r in measured.collect()}
+    want = {i: not base and not (strict and soft) for i, (strict, base, soft) in rows.items()}
+    assert {r["doc_id"]: r["kept"] for r in quality.verdicts(worse).collect()} == want
+    assert sum(strict and soft and not base for strict, base, soft in rows.values()) > 100
+    assert {r["doc_id"] for r in quality.keep_good(worse).select("doc_id").collect()} == {i for i, k in want.items() if k}
+    measured.unpersist()

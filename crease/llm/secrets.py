@@ -27,13 +27,16 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 BASE = ("assign", "access", "hex")
 
-#: Weak parts. Group 2 of the first two holds the value.
-USER = r"""\b((?i:user|username|user_id|login|client_?id|account|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
-SHORT_ACCESS = r"\bAKIA[A-Z0-9]{6,13}(?![A-Z0-9])"
-SHORT_SECRET = r"""\b((?i:pass|password|passwd|pwd|secret|token|api_?key|secret_?access_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})"""
-ENDPOINT = r"""(?i:\b(?:https?|ftp|jdbc:[a-z]{2,12}|mongodb|redis|amqp|s3)://|\b(?:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9][A-Za-z0-9._:/-]{2,}"""
+#: Where a name may begin: not within a run of letters and digits, so after _ and - too (DB_USER), and at a capital (dbUser).
+NAME = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))"
+#: Weak parts. Group 2 of the first and third holds the value. The names that the base looks for begin anywhere, as there.
+USER = NAME + r"""((?i:user|user_?name|user_?id|login|client_?id|account|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
+SHORT_ACCESS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{6,13}(?![A-Z0-9])"
+SHORT_SECRET = r"((?i:password|passwd|secret|token|api_?key)|" + NAME + r"""(?i:pass|pwd|secret_?(?:access_?)?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})"""
+SCHEME = r"(?<![A-Za-z0-9])(?i:(?:jdbc:)?[a-z][a-z0-9+.-]{1,20}://|jdbc:[a-z]{2,12}:[a-z0-9]{2,12}:@(?://)?)"
+ENDPOINT = f"(?:{SCHEME}|{NAME}" + r"""(?i:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9][A-Za-z0-9._:/-]{2,}"""
 #: What every part but hex contains: one search decides whether the rest is looked for.
-HINT = r"(?i:user|login|client_?id|account|access|pass|pwd|secret|token|api_?key|akia|://|host|endpoint|server)"
+HINT = r"(?i:user|login|client_?id|account|access|pass|pwd|secret|token|api_?key|akia|://|jdbc:|host|endpoint|server)"
 
 SPANS = "array<struct<start:int,end:int,kind:string>>"
 #: Which complement each kind offers (i, s or e).

@@ -5,10 +5,11 @@ Base: e-mail addresses, IP addresses, card numbers and phone numbers by pattern
 share of documents in which t stands within `window` words of e, the pointwise mutual information
 log p(t, e) / (p(t) p(e)) is compared to the entity's information content -log p(e), which it can't
 exceed; a term whose ratio reaches `disclosure`, in at least `support` documents, gives the entity away
-and is reported with it (kind `term`), to be generalised or removed.
+and is reported (kind `term`) wherever it stands outside the base's findings, near the entity or not, to
+be generalised or removed.
 
-All counts cover all documents. Nothing but the model-free tables of co-occurring terms is shuffled; rows
-of documents hold spans, not texts. Null texts count as empty; repeated rows count and are returned as
+All counts cover all documents. Terms that disclose are sent to every task up to BROADCAST_TERMS; more are
+joined with all places of words. Rows of documents hold spans, not texts. Null texts count as empty; repeated rows count and are returned as
 often as they come; other columns are not read.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,8 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = re.compile(r"[^\W\d_]{3,}")
 DIGITS = re.compile(r"[0-9]")
 WINDOW, SUPPORT, DISCLOSURE = 3, 3, 0.9
-#: Code points beside an entity in which its neighbouring words are looked for.
-REACH = 120
+#: Disclosing terms up to which they are sent to every task; 8 bytes each, about 100 in a task's set.
+BROADCAST_TERMS = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -64,36 +66,84 @@ def listed(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def neighbours(text: str, start: int, end: int, spans, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Up to `window` words before and after, those in other findings left out."""
-    left = [(m.start(), m.end()) for m in TERM.finditer(text, max(0, start - REACH), start)][-window:]
-    right = [(m.start(), m.end()) for m in TERM.finditer(text, end, min(len(text), end + REACH))][:window]
-    return [(a, b) for a, b in left + right if not any(a < y and x < b for x, y, _ in spans)]
+def term_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.lower().encode()) - (1 << 63)
 
 
-def _scan(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
-    """Of each row: counts, base digests, and its entities' neighbours (entity, term, start, end)."""
+def free_words(text: str, spans) -> list[tuple[int, int]]:
+    """The places of all words that no finding touches; `spans` by start."""
+    out, k, reach = [], 0, 0
+    for m in TERM.finditer(text):
+        a, b = m.span()
+        while k < len(spans) and spans[k][0] < b:
+            reach = max(reach, spans[k][1])
+            k += 1
+        if a >= reach:
+            out.append((a, b))
+    return out
+
+
+def neighbours(words: list[tuple[int, int]], start: int, end: int, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Up to `window` of the `words` before and after, however far away."""
+    left, right = bisect_right(words, start, key=lambda x: x[1]), bisect_left(words, end, key=lambda x: x[0])
+    return words[max(0, left - window) : left] + words[right : right + window]
+
+
+def _near(docs: DataFrame, text: str, window: int) -> DataFrame:
+    """Of each row: its entities' neighbours (entity, term), each pair once; null if there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
+        for b in pieces(batches, "text"):
+            out = []
+            for t in b.column("text").to_pylist():
+                near = set()
+                if spans := base_spans(t or ""):
+                    words = free_words(t, spans)
+                    for a, z, k in spans:
+                        entity = xxhash.xxh64_intdigest(f"{k}:{t[a:z].lower()}".encode()) - (1 << 63)
+                        near.update((entity, term_hash(t[x:y])) for x, y in neighbours(words, a, z, window))
+                out.append([{"entity": e, "term": w} for e, w in near] or None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, kind)], names=["near"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "near array<struct<entity:long,term:long>>")
+
+
+def _scan(docs: DataFrame, doc_id: str, text: str, known: list[int] | None) -> DataFrame:
+    """Of each row: counts, base findings and their digest, and the places of the terms `known` (of all terms if None); null if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if known is None else frozenset(known)
+        seen: dict[str, bool] = {}
+
+        def told(word: str) -> bool:
+            if (hit := seen.get(word)) is None:
+                if len(seen) >= 150_000:
+                    seen.clear()
+                hit = seen[word] = wanted is None or term_hash(word) in wanted
+            return hit
+
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))]
         for b in pieces(batches, "text"):
             out = []
             for t in b.column("text").to_pylist():
                 t = t or ""
                 spans = base_spans(t)
-                near = []
-                reach = sorted(spans)
-                for i, (a, z, kind) in enumerate(reach):
-                    beside = reach[max(0, i - 8) : i + 9]
-                    entity = xxhash.xxh64_intdigest(f"{kind}:{t[a:z].lower()}".encode()) - (1 << 63)
-                    near += [{"entity": entity, "term": xxhash.xxh64_intdigest(t[x:y].lower().encode()) - (1 << 63), "start": x, "end": y} for x, y in neighbours(t, a, z, beside, window)]
                 n = Counter(k for _, _, k in spans)
                 base = listed(spans)
-                out.append((*(n[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, near or None))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+                terms = None
+                if wanted is None or wanted and any(map(told, set(TERM.findall(t)))):
+                    terms = [{"term": term_hash(t[x:y]), "start": x, "end": y} for x, y in free_words(t, spans) if told(t[x:y])]
+                out.append((*(n[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, terms or None))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "terms"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _key(doc_id, text).alias("key"))
+    return rows.mapInArrow(run, "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, terms array<struct<term:long,start:int,end:int>>")
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:long,term:long,start:int,end:int>>")
+
+def _key(doc_id: str, text: str) -> Column:
+    """Tells rows apart by what their findings depend on, and the id."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
 def _term_documents(docs: DataFrame, text: str) -> DataFrame:
@@ -103,12 +153,12 @@ def _term_documents(docs: DataFrame, text: str) -> DataFrame:
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            terms = pa.array([xxhash.xxh64_intdigest(w.encode()) - (1 << 63) for w in seen], pa.int64())
+            terms = pa.array(map(term_hash, seen), pa.int64())
             return pa.RecordBatch.from_arrays([terms, pa.array(seen.values(), pa.int64())], names=["term", "n"])
 
         for b in pieces(batches, "text"):
             for t in b.column("text").to_pylist():
-                seen.update(set(TERM.findall((t or "").lower())))
+                seen.update({w.lower() for w in set(TERM.findall(t or ""))})
             if len(seen) > 300_000:
                 yield out()
                 seen.clear()
@@ -132,13 +182,17 @@ def disclosing(scanned: DataFrame, docs: DataFrame, text: str, support: int, dis
     return known.filter(mutual >= disclosure * information).filter(information > 0).select("entity", "term")
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row."""
-    scanned = cut(_scan(docs, doc_id, text, window).withColumn("row", F.monotonically_increasing_id()))  # spans only; the ids stay as written
-    pairs = disclosing(scanned, docs, text, support, disclosure)
-    near = scanned.filter("near is not null").select("row", F.explode("near").alias("x")).select("row", F.col("x.entity").alias("entity"), F.col("x.term").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
-    terms = near.join(pairs, ["entity", "term"]).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("terms"))
-    return scanned.join(terms, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _merged(F.col("base"), F.col("terms")).alias("spans"))
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, key: bool = False) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row; with `key`, a hash of id and text too."""
+    pairs = disclosing(cut(_near(docs, text, window)), docs, text, support, disclosure)
+    decided = cut(pairs.select("term").distinct())
+    if decided.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        scanned = _scan(docs, doc_id, text, [r["term"] for r in decided.collect()])
+    else:
+        every = cut(_scan(docs, doc_id, text, None).withColumn("row", F.monotonically_increasing_id()))  # the ids stay as written
+        places = every.select("row", F.explode("terms").alias("x")).select("row", F.col("x.term").alias("term"), F.struct("x.start", "x.end").alias("place"))
+        scanned = every.drop("terms").join(places.join(decided, "term").groupBy("row").agg(F.collect_list("place").alias("terms")), "row", "left")
+    return scanned.select("doc_id", *(["key"] if key else []), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _merged(F.col("base"), F.col("terms")).alias("spans"))
 
 
 def _merged(base: Column, terms: Column) -> Column:
@@ -150,7 +204,11 @@ def _merged(base: Column, terms: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with findings generalised to their kind (`<email>`) and disclosing terms removed; doc_id must be unique."""
+    """`docs` with findings generalised to their kind (`<email>`) and disclosing terms removed.
+
+    If `found` has `key`, rows match by id and text, so ids may repeat; else by doc_id, which must be unique then.
+    A null id matches a null id.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,5 +223,9 @@ def sanitise(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: st
                 texts.append(None if t is None else "".join([*parts, t[at:]]))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else b.column(c) for c in names], names=names)
 
-    joined = docs.join(found.select(F.col("doc_id").alias(doc_id), F.col("spans").alias("__spans")), doc_id, "left")
-    return joined.mapInArrow(run, docs.schema)
+    if "key" in found.columns:
+        spans = found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])  # equal keys have equal spans
+        joined = docs.join(spans, _key(doc_id, text) == F.col("__key"), "left")
+    else:
+        joined = docs.join(found.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")), F.col(doc_id).eqNullSafe(F.col("__id")), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in names), "__spans").mapInArrow(run, docs.schema)

@@ -293,6 +293,29 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert pii.sanitise(df, found).filter("doc_id = 0").first()["text"] == "write to  at <email> about the plan"
 
 
+def test_pii_terms_wherever_they_stand(spark, monkeypatch):
+    pad = "." * 300
+    rows = [(i, f"mr Zebulon {pad} zeb@x.org is it") for i in range(4)]
+    rows += [(4, "zebulon came, and later on after many other words again Zebulon wrote zeb@x.org"), (None, "old Zebulon has no mail")]
+    rows += [(5 + i, f"Quentin <q{i}@long.words.example> +1 555 123 4567") for i in range(4)] + [(10 + i, "the plan at hand is to write of it") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    text = dict(rows)
+    terms = {i: [text[i][int(a) : int(z)] for k, a, z in (x.split(":") for x in s.split(",") if x) if k == "term"] for i, s in found.items()}
+    assert terms[0] == ["Zebulon"] and terms[4] == ["zebulon", "Zebulon"] and terms[None] == ["Zebulon"] and terms[5] == ["Quentin"] and terms[10] == []
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df, pii.find(df)).collect()}
+    assert clean[None] == "old  has no mail" and clean[5] == " <<email>> <phone>"
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert {r["doc_id"]: r["spans"] for r in pii.find(df).collect()} == found
+
+
+def test_pii_sanitise_with_repeated_and_null_ids(spark):
+    rows = [(None, "a.b@c.de"), (None, "none here"), (1, "x 1.2.3.4"), (1, "see q@w.er now"), (1, "see q@w.er now"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, pii.sanitise(df, pii.find(df, key=True)).collect()), key=str)
+    assert got == sorted([(None, "<email>"), (None, "none here"), (1, "x <ip>"), (1, "see <email> now"), (1, "see <email> now"), (2, None)], key=str)
+
+
 # 7
 
 

@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from crease.llm.common import pieces
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
-#: Content that is never text, read up to the end tag as it stands.
+#: Content that is never text, read up to the end tag as it stands. Without one, only SWALLOW reach to the page's end.
+SWALLOW = frozenset(("script", "style", "textarea"))
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas")}
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -60,15 +61,17 @@ class Block:
 def blocks(page: str) -> list[tuple[str, Block]]:
     """The page's blocks in order with their text (references decoded, white space made one space)."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, whether it is marked as something else, whether in an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, whether marked as something else, whether in an article, whether in a marked inline element
     links = 0
     open_block: Block | None = None
     heading = False
-    bad = article = False
+    bad = article = aside = False
     at = 0
 
     def add(raw: str) -> None:
         nonlocal open_block
+        if aside and not bad:  # only this part is something else, not its block
+            return
         if open_block is None:
             if not raw.strip():
                 return
@@ -98,7 +101,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         if not closing and tag in RAW:
             if not m.group(0).endswith("/>"):
                 end = RAW[tag].search(page, at)
-                at = end.end() if end else n
+                at = end.end() if end else n if tag in SWALLOW else at
             continue
         if tag in BLOCKS or tag in BAD:
             open_block = None
@@ -117,7 +120,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                     break
             else:
                 continue
-            bad, article = stack[-1][1:] if stack else (False, False)
+            bad, article, aside = stack[-1][1:] if stack else (False, False, False)
         elif tag in BLOCKS or tag in BAD or m.group(3).strip():
             mark = tag in BAD
             if tag == "header":
@@ -134,18 +137,21 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             if tag == "p":  # a paragraph ends one that is open
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "u", "font"):
                     stack.pop()
-                bad, article = stack[-1][1:] if stack else (False, False)
+                bad, article, aside = stack[-1][1:] if stack else (False, False, False)
             elif tag == "li":
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ("ul", "ol", "menu"):
                         break
                     if stack[k][0] == "li":
                         del stack[k:]
-                        bad, article = stack[-1][1:] if stack else (False, False)
+                        bad, article, aside = stack[-1][1:] if stack else (False, False, False)
                         break
-            bad = bad or mark
+            if tag in BLOCKS or tag in BAD:
+                bad = bad or mark
+            else:
+                aside = aside or mark
             article = article or tag in ("article", "main")
-            stack.append((tag, bad, article))
+            stack.append((tag, bad, article, aside))
     done = []
     for b in out:
         text = " ".join(html.unescape("".join(b.parts)).split())

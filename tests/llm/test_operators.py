@@ -104,6 +104,18 @@ def test_html_on_the_table(spark, sf_dir):
         assert got[r["page_id"]] == "\n".join(x for x in blocks if x)
 
 
+def test_html_marks_within_a_block_and_broken_tags():
+    text = "The long paragraph of the article."
+    page = lambda x: html_text.main_text(f"<article>{x}</article>")
+    assert page(f'<p><span class="tag">Berlin</span> {text}</p>') == text
+    assert page(f'<p>{text} <a class="share" href=x>Share</a></p><p>So</p>') == f"{text}\nSo"
+    assert page(f'<div class="tag"><p>{text}</p></div><p>So</p>') == "So"
+    for raw in ("svg", "object", "canvas", "noscript", "math"):
+        assert page(f"<p>One</p><{raw}><p>{text}</p>") == f"One\n{text}"
+    assert page("<p>One</p><script><p>two</p>") == "One"
+    assert page(f'<p class="x"">{text}</p><p id="a>b">So</p>') == f"{text}\nSo"
+
+
 # 3
 
 

@@ -2,7 +2,8 @@
 
 Pass one classifies each block on its own by the density of stop words, length and link density; short
 blocks stay undecided. Pass two lets undecided blocks inherit the label of their nearest decided
-neighbours. Where a page marks its article (article or main), its blocks are decided good unless they
+neighbours. Long blocks without any known stop word stay undecided too; they are good if no block of the
+page is. Where a page marks its article (article or main), its blocks are decided good unless they
 are made of links or stand in a part marked as something else (menus, notices, adverts, comments, ...).
 
 Null pages give empty text. Pages are processed whole, each on its own; repeated rows give repeated
@@ -172,12 +173,14 @@ def first_pass(text: str, b: Block) -> bool | None:
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= STOPS:
         return True
-    return None if len(text) < LONG else stops >= STOPS / 2
+    return None if len(text) < LONG or not stops else stops >= STOPS / 2  # without a known stop word it may be another language
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     labels = [first_pass(t, b) for t, b in found]
+    if True not in labels:  # a page in a language without known stop words: its long blocks are the text
+        labels = [True if x is None and len(t) >= LONG and not b.heading else x for x, (t, b) in zip(labels, found)]
     before, last = [], None
     for i, x in enumerate(labels):
         before.append(last)

@@ -116,6 +116,12 @@ def test_html_marks_within_a_block_and_broken_tags():
     assert page(f'<p class="x"">{text}</p><p id="a>b">So</p>') == f"{text}\nSo"
 
 
+def test_html_rules_in_a_language_without_known_stop_words():
+    long = "Talo seisoi meren rannalla ja tuuli puhalsi kovasti koko talven. " * 4
+    page = f"<body><div><a href=1>yksi</a> | <a href=2>kaksi</a></div><h2>Talo</h2><div>{long}</div><div>Niin oli.</div><div>{long}</div><div><a href=3>kolme</a></div>"
+    assert html_text.main_text(page) == f"Talo\n{long.strip()}\nNiin oli.\n{long.strip()}"
+
+
 # 3
 
 

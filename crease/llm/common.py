@@ -23,15 +23,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each with underscores added until no column of `df` is called so, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _shared(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crease-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="crease-"))
     return sc.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the folder that the driver and all executors share: the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary folder."""
+    """A path in the folder that the driver and all executors share: the session's ``spark.checkpoint.dir``; a temporary folder only in local mode (tests)."""
     return f"{_shared(spark).rstrip('/')}/{name}"
 
 
@@ -41,6 +60,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of one key from which on they are joined apart, and the most such keys that are sent to every task.
+HEAVY_ROWS, HEAVY_KEYS = 1_000_000, 10_000
+
+
+def join_heavy(rows: DataFrame, side: DataFrame, key: str, counts: Callable[[], DataFrame], total: int, how: str = "inner", heavy_rows: int | None = None) -> DataFrame:
+    """`rows` (`total` of them) joined with `side` (one row a key) by `key`, however many of the rows share a key.
+
+    `counts` gives key, n (rows of each key). Keys of more than `heavy_rows` rows are few: their part of `side` is sent
+    to every task and their rows stay where they are; the rest is shuffled. Where there are such keys, `rows` is read
+    twice. At most HEAVY_KEYS keys are sent: were there more, the bound would rise until that holds.
+    """
+    least = max(HEAVY_ROWS if heavy_rows is None else heavy_rows, total // HEAVY_KEYS)  # so there are HEAVY_KEYS at most
+    if total <= least:
+        return rows.join(side, key, how)
+    heavy = cut(counts().filter((F.col("n") > least) & F.col(key).isNotNull()).select(F.col(key).alias("__heavy")))
+    if not heavy.limit(1).count():
+        return rows.join(side, key, how)
+    few, same = F.broadcast(heavy), F.col(key) == F.col("__heavy")
+    rest = rows.join(few, same, "left_anti").join(side, key, how)
+    apart = rows.join(few, same, "left_semi").join(F.broadcast(side.join(few, same, "left_semi")), key, how)
+    return rest.unionByName(apart)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of about `chars` bytes of `column`, one row at least, to bound a task's memory."""
     for batch in batches:

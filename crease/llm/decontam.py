@@ -4,7 +4,7 @@ Items are partitioned by size (powers of two of their number of shingles). An it
 least min-hash values, as many as its partition needs: an item that is contained to the degree
 `threshold` misses at most (1 - threshold) of its shingles, so of the (that many + 1) least at least one
 is in the document, however long the document is. Documents that hold a signature value are candidates;
-candidates are verified by the exact number of the item's distinct shingles that they hold.
+candidates are verified by the exact number of the item's distinct shingles, compared word by word, that they hold.
 
 Words are runs of letters and digits, lower-cased; shingles have five words (a shorter item is one
 shingle of all its words; an item without words matches nothing). DataFrame functions only. Null texts
@@ -14,14 +14,16 @@ columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.llm.common import cut
+from crease.llm.common import col, cut, fresh
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Rows of signatures, shingles or candidates (some 16 bytes each) up to which they are sent to every task.
-BROADCAST_ROWS = 2_000_000
+#: Rows of signatures, shingles or candidates (some 100 bytes each in a task's table) up to which they are sent to every task.
+BROADCAST_ROWS = 500_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -33,56 +35,65 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _shingles(words: Column, size: int) -> Column:
-    """Hashes (64 bits) of the runs of `size` words, repeats included."""
-    return F.when(F.size(words) < size, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+def _runs(words: Column, size: int, make: Callable[[list[Column]], Column], kind: str) -> Column:
+    """`make` of each run of `size` words, repeats included."""
+    return F.when(F.size(words) < size, F.array().cast(f"array<{kind}>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: make([F.get(words, i + k) for k in range(size)]))
     )
 
 
+def _joined(parts: list[Column]) -> Column:
+    return F.concat_ws(" ", *parts)  # words hold no spaces, so this names the shingle
+
+
 def item_index(items: DataFrame, item_id: str = "item_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, size (words of its shingles), n (its distinct shingles), h, signature (whether h belongs to it) of each item and shingle."""
-    words = items.select(F.col(item_id).alias("item_id"), _words(F.col(text)).alias("words")).filter(F.size("words") > 0)
+    """item_id, size (words of its shingles), n (its distinct shingles), h and s (a shingle's hash and text), signature (whether h belongs to it) of each item and shingle."""
+    words = items.select(col(item_id).alias("item_id"), _words(col(text)).alias("words")).filter(F.size("words") > 0)
     sizes = F.least(F.size("words"), F.lit(shingle))
-    by_size = F.lit(None).cast("array<bigint>")
+    kind = "struct<h:bigint,s:string>"
+    by_size = F.lit(None).cast(f"array<{kind}>")
     for k in range(1, shingle + 1):
-        by_size = F.when(sizes == k, _shingles(F.col("words"), k)).otherwise(by_size)
-    rows = words.select("item_id", sizes.alias("size"), F.array_sort(F.array_distinct(by_size)).alias("hashes")).withColumn("n", F.size("hashes"))
+        by_size = F.when(sizes == k, _runs(F.col("words"), k, lambda parts: F.struct(F.xxhash64(*parts).alias("h"), _joined(parts).alias("s")), kind)).otherwise(by_size)
+    hashed = F.array_sort(F.array_distinct(by_size))
+    rows = words.select("item_id", sizes.alias("size"), hashed.alias("hashes")).withColumn("n", F.size("hashes"))
     top = (F.pow(F.lit(2), F.length(F.bin("n"))) - 1).cast("int")  # the largest n of the partition
     depth = F.least(F.col("n"), top - F.ceil(F.lit(threshold) * top - 1e-9) + 1)
-    return rows.select("item_id", "size", "n", depth.alias("depth"), F.posexplode("hashes").alias("k", "h")).select("item_id", "size", "n", "h", (F.col("k") < F.col("depth")).alias("signature")).distinct()
+    return rows.select("item_id", "size", "n", depth.alias("depth"), F.posexplode("hashes").alias("k", "x")).select("item_id", "size", "n", "x.h", "x.s", (F.col("k") < F.col("depth")).alias("signature")).distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment of each pair with containment of at least `threshold`."""
     index = cut(item_index(items, item_id, item_text, shingle, threshold))
     sizes = sorted(r[0] for r in index.select("size").distinct().collect())  # at most `shingle` values
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
-    words = rows.select("doc_id", "key", _words(F.col("text")).alias("words"))
-
-    def held(df: DataFrame) -> DataFrame:
-        """doc_id, key, size, h: what the documents hold."""
-        parts = [df.select("doc_id", "key", F.lit(k).alias("size"), F.explode(_shingles(F.col("words"), k)).alias("h")) for k in sizes]
-        out = parts[0] if parts else df.select("doc_id", "key", F.lit(0).alias("size"), F.lit(0).cast("long").alias("h")).limit(0)
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    signatures = _small(index.filter("signature").select("size", "h", "item_id", "n"))
-    found = cut(held(words).join(signatures, ["size", "h"]).select("doc_id", "key", "item_id").distinct())
+    words = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("key"), _words(col(text)).alias("words"))
+
+    def held(df: DataFrame, exact: bool) -> DataFrame:
+        """doc_id, key, size, h (and the shingle itself): what the documents hold, all sizes in one pass."""
+        kind = "struct<size:int,h:bigint,s:string>" if exact else "struct<size:int,h:bigint>"
+
+        def entry(parts: list[Column]) -> Column:
+            return F.struct(F.lit(len(parts)).alias("size"), F.xxhash64(*parts).alias("h"), *([_joined(parts).alias("s")] if exact else []))
+
+        every = [_runs(F.col("words"), k, entry, kind) for k in sizes] or [F.array().cast(f"array<{kind}>")]
+        return df.select("doc_id", "key", F.explode(F.concat(*every)).alias("x")).select("doc_id", "key", "x.*")
+
+    signatures = _small(index.filter("signature").select("size", "h", "item_id").distinct())
+    found = cut(held(words, False).join(signatures, ["size", "h"]).select("doc_id", "key", "item_id").distinct())
     wanted = _small(found.select("doc_id", "key").distinct().withColumnsRenamed({"doc_id": "d", "key": "k"}))
     suspects = words.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
-    shingles = _small(index.select("size", "h", "item_id", "n"))
-    shared = held(suspects).join(shingles, ["size", "h"]).groupBy("doc_id", "key", "item_id", "n").agg(F.count_distinct("h").alias("n_shared"))
-    pairs = shared.filter(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
+    shared = held(suspects, True).join(_small(index.select("size", "h", "s", "item_id", "n")), ["size", "h", "s"])
+    counted = shared.select("doc_id", "key", "item_id", "n", "s").distinct().groupBy("doc_id", "key", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
+    pairs = counted.filter(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
     best = pairs.groupBy("doc_id", "item_id").agg(F.max("n_shared").cast("long").alias("n_shared"), F.max("n").cast("long").alias("n_shingles"))
     return best.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """`docs` without those that hold an item."""
-    gone = leaks(docs.withColumn("__key", F.xxhash64(doc_id, text)), items, "__key", text, **options).select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", F.xxhash64(doc_id, text)).join(_small(cut(gone)), "__key", "left_anti").drop("__key")
+    """`docs` without those that hold an item; all columns pass through, whatever their names."""
+    key, gone_key = fresh(docs, "__key", "__gone")
+    keyed = docs.withColumn(key, F.xxhash64(col(doc_id), col(text)))
+    gone = leaks(keyed, items, key, text, **options).select(F.col("doc_id").alias(gone_key)).distinct()
+    return keyed.join(_small(cut(gone)), F.col(key) == F.col(gone_key), "left_anti").drop(key)
 
 
 #: The same rows as `leaks` over the tables documents and benchmark, for DuckDB.

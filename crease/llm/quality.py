@@ -19,7 +19,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.llm.common import SPACE, cut, let
+from crease.llm.common import SPACE, col, cut, fresh, join_heavy, let
 
 #: Hosts up to which the verdicts are sent to every task; about 100 bytes each.
 BROADCAST_HOSTS = 10_000
@@ -54,23 +54,36 @@ def repeated_words(words: Column) -> Column:
     return covered.cast("long")
 
 
-def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed of each row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "host", "text", F.array_remove(F.split("text", SPACE), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed")
+
+
+def _measured(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with its measures, under names that no column of it has, and those names by measure."""
+    words, lines, whole, n_lines, *names = fresh(docs, "words", "lines", "whole", "n_lines", *MEASURES)
+    at = dict(zip(MEASURES, names))
+    own = [col(c) for c in docs.columns]
+    t = F.coalesce(col(text), F.lit(""))
+    rows = docs.select(*own, t.alias(whole))
+    rows = rows.select(*own, whole, F.array_remove(F.split(whole, SPACE), "").alias(words), F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines))
     rows = rows.select(
-        "doc_id",
-        "host",
-        F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size("lines").alias("n_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
+        *own,
+        F.size(words).cast("long").alias(at["n_words"]),
+        F.char_length(F.array_join(words, "")).cast("long").alias(at["word_chars"]),
+        F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias(at["n_symbols"]),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias(at["n_dup_lines"]),
+        F.size(lines).alias(n_lines),
+        repeated_words(F.col(words)).alias(at["n_repeat_words"]),
     )
-    soft = (10 * F.col("n_symbols") > F.col("n_words")) | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")) | (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), soft.alias("soft_failed"))
+    n, chars, symbols, dup, repeat = (F.col(at[x]) for x in MEASURES[:5])
+    soft = (10 * symbols > n) | (10 * dup > 3 * F.col(n_lines)) | (chars < 2 * n) | (chars > 20 * n)
+    base = (n < 50) | (100 * repeat > 50 * n)
+    return rows.select(*own, *names[:5], base.alias(at["base_failed"]), soft.alias(at["soft_failed"])), at
+
+
+def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed of each row."""
+    rows, at = _measured(docs.select(col(doc_id).alias("doc_id"), col(host).alias("host"), col(text).alias("text")), "text")
+    return rows.select("doc_id", "host", *(F.col(at[x]).alias(x) for x in MEASURES))
 
 
 def host_rates(measured: DataFrame, credible: float = CREDIBLE) -> DataFrame:
@@ -91,27 +104,32 @@ def host_rates(measured: DataFrame, credible: float = CREDIBLE) -> DataFrame:
     return rated.withColumn("worse", F.col("rate") - NormalDist().inv_cdf(credible) * deviation > bar)
 
 
-def _with_verdict(rows: DataFrame, host: str, rates: DataFrame, host_rate: float) -> DataFrame:
-    """`rows` with `strict`: whether the host is worse than hosts usually are or its rate is above `host_rate`."""
-    bad = rates.filter(F.col("worse") | (F.col("rate") > host_rate)).select(F.col("host").alias(host), F.lit(True).alias("strict"))
+def _with_verdict(rows: DataFrame, rates: DataFrame, host_rate: float) -> DataFrame:
+    """`rows` (with a column host) with `strict`: whether the host is worse than hosts usually are or its rate is above `host_rate`."""
+    bad = cut(rates.filter(F.col("worse") | (F.col("rate") > host_rate)).select("host", "n", F.lit(True).alias("strict")))
     if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
-    return rows.join(bad, host, "left").withColumn("strict", F.coalesce("strict", F.lit(False)))
+        judged = rows.join(F.broadcast(bad.drop("n")), "host", "left")
+    else:
+        judged = join_heavy(rows, bad.drop("n"), "host", lambda: bad.select("host", "n"), rows.count(), "left")
+    return judged.withColumn("strict", F.coalesce("strict", F.lit(False)))
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", host_rate: float = 0.5) -> DataFrame:
     """The measures of each row, and kept."""
     measured = cut(measures(docs, doc_id, text, host))  # small: no text; used twice
-    judged = _with_verdict(measured, "host", cut(host_rates(measured)), host_rate)
+    judged = _with_verdict(measured, cut(host_rates(measured)), host_rate)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~(F.col("strict") & F.col("soft_failed"))).alias("kept"))
 
 
-def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", host_rate: float = 0.5) -> DataFrame:
-    """`docs` without the rows that `verdicts` rejects; repeated rows stay as often as they come.
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", host_rate: float = 0.5) -> DataFrame:
+    """`docs` without the rows that `verdicts` rejects; repeated rows stay as often as they come, all columns pass through.
 
-    Rows are told apart by doc_id and a hash of text and host, which decide the verdict.
+    Rows are measured once and written with their flags (those that fail the base rules without their content), so
+    that host verdicts reach them by a broadcast and no text is shuffled.
     """
-    measured = cut(measures(docs.withColumn("__key", F.xxhash64(doc_id, text, host)), "__key", text, host))
-    judged = _with_verdict(measured, "host", cut(host_rates(measured)), host_rate)
-    gone = judged.filter(F.col("base_failed") | (F.col("strict") & F.col("soft_failed"))).select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", F.xxhash64(doc_id, text, host)).join(gone, "__key", "left_anti").drop("__key")
+    rows, at = _measured(docs, text)
+    flags = [F.col(at[x]).alias(x) for x in ("base_failed", "soft_failed")]
+    whole = F.when(~F.col(at["base_failed"]), F.struct(*(col(c) for c in docs.columns))).alias("row")
+    measured = cut(rows.select(col(host).alias("host"), *flags, whole))
+    judged = _with_verdict(measured, cut(host_rates(measured.drop("row"))), host_rate)
+    return judged.filter(~F.col("base_failed") & ~(F.col("strict") & F.col("soft_failed"))).select("row.*")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from crease.llm import bpe, decontam, html_text, langid, licenses, pii, quality, secrets, sharding, simhash
@@ -11,10 +9,7 @@ from crease.llm.common import table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """A public tokenizer's file: in the folder CREASE_TOKENIZERS names, else where the package public_tokenizers keeps it."""
-    folder = os.environ.get("CREASE_TOKENIZERS")
-    if folder:
-        return os.path.join(folder, name)
+    """A public tokenizer's file, where the package public_tokenizers keeps it."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))

@@ -7,7 +7,7 @@ a document: a weak identifier or secret is reported only if its complement (weak
 start, forwards and backwards, so its cost follows the number of parts, and no pairs are made.
 
 DataFrame functions only. Null texts count as empty; a text without parts gives empty results; repeated
-rows give repeated results; other columns pass through `find` and are not read.
+rows give repeated results; other columns pass through `find` and `mask`, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.llm.common import before, let, regex_spans
+from crease.llm.common import before, col, fresh, let, regex_spans
 
 SCOPE = 200
 #: Code points of the pieces in which a text is masked.
@@ -116,18 +116,20 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def find(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """`docs` with base and spans (all findings): arrays of struct<start,end,kind> in code points."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    hinted = docs.withColumn("__hint", t.rlike(HINT))
-    found = hinted.withColumns({"base": base_spans(t, F.col("__hint")), "__weak": weak_spans(t, F.col("__hint"))})
-    found = found.withColumn("base", F.when(F.size("base") == 0, F.col("base")).otherwise(in_order(F.col("base"))))
-    found = found.withColumn("spans", F.when(F.size("__weak") == 0, F.col("base")).otherwise(in_order(F.concat("base", linked(F.col("base"), F.col("__weak"), scope)))))
-    return found.drop("__weak", "__hint")
+def find(docs: DataFrame, text: str = "text", scope: int = SCOPE, base: str = "base", spans: str = "spans") -> DataFrame:
+    """`docs` with columns `base` and `spans` (all findings): arrays of struct<start,end,kind> in code points; columns of these names are replaced."""
+    t = F.coalesce(col(text), F.lit(""))
+    hint, weak = fresh(docs, "__hint", "__weak")
+    found = docs.withColumn(hint, t.rlike(HINT))
+    found = found.withColumns({base: base_spans(t, F.col(hint)), weak: weak_spans(t, F.col(hint))})
+    found = found.withColumn(base, F.when(F.size(base) == 0, F.col(base)).otherwise(in_order(F.col(base))))
+    found = found.withColumn(spans, F.when(F.size(weak) == 0, F.col(base)).otherwise(in_order(F.concat(base, linked(F.col(base), F.col(weak), scope)))))
+    return found.drop(weak, hint)
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
-    found = find(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), scope=scope)
+    found = find(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")), scope=scope)
+
     def number(kind: str) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -137,8 +139,9 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: i
 
 def mask(docs: DataFrame, text: str = "text", mark: str = "[secret]", scope: int = SCOPE) -> DataFrame:
     """`docs` with every finding in `text` replaced by `mark`; touching or overlapping ones by one mark. Nulls stay."""
-    found = find(docs.select(*[F.col(c) for c in docs.columns if c not in ("base", "spans")]), text, scope)
-    t = F.col(text)
+    base, spans = fresh(docs, "__base", "__spans")
+    found = find(docs, text, scope, base, spans)
+    t = col(text)
 
     def between(pieces: Column, start: Column, n: Column) -> Column:
         """`n` code points from `start` on; only the pieces they lie in are looked at."""
@@ -150,11 +153,11 @@ def mask(docs: DataFrame, text: str = "text", mark: str = "[secret]", scope: int
             done = F.get(at, k)
             return F.when((x["start"] > done) | (k == 0), F.array(between(pieces, done, x["start"] - done), F.lit(mark))).otherwise(F.array().cast("array<string>"))
 
-        return F.flatten(F.transform("spans", one))
+        return F.flatten(F.transform(spans, one))
 
     pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    last = F.array_max(F.transform("spans", lambda x: x["end"]))
-    head = let(pieces, lambda p: let(before(F.transform("spans", lambda x: x["end"]), 0, F.greatest), lambda at: texts(p, at)))
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    head = let(pieces, lambda p: let(before(F.transform(spans, lambda x: x["end"]), 0, F.greatest), lambda at: texts(p, at)))
     masked = F.concat(F.array_join(head, ""), F.substring(t, last + 1, F.char_length(t)))
-    out = found.withColumn(text, F.when(t.isNull() | (F.size("spans") == 0), t).otherwise(masked))
-    return out.select(*docs.columns) if not {"base", "spans"} & set(docs.columns) else out.drop("base", "spans")
+    out = found.withColumn(text, F.when(t.isNull() | (F.size(spans) == 0), t).otherwise(masked))
+    return out.drop(base, spans)

@@ -8,9 +8,10 @@ pairs: in a cell with company, a fingerprint names the values one bit away that
 fingerprints share such a value exactly if they differ in at most two bits. At most 65 fingerprints can
 share one, so every group there is small, whatever the size of a group of copies.
 
-Equal fingerprints are one node, so copies never become pairs. Null texts count as empty (fingerprint
-zero). Rows whose doc_id is null take part; a class without any doc_id has component_id null. Repeated
-rows give repeated results. Other columns are not read.
+Equal fingerprints are one node, so copies never become pairs. A fingerprint or class of very many rows is
+joined apart (`join_heavy`). Null texts count as empty (fingerprint zero). Rows whose doc_id is null take
+part; a class without any doc_id has component_id null. Repeated rows give repeated results. Ids may be of
+any type with an order. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.llm.common import cut, pieces
+from crease.llm.common import col, cut, fresh, join_heavy, pieces
 
 SEGMENTS, WIDTH = 16, 4
 #: Shingles whose bits are counted at once.
@@ -51,17 +52,6 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (long) of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], pa.int64())], names=["doc_id", "fp"])
-
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
-
-
 def _ones(fp: Column, segment: int) -> Column:
     return F.bit_count(F.shiftrightunsigned(fp, WIDTH * segment).bitwiseAND(F.lit((1 << WIDTH) - 1)))
 
@@ -99,7 +89,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(least, "a")
+        joined = join_heavy(both, least, "a", lambda: both.groupBy("a").agg(F.count(F.lit(1)).alias("n")), 2 * seen[0])
         if large:
             return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return joined.select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -118,27 +108,78 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint, component_id of each row."""
-    found = cut(fingerprints(docs, doc_id, text, shingle))
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def _keyed(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """doc_id (as it is), key (hash of the text), fp of each row, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], pa.int64())], names=["doc_id", "key", "fp"])
+
+    source = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("key"), col(text).cast("binary").alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return cut(source.mapInArrow(run, f"doc_id {kind}, key long, fp long"))
+
+
+def _labels(nodes: DataFrame) -> DataFrame:
+    """fp, root (one fingerprint for each class), component_id (the class's least doc_id) of nodes (fp, least)."""
     linked = components(near_edges(nodes))
-    members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).join(nodes.withColumnRenamed("fp", "node"), "node")
-    named = members.join(members.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("node").alias("fp"), "component")
+    roots = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
+    rooted = cut(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    several = rooted.filter("fp <> root").select("root").distinct()
+    # only classes of several fingerprints meet again by root
+    inner = cut(rooted.join(several, "root", "left_semi"))
+    named = inner.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    together = join_heavy(inner, named.drop("n"), "root", lambda: named.select("root", "n"), inner.count())
+    alone = rooted.join(several, "root", "left_anti").withColumn("component_id", F.col("least"))
     # cut: as a plain table on one side, Spark can split the rows of a fingerprint that many documents share
-    labels = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
-    return found.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return cut(together.select("fp", "root", "component_id").unionByName(alone.select("fp", "root", "component_id")))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """doc_id, fingerprint, component_id of each row."""
+    found = _keyed(docs, doc_id, text, shingle).drop("key")
+    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    labels = _labels(nodes.drop("n")).select("fp", "component_id")
+    named = join_heavy(found, labels, "fp", lambda: nodes.select("fp", "n"), found.count())
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Rows to drop (about 50 bytes each in a task's table) up to which they are sent to every task.
+BROADCAST_SPARE = 500_000
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row of each component: that of its least doc_id.
+    """`docs` with exactly one row of each class: that of its least doc_id (null only if all are), of equal ids the one whose text has the least hash.
 
-    Rows without doc_id can't be named by a component and stay; of repeated rows of one doc_id one stays.
+    Rows are told apart by doc_id and a hash of the text, so an id reused for different texts costs none of them its
+    place; of rows alike in both any one stays. All columns pass through, whatever their names.
     """
-    found = classes(docs, doc_id, text)
-    spare = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = docs.join(spare, doc_id, "left_anti")
-    again = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
-    if not again:
-        return kept
-    return kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.filter(F.col(doc_id).isNull()))
+    found = _keyed(docs, doc_id, text, 3)
+    # a class's row: struct order puts ids before nulls, then the least id, then the least hash
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
+    best = found.groupBy("fp").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"))
+    winners = _labels(best.drop("n")).select(F.col("component_id.doc_id").alias("w_id"), F.col("component_id.key").alias("w_key")).distinct()
+    winners = cut(winners)
+    same_row = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))
+    rows = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    spare = cut(rows.join(winners, same_row, "left_anti").select("doc_id", "key"))
+    again = cut(rows.filter("n > 1").join(winners, same_row, "left_semi").select("doc_id", "key"))
+
+    key, s_id, s_key = fresh(docs, "__key", "__id", "__of")
+    keyed = docs.withColumn(key, F.xxhash64(col(text)))
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.col(df.columns[0]).alias(s_id), F.col(df.columns[1]).alias(s_key))
+
+    same = col(doc_id).eqNullSafe(col(s_id)) & (col(key) == col(s_key))
+    if spare.limit(BROADCAST_SPARE + 1).count() <= BROADCAST_SPARE:
+        kept = keyed.join(F.broadcast(named(spare)), same, "left_anti")
+    else:
+        kept = keyed.join(named(winners), same, "left_semi")
+    if not again.limit(1).count():
+        return kept.drop(key)
+    repeated = named(again)
+    if again.limit(BROADCAST_SPARE + 1).count() <= BROADCAST_SPARE:
+        repeated = F.broadcast(repeated)
+    once = kept.join(repeated, same, "left_semi").dropDuplicates([doc_id, key])
+    return kept.join(repeated, same, "left_anti").unionByName(once).drop(key)

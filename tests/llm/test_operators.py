@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from crease.llm import bpe, decontam, html_text, langid, licenses, pii, quality, secrets, sharding, simhash
+from crease.llm import bpe, common, decontam, html_text, langid, licenses, pii, quality, secrets, sharding, simhash
 from crease.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -464,6 +464,49 @@ def test_dedup_keeps_one_of_each(docs, edge):
     kept = {r["doc_id"] for r in simhash.drop_duplicates(docs).collect()}
     assert kept == {r["component_id"] for r in simhash.classes(docs).collect()}
     assert sorted(r["doc_id"] or 0 for r in simhash.drop_duplicates(edge).collect()) == [0, 1, 4, 6, 7, 8, 9]
+    assert simhash.drop_duplicates(edge.limit(0)).count() == 0
+
+
+def test_dedup_loses_no_text_when_ids_repeat(spark):
+    a, b, c = ("the first text of all that is here", "quite another thing was written down there", "and a third one for good measure it is")
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, c), (7, c), (5, b), (None, "alone without id"), (None, "alone without id")]
+    df = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(rows)], "doc_id long, text string, __key string, __id int")
+    got = simhash.drop_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, a), (5, b), (7, c), (None, "alone without id")], key=str)
+    # an id whose two texts are near-duplicates of each other's classes' least ids: neither class is emptied
+    rows = [(1, a), (2, b), (2, a)]
+    got = simhash.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, a), (2, b)]
+
+
+@pytest.mark.parametrize("heavy", [0, 3])
+def test_heavy_keys_are_joined_as_the_rest(spark, monkeypatch, docs, heavy):
+    want = sorted(map(tuple, simhash.classes(docs).collect()))
+    monkeypatch.setattr(common, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(simhash, "BROADCAST_SPARE", 2)
+    assert sorted(map(tuple, simhash.classes(docs).collect())) == want
+    assert {r["doc_id"] for r in simhash.drop_duplicates(docs).collect()} == {c for _, _, c in want}
+
+
+def test_join_heavy_keeps_the_kind_of_join(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 9), ("b", 2), ("c", 7), (None, 5)) for i in range(n)], "k string, i int")
+    side = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    for how in ("inner", "left"):
+        got = common.join_heavy(rows, side, "k", lambda: rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), 23, how, heavy_rows=4)
+        assert by_row(got) == by_row(rows.join(side, "k", how))
+
+
+def test_columns_with_the_operators_own_names_pass(spark):
+    own = "base spans __base __spans __hint __weak __key __gone __id words lines whole n_words base_failed soft_failed row host strict".split()
+    text = "user: admin password: hunter2 host: db.example.com " + " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, "s", *own), (2, "short", "s", *own)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in own))
+    items = spark.createDataFrame([(1, "nothing of it here at all")], "item_id long, text string")
+    for out in (secrets.mask(df), quality.keep_good(df), decontam.drop_leaks(df, items), simhash.drop_duplicates(df)):
+        assert out.columns == df.columns
+        r = out.filter("doc_id = 1").first()
+        assert [r[c] for c in own] == own
+    assert secrets.mask(df).filter("doc_id = 1").first()["text"].startswith("[secret] [secret] [secret] word0")
 
 
 # 10

@@ -1,16 +1,20 @@
 """Personal data with information-theoretic sanitisation.
 
-Base: e-mail addresses, IP addresses, card numbers and phone numbers by pattern and checks. Method: terms
-(words) that stand near a protected entity may reveal it. The corpus tells how strongly: with p(t, e) the
-share of documents in which t stands within `window` words of e, the pointwise mutual information
-log p(t, e) / (p(t) p(e)) is compared to the entity's information content -log p(e), which it can't
-exceed; a term whose ratio reaches `disclosure`, in at least `support` documents, gives the entity away
-and is reported (kind `term`) wherever it stands outside the base's findings, near the entity or not, to
-be generalised or removed.
-
-All counts cover all documents. Terms that disclose are sent to every task up to BROADCAST_TERMS; more are
-joined with all places of words. Rows of documents hold spans, not texts. Null texts count as empty; repeated rows count and are returned as
-often as they come; other columns are not read.
+Base: e-mail addresses, IP addresses, card numbers and phone numbers by pattern and checks. Method: the
+corpus tells how strongly a term (a word outside all findings) reveals a protected entity. Entities are
+taken at three grains: the kind of a finding, the group it belongs to (an e-mail's domain, an address's
+network, a card's issuer, a phone's area) and its value, written one way. A term meets a kind where both
+stand in a document, a group or value where it stands within `window` words of it. With n documents of
+the term, m of them with the entity, and p(e) the entity's share of all documents, the share
+p(e|t) = (m + smoothing p(e)) / (n + smoothing) gives the mutual information log p(e|t) / p(e), compared to
+the entity's information content -log p(e), which it can't exceed. A term whose ratio reaches
+`disclosure`, in at least `support` documents, gives the entity away and is reported (kind `term`)
+wherever it stands outside the base's findings, to be generalised or removed.
+
+All counts cover all documents and are made in one pass. Terms that disclose are sent to every task up to
+BROADCAST_TERMS; more are joined with all places of words. Null texts count as empty; repeated rows count
+and are returned as often as they come; empty tables give empty results. `find` reads no other columns,
+`sanitise` passes them all through, whatever their names. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from crease.llm.common import cut, pieces
+from crease.llm.common import col, cut, fresh, join_heavy, pieces
 
 #: The base patterns, by kind, in order.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -36,7 +41,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 TERM = re.compile(r"[^\W\d_]{3,}")
 DIGITS = re.compile(r"[0-9]")
-WINDOW, SUPPORT, DISCLOSURE = 3, 3, 0.9
+WINDOW, SUPPORT, DISCLOSURE, SMOOTHING = 3, 3, 0.9, 1.0
+#: Counts that a task holds before it hands them on.
+HELD = 300_000
 #: Disclosing terms up to which they are sent to every task; 8 bytes each, about 100 in a task's set.
 BROADCAST_TERMS = 200_000
 
@@ -67,7 +74,7 @@ def listed(spans) -> str:
 
 
 def term_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.lower().encode()) - (1 << 63)
+    return _hash(word.lower())
 
 
 def free_words(text: str, spans) -> list[tuple[int, int]]:
@@ -89,143 +96,201 @@ def neighbours(words: list[tuple[int, int]], start: int, end: int, window: int =
     return words[max(0, left - window) : left] + words[right : right + window]
 
 
-def _near(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """Of each row: its entities' neighbours (entity, term), each pair once; null if there are none."""
+def _hash(x: str) -> int:
+    return xxhash.xxh64_intdigest(x.encode()) - (1 << 63)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
-        for b in pieces(batches, "text"):
-            out = []
-            for t in b.column("text").to_pylist():
-                near = set()
-                if spans := base_spans(t or ""):
-                    words = free_words(t, spans)
-                    for a, z, k in spans:
-                        entity = xxhash.xxh64_intdigest(f"{k}:{t[a:z].lower()}".encode()) - (1 << 63)
-                        near.update((entity, term_hash(t[x:y])) for x, y in neighbours(words, a, z, window))
-                out.append([{"entity": e, "term": w} for e, w in near] or None)
-            yield pa.RecordBatch.from_arrays([pa.array(out, kind)], names=["near"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "near array<struct<entity:long,term:long>>")
+#: Stands for every document where an entity is named, and for every word where a term is.
+ALL = 0
+KIND_IDS = {k: _hash(f"kind {k}") for k in KINDS}
+
+
+def entities(kind: str, value: str) -> tuple[str, str]:
+    """The group and the value of a finding, each written one way."""
+    if kind == "email":
+        value = value.lower()
+        group = value.rpartition("@")[2]
+    elif kind == "ip":
+        parts = [str(int(x[-4:])) for x in value.split(".")]
+        value, group = ".".join(parts), ".".join(parts[:2])
+    else:
+        value = "".join(DIGITS.findall(value))
+        group = value[: 6 if kind == "card" else 4]
+    return f"{kind} group {group}", f"{kind} value {value}"
 
 
-def _scan(docs: DataFrame, doc_id: str, text: str, known: list[int] | None) -> DataFrame:
-    """Of each row: counts, base findings and their digest, and the places of the terms `known` (of all terms if None); null if there are none."""
+def _counts(docs: DataFrame, text: str, window: int) -> DataFrame:
+    """entity, term, n: in how many documents they meet; with ALL, in how many one of them stands, or how many there are.
+
+    One pass; what a task has counted is handed on before it grows beyond HELD entries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if known is None else frozenset(known)
-        seen: dict[str, bool] = {}
+        words: Counter = Counter()  # by word, for all documents and for those of each kind
+        by_kind: dict[str, Counter] = {k: Counter() for k in KINDS}
+        pairs: Counter = Counter()
 
-        def told(word: str) -> bool:
-            if (hit := seen.get(word)) is None:
-                if len(seen) >= 150_000:
-                    seen.clear()
-                hit = seen[word] = wanted is None or term_hash(word) in wanted
-            return hit
+        def out() -> pa.RecordBatch:
+            rows = [(ALL, term_hash(w), n) for w, n in words.items()]
+            rows += [(KIND_IDS[k], term_hash(w), n) for k, c in by_kind.items() for w, n in c.items()]
+            rows += [(e, t, n) for (e, t), n in pairs.items()]
+            for c in (words, pairs, *by_kind.values()):
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["entity", "term", "n"])
 
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))]
         for b in pieces(batches, "text"):
-            out = []
             for t in b.column("text").to_pylist():
-                t = t or ""
+                pairs[ALL, ALL] += 1
+                if not t:
+                    continue
                 spans = base_spans(t)
-                n = Counter(k for _, _, k in spans)
-                base = listed(spans)
-                terms = None
-                if wanted is None or wanted and any(map(told, set(TERM.findall(t)))):
-                    terms = [{"term": term_hash(t[x:y]), "start": x, "end": y} for x, y in free_words(t, spans) if told(t[x:y])]
-                out.append((*(n[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, terms or None))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "terms"])
+                if not spans:
+                    words.update({w.lower() for w in set(TERM.findall(t))})
+                    continue
+                free = free_words(t, spans)
+                here = {t[x:y].lower() for x, y in free}
+                words.update(here)
+                met = set()
+                for k in {k for _, _, k in spans}:
+                    by_kind[k].update(here)
+                    met.add((KIND_IDS[k], ALL))
+                for a, z, k in spans:
+                    near = [term_hash(t[x:y]) for x, y in neighbours(free, a, z, window)]
+                    for e in map(_hash, entities(k, t[a:z])):
+                        met.add((e, ALL))
+                        met.update((e, w) for w in near)
+                pairs.update(met)
+            if len(words) + len(pairs) + sum(map(len, by_kind.values())) > HELD:
+                yield out()
+        yield out()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _key(doc_id, text).alias("key"))
-    return rows.mapInArrow(run, "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, terms array<struct<term:long,start:int,end:int>>")
+    counted = docs.select(col(text).alias("text")).mapInArrow(run, "entity long, term long, n long")
+    return counted.groupBy("entity", "term").agg(F.sum("n").alias("n"))
+
+
+def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
+    """entity, term, ratio of the pairs whose mutual information reaches the threshold."""
+    counts = cut(_counts(docs, text, window))
+    total = float(max((counts.filter(f"entity = {ALL} AND term = {ALL}").first() or {"n": 0})["n"], 2))
+    often = counts.filter((F.col("entity") != ALL) & (F.col("term") != ALL) & (F.col("n") >= support)).withColumnRenamed("n", "both")
+    often = cut(often)
+    size = often.count()
+    known = counts.filter(f"entity <> {ALL} AND term = {ALL}").select("entity", F.col("n").alias("n_entity"))
+    terms = counts.filter(f"entity = {ALL} AND term <> {ALL}").select("term", F.col("n").alias("n_term"))
+    paired = join_heavy(often, known, "entity", lambda: often.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), size)
+    paired = join_heavy(paired, terms, "term", lambda: often.groupBy("term").agg(F.count(F.lit(1)).alias("n")), size)
+    share = F.col("n_entity") / total
+    ratio = F.log((F.col("both") + smoothing * share) / (F.col("n_term") + smoothing) / share) / -F.log(share)
+    return paired.filter(F.col("n_entity") < total).select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure)
+
+
+def _teller(known: list[int]):
+    """Whether a word is one of the terms `known`; remembers the words it met last."""
+    wanted, seen = frozenset(known), {}
+
+    def told(word: str) -> bool:
+        if (hit := seen.get(word)) is None:
+            if len(seen) >= 150_000:
+                seen.clear()
+            hit = seen[word] = term_hash(word) in wanted
+        return hit
 
+    return told if wanted else None
 
-def _key(doc_id: str, text: str) -> Column:
-    """Tells rows apart by what their findings depend on, and the id."""
-    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
+def _term_spans(text: str, spans, told) -> list[tuple[int, int, str]]:
+    if told is None or not any(map(told, set(TERM.findall(text)))):
+        return []
+    return [(x, y, "term") for x, y in free_words(text, spans) if told(text[x:y])]
 
-def _term_documents(docs: DataFrame, text: str) -> DataFrame:
-    """term, n: in how many documents each term stands; counted within a task before anything is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+def _decided(docs: DataFrame, text: str, options: dict) -> tuple[DataFrame, list[int] | None]:
+    """The disclosing terms as a table, and as a list if they are few enough for every task."""
+    decided = cut(disclosing(docs, text, **options).select("term").distinct())
+    few = decided.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return decided, [r["term"] for r in decided.collect()] if few else None
 
-        def out() -> pa.RecordBatch:
-            terms = pa.array(map(term_hash, seen), pa.int64())
-            return pa.RecordBatch.from_arrays([terms, pa.array(seen.values(), pa.int64())], names=["term", "n"])
 
+def _places(rows: DataFrame, text: str, row: str, decided: DataFrame) -> DataFrame:
+    """row, terms (array of start, end): where the terms `decided` stand in `rows`, by a join over all places of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            for t in b.column("text").to_pylist():
-                seen.update({w.lower() for w in set(TERM.findall(t or ""))})
-            if len(seen) > 300_000:
-                yield out()
-                seen.clear()
-        yield out()
+            out = [(r, term_hash(t[x:y]), x, y) for r, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist()) if t for x, y in free_words(t, base_spans(t))]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["row", "term", "start", "end"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def disclosing(scanned: DataFrame, docs: DataFrame, text: str, support: int, disclosure: float) -> DataFrame:
-    """(entity, term) pairs whose mutual information reaches the threshold."""
-    total = scanned.count()
-    pairs = scanned.filter("near is not null").select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both"))
-    entities = scanned.filter("near is not null").select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support)
-    often = pairs.filter(F.col("both") >= support).join(entities, "entity")
-    # terms are counted only if some pair needs them
-    if not often.limit(1).count():
-        return often.select("entity", "term")
-    known = often.join(_term_documents(docs, text), "term")
-    information = F.log(F.lit(float(max(total, 2))) / F.col("n_entity"))
-    mutual = F.log(F.col("both") * float(max(total, 2)) / (F.col("n") * F.col("n_entity")))
-    return known.filter(mutual >= disclosure * information).filter(information > 0).select("entity", "term")
-
-
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, key: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row; with `key`, a hash of id and text too."""
-    pairs = disclosing(cut(_near(docs, text, window)), docs, text, support, disclosure)
-    decided = cut(pairs.select("term").distinct())
-    if decided.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        scanned = _scan(docs, doc_id, text, [r["term"] for r in decided.collect()])
-    else:
-        every = cut(_scan(docs, doc_id, text, None).withColumn("row", F.monotonically_increasing_id()))  # the ids stay as written
-        places = every.select("row", F.explode("terms").alias("x")).select("row", F.col("x.term").alias("term"), F.struct("x.start", "x.end").alias("place"))
-        scanned = every.drop("terms").join(places.join(decided, "term").groupBy("row").agg(F.collect_list("place").alias("terms")), "row", "left")
-    return scanned.select("doc_id", *(["key"] if key else []), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _merged(F.col("base"), F.col("terms")).alias("spans"))
+    every = rows.select(F.col(row).alias("row"), col(text).alias("text")).mapInArrow(run, "row long, term long, start int, end int")
+    return every.join(decided, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
 
 
-def _merged(base: Column, terms: Column) -> Column:
-    """The base's spans and the terms', by start, then kind as listed and `term` last."""
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate((*KINDS, "term")) for x in (k, i)])
-    old = F.transform(F.filter(F.split(base, ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("start"), rank[F.split(x, ":")[0]].alias("rank"), F.split(x, ":")[2].cast("int").alias("end"), F.split(x, ":")[0].alias("kind")))
-    new = F.transform(terms, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), x["end"].alias("end"), F.lit("term").alias("kind")))
-    return F.when(terms.isNull(), base).otherwise(F.array_join(F.transform(F.array_sort(F.concat(old, new)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ","))
+def _numbered(docs: DataFrame, decided: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """`docs`, written with a number for each row, joined with the places of their terms in the column named."""
+    row, terms = fresh(docs, "__row", "__terms")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # the numbers stay as written
+    places = _places(rows, text, row, decided).select(F.col("row").alias(row), F.col("terms").alias(terms))
+    return rows.join(places, row, "left").drop(row), terms
 
 
-def sanitise(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with findings generalised to their kind (`<email>`) and disclosing terms removed.
+def _all_spans(text: str, told, places) -> tuple[list, list]:
+    """The base's findings, and the terms'."""
+    spans = base_spans(text)
+    return spans, [(p["start"], p["end"], "term") for p in places] if places is not None else _term_spans(text, spans, told)
 
-    If `found` has `key`, rows match by id and text, so ids may repeat; else by doc_id, which must be unique then.
-    A null id matches a null id.
-    """
-    names = docs.columns
+
+def _apply(docs: DataFrame, text: str, options: dict, make, keep: list[str], outs: list[tuple[str, pa.DataType, T.DataType]]) -> DataFrame:
+    """Columns `keep` of `docs` and what `make(text, base spans, term spans)` gives for each row."""
+    decided, known = _decided(docs, text, options)
+    rows, terms = (docs, None) if known is not None else _numbered(docs, decided, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for t, spans in zip(b.column(text).to_pylist(), b.column("__spans").to_pylist()):
-                parts, at = [], 0
-                for kind, start, end in (x.split(":") for x in (spans or "").split(",") if x):
-                    if t is not None and int(start) >= at:
-                        parts += [t[at : int(start)], "" if kind == "term" else f"<{kind}>"]
-                        at = int(end)
-                texts.append(None if t is None else "".join([*parts, t[at:]]))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else b.column(c) for c in names], names=names)
-
-    if "key" in found.columns:
-        spans = found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])  # equal keys have equal spans
-        joined = docs.join(spans, _key(doc_id, text) == F.col("__key"), "left")
-    else:
-        joined = docs.join(found.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")), F.col(doc_id).eqNullSafe(F.col("__id")), "left")
-    return joined.select(*(F.col(f"`{c}`") for c in names), "__spans").mapInArrow(run, docs.schema)
+        told = _teller(known or [])
+        for b in pieces(batches, text):
+            places = b.column(terms).to_pylist() if terms else [None] * b.num_rows
+            made = [make(t, *_all_spans(t or "", told, p if p is not None or not terms else [])) for t, p in zip(b.column(text).to_pylist(), places)]
+            new = {name: pa.array([m[i] for m in made], kind) for i, (name, kind, _) in enumerate(outs)}
+            names = [*keep, *(n for n in new if n not in keep)]
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
+
+    own = [f for f in docs.schema.fields if f.name in keep]
+    fields = [*own, *(T.StructField(n, d) for n, _, d in outs if n not in keep)]
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row; `options` as of `disclosing`."""
+    rank = {k: i for i, k in enumerate((*KINDS, "term"))}
+
+    def make(_, base, terms):
+        n = Counter(k for _, _, k in base)
+        spans = sorted(base + terms, key=lambda x: (x[0], rank[x[2]])) if terms else base
+        return (*(n[k] for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans))
+
+    outs = [(f"n_{k}", pa.int64(), T.LongType()) for k in KINDS] + [("base_sha256", pa.string(), T.StringType()), ("spans", pa.string(), T.StringType())]
+    return _apply(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")), "text", options, make, ["doc_id"], outs)
+
+
+def cleaned(text: str, spans) -> str:
+    """`text` with each finding generalised to its kind and terms removed; overlapping ones are one, of all their kinds."""
+    parts, at, k = [], 0, 0
+    spans = sorted(spans)
+    while k < len(spans):
+        start, end, kinds = spans[k][0], spans[k][1], [spans[k][2]]
+        k += 1
+        while k < len(spans) and spans[k][0] < end:
+            end = max(end, spans[k][1])
+            kinds.append(spans[k][2])
+            k += 1
+        named = [x for x in dict.fromkeys(kinds) if x != "term"]
+        parts += [text[at:start], f"<{'+'.join(named)}>" if named else ""]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """`docs` with findings generalised to their kind (`<email>`) and disclosing terms removed, row by row: no id is needed. Null texts stay null."""
+
+    def make(t, base, terms):
+        return (None if t is None else cleaned(t, base + terms) if base or terms else t,)
+
+    return _apply(docs, text, options, make, docs.columns, [(text, pa.string(), T.StringType())])

@@ -2,6 +2,7 @@
 
 import hashlib
 import html as html_lib
+import math
 import random
 import re
 import zlib
@@ -302,36 +303,102 @@ def test_pii_base(spark, texts, edge, empty):
     assert pii.find(edge).count() == edge.count() and pii.find(empty).count() == 0
 
 
-def test_pii_terms_that_give_an_entity_away(spark):
-    rows = [(i, "write to Zebulon at zeb@x.org about the plan") for i in range(4)] + [(10 + i, "the plan at hand is to write about it again and again") for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = pii.find(df)
-    spans = {r["doc_id"]: r["spans"] for r in found.collect()}
-    assert spans[0] == "term:9:16,email:20:29" and spans[10] == ""
-    assert pii.sanitise(df, found).filter("doc_id = 0").first()["text"] == "write to  at <email> about the plan"
+def plain_disclosing(texts, window=3, support=3, disclosure=0.9, smoothing=1.0):
+    """Terms whose smoothed mutual information with some entity reaches the threshold, from all texts at once."""
+    term_docs, entity_docs, both = Counter(), Counter(), Counter()
+    for t in texts:
+        t = t or ""
+        spans = [(int(a), int(z), k) for k, a, z in (x.split(":") for x in base_pii(t))]
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < z for a, z, _ in spans)]
+        here = {t[x:y].lower() for x, y in words}
+        term_docs.update(here)
+        found, pairs = set(), set()
+        for a, z, k in spans:
+            found.add(k)
+            pairs |= {(k, w) for w in here}
+            v = t[a:z]
+            if k == "email":
+                group, value = v.lower().split("@")[-1], v.lower()
+            elif k == "ip":
+                n = [int(x) for x in v.split(".")]
+                group, value = (n[0], n[1]), tuple(n)
+            else:
+                value = re.sub(r"\D", "", v)
+                group = value[:6] if k == "card" else value[:4]
+            near = [t[x:y].lower() for x, y in ([w for w in words if w[1] <= a][-window:] + [w for w in words if w[0] >= z][:window])]
+            for e in ((k, "group", group), (k, "value", value)):
+                found.add(e)
+                pairs |= {(e, w) for w in near}
+        entity_docs.update(found)
+        both.update(pairs)
+    out, n = set(), max(len(texts), 2)
+    for (e, w), m in both.items():
+        p = entity_docs[e] / n
+        if m >= support and p < 1 and math.log((m + smoothing * p) / (term_docs[w] + smoothing) / p) / -math.log(p) >= disclosure - 1e-12:
+            out.add(w)
+    return out
+
+
+def plain_pii(rows):
+    terms = plain_disclosing([t for _, t in rows])
+    out = []
+    for i, t in rows:
+        t = t or ""
+        base = base_pii(t)
+        spans = [(int(a), k, int(z)) for k, a, z in (x.split(":") for x in base)]
+        free = [m for m in re.finditer(r"[^\W\d_]{3,}", t) if m.group().lower() in terms and not any(a < m.end() and m.start() < z for a, _, z in spans)]
+        rank = {"email": 0, "ip": 1, "card": 2, "phone": 3, "term": 4}
+        every = sorted(spans + [(m.start(), "term", m.end()) for m in free], key=lambda x: (x[0], rank[x[1]]))
+        out.append((i, ",".join(f"{k}:{a}:{z}" for a, k, z in every)))
+    return terms, sorted(out, key=str)
 
 
-def test_pii_terms_wherever_they_stand(spark, monkeypatch):
-    pad = "." * 300
-    rows = [(i, f"mr Zebulon {pad} zeb@x.org is it") for i in range(4)]
-    rows += [(4, "zebulon came, and later on after many other words again Zebulon wrote zeb@x.org"), (None, "old Zebulon has no mail")]
-    rows += [(5 + i, f"Quentin <q{i}@long.words.example> +1 555 123 4567") for i in range(4)] + [(10 + i, "the plan at hand is to write of it") for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
-    text = dict(rows)
-    terms = {i: [text[i][int(a) : int(z)] for k, a, z in (x.split(":") for x in s.split(",") if x) if k == "term"] for i, s in found.items()}
-    assert terms[0] == ["Zebulon"] and terms[4] == ["zebulon", "Zebulon"] and terms[None] == ["Zebulon"] and terms[5] == ["Quentin"] and terms[10] == []
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df, pii.find(df)).collect()}
-    assert clean[None] == "old  has no mail" and clean[5] == " <<email>> <phone>"
-    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
-    assert {r["doc_id"]: r["spans"] for r in pii.find(df).collect()} == found
+PLANTED = [(100_000 + i, f"write to Zebulon{'' if i % 2 else ' dear'} at zeb{i}@zebulon.example about the plan, says {'mailto' if i % 3 else 'no one'}") for i in range(12)]
+PLANTED += [(200_000 + i, f"Quentin <q{i}@long.words.example> +1 555 123 4567 calls 10.20.{i}.7 from home") for i in range(8)]
+PLANTED += [(300_000 + i, "card of Perdita 4111 1111 1111 1111 and so on") for i in range(5)] + [(400_000, "Perdita lives here, so does zebulon"), (None, "old Zebulon has no mail")]
+
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_pii_terms_by_brute_force(spark, texts, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr(pii, "HELD", 500)
+    rows = [*texts.items(), *PLANTED, (5, None), (6, "")]
+    terms, want = plain_pii(rows)
+    assert {"zebulon", "quentin", "perdita"} <= terms and "the" not in terms
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["spans"]) for r in got), key=str) == want
 
-def test_pii_sanitise_with_repeated_and_null_ids(spark):
-    rows = [(None, "a.b@c.de"), (None, "none here"), (1, "x 1.2.3.4"), (1, "see q@w.er now"), (1, "see q@w.er now"), (2, None)]
+
+def test_pii_terms_of_the_table_itself(spark, texts):
+    rows = list(texts.items())
+    _, want = plain_pii(rows)
+    assert sorted(((r["doc_id"], r["spans"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
+
+
+def test_pii_terms_wherever_they_stand(spark):
+    pad = "." * 300
+    rows = [(i, f"mr Zebulon {pad} zeb@x.org is it") for i in range(6)] + [(7, "zebulon came, and later on after many other words again Zebulon wrote zeb@x.org"), (None, "old Zebulon has no mail")]
+    rows += [(10 + i, "the plan at hand is to write of it") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, pii.sanitise(df, pii.find(df, key=True)).collect()), key=str)
-    assert got == sorted([(None, "<email>"), (None, "none here"), (1, "x <ip>"), (1, "see <email> now"), (1, "see <email> now"), (2, None)], key=str)
+    text = dict(rows)
+    terms = {r["doc_id"]: [text[r["doc_id"]][int(a) : int(z)] for k, a, z in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"] for r in pii.find(df).collect()}
+    assert terms[0] == ["Zebulon"] and terms[7] == ["zebulon", "Zebulon"] and terms[None] == ["Zebulon"] and terms[10] == []
+    assert {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}[None] == "old  has no mail"
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_pii_sanitise_row_by_row(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+    rows = [(None, "a.b@c.de"), (None, "none here"), (1, "x 1.2.3.4"), (1, "see q@w.er now"), (1, "see q@w.er now"), (2, None), (3, "4111 1111 1111 1111@mail.org"), (4, "")]
+    df = spark.createDataFrame([(*r, "own", 7) for r in rows], "doc_id long, text string, spans string, __row int")
+    got = pii.sanitise(df)
+    assert got.columns == df.columns
+    clean = {"a.b@c.de": "<email>", "x 1.2.3.4": "x <ip>", "see q@w.er now": "see <email> now", "4111 1111 1111 1111@mail.org": "<card+email>"}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(i, clean.get(t, t), "own", 7) for i, t in rows], key=str)
+    names = spark.createDataFrame([("k", "a.b@c.de")], "doc_id string, text string")
+    assert pii.find(names).first()["doc_id"] == "k" and pii.sanitise(df.limit(0)).count() == 0
 
 
 # 7

@@ -5,6 +5,7 @@ import html as html_lib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -123,6 +124,89 @@ def test_html_rules_in_a_language_without_known_stop_words():
     assert html_text.main_text(page) == f"Talo\n{long.strip()}\nNiin oli.\n{long.strip()}"
 
 
+def plain_second_pass(found, first):
+    """Both marks and neighbours by looking at every block for every block."""
+    n = len(found)
+    kind = [html_text.part(b) for _, b in found]
+
+    def together(i, k):
+        return not kind[i] or all(kind[j] == kind[i] for j in range(min(i, k), max(i, k) + 1))
+
+    out = []
+    for i in range(n):
+        if first[i][0] is not None:
+            out.append(first[i][0])
+            continue
+        seen = [k for k in range(n) if k != i and first[k][0] is not None and together(i, k) and not (kind[k] == "article" and first[k][1] == "links")]
+        after, before = min((k for k in seen if k > i), default=None), max((k for k in seen if k < i), default=None)
+        if found[i][1].heading and after is not None:
+            out.append(first[after][0])
+        elif after is None and before is None:
+            out.append(kind[i] == "article")
+        elif before is None or after is not None and (after - i, first[after][0]) < (i - before, first[before][0]):
+            out.append(first[after][0])
+        else:
+            out.append(first[before][0])
+    return out
+
+
+def test_html_passes_by_brute_force(spark, sf_dir):
+    r = random.Random(3)
+    stop, rare = "the of and to in is that".split(), "zab kuli merto vans".split()
+
+    def first(text, b):
+        w = text.lower().split()
+        share = sum(x in html_text.STOP_WORDS for x in w) / len(w)
+        if b.linked > 0.35 * len(text) and not b.heading:
+            return False
+        if len(text) < 70 or b.heading:
+            return None
+        if share >= 0.2:
+            return not b.bad
+        if len(text) < 200 or share == 0 or (b.article and not b.bad):
+            return None
+        return share >= 0.1 and not b.bad
+
+    for _ in range(300):
+        found, mark = [], 0
+        for _ in range(r.randrange(1, 14)):
+            mark = r.choice([mark, mark, mark, 0, 1, 2])
+            text = " ".join(r.choice(stop if r.random() < r.choice([0, 0.15, 0.5]) else rare) for _ in range(r.choice([3, 8, 20, 60])))
+            b = html_text.Block(mark == 2, mark == 1, r.random() < 0.1)
+            b.linked = r.choice([0, 0, 0, len(text)])
+            found.append((text, b))
+        one = [html_text.first_pass(t, b) for t, b in found]
+        assert [x for x, _ in one] == [first(t, b) for t, b in found]
+        assert [x for x, _ in html_text.second_pass(found, one)] == plain_second_pass(found, one)
+
+
+def test_html_rules_decide_on_the_table(spark, sf_dir):
+    why, same, pages = Counter(), 0, spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in pages:
+        why.update(w for *_, w in html_text.decide(r["html"]))
+        bare = re.sub(r"</?article>", "", r["html"])
+        same += html_text.main_text(bare) == html_text.main_text(r["html"])
+    assert why["density"] + why["links"] + why["neighbour"] > 0.85 * sum(why.values())
+    assert same > 0.7 * len(pages)
+
+
+def test_html_takes_broken_and_very_long_pages():
+    good = "The house of the man is by the sea and it was built for him in the year of the flood, as they say to this day."
+    assert html_text.main_text(f'<p data=it\'s>{good}</p><a title="x>{good}</a>').startswith(good)
+    began = time.time()
+    for x in ('<a b="', "<a ", "<!x", "<p>x<!-- ", "<p>text", "<div>", "<li>", "</b>", "<ul><li><div>"):
+        html_text.main_text(x * 50_000)
+    html_text.main_text("<div>" * 50_000 + "</b><li></li>x" * 50_000)
+    assert html_text.main_text(f"<p>{good} " * 5_000).count("flood") == 5_000
+    assert time.time() - began < 30
+
+
+def test_html_other_scripts_and_any_id(spark):
+    long = "\u5bb6\u306f\u6d77\u306e\u305d\u3070\u306b\u3042\u308a\u307e\u3057\u305f\u3002" * 20
+    df = spark.createDataFrame([("a", None, f"<div><a href=x>\u30ea\u30f3\u30af</a></div><div>{long}</div>", 1)], "page_id string, url string, html string, text int")
+    assert [tuple(r) for r in html_text.extract(df).collect()] == [("a", None, long, len(long))]
+
+
 # 3
 
 

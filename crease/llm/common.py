@@ -54,6 +54,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{_shared(spark).rstrip('/')}/{name}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours in the shared folder, through the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from those files, so that a lost executor costs no more than the work since."""
     _shared(df.sparkSession)

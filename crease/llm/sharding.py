@@ -8,7 +8,8 @@ items; the last level is one task over at most `CELL` items. A large group ends
 bundle, so the small ones can even it out; a group larger than a shard's share stays whole.
 
 Slots are gapless within a shard: counts of (shard, bucket) give each bucket's offset, and rows are
-numbered within buckets, which are small however large a group is. Null texts count as empty, of size 1;
+numbered within buckets, which are small however large a group is. Rows of a very large group are joined
+with its shard apart (`join_heavy`). Null texts count as empty, of size 1;
 null ids are kept; repeated rows get slots of their own; other columns are not read.
 """
 
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crease.llm.common import cut
+from crease.llm.common import col, cut, join_heavy
 
 CELL, FINE = 4096, 4
 
@@ -83,12 +84,14 @@ def assign(groups: DataFrame, shards: int, cell: int = CELL) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", cell: int = CELL, bucket_rows: int = 20_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("key"), F.monotonically_increasing_id().alias("row")))
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    buckets = max(1, -(-rows.count() // bucket_rows))
+    t = F.coalesce(col(text), F.lit(""))
+    rows = cut(docs.select(col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("key"), F.monotonically_increasing_id().alias("row")))
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    buckets = max(1, -(-total // bucket_rows))
+    joined = join_heavy(rows, assign(groups.drop("n"), shards, cell), "key", lambda: groups.select("key", "n"), total)
     # cut: the slots below need each row in the same place every time
-    placed = cut(rows.join(assign(groups, shards, cell), "key").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets))))
+    placed = cut(joined.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets))))
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("row")) - 1

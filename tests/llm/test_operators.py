@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -225,6 +226,54 @@ def test_language_odd_rows(edge, empty):
     assert langid.identify(empty).count() == 0
 
 
+def plain_languages(rows):
+    """Each text's log score by language: words by their frequency, others by their longest n-grams known."""
+    seen = defaultdict(Counter)
+    letters = re.compile(r"[^\W\d_]+")
+    runs = lambda w, k: list(w) if k == 1 else [f"\x02{w}\x02"[i : i + k] for i in range(len(w) + 3 - k)]
+    langs = sorted({lang for i, t, lang in rows if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2})
+    for i, t, lang in rows:
+        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in letters.findall(t.lower()):
+                seen[lang, 0][w] += 1
+                for k in range(1, 6):
+                    seen[lang, k].update(runs(w, k))
+    total = {x: sum(c.values()) for x, c in seen.items()}
+
+    def log(lang, k, g):
+        return math.log((seen[lang, k][g] + 0.1) / (max(total.get((lang, k), 0), 1) + 1))
+
+    cache = {}
+
+    def score(w):
+        if w not in cache:
+            kept = [(0, w)] if any(w in seen[x, 0] for x in langs) else []
+            for k in range(min(5, len(w) + 2), 0, -1):
+                kept = kept or [(k, g) for g in runs(w, k) if any(g in seen[x, k] for x in langs)]
+            cache[w] = [sum(log(x, k, g) for k, g in kept) / len(kept) if kept else 0.0 for x in langs]
+        return cache[w]
+
+    out = {}
+    for i, t, _ in rows:
+        words = letters.findall((t or "").lower())
+        out[i] = [sum(c) for c in zip(*map(score, words))] if words else None
+    return langs, out
+
+
+def test_language_by_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    langs, want = plain_languages(rows)
+    for r in langid.identify(docs, sample=10**6).collect():
+        s = want[r["doc_id"]]
+        if s is None:
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        top = sorted(s, reverse=True)
+        if top[0] - top[1] > 1e-2:
+            assert r["lang_pred"] == langs[s.index(top[0])]
+        assert abs(r["score"] - 1 / sum(math.exp(max(x - top[0], -700)) for x in s)) < 0.02
+
+
 # 4
 
 
@@ -553,6 +602,82 @@ def test_licenses(spark, texts, edge, empty):
     assert licenses.scan(edge).count() == edge.count() and licenses.scan(empty).count() == 0
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_match(words, templates, threshold=0.8):
+    """Every template at every place."""
+    out = {}
+    for label, text, keys in templates:
+        t = licenses.words_of(text.encode())
+        m = len(t) - math.ceil(threshold * len(t) - 1e-9)
+        for s in range(len(words)):
+            run = words[s : s + len(t) + m]
+            if len(set(run) & set(t)) + m < len(set(t)) or any(" ".join(map(repr, licenses.words_of(k.encode()))) not in " ".join(map(repr, run)) for k in keys):
+                continue
+            score = lcs(t, run) / len(t)
+            if score >= threshold - 1e-9 and score > out.get(label, 0):
+                out[label] = score
+    return out
+
+
+def changed(r, words, share):
+    """`words` with some left out, altered or added."""
+    out = []
+    for w in words:
+        x = r.random()
+        out += [] if x < share / 3 else [b"zzz"] if x < 2 * share / 3 else [w, b"added"] if x < share else [w]
+    return out
+
+
+def test_license_index_by_brute_force():
+    r = random.Random(11)
+    filler = [w for w in words_everywhere(licenses.TEMPLATES)]
+    found = 0
+    for case in range(120):
+        words = [r.choice(filler) for _ in range(r.randrange(40))]
+        for _ in range(r.randrange(1, 3)):
+            t = licenses.words_of(r.choice(licenses.TEMPLATES)[1].encode())
+            words += changed(r, t, r.choice([0, 0.1, 0.2, 0.3])) + [r.choice(filler) for _ in range(r.randrange(20))]
+        frequency = {w: r.randrange(1000) for w in filler}  # whatever the frequencies, nothing is missed
+        index = licenses.Index(frequency, 1000)
+        at = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in index.postings:
+                at[w].append(i)
+        got = index.match(words, at, set(words))
+        assert got == pytest.approx(plain_match(words, licenses.TEMPLATES)), case
+        found += len(got)
+    assert found > 80
+
+
+def words_everywhere(templates):
+    return sorted({w for _, t, _ in templates for w in licenses.words_of(t.encode())})
+
+
+def test_license_notices_as_they_are_written(spark):
+    mit = next(t for label, t, _ in licenses.TEXTS if label == "mit")
+    cases = {
+        "Licensed under the terms of the MIT license": "mit",
+        "GNU General Public License version 3": "gpl,gpl-3.0",
+        "Mozilla Public License 2.0": "mpl-2.0",
+        "SPDX-License-Identifier: MIT": "mit",
+        "Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "Copyright 2020\n" + mit.replace("merge, ", "").replace("Software is", "Software (as said) is"): "mit",
+        "see cc by-sa 4.0, or CC-BY 4.0": "cc-by,cc-by-4.0,cc-by-sa-4.0",
+        "we permit the use of this software": "",
+    }
+    rows = list(enumerate(cases))
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == list(cases.values())
+
+
 # 9
 
 
@@ -694,7 +819,7 @@ def test_quality_hosts(spark):
 
 
 def test_language_of_numbers_that_are_no_letters_is_undetermined():
-    scorer = langid.Scorer({"langs": ["a", "b"], "tables": {k: {} for k in range(langid.GRAM + 1)}})
+    scorer = langid.Scorer({"langs": ["a", "b"], "tables": {k: {} for k in range(langid.GRAM + 1)}, "rows": np.zeros((0, 2), np.float32)})
     assert [x for x, _ in scorer.predict(["\u00b2 \u00bd", "", None, "x\u00b2"])] == ["und", "und", "und", "a"]
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from crease.llm import bpe, decontam, quality, secrets, simhash
-from crease.llm.common import shared_path, table
+from crease.llm.common import remove, shared_path, table
 from crease.llm.queries import tokenizer_path
 
 
@@ -49,11 +49,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what each keeps is written to the shared checkpoint folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what each keeps is written to the shared checkpoint folder and read again.
+
+    Once a stage's table is written, the one it was made from is deleted; the last is left for the result to read.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(path := shared_path(spark, f"pipeline-{uuid.uuid4().hex}"))
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs

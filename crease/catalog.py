@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.functions.dialect import Dialect
 from crease.operators import fantasy, features, lineup, matches, models, players, service
-from crease.session import kept
+from crease.session import kept, shared_path
 from crease.sources import projection
 
 #: Date from which the order tables' matches are kept from the models' training.
@@ -17,35 +19,67 @@ CUTOFF = "1997-06-01"
 TEMPLATES = {**players.QUERIES, **matches.QUERIES, **fantasy.QUERIES, **features.QUERIES, **service.QUERIES}
 
 
+#: Formats that a question can be asked of.
+FORMATS = ("T20", "ODI")
+#: Tables written once a session: (application, folder) to the SQL that reads them.
+_stored: dict[tuple[str, str], dict[str, str]] = {}
+
+
 def spark_dialect(sf_dir: str) -> Dialect:
-    return Dialect("spark", projection.base(*(f"parquet.`{sf_dir}/{t}.parquet`" for t in ("lineitem", "orders", "customer"))), f"parquet.`{sf_dir}/events.parquet`", f"parquet.`{sf_dir}/pages.parquet`")
+    return Dialect("spark", projection.tables(*(f"parquet.`{sf_dir}/{t}.parquet`" for t in ("lineitem", "orders", "customer"))), f"parquet.`{sf_dir}/events.parquet`", f"parquet.`{sf_dir}/pages.parquet`")
 
 
 def duckdb_dialect() -> Dialect:
-    return Dialect("duckdb", projection.base("lineitem", "orders", "customer"))
+    return Dialect("duckdb", projection.tables("lineitem", "orders", "customer"))
 
 
 def over_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Dialect:
-    """The dialect over a user's own deliveries, matches, players and leagues."""
+    """The dialect over a user's own deliveries, matches, players and leagues (and venues); several can be in use at once."""
+    own = uuid.uuid4().hex
     for name, df in tables.items():
-        df.createOrReplaceTempView(f"crease_{name}")
-    ctes = ", ".join(f"{name} AS (SELECT * FROM crease_{name})" for name in tables)
-    return Dialect("spark", f"WITH {ctes}, d AS ({projection.JOINED})")
+        df.createOrReplaceTempView(f"crease_{name}_{own}")
+    at = {name: f"SELECT * FROM crease_{name}_{own}" for name in tables}
+    venues = at.pop("venues", projection.VENUES)  # after d, which it is made from
+    return Dialect("spark", {**at, "d": projection.JOINED, "venues": venues})
+
+
+def store(spark: SparkSession, dialect: Dialect) -> Dialect:
+    """Write the matches, the joined deliveries and the fantasy points to the shared folder, so that queries scan each as a compact table instead of deriving it anew."""
+    folder = shared_path(spark, f"crease-tables-{uuid.uuid4().hex}")
+    for name, query in (("matches", "SELECT * FROM matches"), ("d", "SELECT * FROM d"), ("fp", None)):
+        spark.sql(f"{dialect.base} {query}" if query else f"{fantasy.points(dialect)} SELECT * FROM fp").write.parquet(f"{folder}/{name}")
+        dialect = replace(dialect, stored={**dialect.stored, name: f"SELECT * FROM parquet.`{folder}/{name}`"})
+    return dialect
+
+
+def stored_dialect(spark: SparkSession, sf_dir: str) -> Dialect:
+    """The dialect over the order tables of `sf_dir`, its derived tables written at the first call in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = store(spark, spark_dialect(sf_dir)).stored
+    return replace(spark_dialect(sf_dir), stored=_stored[key])
 
 
-def run(spark: SparkSession, name: str, dialect: Dialect, **options) -> DataFrame:
-    return spark.sql(TEMPLATES[name](dialect, **options))
+def run(spark: SparkSession, name: str, dialect: Dialect, season: str | None = None, **options) -> DataFrame:
+    """The query over all seasons or one; a format is given in either case of letters."""
+    if "fmt" in options:
+        options["fmt"] = options["fmt"].upper()
+        if options["fmt"] not in FORMATS:
+            raise ValueError(f"fmt must be one of {', '.join(FORMATS)}")
+    return spark.sql(TEMPLATES[name](dialect if season is None else dialect.of_season(season), **options))
 
 
-def x01_points_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
-    """Metrics of a model of points, fitted before `cutoff`, on the matches from then on."""
-    train, val = models.split(kept(run(spark, "g14_matrix", spark_dialect(sf_dir))), cutoff)
-    return models.metrics(kept(models.score(models.fit_points(train, val), val)))
+def x01_points_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF, months: int = 6) -> DataFrame:
+    """Metrics of a model of points on the matches from `cutoff` on, which neither training nor its early stop has seen: boosting ends by the last `months` before it."""
+    known, test = models.split(kept(run(spark, "g14_matrix", stored_dialect(spark, sf_dir))), cutoff)
+    stop = F.add_months(F.lit(cutoff).cast("date"), -months)
+    model = models.fit_points(known.filter(F.col("match_date") < stop), known.filter(F.col("match_date") >= stop))
+    return models.metrics(kept(models.score(model, test)))
 
 
 def x02_outcome_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
     """Predicted and real winner (1: the first team) of every match from `cutoff` on, fitted on those before."""
-    rows = kept(run(spark, "g15_outcome_rows", spark_dialect(sf_dir)))
+    rows = kept(run(spark, "g15_outcome_rows", stored_dialect(spark, sf_dir)))
     at = F.lit(cutoff).cast("date")
     model = models.fit_outcome(rows.filter(F.col("match_date") < at))
     return model.transform(models.numbers(rows.filter(F.col("match_date") >= at), models.OUTCOME)).select("match_id", F.col("target").cast("long").alias("target"), F.col("prediction").cast("long").alias("predicted"))
@@ -53,13 +87,13 @@ def x02_outcome_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) ->
 
 def x06_predictions(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
     """Predicted points and rank of each player in the matches from `cutoff` on."""
-    train, val = models.split(kept(run(spark, "g14_matrix", spark_dialect(sf_dir))), cutoff)
+    train, val = models.split(kept(run(spark, "g14_matrix", stored_dialect(spark, sf_dir))), cutoff)
     return models.predict(models.fit_points(train, val), val)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: (lambda spark, sf_dir, name=name: run(spark, name, spark_dialect(sf_dir))) for name in TEMPLATES}
-    out["x07_lineups"] = lambda spark, sf_dir: lineup.lineups(run(spark, "x07_candidates", spark_dialect(sf_dir)))
+    out = {name: (lambda spark, sf_dir, name=name: run(spark, name, stored_dialect(spark, sf_dir))) for name in TEMPLATES}
+    out["x07_lineups"] = lambda spark, sf_dir: lineup.lineups(run(spark, "x07_candidates", stored_dialect(spark, sf_dir)))
     return {**out, "x01_points_model": x01_points_model, "x02_outcome_model": x02_outcome_model, "x06_predictions": x06_predictions}
 
 

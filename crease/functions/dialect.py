@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
 class Dialect:
-    """`base` begins a query with the tables' CTEs."""
+    """`tables`: the SQL of each table that a query begins with; `stored`: which of them, and fp, are read as written."""
 
     name: str
-    base: str
+    tables: dict[str, str]
     events: str = "events"
     pages: str = "pages"
     as_of: str = "date '1998-08-02'"
+    stored: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def base(self) -> str:
+        """Begins a query with the tables' CTEs."""
+        return "WITH " + ",\n".join(f"{k} AS ({self.stored.get(k, v)})" for k, v in self.tables.items())
+
+    def of_season(self, season: str) -> Dialect:
+        """The same tables, with the matches of one season only."""
+        if not re.fullmatch(r"[0-9A-Za-z/ -]+", season):
+            raise ValueError(f"no season: {season!r}")
+        only = lambda sql: f"SELECT * FROM ({sql}) x WHERE season = '{season}'"
+        return replace(self, tables={**self.tables, "matches": only(self.tables["matches"])}, stored={k: only(v) for k, v in self.stored.items()})
 
     def r(self, x: str, n: int) -> str:
         """Half-even rounding of the binary value: what is rounded to a whole number is x * 10^n as a double."""
@@ -34,6 +48,11 @@ class Dialect:
         """A relation (g) of the integers from 1 to `last`."""
         return f"(SELECT explode(sequence(1, {last})) AS g)" if self.name == "spark" else f"(SELECT unnest(range(1, {last} + 1)) AS g)"
 
+    def steps(self, last: str) -> str:
+        """One row for each integer from 1 to `last` (rounded down), which may be a column."""
+        n = f"cast(floor({last}) as int)"
+        return f"explode(sequence(1, greatest({n}, 1)))" if self.name == "spark" else f"unnest(range(1, greatest({n}, 1) + 1))"
+
     def latest(self, x: str, window: str) -> str:
         """The last value of `x` within `window` that isn't missing."""
         return f"last_value({x}, true) OVER ({window})" if self.name == "spark" else f"last_value({x} IGNORE NULLS) OVER ({window})"
@@ -44,6 +63,10 @@ class Dialect:
             return f"aggregate(collect_list({x}) OVER ({window}), 0e0, (a, v) -> a * {fade} + v)"
         return f"coalesce(list_reduce(list({x}) OVER ({window}), lambda a, v: a * {fade} + v), 0e0)"
 
+    def joined(self, x: str, by: str, order: str) -> str:
+        """An aggregate: the texts `x`, separated by `by`."""
+        return f"listagg({x}, '{by}') WITHIN GROUP (ORDER BY {order})" if self.name == "spark" else f"string_agg({x}, '{by}' ORDER BY {order})"
+
     def text(self, x: str) -> str:
         return f"cast({x} as {'string' if self.name == 'spark' else 'varchar'})"
 

@@ -26,6 +26,8 @@ def fielding_points(catches="catches", stumpings="stumpings", direct="direct_run
 def points(s: Dialect) -> str:
     """CTEs up to fp: player_id, match_id, batting_points, bowling_points, fielding_points, total_points, training_exclude."""
     credited = "wicket_type NOT IN ('run out', 'retired hurt', 'retired not out', 'obstructing the field')"
+    if "fp" in s.stored:
+        return f"{s.base},\nfp AS ({s.stored['fp']})"
     return f"""{s.base},
 bat AS (SELECT striker_id AS player_id, match_id, {count('faced')} AS balls, {total('runs_batter', 'faced')} AS runs, {count('faced AND runs_batter = 4')} AS fours, {count('faced AND runs_batter = 6')} AS sixes, {count(OUT)} > 0 AS dismissed FROM d WHERE striker_id IS NOT NULL GROUP BY 1, 2),
 ovr AS (SELECT bowler_id, match_id, innings, over_no, count(*) AS n, sum(CASE WHEN coalesce(extras_type, '') IN ('byes', 'legbyes') THEN runs_batter ELSE runs_total END) AS conceded, {count('legal')} AS legal_balls, {count(credited)} AS wickets, {count("wicket_type IN ('bowled', 'lbw')")} AS straight FROM d WHERE striker_id IS NOT NULL AND bowler_id IS NOT NULL GROUP BY 1, 2, 3, 4),
@@ -40,9 +42,9 @@ fp AS (SELECT raw.player_id, raw.match_id, {s.r('pb', 2)} AS batting_points, {s.
 
 def _z(s: Dialect) -> str:
     """CTEs up to z: fp with the z-score within league and season (0 where it has no spread)."""
-    w = "PARTITION BY league_id, season"
     return f"""{points(s)},
-z AS (SELECT *, coalesce((total_points - avg(total_points) OVER ({w})) / nullif(stddev_samp(total_points) OVER ({w}), 0), 0e0) AS z FROM fp)"""
+ls AS (SELECT league_id, season, avg(total_points) AS season_mean, stddev_samp(total_points) AS season_deviation FROM fp GROUP BY league_id, season),
+z AS (SELECT fp.*, coalesce((total_points - season_mean) / nullif(season_deviation, 0), 0e0) AS z FROM fp JOIN ls ON fp.league_id = ls.league_id AND fp.season IS NOT DISTINCT FROM ls.season)"""
 
 
 def f06_fantasy_points(s: Dialect, fmt: str = "T20") -> str:
@@ -60,6 +62,14 @@ g AS (SELECT player_id, {s.r(s.clamp('sum(ws) / count(*) * 10 + 5', '0e0', '10e0
 SELECT *, CASE WHEN momentum_score > 6.5 THEN 'hot' WHEN momentum_score < 3.5 THEN 'cold' ELSE 'neutral' END AS signal FROM g"""
 
 
+def p05_recent_activity(s: Dialect, fmt: str = "T20", days: int = 365, limit: int = 10) -> str:
+    """Each player's latest matches of the window, with what they weigh."""
+    return f"""{_z(s)},
+x AS (SELECT player_id, match_date, match_id, league_id, {s.r('total_points', 2)} AS total_points, {s.r('z', 3)} AS z_score, {s.r(f"exp(-33e-3 * {s.days(s.as_of, 'match_date')})", 4)} AS weight,
+  cast(row_number() OVER (PARTITION BY player_id ORDER BY match_date DESC, match_id DESC) as bigint) AS rank FROM z WHERE match_date <= {s.as_of} AND {s.days(s.as_of, 'match_date')} <= {days})
+SELECT * FROM x WHERE rank <= {limit}"""
+
+
 def p07_consistency(s: Dialect, fmt: str = "T20") -> str:
     """Floor and ceiling are nearest-rank: the values at positions int(0.1 n) and int(0.9 n)."""
     return f"""{points(s)},
@@ -72,7 +82,7 @@ SELECT *, CASE WHEN cv < 0.4 THEN 'safe' WHEN cv < 0.7 THEN 'moderate' WHEN cv <
 def p08_win_contribution(s: Dialect, fmt: str = "T20") -> str:
     w = "PARTITION BY player_id"
     return f"""{points(s)},
-h AS (SELECT *, winner IS NOT NULL AS won, total_points >= avg(total_points) OVER ({w}) + 15e-1 * coalesce(stddev_samp(total_points) OVER ({w}), 0e0) AS high FROM fp),
+h AS (SELECT *, coalesce(winner, '') NOT IN ('', 'no result', 'tie') AS won, total_points >= avg(total_points) OVER ({w}) + 15e-1 * coalesce(stddev_samp(total_points) OVER ({w}), 0e0) AS high FROM fp),
 g AS (SELECT player_id, count(*) AS matches, {count('won')} AS wins, {s.rate(count('won'), 'count(*)', '1', 4)} AS win_rate, coalesce({s.r('avg(CASE WHEN won THEN total_points END)', 2)}, 0e0) AS mean_fp_in_wins, coalesce({s.r('avg(CASE WHEN NOT won THEN total_points END)', 2)}, 0e0) AS mean_fp_in_losses,
   CASE WHEN avg(total_points) > 0 THEN {s.r(s.clamp('coalesce(avg(CASE WHEN won THEN total_points END), 0e0) / avg(total_points) * 100', '0e0', '100e0'), 2)} ELSE 50e0 END AS wci_score, {count('high')} AS high_leverage_matches, {s.rate(count('high AND won'), count('high'), '1', 4)} AS winning_in_high_leverage_pct FROM h GROUP BY player_id)
 SELECT * FROM g"""
@@ -94,10 +104,12 @@ def p14_format_switch(s: Dialect, fmt: str = "T20") -> str:
     w = "PARTITION BY player_id ORDER BY match_date, match_id"
     return f"""{_z(s)},
 l AS (SELECT *, lag(fmt) OVER ({w}) AS before, lag(match_date) OVER ({w}) AS prior FROM z),
-t AS (SELECT player_id, z, CASE WHEN before IS NULL THEN 'settled' WHEN before <> fmt AND {s.days('match_date', 'prior')} <= 7 THEN 'switch' WHEN before = fmt AND {s.days('match_date', 'prior')} >= 10 THEN 'settled' END AS kind FROM l),
-g AS (SELECT player_id, {count("kind = 'switch'")} AS switch_matches, {count("kind = 'settled'")} AS settled_matches, coalesce({s.r("avg(CASE WHEN kind = 'switch' THEN z END)", 4)}, 0e0) AS switch_avg_z, coalesce({s.r("avg(CASE WHEN kind = 'settled' THEN z END)", 4)}, 0e0) AS settled_avg_z FROM t GROUP BY player_id),
+t AS (SELECT player_id, z, before, fmt, CASE WHEN before IS NULL THEN 'settled' WHEN before <> fmt AND {s.days('match_date', 'prior')} <= 7 THEN 'switch' WHEN before = fmt AND {s.days('match_date', 'prior')} >= 10 THEN 'settled' END AS kind FROM l),
+g AS (SELECT player_id, {count("kind = 'switch'")} AS switch_matches, {count("kind = 'settled'")} AS settled_matches, coalesce({s.r("avg(CASE WHEN kind = 'switch' THEN z END)", 4)}, 0e0) AS switch_avg_z, coalesce({s.r("avg(CASE WHEN kind = 'settled' THEN z END)", 4)}, 0e0) AS settled_avg_z,
+  avg(CASE WHEN kind = 'switch' AND before = 'T20' AND fmt = 'ODI' THEN z END) AS down, avg(CASE WHEN kind = 'switch' AND before = 'ODI' AND fmt = 'T20' THEN z END) AS up FROM t GROUP BY player_id),
 a AS (SELECT *, {s.r('switch_avg_z - settled_avg_z', 4)} AS performance_delta, {s.r(s.clamp('1 - abs(switch_avg_z - settled_avg_z)', '0e0', '1e0'), 4)} AS format_adaptability_score FROM g)
-SELECT *, CASE WHEN abs(performance_delta) < 0.2 THEN 'format-agnostic' WHEN abs(performance_delta) < 0.5 THEN 'slight' ELSE 'significant' END AS verdict FROM a"""
+SELECT player_id, switch_matches, settled_matches, switch_avg_z, settled_avg_z, performance_delta, format_adaptability_score, CASE WHEN down IS NULL AND up IS NULL THEN NULL WHEN up IS NULL OR down <= up THEN 'T20_to_ODI' ELSE 'ODI_to_T20' END AS worst_switch_direction,
+  CASE WHEN abs(performance_delta) < 0.2 THEN 'format-agnostic' WHEN abs(performance_delta) < 0.5 THEN 'slight-impact' ELSE 'significant-impact' END AS verdict FROM a"""
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "fp" and k[1:3].isdigit()}

@@ -189,17 +189,19 @@ def x04_backtest_windows(s: Dialect, fmt: str = "T20") -> str:
 r AS (SELECT form.player_id, m.match_date FROM form JOIN matches m ON form.match_id = m.match_id WHERE prior_matches >= 3),
 per AS (SELECT match_date, count(*) AS n FROM r GROUP BY match_date),
 lo AS (SELECT min(match_date) AS first_date, max(match_date) AS last_date FROM per),
-w AS (SELECT g.g AS window_no, {s.add_days('first_date', 'g.g * 30')} AS cursor_date, last_date FROM lo JOIN {s.grid('200')} g ON true),
+w AS (SELECT g AS window_no, {s.add_days('first_date', 'g * 30')} AS cursor_date, last_date FROM (SELECT lo.*, {s.steps(s.days('last_date', 'first_date') + ' / 30')} AS g FROM lo) x),
 c AS (SELECT window_no, cursor_date, {total('n', 'match_date < cursor_date')} AS n_train, {total('n', f"match_date >= cursor_date AND match_date < {s.add_days('cursor_date', '90')}")} AS n_val FROM w JOIN per ON per.match_date < {s.add_days('cursor_date', '90')} WHERE cursor_date <= last_date GROUP BY 1, 2)
 SELECT cast(window_no as bigint) AS window_no, cursor_date, n_train, n_val FROM c WHERE n_train >= 1000 AND n_val >= 50"""
 
 
 def x05_baseline_metrics(s: Dialect, fmt: str = "T20") -> str:
     """Each season's mean of the last five matches as the prediction: RMSE, rank correlation (average ranks), share of the true top eleven found."""
-    rank = lambda x: f"rank() OVER (PARTITION BY season ORDER BY {x}) + (count(*) OVER (PARTITION BY season, {x}) - 1) / 2"
+    # ranks by counts of distinct values: points and means of five of them are few, whatever the rows
+    rank = lambda x: f"SELECT season, {x}, sum(count(*)) OVER (PARTITION BY season ORDER BY {x}) - (count(*) - 1) / 2 AS r{x} FROM r GROUP BY season, {x}"
     return f"""{_form(s)},
 r AS (SELECT m.season, form.match_id, form.player_id, target AS y, points_mean_5 AS p FROM form JOIN matches m ON form.match_id = m.match_id WHERE prior_matches >= 3),
-rk AS (SELECT *, {rank('y')} AS ry, {rank('p')} AS rp, row_number() OVER (PARTITION BY match_id ORDER BY y DESC, player_id) AS ty, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, player_id) AS tp, count(*) OVER (PARTITION BY match_id) AS n FROM r),
+ky AS ({rank('y')}), kp AS ({rank('p')}),
+rk AS (SELECT r.*, ry, rp, row_number() OVER (PARTITION BY match_id ORDER BY r.y DESC, player_id) AS ty, row_number() OVER (PARTITION BY match_id ORDER BY r.p DESC, player_id) AS tp, count(*) OVER (PARTITION BY match_id) AS n FROM r JOIN ky ON r.season IS NOT DISTINCT FROM ky.season AND r.y = ky.y JOIN kp ON r.season IS NOT DISTINCT FROM kp.season AND r.p = kp.p),
 o AS (SELECT season, match_id, {count('ty <= 11 AND tp <= 11')} / 11 AS overlap FROM rk WHERE n >= 11 GROUP BY season, match_id),
 oo AS (SELECT season, avg(overlap) AS top_11_overlap FROM o GROUP BY season),
 a AS (SELECT season, count(*) AS n, sqrt(avg((y - p) * (y - p))) AS rmse, corr(cast(ry as double), cast(rp as double)) AS rho FROM rk GROUP BY season)

@@ -21,9 +21,22 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Write `df` to the session's shared checkpoint folder and go on from there; a temporary folder only where that is unset (tests)."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crease-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="crease-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the session's shared checkpoint folder; in a temporary one only in local mode (tests)."""
+    return f"{_shared(spark).rstrip('/')}/{name}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Write `df` to the session's shared checkpoint folder and go on from there."""
+    _shared(df.sparkSession)
     return df.checkpoint()

@@ -62,10 +62,16 @@ SELECT d.*, m.league_id, m.season, m.match_date, m.venue_id, m.team1, m.team2, m
 FROM deliveries d JOIN matches m ON d.match_id = m.match_id JOIN leagues l ON m.league_id = l.league_id"""
 
 
+#: Runs per over off pace bowling at each venue, over all its matches; a table of venues takes its place where there is one.
+VENUES = """
+SELECT d.venue_id, sum(d.runs_total) * 6e0 / count(*) AS avg_pace_economy FROM d JOIN players b ON d.bowler_id = b.player_id
+WHERE legal AND d.venue_id IS NOT NULL AND b.bowling_style IN ('right-arm fast', 'right-arm medium', 'left-arm fast') GROUP BY d.venue_id"""
+
+
 def leagues() -> str:
     return _literal(LEAGUES, "league_id, format, difficulty, similarity, tier")
 
 
-def base(lineitem: str, orders: str, customer: str) -> str:
-    """The CTEs deliveries, matches, players, leagues and d."""
-    return f"WITH deliveries AS ({deliveries(lineitem)}),\nmatches AS ({matches(orders)}),\nplayers AS ({players(customer)}),\nleagues AS ({leagues()}),\nd AS ({JOINED})"
+def tables(lineitem: str, orders: str, customer: str) -> dict[str, str]:
+    """The SQL of deliveries, matches, players, leagues, d and venues."""
+    return {"deliveries": deliveries(lineitem), "matches": matches(orders), "players": players(customer), "leagues": leagues(), "d": JOINED, "venues": VENUES}

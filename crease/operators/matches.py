@@ -36,7 +36,9 @@ w AS (SELECT venue_id, count(*) AS total_matches, {s.rate(count('winner IS NOT N
 g AS (SELECT venue_id, {s.rate(total('runs_total', 'innings = 1'), count('innings = 1'), '6', 2)} AS rr1, {s.rate(total('runs_total', 'innings = 2'), count('innings = 2'), '6', 2)} AS rr2 FROM d WHERE fmt = '{fmt}' AND faced AND over_no >= {a} AND over_no < {overs(fmt)} GROUP BY venue_id),
 x AS (SELECT w.venue_id, total_matches, batting_second_win_pct, coalesce(rr1, 0e0) AS death_overs_1st_innings_rr, coalesce(rr2, 0e0) AS death_overs_2nd_innings_rr,
   coalesce({s.r(s.clamp('(rr2 - rr1) / nullif(rr1, 0) * 10', '0e0', '10e0'), 2)}, 0e0) AS dew_factor_score FROM w LEFT JOIN g ON w.venue_id = g.venue_id)
-SELECT *, CASE WHEN dew_factor_score >= 7 THEN 'heavy' WHEN dew_factor_score >= 4 THEN 'moderate' WHEN dew_factor_score >= 1 THEN 'slight' ELSE 'none' END AS dew_effect FROM x"""
+SELECT *, CASE WHEN dew_factor_score >= 7 THEN 'heavy' WHEN dew_factor_score >= 4 THEN 'moderate' WHEN dew_factor_score >= 1 THEN 'slight' ELSE 'none' END AS dew_effect, '{'overs_16-20' if fmt == 'T20' else 'overs_41-50'}' AS strongest_effect_phase,
+  CASE WHEN dew_factor_score >= 7 THEN 'Strong effect: sides batting second have a clear advantage in the last overs' WHEN dew_factor_score >= 4 THEN 'Moderate effect: some advantage for sides batting second in the last overs' WHEN dew_factor_score >= 1 THEN 'Mild effect: a slight advantage for sides batting second'
+  WHEN dew_factor_score <= 0 AND death_overs_1st_innings_rr > 0 THEN 'No effect: the last overs of the first innings are as productive or more' ELSE 'Too few deliveries to tell' END AS dew_effect_interpretation FROM x"""
 
 
 def _par(s: Dialect, fmt: str) -> str:
@@ -95,17 +97,32 @@ p AS (SELECT least(team1, team2) AS a, greatest(team1, team2) AS b, winner, matc
 c AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY match_date DESC, match_id DESC) AS k, first_value(winner) OVER (PARTITION BY a, b ORDER BY match_date DESC, match_id DESC) AS latest FROM p WHERE winner IS NOT NULL),
 st AS (SELECT *, sum(CASE WHEN winner <> latest THEN 1 ELSE 0 END) OVER (PARTITION BY a, b ORDER BY k) AS breaks FROM c),
 sk AS (SELECT a, b, max(latest) AS streak_team, {count('breaks = 0')} AS current_streak FROM st GROUP BY a, b),
+five AS (SELECT a, b, {s.joined(f"concat({s.text('match_date')}, ' ', coalesce(winner, 'no result'))", ', ', 'k')} AS last_5_results FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY match_date DESC, match_id DESC) AS k FROM p) y WHERE k <= 5 GROUP BY a, b),
 g AS (SELECT a, b, count(*) AS total_meetings, {count('winner = a')} AS team1_wins, {count('winner = b')} AS team2_wins, {count('winner IS NULL')} AS no_results FROM p GROUP BY a, b)
-SELECT g.a AS team1, g.b AS team2, total_meetings, team1_wins, team2_wins, no_results, {s.rate('team1_wins', 'team1_wins + team2_wins', '100', 2)} AS team1_win_pct, streak_team, coalesce(current_streak, 0) AS current_streak,
-  CASE WHEN team1_wins > team2_wins THEN g.a WHEN team2_wins > team1_wins THEN g.b END AS dominant_team FROM g LEFT JOIN sk ON g.a = sk.a AND g.b = sk.b"""
+SELECT g.a AS team1, g.b AS team2, total_meetings, team1_wins, team2_wins, no_results, {s.rate('team1_wins', 'total_meetings', '1', 2)} AS team1_win_pct, last_5_results, streak_team, coalesce(current_streak, 0) AS current_streak,
+  CASE WHEN team1_wins > team2_wins THEN g.a WHEN team2_wins > team1_wins THEN g.b ELSE 'even' END AS dominant_team FROM g LEFT JOIN sk ON g.a = sk.a AND g.b = sk.b JOIN five ON g.a = five.a AND g.b = five.b"""
 
 
 def m01_pitch(s: Dialect, fmt: str = "T20", after_over: int = 3) -> str:
+    """How the pitch plays from the first overs, against the venue's economy of pace bowling (75e-1 where it isn't known)."""
+    few, plural = "n < 12", lambda x, word: f"CASE WHEN {x} = 1 THEN '{word}' ELSE '{word}s' END"
+    rate, kinds = s.text("actual_run_rate"), ("bowled", "caught", "lbw", "run out", "stumped")
+    counts = ", ".join(f"{count(f'wicket_type = {chr(39)}{k}{chr(39)}')} AS w_{k.replace(' ', '_')}" for k in kinds)
+    said = " || ".join(f"CASE WHEN w_{k.replace(' ', '_')} > 0 THEN concat(', {k}: ', {s.text('w_' + k.replace(' ', '_'))}) ELSE '' END" for k in kinds)
+    overs = f"{after_over} over{'s' if after_over != 1 else ''}"
     return f"""{s.base},
-g AS (SELECT match_id, count(*) AS n, {count('legal')} AS balls, {total('runs_total')} AS runs, {count(OUT)} AS wickets_in_sample, {count("wicket_type IN ('bowled', 'lbw')")} AS straight, {count("wicket_type = 'caught'")} AS caught FROM d WHERE innings = 1 AND over_no < {after_over} GROUP BY match_id),
-r AS (SELECT match_id, n, wickets_in_sample, {s.rate('runs', 'balls', '6', 2)} AS actual_run_rate, {s.rate('straight', 'wickets_in_sample', '1', 2)} AS pace_indicator, {s.rate('caught', 'wickets_in_sample', '1', 2)} AS bounce FROM g)
-SELECT match_id, wickets_in_sample, actual_run_rate, pace_indicator, CASE WHEN n < 12 THEN 'insufficient_data' WHEN pace_indicator > 0.5 AND actual_run_rate < 7.5 THEN 'pace-friendly' WHEN bounce > 0.5 THEN 'pace-friendly' WHEN actual_run_rate > 9 THEN 'batting-friendly' WHEN wickets_in_sample = 0 AND actual_run_rate > 8 THEN 'batting-friendly' ELSE 'balanced' END AS classification,
-  CASE WHEN wickets_in_sample <= 1 THEN 'low' WHEN wickets_in_sample <= 3 THEN 'medium' ELSE 'high' END AS confidence, {s.r('actual_run_rate - 75e-1', 2)} AS vs_venue_baseline FROM r"""
+g AS (SELECT d.match_id, max(v.avg_pace_economy) AS venue_economy, count(*) AS n, {count('faced')} AS balls, {total('runs_total')} AS runs, {count(OUT)} AS wickets, {counts} FROM d LEFT JOIN venues v ON d.venue_id = v.venue_id WHERE innings = 1 AND over_no < {after_over} GROUP BY d.match_id),
+r AS (SELECT *, {s.r('runs / greatest(balls, 1) * 6', 2)} AS rr, {s.r('(w_bowled + w_lbw) / greatest(wickets, 1)', 2)} AS pi, w_caught / greatest(wickets, 1) AS bounce, coalesce(venue_economy, 75e-1) AS par FROM g),
+c AS (SELECT match_id, n, venue_economy, w_bowled + w_lbw AS straight, w_caught, CASE WHEN {few} THEN 0 ELSE {after_over} END AS overs_analyzed, CASE WHEN {few} THEN 0 ELSE wickets END AS wickets_in_sample, CASE WHEN {few} THEN 0e0 ELSE rr END AS actual_run_rate, CASE WHEN {few} THEN 0e0 ELSE pi END AS pace_indicator,
+  CASE WHEN {few} THEN '' ELSE substring({said}, 3) END AS wicket_types,
+  CASE WHEN {few} THEN 'insufficient_data' WHEN pi > 5e-1 AND rr < par THEN 'pace-friendly' WHEN bounce > 5e-1 THEN 'pace-friendly' WHEN rr > 9 THEN 'batting-friendly' WHEN wickets = 0 AND rr > 8 THEN 'batting-friendly' ELSE 'balanced' END AS classification FROM r)
+SELECT match_id, overs_analyzed, wickets_in_sample, wicket_types, actual_run_rate, pace_indicator, classification, CASE WHEN wickets_in_sample <= 1 THEN 'low' WHEN wickets_in_sample <= 3 THEN 'medium' ELSE 'high' END AS confidence,
+  CASE WHEN {few} OR venue_economy IS NULL THEN NULL WHEN abs(actual_run_rate - venue_economy) <= 3e-1 THEN 'at' WHEN actual_run_rate > venue_economy THEN 'above' ELSE 'below' END AS vs_venue_baseline,
+  CASE WHEN {few} THEN 'Too few deliveries to classify the pitch.'
+    WHEN classification = 'pace-friendly' AND wickets_in_sample > 0 THEN concat({s.text('wickets_in_sample')}, ' ', {plural('wickets_in_sample', 'wicket')}, ' in {overs} with ', CASE WHEN straight > 0 AND w_caught > 0 THEN concat({s.text('straight')}, ' bowled/LBW, ', {s.text('w_caught')}, ' caught') WHEN straight > 0 THEN concat({s.text('straight')}, ' bowled/LBW') WHEN w_caught > 0 THEN concat({s.text('w_caught')}, ' caught') ELSE 'dismissals' END, ': there is seam movement.')
+    WHEN classification = 'batting-friendly' AND venue_economy IS NOT NULL THEN concat({rate}, ' an over in {overs}, against a venue average of ', {s.text(s.r('venue_economy', 2))}, ': a flat track.')
+    WHEN classification = 'batting-friendly' THEN concat({rate}, ' an over in {overs}: a flat track.')
+    ELSE concat({rate}, ' an over with ', {s.text('wickets_in_sample')}, ' ', {plural('wickets_in_sample', 'wicket')}, ' in {overs}: balanced.') END AS interpretation FROM c"""
 
 
 def _curve(s: Dialect) -> str:
@@ -119,15 +136,19 @@ v AS (SELECT u.*, greatest(coalesce(target, 1) - rs, 0) AS need, greatest(120 -
 x AS (SELECT *, {chase} AS raw, {first} AS wp1 FROM v)"""
 
 
-def m02_momentum(s: Dialect, fmt: str = "T20") -> str:
+def _momentum(s: Dialect) -> str:
     return f"""{_curve(s)},
 y AS (SELECT *, CASE WHEN innings = 1 THEN wp1 ELSE {s.r(s.clamp('raw - wk * 25e-3', '5e-2', '95e-2'), 2)} END AS wp_batting_team FROM x),
-z AS (SELECT *, coalesce({s.r('wp_batting_team - lag(wp_batting_team) OVER (PARTITION BY match_id, innings ORDER BY delivery_id)', 2)}, CASE WHEN innings = 1 THEN 0e0 ELSE {s.r('wp_batting_team - 5e-1', 2)} END) AS wp_delta FROM y)
-SELECT match_id, innings, delivery_id, over_ball, CASE WHEN runs_total >= 4 THEN 'boundary' WHEN {OUT} THEN 'wicket' WHEN runs_total = 0 THEN 'dot' ELSE 'normal' END AS event, cast(runs_total as bigint) AS runs_this_ball, wicket_type, wp_batting_team, wp_delta FROM z"""
+z AS (SELECT *, coalesce({s.r('wp_batting_team - lag(wp_batting_team) OVER (PARTITION BY match_id, innings ORDER BY delivery_id)', 2)}, CASE WHEN innings = 1 THEN 0e0 ELSE {s.r('wp_batting_team - 5e-1', 2)} END) AS wp_delta FROM y),
+curve AS (SELECT match_id, innings, delivery_id, over_ball, CASE WHEN runs_total >= 4 THEN 'boundary' WHEN {OUT} THEN 'wicket' WHEN runs_total = 0 THEN 'dot' ELSE 'normal' END AS event, cast(runs_total as bigint) AS runs_this_ball, wicket_type, wp_batting_team, wp_delta FROM z)"""
+
+
+def m02_momentum(s: Dialect, fmt: str = "T20") -> str:
+    return f"{_momentum(s)}\nSELECT * FROM curve"
 
 
 def m02_turning_point(s: Dialect, fmt: str = "T20") -> str:
-    return f"""{m02_momentum(s, fmt).replace(f"{chr(10)}SELECT match_id, innings, delivery_id", f",{chr(10)}curve AS (SELECT match_id, innings, delivery_id")}),
+    return f"""{_momentum(s)},
 k AS (SELECT match_id, delivery_id, innings, event, wp_delta, cast(row_number() OVER (PARTITION BY match_id ORDER BY abs(wp_delta) DESC, delivery_id) as bigint) AS rank FROM curve)
 SELECT * FROM k WHERE rank <= 3"""
 
@@ -141,7 +162,7 @@ w AS (SELECT *, lag(wp_after, 1, 5e-1) OVER (PARTITION BY match_id, innings ORDE
 kb AS (SELECT match_id, innings, over_no, striker_id, bowler_id, wicket_type, row_number() OVER (PARTITION BY match_id, innings, over_no ORDER BY CASE WHEN {OUT} THEN 0 ELSE 1 END, CASE WHEN {OUT} THEN 0 ELSE -runs_total END, delivery_id) AS k FROM x),
 r AS (SELECT w.match_id, w.innings, w.over_no + 1 AS over, w.runs, wp_before, wp_after, {s.r('wp_after - wp_before', 2)} AS wp_swing, striker_id, bowler_id, wicket_type FROM w JOIN kb ON w.match_id = kb.match_id AND w.innings = kb.innings AND w.over_no = kb.over_no AND kb.k = 1),
 t AS (SELECT *, cast(row_number() OVER (PARTITION BY match_id ORDER BY abs(wp_swing) DESC, innings, over) as bigint) AS rank FROM r)
-SELECT * FROM t WHERE rank <= 5"""
+SELECT *, concat('Over ', {s.text('over')}, ' (innings ', {s.text('innings')}, '): ', {s.text('runs')}, ' runs', CASE WHEN {OUT} THEN concat(', wicket (', wicket_type, ')') ELSE '' END, ' swung win probability ', CASE WHEN wp_swing >= 0 THEN '+' ELSE '' END, {s.text('wp_swing')}, ' toward the ', CASE WHEN innings = 2 THEN 'chasing side' ELSE 'batting side' END, '.') AS description FROM t WHERE rank <= 5"""
 
 
 def l01_final_over_bowlers(s: Dialect, fmt: str = "T20", limit: int = 10) -> str:
@@ -149,7 +170,7 @@ def l01_final_over_bowlers(s: Dialect, fmt: str = "T20", limit: int = 10) -> str
 g AS (SELECT league_id, bowler_id AS player_id, {count('faced')} AS balls, {total('runs_total')} AS runs_conceded, {count(f'faced AND {OUT}')} AS wickets FROM d WHERE innings = 2 AND over_no = CASE WHEN fmt = 'ODI' THEN 49 ELSE 19 END GROUP BY 1, 2),
 r AS (SELECT *, {s.rate('runs_conceded', 'balls', '6', 2)} AS economy FROM g WHERE balls >= 10),
 k AS (SELECT *, cast(row_number() OVER (PARTITION BY league_id ORDER BY economy, player_id) as bigint) AS rank FROM r)
-SELECT k.*, coalesce(p.name, {s.text('k.player_id')}) AS name FROM k LEFT JOIN players p ON k.player_id = p.player_id WHERE rank <= {limit}"""
+SELECT k.*, coalesce(p.name, {s.text('k.player_id')}) AS name, concat({s.text('balls')}, ' balls in final over') AS qualification FROM k LEFT JOIN players p ON k.player_id = p.player_id WHERE rank <= {limit}"""
 
 
 def l01_final_over_batters(s: Dialect, fmt: str = "T20", limit: int = 10) -> str:
@@ -157,14 +178,27 @@ def l01_final_over_batters(s: Dialect, fmt: str = "T20", limit: int = 10) -> str
 g AS (SELECT league_id, striker_id AS player_id, count(*) AS balls, {total('runs_batter')} AS runs, {count('runs_batter = 6')} AS sixes, {count('runs_batter = 4')} AS fours FROM d WHERE faced AND innings = 2 AND over_no = CASE WHEN fmt = 'ODI' THEN 49 ELSE 19 END GROUP BY 1, 2),
 r AS (SELECT *, {s.rate('runs', 'balls', '100', 2)} AS strike_rate FROM g WHERE balls >= 10),
 k AS (SELECT *, cast(row_number() OVER (PARTITION BY league_id ORDER BY strike_rate DESC, player_id) as bigint) AS rank FROM r)
-SELECT k.*, coalesce(p.name, {s.text('k.player_id')}) AS name FROM k LEFT JOIN players p ON k.player_id = p.player_id WHERE rank <= {limit}"""
+SELECT k.*, coalesce(p.name, {s.text('k.player_id')}) AS name, concat({s.text('balls')}, ' balls in final over') AS qualification FROM k LEFT JOIN players p ON k.player_id = p.player_id WHERE rank <= {limit}"""
 
 
-def u01_bowler_matchups(s: Dialect, fmt: str = "T20") -> str:
+def _matchups(s: Dialect, fmt: str) -> str:
     return f"""{s.base},
 g AS (SELECT striker_id AS batter_id, bowler_id AS player_id, count(*) AS balls_faced, {total('runs_batter')} AS runs, {count(OUT)} AS dismissals FROM d WHERE fmt = '{fmt}' AND faced GROUP BY 1, 2),
-r AS (SELECT *, {s.rate('runs', 'balls_faced', '100', 2)} AS sr_conceded, {s.rate('dismissals', 'balls_faced', '10', 2)} AS dismissal_rate FROM g)
-SELECT r.*, CASE WHEN balls_faced >= 20 THEN 'high' WHEN balls_faced >= 10 THEN 'medium' ELSE 'low' END AS confidence, cast(row_number() OVER (PARTITION BY batter_id ORDER BY dismissal_rate DESC, sr_conceded, r.player_id) as bigint) AS rank, coalesce(p.name, {s.text('r.player_id')}) AS name FROM r LEFT JOIN players p ON r.player_id = p.player_id"""
+r AS (SELECT *, {s.rate('runs', 'balls_faced', '100', 2)} AS sr_conceded, {s.rate('dismissals', 'balls_faced', '10', 2)} AS dismissal_rate FROM g),
+mu AS (SELECT r.*, CASE WHEN balls_faced >= 20 THEN 'high' WHEN balls_faced >= 10 THEN 'medium' ELSE 'low' END AS confidence, cast(row_number() OVER (PARTITION BY batter_id ORDER BY dismissal_rate DESC, sr_conceded, r.player_id) as bigint) AS rank, coalesce(p.name, {s.text('r.player_id')}) AS name FROM r LEFT JOIN players p ON r.player_id = p.player_id)"""
+
+
+def u01_bowler_matchups(s: Dialect, fmt: str = "T20") -> str:
+    return f"{_matchups(s, fmt)}\nSELECT * FROM mu"
+
+
+def u01_recommendation(s: Dialect, fmt: str = "T20") -> str:
+    """The bowler to choose against each batter, and whose figures rest on few balls."""
+    return f"""{_matchups(s, fmt)},
+f AS (SELECT batter_id, {s.joined('name', ', ', 'rank')} AS names FROM mu WHERE confidence = 'low' GROUP BY batter_id)
+SELECT mu.batter_id, CASE WHEN dismissals > 0 THEN concat(name, ' is the most effective choice (', {s.text('dismissals')}, CASE WHEN dismissals = 1 THEN ' dismissal in ' ELSE ' dismissals in ' END, {s.text('balls_faced')}, ' balls, strike rate ', {s.text('sr_conceded')}, ')')
+  ELSE concat(name, ' concedes the lowest strike rate (', {s.text('sr_conceded')}, ' in ', {s.text('balls_faced')}, ' balls)') END AS recommendation, CASE WHEN f.names IS NOT NULL THEN concat('Few balls for: ', f.names) END AS caveat
+FROM mu LEFT JOIN f ON mu.batter_id = f.batter_id WHERE rank = 1"""
 
 
 def u02_partnerships(s: Dialect, fmt: str = "T20") -> str:
@@ -206,6 +240,23 @@ y AS (SELECT *, {s.r('runs_needed / nullif(balls_remaining, 0) * 6', 2)} AS requ
 SELECT state_id, innings, overs_done, wickets, runs, target, sample_size, CASE WHEN required_rr > {36 if fmt == 'T20' else 20} THEN least(p, 2e-2) ELSE p END AS win_probability, runs_needed, balls_remaining, required_rr, {CONFIDENCE} FROM y"""
 
 
+def check_state(innings: int, overs_done: int, wickets: int, runs: int, target: int | None, fmt: str = "T20") -> None:
+    """Raises ValueError for a state of a match that can't be."""
+    if innings not in (1, 2) or not 0 <= wickets <= 10 or runs < 0:
+        raise ValueError("innings must be 1 or 2, wickets 0 to 10 and runs no less than 0")
+    if innings == 2 and target is None:
+        raise ValueError("a chase needs a target")
+    if not 1 <= overs_done <= overs(fmt):
+        raise ValueError(f"overs must be 1 to {overs(fmt)} in {fmt}")
+
+
+def o01_blueprint(s: Dialect, fmt: str = "T20") -> str:
+    """What a chase at a steady rate has scored by the milestone overs that lie ahead, one short of the target at most."""
+    ahead = ", ".join(f"({o})" for o in ((10, 15, 18, 19) if fmt == "T20" else (20, 30, 40, 45, 48, 49)))
+    return f"""WITH {states()}, o AS (SELECT * FROM (VALUES {ahead}) AS v(over))
+SELECT state_id, over, cast(least(runs + {s.r(f'greatest(target - runs, 0) * ((over - overs_done) * 6) / greatest(({overs(fmt)} - overs_done) * 6, 1)', 0)}, target - 1) as bigint) AS target_runs_by_end FROM st JOIN o ON o.over > st.overs_done WHERE innings = 2 AND target IS NOT NULL"""
+
+
 def o02_collapse(s: Dialect, fmt: str = "T20") -> str:
     return f"""{_similar(s, fmt, 20, 35)},
 wn AS (SELECT c.state_id, d.match_id, d.delivery_id, d.runs_total, d.wicket_type, row_number() OVER (PARTITION BY c.state_id, d.match_id ORDER BY d.delivery_id) AS k

@@ -128,12 +128,13 @@ SELECT *, coalesce(balls >= 20 AND row_number() OVER (PARTITION BY player_id ORD
   row_number() OVER (PARTITION BY player_id ORDER BY CASE WHEN sr >= {150 if fmt == 'T20' else 100} THEN 0 ELSE 1 END, CASE zone WHEN '1_10' THEN 0 WHEN '11_20' THEN 1 WHEN '21_30' THEN 2 WHEN '31_40' THEN 3 ELSE 4 END) = 1 AND sr >= {150 if fmt == 'T20' else 100} AS is_ignition FROM r"""
 
 
-def p10_milestones(s: Dialect, fmt: str = "T20") -> str:
-    return f"""{_faced(s, fmt)},
+def p10_milestones(s: Dialect, fmt: str = "T20", final: bool = True) -> str:
+    ctes = f"""{_faced(s, fmt)},
 u AS (SELECT *, coalesce(sum(runs_batter) OVER (PARTITION BY player_id, match_id, innings ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
 o AS (SELECT player_id, {s.rate('sum(runs_batter)', 'count(*)', '100', 2)} AS overall_sr FROM f GROUP BY player_id),
-w AS (SELECT player_id, CASE WHEN before BETWEEN 20 AND 24 THEN '25' WHEN before BETWEEN 45 AND 49 THEN '50' ELSE '100' END AS milestone, count(*) AS sample, {s.rate('sum(runs_batter)', 'count(*)', '100', 2)} AS sr FROM u WHERE before BETWEEN 20 AND 24 OR before BETWEEN 45 AND 49 OR before BETWEEN 90 AND 99 GROUP BY 1, 2)
-SELECT w.player_id, overall_sr, milestone, sr, {s.r('sr - overall_sr', 2)} AS sr_delta, sample FROM w JOIN o ON w.player_id = o.player_id"""
+w AS (SELECT player_id, CASE WHEN before BETWEEN 20 AND 24 THEN '25' WHEN before BETWEEN 45 AND 49 THEN '50' ELSE '100' END AS milestone, count(*) AS sample, {s.rate('sum(runs_batter)', 'count(*)', '100', 2)} AS sr FROM u WHERE before BETWEEN 20 AND 24 OR before BETWEEN 45 AND 49 OR before BETWEEN 90 AND 99 GROUP BY 1, 2),
+ms AS (SELECT w.player_id, overall_sr, milestone, sr, {s.r('sr - overall_sr', 2)} AS sr_delta, sample FROM w JOIN o ON w.player_id = o.player_id)"""
+    return f"{ctes}\nSELECT * FROM ms" if final else ctes
 
 
 def p10_conversion(s: Dialect, fmt: str = "T20") -> str:
@@ -143,6 +144,14 @@ c AS (SELECT player_id, {count('runs >= 25')} AS reached_25, {count('runs >= 50'
 SELECT *, {s.rate('reached_50', 'reached_25', '1', 4)} AS conversion_25_to_50, {s.rate('reached_100', 'reached_50', '1', 4)} AS conversion_50_to_100 FROM c"""
 
 
+def p10_label(s: Dialect, fmt: str = "T20") -> str:
+    """Whether a batter speeds up or slows down near milestones: the mean change over windows of five balls or more."""
+    return f"""{p10_milestones(s, fmt, final=False)},
+who AS (SELECT DISTINCT player_id FROM f),
+g AS (SELECT who.player_id, coalesce(avg(ms.sr_delta), 0e0) AS delta FROM who LEFT JOIN ms ON who.player_id = ms.player_id AND ms.sample >= 5 GROUP BY who.player_id)
+SELECT player_id, CASE WHEN delta > 5 THEN 'accelerator' WHEN delta < -5 THEN 'freezer' ELSE 'unaffected' END AS label FROM g"""
+
+
 def _arrivals(s: Dialect, fmt: str) -> str:
     """Each batter's innings with arrival and position."""
     return f"""{s.base},
@@ -156,14 +165,26 @@ g AS (SELECT player_id, cast(position as bigint) AS position, count(*) AS matche
 SELECT *, matches >= 3 AND row_number() OVER (PARTITION BY player_id ORDER BY CASE WHEN matches >= 3 THEN 0 ELSE 1 END, avg_sr DESC, position) = 1 AS is_optimal FROM g"""
 
 
-def p13_inherited(s: Dialect, fmt: str = "T20") -> str:
+def _inherited(s: Dialect, fmt: str) -> str:
     """State at arrival from running sums over the innings, then a ladder."""
     return f"""{_arrivals(s, fmt)},
 run AS (SELECT delivery_id, over_no, coalesce(sum(CASE WHEN {OUT} THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, innings ORDER BY delivery_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w,
   coalesce(sum(runs_total) OVER (PARTITION BY match_id, innings ORDER BY delivery_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM d WHERE fmt = '{fmt}'),
 st AS (SELECT o.player_id, o.balls, o.runs, CASE WHEN w < 1 OR (w <= 2 AND over_no < 3) THEN 'clean_start' WHEN w >= 4 AND over_no < 10 AND innings = 2 AND r < 150 THEN 'rescue_mission' WHEN w >= 3 AND over_no < 10 THEN 'crisis'
-  WHEN w >= 5 AND over_no < 15 THEN 'crisis' WHEN w BETWEEN 1 AND 2 AND over_no < 10 THEN 'slight_pressure' ELSE 'clean_start' END AS state FROM o JOIN run ON o.first_ball = run.delivery_id WHERE o.balls > 0)
-SELECT player_id, state, count(*) AS innings, {s.r('avg(runs / balls * 100)', 2)} AS avg_sr, {s.r('avg(runs)', 2)} AS avg_runs FROM st GROUP BY player_id, state"""
+  WHEN w >= 5 AND over_no < 15 THEN 'crisis' WHEN w BETWEEN 1 AND 2 AND over_no < 10 THEN 'slight_pressure' ELSE 'clean_start' END AS state FROM o JOIN run ON o.first_ball = run.delivery_id WHERE o.balls > 0),
+bs AS (SELECT player_id, state, count(*) AS innings, {s.r('avg(runs / balls * 100)', 2)} AS avg_sr, {s.r('avg(runs)', 2)} AS avg_runs FROM st GROUP BY player_id, state)"""
+
+
+def p13_inherited(s: Dialect, fmt: str = "T20") -> str:
+    return f"{_inherited(s, fmt)}\nSELECT * FROM bs"
+
+
+def p13_summary(s: Dialect, fmt: str = "T20") -> str:
+    """The state a batter scores fastest from (the first in order of ties), and a crisis against a clean start."""
+    at = "CASE state WHEN 'clean_start' THEN 0 WHEN 'slight_pressure' THEN 1 WHEN 'crisis' THEN 2 ELSE 3 END"
+    return f"""{_inherited(s, fmt)},
+k AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY avg_sr DESC, {at}) AS k FROM bs)
+SELECT player_id, max(CASE WHEN k = 1 THEN state END) AS best_state, {s.r("coalesce(max(CASE WHEN state = 'crisis' THEN avg_sr END), 0e0) - coalesce(max(CASE WHEN state = 'clean_start' THEN avg_sr END), 0e0)", 2)} AS crisis_delta FROM k GROUP BY player_id"""
 
 
 def _spells(s: Dialect, fmt: str) -> str:
@@ -209,7 +230,7 @@ def p19_sixes(s: Dialect, fmt: str = "T20") -> str:
     return f"""{s.base},
 g AS (SELECT striker_id AS player_id, count(*) AS balls, count(DISTINCT match_id) AS innings, {count('runs_batter = 6')} AS total_sixes, {count(f'runs_batter = 6 AND over_ball < {a}')} AS powerplay_sixes,
   {count(f'runs_batter = 6 AND over_ball >= {a} AND over_ball < {b}')} AS middle_sixes, {count(f'runs_batter = 6 AND over_ball >= {b}')} AS death_sixes FROM d WHERE fmt = '{fmt}' AND faced GROUP BY striker_id)
-SELECT player_id, total_sixes, {s.rate('total_sixes', 'balls', '100', 2)} AS six_rate, {s.rate('total_sixes', 'innings', '1', 2)} AS sixes_per_innings, powerplay_sixes, middle_sixes, death_sixes,
+SELECT player_id, total_sixes, {s.rate('total_sixes', 'balls', '100', 2)} AS six_rate, {s.rate('total_sixes', 'innings', '1', 2)} AS sixes_per_innings, powerplay_sixes, middle_sixes, death_sixes, {', '.join(f"{s.rate(f'{p}_sixes', 'total_sixes', '1', 2)} AS {p}_pct" for p in ('powerplay', 'middle', 'death'))},
   CASE WHEN total_sixes = 0 THEN NULL WHEN powerplay_sixes >= middle_sixes AND powerplay_sixes >= death_sixes THEN 'powerplay' WHEN middle_sixes >= death_sixes THEN 'middle' ELSE 'death' END AS dominant_six_phase,
   {s.r('least(10e0, total_sixes / balls * 100 / 5 * 10)', 2)} AS power_rating FROM g WHERE balls >= 10"""
 
@@ -226,12 +247,22 @@ w AS (SELECT g.*, back_to_back_matches, {s.rate('total_balls_bowled', 'matches_b
 SELECT *, CASE WHEN economy_delta > 1 AND workload_level = 'high' THEN 'elevated' ELSE 'normal' END AS fatigue_signal FROM w"""
 
 
-def p21_ball_age(s: Dialect, fmt: str = "T20") -> str:
+def _ball_age(s: Dialect, fmt: str) -> str:
     a, b = (6, 15) if fmt == "T20" else (10, 40)
     return f"""{s.base},
 g AS (SELECT bowler_id AS player_id, CASE WHEN over_no < {a} THEN 'new_ball' WHEN over_no >= {b} THEN 'old_ball' ELSE 'middle' END AS segment, {count('legal')} AS balls, {total('runs_total')} AS runs, {count(OUT)} AS wickets FROM d WHERE fmt = '{fmt}' GROUP BY 1, 2),
-r AS (SELECT *, {s.rate('runs', 'balls', '6', 2)} AS economy, {s.rate('wickets', 'balls', '6', 2)} AS wickets_per_over FROM g)
-SELECT *, balls >= 12 AND row_number() OVER (PARTITION BY player_id ORDER BY CASE WHEN balls >= 12 THEN 0 ELSE 1 END, economy, segment) = 1 AS is_best FROM r"""
+r AS (SELECT *, {s.rate('runs', 'balls', '6', 2)} AS economy, {s.rate('wickets', 'balls', '6', 2)} AS wickets_per_over FROM g),
+ba AS (SELECT *, balls >= 12 AND row_number() OVER (PARTITION BY player_id ORDER BY CASE WHEN balls >= 12 THEN 0 ELSE 1 END, economy, CASE segment WHEN 'new_ball' THEN 0 WHEN 'middle' THEN 1 ELSE 2 END) = 1 AS is_best FROM r)"""
+
+
+def p21_ball_age(s: Dialect, fmt: str = "T20") -> str:
+    return f"{_ball_age(s, fmt)}\nSELECT * FROM ba"
+
+
+def p21_specialist(s: Dialect, fmt: str = "T20") -> str:
+    return f"""{_ball_age(s, fmt)},
+b AS (SELECT player_id, max(CASE WHEN is_best THEN segment END) AS best_phase FROM ba GROUP BY player_id)
+SELECT *, CASE best_phase WHEN 'new_ball' THEN 'new_ball_specialist' WHEN 'old_ball' THEN 'death_specialist' WHEN 'middle' THEN 'first_change' ELSE 'utility' END AS specialist_type FROM b"""
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "p" and k[1:3].isdigit()}

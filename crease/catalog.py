@@ -9,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crease.functions import names
 from crease.functions.dialect import Dialect
 from crease.operators import fantasy, features, lineup, matches, models, players, service
 from crease.session import kept, shared_path
@@ -91,11 +92,58 @@ def x06_predictions(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> D
     return models.predict(models.fit_points(train, val), val)
 
 
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The order tables' deliveries with names in place of ids, their matches, and maps that know two thirds of the names."""
+    s = stored_dialect(spark, sf_dir)
+    sql = lambda q: spark.sql(f"{s.base} {q}")
+    roles = ", ".join(f"cast(null as int) AS {r}_id, {r[0]}.name AS {r}" for r in names.ROLES)
+    joins = " ".join(f"LEFT JOIN players {r[0]} ON d.{r}_id = {r[0]}.player_id" for r in names.ROLES)
+    deliveries = sql(f"SELECT d.delivery_id, d.match_id, {roles} FROM d {joins}")
+    return deliveries, sql("SELECT match_id, league_id, match_date FROM matches"), *(sql(f"SELECT name, player_id FROM players WHERE player_id % 3 = {k}") for k in (0, 1))
+
+
+def n03_match_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per match the names of its deliveries by the way they were resolved."""
+    return names.resolve_matches(*_named(spark, sf_dir))[1]
+
+
+def n03_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deliveries with the ids that their names gave."""
+    return names.resolve_matches(*_named(spark, sf_dir))[0].select("delivery_id", *(f"{r}_id" for r in names.ROLES))
+
+
+def n04_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.totals(n03_match_resolution(spark, sf_dir))
+
+
+def n05_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Styles and roles of players, from labels as pages write them."""
+    s = stored_dialect(spark, sf_dir)
+    rows = spark.sql(f"{s.base} SELECT player_id, concat(' ', upper(bowling_style), ' ') AS style, CASE primary_role WHEN 'WK' THEN 'Wicketkeeper Batter' WHEN 'AR' THEN 'Bowling Allrounder' WHEN 'BAT' THEN 'Opening batter' ELSE 'Umpire' END AS role FROM players")
+    return rows.select("player_id", names.bowling_style(F.col("style"), {x: x for x in projection.STYLES}).alias("bowling_style"), names.playing_role(F.col("role")).alias("primary_role"))
+
+
+def _by_hand() -> dict[str, str]:
+    """SQL of the queries that are no templates."""
+    base = duckdb_dialect().base
+    said = f"""{base}, t AS (SELECT match_id, unnest([striker_id, bowler_id, non_striker_id, wicket_player_id]) AS id FROM d),
+c AS (SELECT match_id, count(*) AS total_names, count(*) FILTER (WHERE id % 3 = 0) AS exact, cast(0 as bigint) AS fuzzy, count(*) FILTER (WHERE id % 3 = 1) AS manual, count(*) FILTER (WHERE id % 3 = 2) AS unresolved FROM t JOIN players ON id = player_id GROUP BY match_id)"""
+    some = ", ".join(f"CASE WHEN {r}_id % 3 <> 2 AND {r}_id IN (SELECT player_id FROM players) {'AND striker_id <> bowler_id ' if r == 'bowler' else ''}THEN {r}_id END AS {r}_id" for r in names.ROLES)
+    sums = ", ".join(f"cast(sum({c}) as bigint) AS {c}" for c in ("total_names", "exact", "fuzzy", "manual", "unresolved"))
+    return {
+        "n03_match_resolution": f"{said} SELECT * FROM c",
+        "n03_resolved": f"{base} SELECT delivery_id, {some} FROM d",
+        "n04_totals": f"{said}, g AS (SELECT {sums} FROM c) SELECT *, round_even((total_names - unresolved) / total_names * 100, 1) AS resolution_rate FROM g",
+        "n05_labels": f"{base} SELECT player_id, bowling_style, CASE WHEN primary_role <> 'BOWL' THEN primary_role END AS primary_role FROM players",
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: (lambda spark, sf_dir, name=name: run(spark, name, stored_dialect(spark, sf_dir))) for name in TEMPLATES}
     out["x07_lineups"] = lambda spark, sf_dir: lineup.lineups(run(spark, "x07_candidates", stored_dialect(spark, sf_dir)))
+    out |= {f.__name__: f for f in (n03_match_resolution, n03_resolved, n04_totals, n05_labels)}
     return {**out, "x01_points_model": x01_points_model, "x02_outcome_model": x02_outcome_model, "x06_predictions": x06_predictions}
 
 
 def oracles() -> dict[str, str]:
-    return {name: f(duckdb_dialect()) for name, f in TEMPLATES.items()}
+    return {**{name: f(duckdb_dialect()) for name, f in TEMPLATES.items()}, **_by_hand()}

@@ -1,4 +1,4 @@
-"""Name resolution: exact map, then near names of the league and years, then manual overrides."""
+"""Name resolution: exact map, then near names of the league and years, then manual overrides; for names, matches and totals."""
 
 from __future__ import annotations
 
@@ -7,6 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The roles of a ball that are resolved, in this order.
+ROLES = ("striker", "bowler", "non_striker", "wicket_player")
+#: Labels of playing roles.
+ROLE_LABELS = {
+    "batter": "BAT", "batsman": "BAT", "top order batter": "BAT", "middle order batter": "BAT", "opening batter": "BAT", "bowler": "BOWL", "bowling allrounder": "AR",
+    "batting allrounder": "AR", "allrounder": "AR", "all-rounder": "AR", "wicketkeeper": "WK", "wicketkeeper batter": "WK", "wicket-keeper": "WK",
+}
+
 
 def _indel(a: str, b: str) -> float:
     """100 (1 - insertions and deletions / total length), from the longest common subsequence."""
@@ -30,26 +38,109 @@ def normalised(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
 
 
+def _ordered(name: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(normalised(name), " ")), " ")
+
+
+def _pairs_of_letters(name: Column) -> Column:
+    """Pairs of neighbouring letters of the name with its words sorted and its ends marked; those that repeat are numbered."""
+    marked = F.concat(F.lit("\x02"), _ordered(name), F.lit("\x03"))
+    grams = F.transform(F.sequence(F.lit(1), F.char_length(marked) - 1), lambda i: F.substring(marked, i, F.lit(2)))
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)).cast("string")))
+
+
+def candidates(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Pairs (name, league_id, year, other, other_id) of the same league within five years; none of ratio `least` or more (of 67 to 100) is left out.
+
+    With e = 1 - least / 100, two such names differ by so few letters that of n letters of one at most k n of its
+    n + 1 pairs are broken, k = 3 e + (1/2 - 3/2 e) 2 e / (1 + e). Each thus shares one of its k n + 1 rarest pairs
+    with the other, so only those are joined.
+    """
+    e = 1 - least / 100
+    k = 3 * e + (0.5 - 1.5 * e) * 2 * e / (1 + e)
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn("gram", F.explode(_pairs_of_letters(F.col(name)))).withColumn("length", F.char_length(_ordered(F.col(name))))
+
+    every = grams(known.select("league_id", "y", "other", "other_id").distinct(), "other")
+    often = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(df: DataFrame, of: list[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*of).orderBy(F.coalesce("n", F.lit(0)), "gram"))
+        return df.join(often, "gram", "left").withColumn("place", place).filter(F.col("place") <= F.floor(k * F.col("length") + 1e-9) + 1).drop("n", "place")
+
+    left = rarest(grams(asked, "name"), ["name", "league_id", "year"])
+    right = rarest(every, ["league_id", "y", "other", "other_id"]).withColumnRenamed("length", "size")
+    near = F.abs(F.col("length") - F.col("size")) <= e * (F.col("length") + F.col("size")) + 1e-9
+    return left.join(right, ["league_id", "gram"]).filter(near & (F.abs(F.col("year") - F.col("y")) <= 5)).select("name", "league_id", "year", "other", "other_id").distinct()
+
+
+def pool(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
+    """league_id, year, name, player_id: the strikers known by id, by league and year of the match."""
+    seen = deliveries.filter("striker_id is not null and striker is not null").select("match_id", F.col("striker").alias("name"), F.col("striker_id").alias("player_id"))
+    return seen.join(matches.select("match_id", "league_id", F.year("match_date").alias("year")), "match_id").select("league_id", "year", "name", "player_id").distinct()
+
+
 def resolve(names: DataFrame, exact: DataFrame, pool: DataFrame, manual: DataFrame, least: float = 85.0, gap: float = 5.0) -> DataFrame:
     """name, league_id, year of `names` with player_id, method (exact, fuzzy, manual, unresolved), confidence and ambiguous.
 
-    exact and manual: (name, player_id). pool: (league_id, year, name, player_id), the known strikers. Near
-    names are sought among those of the same league within five years that share a first letter of a word,
-    so only such pairs are compared.
+    exact and manual: (name, player_id). pool: (league_id, year, name, player_id), the known strikers. A near name is the
+    one of highest ratio, `least` or more, of the same league within five years; ambiguous if a name of another player
+    comes within `gap` of it. Null names are left out.
     """
+
     def key(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("name").alias(name), F.col("player_id").alias(f"{name}_id")).dropDuplicates([name])
+        return df.filter("name is not null").groupBy(F.col("name").alias(name)).agg(F.min("player_id").alias(f"{name}_id"))
 
-    step = names.select("name", "league_id", "year").distinct().join(key(exact, "e"), F.col("name") == F.col("e"), "left")
-    letters = lambda c: F.array_distinct(F.transform(F.split(normalised(c), " "), lambda w: F.substring(w, 1, 1)))
-    asked = step.filter("e_id is null").select("name", "league_id", "year", F.explode(letters(F.col("name"))).alias("letter"))
-    known = pool.select("league_id", F.col("year").alias("y"), F.col("name").alias("other"), F.col("player_id").alias("other_id"), F.explode(letters(F.col("name"))).alias("letter"))
-    pairs = asked.join(known, ["league_id", "letter"]).filter("abs(year - y) <= 5").select("name", "league_id", "year", "other", "other_id").distinct()
+    step = names.filter("name is not null").select("name", "league_id", "year").distinct().join(key(exact, "e"), F.col("name") == F.col("e"), "left")
+    asked = step.filter("e_id is null").select("name", "league_id", "year")
+    known = pool.filter("name is not null").select("league_id", F.col("year").alias("y"), F.col("name").alias("other"), F.col("player_id").alias("other_id"))
+    pairs = candidates(asked, known, least - gap)
     scored = pairs.withColumn("score", token_ratio(normalised(F.col("name")), normalised(F.col("other"))))
+    each = scored.groupBy("name", "league_id", "year", "other_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("name", "league_id", "year").orderBy(F.desc("score"), "other_id")
-    best = scored.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).filter((F.col("k") == 1) & (F.col("score") >= least))
+    best = each.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).filter((F.col("k") == 1) & (F.col("score") >= least))
     near = best.select("name", "league_id", "year", F.col("other_id").alias("f_id"), "score", (F.col("score") - F.coalesce("second", F.lit(0.0)) < gap).alias("ambiguous"))
     out = step.join(near, ["name", "league_id", "year"], "left").join(key(manual, "m"), F.col("name") == F.col("m"), "left")
     method = F.when(F.col("e_id").isNotNull(), "exact").when(F.col("f_id").isNotNull(), "fuzzy").when(F.col("m_id").isNotNull(), "manual").otherwise("unresolved")
     confidence = F.when(method == "fuzzy", F.col("score") / 100).when(method == "unresolved", 0.0).otherwise(1.0)
     return out.select("name", "league_id", "year", F.coalesce("e_id", "f_id", "m_id").alias("player_id"), method.alias("method"), confidence.alias("confidence"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+
+
+def resolve_matches(deliveries: DataFrame, matches: DataFrame, exact: DataFrame, manual: DataFrame, known: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """The deliveries with the ids of their names, and per match the names resolved by each method.
+
+    Deliveries whose striker_id is null are resolved: names of striker, bowler, non_striker and wicket_player, in this
+    order; a bowler who would be the ball's striker is left without an id. Ids that a name doesn't give stay as they
+    were. `known` is the pool of strikers; by default those of the deliveries that have ids.
+    """
+    when = matches.select("match_id", "league_id", F.year("match_date").alias("year"))
+    rows = deliveries.join(when, "match_id", "left")
+    todo = F.col("striker_id").isNull()
+    said = rows.filter(todo).select("match_id", "league_id", "year", F.explode(F.array(*(F.col(r) for r in ROLES))).alias("name")).filter("name is not null and name <> ''")
+    found = resolve(said, exact, pool(deliveries, matches) if known is None else known, manual, **options)
+    for r in ROLES:
+        ids = found.select(F.col("name").alias(r), "league_id", "year", F.col("player_id").alias(f"__{r}"))
+        rows = rows.join(ids.filter(F.col(f"__{r}").isNotNull()), [r, "league_id", "year"], "left")
+    taken = {r: F.col(f"__{r}") for r in ROLES}
+    taken["bowler"] = F.when(F.col("__striker").eqNullSafe(F.col("__bowler")), None).otherwise(F.col("__bowler"))
+    own = [F.when(todo, F.coalesce(taken[c[:-3]], F.col(c))).otherwise(F.col(c)).alias(c) if c.endswith("_id") and c[:-3] in ROLES else F.col(c) for c in deliveries.columns]
+    counted = said.join(found.select("name", "league_id", "year", "method"), ["name", "league_id", "year"])
+    stats = counted.groupBy("match_id").agg(F.count(F.lit(1)).alias("total_names"), *(F.count_if(F.col("method") == m).alias(m) for m in ("exact", "fuzzy", "manual", "unresolved")))
+    return rows.select(*own), stats
+
+
+def totals(stats: DataFrame) -> DataFrame:
+    """Sums over all matches, and the share of names that got an id, in percent."""
+    sums = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_names", "exact", "fuzzy", "manual", "unresolved")))
+    return sums.withColumn("resolution_rate", F.bround((F.col("total_names") - F.col("unresolved")) / F.greatest(F.col("total_names"), F.lit(1)) * 100, 1))
+
+
+def bowling_style(label: Column, styles: dict[str, str]) -> Column:
+    """The style of a label as a page writes it, by a map of lower-case labels; null for an unknown one."""
+    return F.create_map(*[F.lit(x) for k, v in styles.items() for x in (k.strip().lower(), v)])[F.lower(F.trim(label))]
+
+
+def playing_role(label: Column) -> Column:
+    """BAT, BOWL, AR or WK of a label as a page writes it; null for an unknown one."""
+    return F.create_map(*[F.lit(x) for pair in ROLE_LABELS.items() for x in pair])[F.lower(F.trim(label))]

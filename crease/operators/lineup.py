@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Least and most players of each role; players, credits and players of one team.
 ROLES = {"WK": (1, 4), "BAT": (3, 6), "AR": (1, 4), "BOWL": (3, 6)}
@@ -49,12 +50,12 @@ def best(candidates: list[tuple[int, float, float, str, str]], credits: float =
 
 
 def lineups(candidates: DataFrame) -> DataFrame:
-    """match_id, player_id, points, is_captain, is_vice_captain, score of the best line-up of each match that has one."""
+    """match_id, player_id, points, is_captain, is_vice_captain, score of the best line-up of each match that has one; a match with players of more than two teams has none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("player_id")
         rows = list(zip(pdf["player_id"], pdf["points"], pdf["credits"], pdf["role"], pdf["team"]))
-        picked = best(rows)
+        picked = best(rows) if len(set(pdf["team"])) <= 2 else None
         if picked is None:
             return pd.DataFrame(columns=["match_id", "player_id", "points", "is_captain", "is_vice_captain", "score"])
         ranked = sorted(picked, key=lambda i: (-rows[i][1], rows[i][0]))
@@ -62,3 +63,13 @@ def lineups(candidates: DataFrame) -> DataFrame:
         return pd.DataFrame([(pdf["match_id"].iloc[0], rows[i][0], rows[i][1], k == 0, k == 1, round(score, 2)) for k, i in enumerate(ranked)], columns=["match_id", "player_id", "points", "is_captain", "is_vice_captain", "score"])
 
     return candidates.groupBy("match_id").applyInPandas(run, "match_id int, player_id int, points double, is_captain boolean, is_vice_captain boolean, score double")
+
+
+def described(lineups: DataFrame, players: DataFrame) -> DataFrame:
+    """match_id, text: each line-up as lines, captain and vice-captain first, then by points; a name that isn't known is the id."""
+    name = F.coalesce("name", F.col("player_id").cast("string"))
+    mark = F.when(F.col("is_captain"), " (C)").when(F.col("is_vice_captain"), " (VC)").otherwise("")
+    rows = lineups.join(players.select("player_id", "name", "primary_role"), "player_id", "left")
+    order = F.struct((~F.col("is_captain")).alias("c"), (~F.col("is_vice_captain")).alias("v"), (-F.col("points")).alias("p"), "player_id", F.concat(name, mark, F.lit(", "), F.coalesce("primary_role", F.lit("?")), F.lit(", "), F.format_number("points", 1)).alias("line"))
+    by = rows.groupBy("match_id").agg(F.array_sort(F.collect_list(order)).alias("of"), F.max("score").alias("score"))
+    return by.select("match_id", F.concat(F.array_join(F.transform("of", lambda x: x["line"]), "\n"), F.lit("\nTotal "), F.format_number("score", 2)).alias("text"))

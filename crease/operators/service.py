@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from crease.functions.dialect import Dialect, count
+from crease.operators.fantasy import points
 
 
 def d01_summary(s: Dialect, fmt: str = "T20") -> str:
     return f"{s.base}\nSELECT count(*) AS deliveries, count(DISTINCT match_id) AS matches, {s.rate(count('striker_id IS NOT NULL AND bowler_id IS NOT NULL'), 'count(*)', '100', 2)} AS resolution_rate FROM d"
 
 
-def d02_checks(s: Dialect, fmt: str = "T20") -> str:
-    """One row a check: how many rows break it, of how many, and how bad that is."""
+def d01_points(s: Dialect, fmt: str = "T20") -> str:
+    """How many fantasy points rows there are, and their mean."""
+    return f"{points(s)}\nSELECT count(*) AS n, {s.r('avg(total_points)', 2)} AS mean_points FROM fp"
+
+
+def _checks(s: Dialect) -> str:
     one = lambda name, bad, of, critical: f"SELECT '{name}' AS check_name, {count(bad)} AS n, count(*) AS total, '{critical}' AS kind FROM {of}"
     checks = [
         one("null_striker", "striker_id IS NULL", "deliveries", "share"),
@@ -22,7 +27,20 @@ def d02_checks(s: Dialect, fmt: str = "T20") -> str:
         "SELECT 'low_ball_matches', cast(count(*) FILTER (WHERE n < 9e-1 * CASE WHEN fmt = 'T20' THEN 120 ELSE 600 END) as bigint), count(*), 'note' FROM (SELECT match_id, fmt, count(*) AS n FROM d GROUP BY match_id, fmt) x",
         "SELECT 'orphan_deliveries', cast(count(*) FILTER (WHERE m.match_id IS NULL) as bigint), count(*), 'critical' FROM deliveries e LEFT JOIN matches m ON e.match_id = m.match_id",
     ]
-    return f"{s.base},\nc AS ({' UNION ALL '.join(checks)})\nSELECT check_name, n, total, CASE WHEN n = 0 THEN 'ok' WHEN kind = 'critical' OR kind = 'share' AND n > 5e-2 * total THEN 'critical' ELSE 'warning' END AS level FROM c"
+    return f"{s.base},\nc AS ({' UNION ALL '.join(checks)}),\nck AS (SELECT check_name, n, total, CASE WHEN n = 0 THEN 'ok' WHEN kind = 'critical' OR kind = 'share' AND n > 5e-2 * total THEN 'critical' ELSE 'warning' END AS level FROM c)"
+
+
+def d02_checks(s: Dialect, fmt: str = "T20") -> str:
+    """One row a check: how many rows break it, of how many, and how bad that is."""
+    return f"{_checks(s)}\nSELECT * FROM ck"
+
+
+def d07_report(s: Dialect, fmt: str = "T20") -> str:
+    """The issues in one line by severity, and the code to end with: 1 if any is critical."""
+    critical, warning = "level = 'critical'", "level = 'warning'"
+    issue = f"concat(check_name, ': ', {s.text('n')}, ' of ', {s.text('total')})"
+    listed = lambda level: f"coalesce({s.joined(f"CASE WHEN {level} THEN {issue} END", '; ', 'check_name')}, '')"
+    return f"{_checks(s)}\nSELECT {count(critical)} AS n_critical, {count(warning)} AS n_warning, {listed(critical)} AS critical, {listed(warning)} AS warnings, CASE WHEN max(CASE WHEN level = 'critical' THEN 1 ELSE 0 END) = 1 THEN 1 ELSE 0 END AS exit_code FROM ck"
 
 
 def k01_usage(s: Dialect, fmt: str = "T20") -> str:
@@ -31,6 +49,13 @@ def k01_usage(s: Dialect, fmt: str = "T20") -> str:
 SELECT user_id, count(*) AS total, {count('day = today')} AS today_count, {count('year(day) = year(today) AND month(day) = month(today)')} AS month_count FROM e JOIN z ON true GROUP BY user_id"""
 
 
+def k03_keys(s: Dialect, fmt: str = "T20", most: int = 5) -> str:
+    """Keys (here a user's kinds of events) with their use on the last day, and whether the user may add another: `most` active ones at most."""
+    return f"""WITH e AS (SELECT user_id, event_type AS key_name, cast(ts as date) AS day FROM {s.events}), z AS (SELECT max(day) AS today FROM e),
+k AS (SELECT user_id, key_name, count(*) AS total, {count('day = today')} AS today_count, max(day) AS last_used FROM e JOIN z ON true GROUP BY user_id, key_name)
+SELECT k.*, count(*) OVER (PARTITION BY user_id) < {most} AS may_add FROM k"""
+
+
 def k02_usage_daily(s: Dialect, fmt: str = "T20") -> str:
     return f"SELECT user_id, cast(ts as date) AS day, count(*) AS request_count FROM {s.events} GROUP BY 1, 2"
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from crease.functions.names import bowling_style, playing_role
 
 #: What in a result says that rain had a part in it.
 RAIN = ["rain", "no result", "abandoned", "d/l", "dls", "vjd", "duckworth", "wet"]
@@ -72,18 +76,67 @@ def read_mapping(spark: SparkSession, path: str, id_column: str | None = None) -
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """`old` and the rows of `new` whose key it lacks, once each."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+    """`old` and the rows of `new` whose key it lacks, once each; a null key is like another."""
+    return old.unionByName(_once(new, keys).join(*_same(old, keys, new), "left_anti"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """`old` with `new`'s rows in place of those of the same key; of new rows of one key the last by `order`."""
-    if order:
-        last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-        new = new.withColumn("__k", last).filter("__k = 1").drop("__k")
-    else:
-        new = new.dropDuplicates(keys)
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    """`old` with `new`'s rows in place of those of the same key (null like null); of new rows of one key the last by `order`, else the one that sorts last."""
+    new = _once(new, keys, order)
+    return old.join(*_same(new, keys, old), "left_anti").unionByName(new)
+
+
+def update(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """`old` with the columns of `changes` in its rows of the same key; rows of other keys stay, and none are added."""
+    new = _once(changes, keys)
+    mine = new.select(*(F.col(c).alias(f"__{c}") for c in new.columns), F.lit(True).alias("__hit"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = old.join(mine, reduce(lambda a, b: a & b, same), "left")
+    return joined.select(*(F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in new.columns and c not in keys else F.col(c) for c in old.columns))
+
+
+def delete(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """`old` without the rows whose key is in `gone`."""
+    return old.join(*_same(gone, keys, old), "left_anti")
+
+
+def append(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both, by the names of their columns; a column that `new` lacks is null."""
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def _once(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row a key, always the same one: the last by `order`, then by all columns."""
+    rest = [F.desc(c) for c in ([order] if order else []) + [f.name for f in df.schema.fields if f.name not in keys and not isinstance(f.dataType, T.MapType)]]
+    if not rest:
+        return df.dropDuplicates(keys)
+    return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))).filter("__k = 1").drop("__k")
+
+
+def _same(side: DataFrame, keys: list[str], rows: DataFrame) -> tuple[DataFrame, Column]:
+    """The keys of `side` to join with, and when they are those of a row."""
+    return side.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct(), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+
+
+#: What a fact's label on a player's page can be, by fact.
+FACTS = {"batting": "Batting(?: Style)?", "bowling": "Bowling(?: Style)?", "role": "(?:Playing )?Role", "country": "Country|Nationality", "born": "Born|Date of Birth"}
+
+
+def page_facts(pages: DataFrame, styles: dict[str, str], html: str = "html") -> DataFrame:
+    """page_id with name, batting_hand, bowling_style_raw, bowling_style, primary_role, nationality and dob of players' pages; null where a page doesn't say.
+
+    The name is that of the og:title tag before a bar, else the first heading. A fact is the text after its label up to
+    the element's end.
+    """
+    h = F.coalesce(F.col(html), F.lit(""))
+    title = F.trim(F.regexp_extract(h, r"(?i)<meta[^>]*property=[\"']og:title[\"'][^>]*content=[\"']([^\"'|]*)", 1))
+    heading = F.trim(F.regexp_replace(F.regexp_extract(h, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", ""))
+    blank = lambda c: F.when(c != "", c)
+    flat = F.regexp_replace(h, r"(?i)</?(?:b|strong|span|i|em)\b[^>]*>", " ")
+    fact = {k: blank(F.trim(F.regexp_extract(flat, rf"(?i)(?:^|[>\s])(?:{label}):\s*([^<]+)", 1))) for k, label in FACTS.items()}
+    hand = F.when(F.lower(fact["batting"]).contains("left"), "Left hand").when(F.lower(fact["batting"]).contains("right"), "Right hand")
+    born = F.coalesce(*(F.try_to_date(fact["born"], f) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy")))
+    return pages.select("page_id", F.coalesce(blank(title), blank(heading)).alias("name"), hand.alias("batting_hand"), fact["bowling"].alias("bowling_style_raw"), bowling_style(fact["bowling"], styles).alias("bowling_style"), playing_role(fact["role"]).alias("primary_role"), F.when(F.length(fact["country"]) < 50, fact["country"]).alias("nationality"), born.alias("dob"))
 
 
 def fill_nulls(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """The cricket queries: literal cases, small hand-made matches, and the same SQL in another engine."""
 
+import datetime
+import random
 from itertools import combinations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from crease import catalog
-from crease.functions.names import resolve
-from crease.operators import fantasy, lineup
+from crease.functions.names import _indel, pool, resolve, resolve_matches, totals
+from crease.operators import fantasy, lineup, matches
 from crease.sources import ingest, projection
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,7 +30,7 @@ def plain(v):
     return str(v) if isinstance(v, (bool, str)) or not hasattr(v, "__float__") else f"{float(v):.9g}"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.TEMPLATES))
+@pytest.mark.parametrize("name", sorted(catalog.oracles()))
 def test_same_rows_in_both_engines(spark, sf_dir, duck, name):
     df = catalog.queries()[name](spark, sf_dir)
     cur = duck.execute(catalog.oracles()[name])
@@ -131,6 +134,99 @@ def test_names(spark):
     assert got == {"V Kohli": (1, "exact"), "Sharma Rohit": (2, "fuzzy"), "Nobody Atall": (None, "unresolved"), "M One": (4, "manual")}
 
 
+def test_near_names_are_those_of_all_pairs(spark):
+    r = random.Random(9)
+    first, last = "vijay rohit ab shubman kl jo ann marie x".split(), "kumar kumaar sharma sharmaa singh wijayakumar vijayakumar o de villiers".split()
+    make = lambda: " ".join([r.choice(first) for _ in range(r.randrange(1, 3))] + [r.choice(last)])
+
+    def bent(x):
+        i = r.randrange(len(x))
+        return r.choice([x, x[:i] + x[i + 1 :], x[:i] + "z" + x[i:], " ".join(reversed(x.split())), x.upper()]) or "q"
+
+    known = [("ipl", 2015 + k % 4, make(), k) for k in range(60)] + [("ipl", 2001, "vijay kumar", 900), ("odi", 2016, "Vijay  Kumar", 901)]
+    asked = sorted({(bent(x[2]), "ipl", 2016) for x in known for _ in range(3)} | {("a", "ipl", 2016), ("Wijayakumar", "ipl", 2016)})
+    fit = lambda x: " ".join(sorted(" ".join(x.split()).lower().split()))
+    names = spark.createDataFrame(asked, "name string, league_id string, year int")
+    pool = spark.createDataFrame(known, "league_id string, year int, name string, player_id int")
+    none = spark.createDataFrame([], "name string, player_id int")
+    got = {x["name"]: x for x in resolve(names, none, pool, none).collect()}
+    assert len(got) == len(asked)
+    some = 0
+    for name, league, year in asked:
+        by = {}
+        for lg, y, other, i in known:
+            if lg == league and abs(year - y) <= 5:
+                by[i] = max(by.get(i, 0), _indel(fit(name), fit(other)))
+        top = sorted(by.items(), key=lambda x: (-x[1], x[0]))
+        if top[0][1] >= 85:
+            some += 1
+            assert (got[name]["player_id"], got[name]["method"]) == (top[0][0], "fuzzy")
+            assert abs(got[name]["confidence"] - top[0][1] / 100) < 1e-9 and got[name]["ambiguous"] == (top[0][1] - top[1][1] < 5)
+        else:
+            assert got[name]["method"] == "unresolved"
+    assert some > 30
+
+
+def test_match_resolution_and_the_bowler_who_bats(spark):
+    d = spark.createDataFrame([(1, 7, "A", "B", "C", None, None, None, None, None), (2, 7, "A", "A", "X", "A", None, None, None, None), (3, 7, "Q", "B", None, None, 42, 5, None, None)], "delivery_id int, match_id int, striker string, bowler string, non_striker string, wicket_player string, striker_id int, bowler_id int, non_striker_id int, wicket_player_id int")
+    m = spark.sql("SELECT 7 AS match_id, 'ipl' AS league_id, date '2020-01-01' AS match_date")
+    two = lambda *x: spark.createDataFrame(list(x), "name string, player_id int")
+    got, stats = resolve_matches(d, m, two(("A", 1), ("B", 2)), two(("C", 3)))
+    assert [tuple(r)[6:] for r in got.orderBy("delivery_id").collect()] == [(1, 2, 3, None), (1, None, None, 1), (42, 5, None, None)]
+    assert tuple(stats.first()) == (7, 7, 5, 0, 1, 1) and tuple(totals(stats).first()) == (7, 5, 0, 1, 1, 85.7)
+    assert pool(d, m).collect()[0]["player_id"] == 42 and totals(stats.limit(0)).first()["resolution_rate"] == 0
+
+
+def test_page_facts(spark):
+    rows = [(1, "<meta property='og:title' content='V Kohli | Profile'><h1>no</h1><p><b>Batting Style:</b> Right hand bat</p><div>Bowling: Right arm Medium</div><td>Playing Role: Top order Batter</td><span>Country: India</span><p>Born: November 5, 1988</p>"), (2, "<h1 class=x>J <i>Root</i></h1><p>Date of Birth: 1990-12-30</p><p>Batting: left</p>"), (3, None)]
+    got = {r["page_id"]: tuple(r)[1:] for r in ingest.page_facts(spark.createDataFrame(rows, "page_id int, html string"), {"right arm medium": "right-arm medium"}).collect()}
+    assert got[1] == ("V Kohli", "Right hand", "Right arm Medium", "right-arm medium", "BAT", "India", datetime.date(1988, 11, 5))
+    assert got[2] == ("J Root", "Left hand", None, None, None, None, datetime.date(1990, 12, 30)) and got[3] == (None,) * 7
+
+
+def test_writes_with_null_keys_and_by_key(spark):
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    old = spark.createDataFrame([(1, "a"), (None, "n"), (2, "b")], "id int, x string")
+    new = spark.createDataFrame([(None, "m"), (1, "c"), (1, "d")], "id int, x string")
+    assert rows(ingest.insert_if_absent(old, new, ["id"])) == rows(old)
+    assert rows(ingest.upsert(old, new, ["id"])) == [(1, "d"), (2, "b"), (None, "m")]
+    assert rows(ingest.update(old, new.withColumn("y", F.lit(1)), ["id"])) == [(1, "d"), (2, "b"), (None, "m")]
+    assert rows(ingest.delete(old, new, ["id"])) == [(2, "b")]
+    assert rows(ingest.append(old, new.select("id"))) == [(1, "a"), (1, None), (1, None), (2, "b"), (None, "n"), (None, None)]
+
+
+def test_formats_seasons_states_and_tables_of_ones_own(spark, sf_dir):
+    s = catalog.spark_dialect(sf_dir)
+    assert catalog.run(spark, "t03_rivalry", s, fmt="odi").count() > 0
+    with pytest.raises(ValueError):
+        catalog.run(spark, "t03_rivalry", s, fmt="x'; --")
+    with pytest.raises(ValueError):
+        s.of_season("1' OR 1=1")
+    for bad in ((3, 5, 1, 10, None), (2, 5, 1, 10, None), (1, 25, 1, 10, None)):
+        with pytest.raises(ValueError):
+            matches.check_state(*bad)
+    seasons = [r[0] for r in spark.sql(f"{s.base} SELECT DISTINCT season FROM matches").collect()]
+    whole = catalog.run(spark, "t02_comeback", s).selectExpr("sum(matches_analyzed)").first()[0]
+    assert sum(catalog.run(spark, "t02_comeback", s, season=x).selectExpr("coalesce(sum(matches_analyzed), 0)").first()[0] for x in seasons) == whole
+    one, two = small_match(spark, [(1, 2, 4, None, None)] * 8), small_match(spark, [(3, 4, 1, None, None)] * 8)
+    assert [catalog.run(spark, "p02_phase_profile", x).first()["player_id"] for x in (one, two)] == [1, 3]
+
+
+def test_derived_tables_are_scanned_not_made_anew(spark, sf_dir):
+    for name in ("g14_matrix", "g02_form", "p11_league_adjusted", "f06_fantasy_points"):
+        df = catalog.queries()[name](spark, sf_dir)
+        assert "lineitem" not in df._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_lineup_of_three_teams_and_text(spark):
+    rows = [(m, i, float(i), 8.0, ["WK", "BAT", "BAT", "BAT", "BAT", "AR", "AR", "BOWL", "BOWL", "BOWL", "BOWL", "BAT"][i % 12], t) for m in (1, 2) for i in range(12) for t in ["C" if m == 2 and i == 3 else "AB"[i % 2]]]
+    got = lineup.lineups(spark.createDataFrame(rows, "match_id int, player_id int, points double, credits double, role string, team string"))
+    assert {r["match_id"] for r in got.collect()} == {1}
+    players = spark.createDataFrame([(i, f"P{i}", "BAT") for i in range(11)], "player_id int, name string, primary_role string")
+    text = lineup.described(got, players).first()["text"].split("\n")
+    assert text[0] == "11 (C), ?, 11.0" and text[1] == "P10 (VC), BAT, 10.0" and len(text) == 12 and text[-1].startswith("Total ")
+
+
 def test_match_files(spark, tmp_path):
     (tmp_path / "1.yaml").write_text("info: {teams: [A, B], dates: [2020-01-02], season: '2020', match_type: T20, toss: {winner: A, decision: bat}, outcome: {winner: B, method: D/L}}\ninnings:\n- overs:\n  - over: 0\n    deliveries:\n    - {batter: x, bowler: y, non_striker: z, runs: {batter: 0, total: 2}, extras: {wides: 2}}\n    - {batter: x, bowler: y, non_striker: z, runs: {batter: 0, total: 0}, wickets: [{kind: bowled, player_out: x}]}\n")
     (tmp_path / "2.yml").write_text("info: [broken")

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from crease.functions import names
 from crease.functions.dialect import Dialect
-from crease.operators import fantasy, features, lineup, matches, models, players, service
+from crease.operators import fantasy, features, lineup, matches, models, players, service, upcoming
 from crease.session import kept, shared_path
 from crease.sources import projection
 
 #: Date from which the order tables' matches are kept from the models' training.
 CUTOFF = "1997-06-01"
-TEMPLATES = {**players.QUERIES, **matches.QUERIES, **fantasy.QUERIES, **features.QUERIES, **service.QUERIES}
+TEMPLATES = {**players.QUERIES, **matches.QUERIES, **fantasy.QUERIES, **features.QUERIES, **upcoming.QUERIES, **service.QUERIES}
 
 
 #: Formats that a question can be asked of.
@@ -70,20 +70,28 @@ def run(spark: SparkSession, name: str, dialect: Dialect, season: str | None = N
     return spark.sql(TEMPLATES[name](dialect if season is None else dialect.of_season(season), **options))
 
 
-def x01_points_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF, months: int = 6) -> DataFrame:
-    """Metrics of a model of points on the matches from `cutoff` on, which neither training nor its early stop has seen: boosting ends by the last `months` before it."""
+def _until(rows: DataFrame, cutoff: str, months: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Rows of before `cutoff`: those that trees are grown on, and those of the last `months`, which end the boosting."""
+    stop, day = F.add_months(F.lit(cutoff).cast("date"), -months), F.col("match_date")
+    return rows.filter(day < stop), rows.filter((day >= stop) & (day < F.lit(cutoff).cast("date")))
+
+
+def x01_points_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
+    """Metrics of a model of points on the matches from `cutoff` on, which neither training nor its early stop has seen."""
     known, test = models.split(kept(run(spark, "g14_matrix", stored_dialect(spark, sf_dir))), cutoff)
-    stop = F.add_months(F.lit(cutoff).cast("date"), -months)
-    model = models.fit_points(known.filter(F.col("match_date") < stop), known.filter(F.col("match_date") >= stop))
-    return models.metrics(kept(models.score(model, test)))
+    return models.metrics(kept(models.score(models.fit_points(*_until(known, cutoff)), test)))
 
 
 def x02_outcome_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
     """Predicted and real winner (1: the first team) of every match from `cutoff` on, fitted on those before."""
     rows = kept(run(spark, "g15_outcome_rows", stored_dialect(spark, sf_dir)))
-    at = F.lit(cutoff).cast("date")
-    model = models.fit_outcome(rows.filter(F.col("match_date") < at))
-    return model.transform(models.numbers(rows.filter(F.col("match_date") >= at), models.OUTCOME)).select("match_id", F.col("target").cast("long").alias("target"), F.col("prediction").cast("long").alias("predicted"))
+    test = rows.filter(F.col("match_date") >= F.lit(cutoff).cast("date"))
+    model = models.fit_outcome(*_until(rows, cutoff))
+    return model.transform(models.numbers(test, models.OUTCOME)).select("match_id", F.col("target").cast("long").alias("target"), F.col("prediction").cast("long").alias("predicted"))
+
+
+def x02_outcome_accuracy(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
+    return models.accuracy(x02_outcome_model(spark, sf_dir, cutoff))
 
 
 def x06_predictions(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
@@ -92,6 +100,15 @@ def x06_predictions(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> D
     return models.predict(models.fit_points(train, val), val)
 
 
+def x08_upcoming(spark: SparkSession, sf_dir: str, version: str = "latest") -> DataFrame:
+    """Predicted points and ranks of the squads of all matches to come, by a model of what was played before the first of them."""
+    s = stored_dialect(spark, sf_dir)
+    matrix = kept(run(spark, "g16_inference_matrix", s))
+    first = spark.sql(f"{s.base} SELECT cast(coalesce(min(match_date), current_date()) as string) FROM upcoming").first()[0]
+    known, _ = models.split(kept(run(spark, "g14_matrix", s)), first)
+    return models.predict_upcoming(models.fit_points(*_until(known, first)), matrix, version)
+
+
 def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The order tables' deliveries with names in place of ids, their matches, and maps that know two thirds of the names."""
     s = stored_dialect(spark, sf_dir)
@@ -142,7 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: (lambda spark, sf_dir, name=name: run(spark, name, stored_dialect(spark, sf_dir))) for name in TEMPLATES}
     out["x07_lineups"] = lambda spark, sf_dir: lineup.lineups(run(spark, "x07_candidates", stored_dialect(spark, sf_dir)))
     out |= {f.__name__: f for f in (n03_match_resolution, n03_resolved, n04_totals, n05_labels)}
-    return {**out, "x01_points_model": x01_points_model, "x02_outcome_model": x02_outcome_model, "x06_predictions": x06_predictions}
+    return {**out, "x01_points_model": x01_points_model, "x02_outcome_model": x02_outcome_model, "x02_outcome_accuracy": x02_outcome_accuracy, "x06_predictions": x06_predictions, "x08_upcoming": x08_upcoming}
 
 
 def oracles() -> dict[str, str]:

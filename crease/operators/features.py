@@ -5,16 +5,14 @@ Everything looks strictly back: a frame ends before the current row, in order of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from crease.functions.dialect import Dialect, count, total
 from crease.operators.fantasy import points
 
 W = "PARTITION BY player_id ORDER BY match_date, match_id"
 
 
-def _last(x: str, n: int, f: str = "avg") -> str:
-    return f"{f}({x}) OVER ({W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-
-
 PACE = "('right-arm fast', 'right-arm medium', 'left-arm fast')"
 SPIN = "('right-arm offbreak', 'left-arm orthodox', 'legbreak')"
 PAST = f"{W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -23,27 +21,41 @@ BAT = ["runs_mean_5", "sr_mean_5", "boundary_rate_5", "fifty_rate_10"]
 BOWL = ["wickets_mean_5", "economy_mean_5", "bowling_sr_5"]
 
 
-def _form(s: Dialect) -> str:
-    """CTEs up to form: points over matches that count, batting over innings faced, bowling over matches bowled.
+def _past(n: int) -> str:
+    return f"{W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING"
+
+
+def recent(s: Dialect, n: str, last: Callable[[int], str]) -> str:
+    """Means, deviation, faded mean and trend of the points within `last(k)`, the window of the last k matches of `n`.
 
     The weights of the faded mean fall to 3e-1 of the next match's; beyond 40 matches they are below a double's precision. A level trend is 0, not the negative zero that rounding can give.
     """
+    means = ", ".join(f"{s.r(f'coalesce(avg(total_points) OVER ({last(k)}), 0e0)', 6)} AS points_mean_{k}" for k in (3, 5, 10))
+    return f"""{means}, {s.r(f"coalesce(stddev_pop(total_points) OVER ({last(5)}), 0e0)", 6)} AS points_std_5,
+  CASE WHEN {n} > 0 THEN {s.r(f"{s.faded('total_points', '3e-1', last(40))} * 7e-1 / (1 - power(3e-1, least({n}, 40)))", 6)} ELSE 0e0 END AS points_faded_mean,
+  CASE WHEN {n} >= 3 THEN coalesce(nullif({s.r(f'regr_slope(total_points, cast({n} as double)) OVER ({last(5)})', 6)}, 0), 0e0) ELSE 0e0 END AS points_trend"""
+
+
+def innings(s: Dialect) -> str:
+    """CTEs up to bw and ww: what a player's last innings faced with the bat, and matches bowled, say after each of them."""
     five, ten = (f"{W} ROWS BETWEEN {n} PRECEDING AND CURRENT ROW" for n in (4, 9))
     credited = "wicket_type NOT IN ('run out', 'retired hurt', 'retired not out', 'obstructing the field')"
-    carried = ", ".join(f"coalesce({s.latest(c, PAST)}, 0e0) AS {c}" for c in BAT + BOWL)
-    means = ", ".join(f"{s.r(f'coalesce({_last("total_points", n)}, 0e0)', 6)} AS points_mean_{n}" for n in (3, 5, 10))
     return f"""{points(s)},
 bs AS (SELECT striker_id AS player_id, match_id, match_date, count(*) AS balls, {total('runs_batter')} AS runs, {count('runs_batter IN (4, 6)')} AS big FROM d WHERE faced AND striker_id IS NOT NULL GROUP BY 1, 2, 3),
-bw AS (SELECT player_id, match_id, {s.r(f'avg(runs) OVER ({five})', 6)} AS runs_mean_5, {s.r(f'coalesce(avg(CASE WHEN balls >= 10 THEN runs / balls * 100 END) OVER ({five}), 0e0)', 6)} AS sr_mean_5, {s.r(f'sum(big) OVER ({five}) / sum(balls) OVER ({five})', 6)} AS boundary_rate_5,
+bw AS (SELECT player_id, match_id, match_date, {s.r(f'avg(runs) OVER ({five})', 6)} AS runs_mean_5, {s.r(f'coalesce(avg(CASE WHEN balls >= 10 THEN runs / balls * 100 END) OVER ({five}), 0e0)', 6)} AS sr_mean_5, {s.r(f'sum(big) OVER ({five}) / sum(balls) OVER ({five})', 6)} AS boundary_rate_5,
   {s.r(f'avg(CASE WHEN runs >= 50 THEN 1 ELSE 0 END) OVER ({ten})', 6)} AS fifty_rate_10 FROM bs),
 ws AS (SELECT bowler_id AS player_id, match_id, match_date, {count('legal')} AS bowled, {total('runs_total', 'legal')} AS conceded, {count(credited)} AS wickets FROM d WHERE bowler_id IS NOT NULL GROUP BY 1, 2, 3),
-ww AS (SELECT player_id, match_id, {s.r(f'avg(wickets) OVER ({five})', 6)} AS wickets_mean_5, {s.r(f'coalesce(avg(CASE WHEN bowled >= 12 THEN conceded / bowled * 6 END) OVER ({five}), 0e0)', 6)} AS economy_mean_5, {s.r(f'coalesce(sum(bowled) OVER ({five}) / nullif(sum(wickets) OVER ({five}), 0), 0e0)', 6)} AS bowling_sr_5 FROM ws WHERE bowled > 0),
+ww AS (SELECT player_id, match_id, match_date, {s.r(f'avg(wickets) OVER ({five})', 6)} AS wickets_mean_5, {s.r(f'coalesce(avg(CASE WHEN bowled >= 12 THEN conceded / bowled * 6 END) OVER ({five}), 0e0)', 6)} AS economy_mean_5, {s.r(f'coalesce(sum(bowled) OVER ({five}) / nullif(sum(wickets) OVER ({five}), 0), 0e0)', 6)} AS bowling_sr_5 FROM ws WHERE bowled > 0)"""
+
+
+def _form(s: Dialect) -> str:
+    """CTEs up to form: points over matches that count, batting over innings faced, bowling over matches bowled."""
+    carried = ", ".join(f"coalesce({s.latest(c, PAST)}, 0e0) AS {c}" for c in BAT + BOWL)
+    return f"""{innings(s)},
 h AS (SELECT fp.*, {', '.join(BAT + BOWL)} FROM fp LEFT JOIN bw ON fp.player_id = bw.player_id AND fp.match_id = bw.match_id LEFT JOIN ww ON fp.player_id = ww.player_id AND fp.match_id = ww.match_id),
 cf AS (SELECT player_id, match_id, match_date, league_id, season, total_points, training_exclude, {carried} FROM h),
 k AS (SELECT *, row_number() OVER ({W}) - 1 AS prior_matches, lag(match_date) OVER ({W}) AS last_date FROM cf WHERE NOT training_exclude),
-form AS (SELECT player_id, match_id, match_date, league_id, season, total_points AS target, prior_matches, coalesce({s.days('match_date', 'last_date')}, 999) AS days_since_last, {means}, {s.r(f"coalesce({_last('total_points', 5, 'stddev_pop')}, 0e0)", 6)} AS points_std_5,
-  CASE WHEN prior_matches > 0 THEN {s.r(f"{s.faded('total_points', '3e-1', f'{W} ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING')} * 7e-1 / (1 - power(3e-1, least(prior_matches, 40)))", 6)} ELSE 0e0 END AS points_faded_mean,
-  CASE WHEN prior_matches >= 3 THEN coalesce(nullif({s.r(f'regr_slope(total_points, cast(prior_matches as double)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)', 6)}, 0), 0e0) ELSE 0e0 END AS points_trend, {', '.join(BAT + BOWL)} FROM k)"""
+form AS (SELECT player_id, match_id, match_date, league_id, season, total_points AS target, prior_matches, coalesce({s.days('match_date', 'last_date')}, 999) AS days_since_last, {recent(s, 'prior_matches', _past)}, {', '.join(BAT + BOWL)} FROM k)"""
 
 
 FORM = ["prior_matches", "days_since_last", "points_mean_3", "points_mean_5", "points_mean_10", "points_std_5", "points_faded_mean", "points_trend", *BAT, *BOWL]
@@ -68,15 +80,20 @@ j AS (SELECT t.team, q.* FROM t JOIN q ON t.match_id = q.match_id)
 SELECT team, match_id, {mean('sb', '15e0')} AS opposition_batting, {mean('sw', '8e0')} AS opposition_bowling FROM j"""
 
 
-def g06_versus_opposition(s: Dialect, fmt: str = "T20") -> str:
-    """Mean points and number of a player's earlier matches against the team met; who bats first is known from the toss, or the match is left out."""
+def met(s: Dialect) -> str:
+    """CTEs up to h: points of a player and the team met; who bats first is known from the toss, or the match is left out."""
     first = "CASE toss_decision WHEN 'bat' THEN toss_winner WHEN 'field' THEN CASE WHEN toss_winner = team1 THEN team2 ELSE team1 END END"
-    w = "PARTITION BY player_id, opponent ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return f"""{points(s)},
 side AS (SELECT striker_id AS player_id, match_id, innings AS bats FROM d UNION SELECT bowler_id, match_id, 3 - innings FROM d),
 known AS (SELECT match_id, {first} AS first_team, team1, team2 FROM matches WHERE toss_decision IS NOT NULL),
 o AS (SELECT side.player_id, side.match_id, CASE WHEN (first_team = team1) = (bats = 1) THEN team2 ELSE team1 END AS opponent FROM side JOIN known ON side.match_id = known.match_id),
-h AS (SELECT fp.player_id, fp.match_id, fp.match_date, fp.total_points, o.opponent FROM fp JOIN o ON fp.player_id = o.player_id AND fp.match_id = o.match_id)
+h AS (SELECT fp.player_id, fp.match_id, fp.match_date, fp.total_points, o.opponent FROM fp JOIN o ON fp.player_id = o.player_id AND fp.match_id = o.match_id)"""
+
+
+def g06_versus_opposition(s: Dialect, fmt: str = "T20") -> str:
+    """Mean points and number of a player's earlier matches against the team met."""
+    w = "PARTITION BY player_id, opponent ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""{met(s)}
 SELECT player_id, match_id, opponent, {s.r(f'avg(total_points) OVER ({w})', 6)} AS versus_mean, count(*) OVER ({w}) AS versus_matches FROM h"""
 
 
@@ -102,23 +119,32 @@ j AS (SELECT e.player_id, e.match_id, e.match_date, coalesce(n, 0) AS n, {zero}
 SELECT player_id, match_id, {rates} FROM j"""
 
 
+#: Kinds of opponents, the balls that count, and the fewest of them for a rate.
+BATTER = {"key": "striker_id", "other": "bowler_id", "values": {"pace": f"o.bowling_style IN {PACE}", "spin": f"o.bowling_style IN {SPIN}", "left_arm": "o.bowling_style IN ('left-arm fast', 'left-arm orthodox')"}, "ok": "faced", "value": "runs_batter", "least": 10, "times": 100, "none": "NULL"}
+BOWLER = {"key": "bowler_id", "other": "striker_id", "values": {"left": "o.batting_hand = 'Left hand'", "right": "o.batting_hand = 'Right hand'"}, "ok": "legal", "value": "runs_total", "least": 12, "times": 6, "none": "75e-1"}
+
+
 def g08_batter_matchups(s: Dialect, fmt: str = "T20") -> str:
-    kinds = {"pace": f"o.bowling_style IN {PACE}", "spin": f"o.bowling_style IN {SPIN}", "left_arm": "o.bowling_style IN ('left-arm fast', 'left-arm orthodox')"}
-    return _matchup(s, "striker_id", "bowler_id", kinds, "faced", "runs_batter", 10, 100, "NULL")
+    return _matchup(s, **BATTER)
 
 
 def g09_bowler_matchups(s: Dialect, fmt: str = "T20") -> str:
-    return _matchup(s, "bowler_id", "striker_id", {"left": "o.batting_hand = 'Left hand'", "right": "o.batting_hand = 'Right hand'"}, "legal", "runs_total", 12, 6, "75e-1")
+    return _matchup(s, **BOWLER)
+
+
+def venue_matches(s: Dialect) -> str:
+    """CTEs up to t and q: totals of each match with a venue, and points of each match."""
+    kinds = ", ".join(f"{total('d.runs_total', f'legal AND b.bowling_style IN {styles}')} AS {k}_runs, {count(f'legal AND b.bowling_style IN {styles}')} AS {k}_balls" for k, styles in (("pace", PACE), ("spin", SPIN)))
+    return f"""{points(s)},
+t AS (SELECT d.match_id, d.venue_id, d.match_date, {total('runs_total', 'innings = 1')} AS first_total, {kinds} FROM d LEFT JOIN players b ON d.bowler_id = b.player_id WHERE d.venue_id IS NOT NULL GROUP BY 1, 2, 3),
+q AS (SELECT match_id, sum(batting_points) AS sb, sum(bowling_points) AS sw, count(*) AS n FROM fp GROUP BY match_id)"""
 
 
 def g10_venue(s: Dialect, fmt: str = "T20") -> str:
     """Of earlier matches at the venue only."""
     w = "PARTITION BY venue_id ORDER BY match_date, t.match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     eco = lambda k: s.r(f"coalesce(sum({k}_runs) OVER ({w}) / nullif(sum({k}_balls) OVER ({w}), 0) * 6, 75e-1)", 6)
-    kinds = ", ".join(f"{total('d.runs_total', f'legal AND b.bowling_style IN {styles}')} AS {k}_runs, {count(f'legal AND b.bowling_style IN {styles}')} AS {k}_balls" for k, styles in (("pace", PACE), ("spin", SPIN)))
-    return f"""{points(s)},
-t AS (SELECT d.match_id, d.venue_id, d.match_date, {total('runs_total', 'innings = 1')} AS first_total, {kinds} FROM d LEFT JOIN players b ON d.bowler_id = b.player_id WHERE d.venue_id IS NOT NULL GROUP BY 1, 2, 3),
-q AS (SELECT match_id, sum(batting_points) AS sb, sum(bowling_points) AS sw, count(*) AS n FROM fp GROUP BY match_id),
+    return f"""{venue_matches(s)},
 v AS (SELECT t.match_id, t.venue_id, {s.r(f'coalesce(avg(first_total) OVER ({w}), 160e0)', 6)} AS venue_first_innings, {eco('pace')} AS venue_pace_economy, {eco('spin')} AS venue_spin_economy,
   {s.r(f'coalesce(sum(sb) OVER ({w}) / nullif(sum(n) OVER ({w}), 0), 20e0)', 6)} AS venue_batting_points, {s.r(f'coalesce(sum(sw) OVER ({w}) / nullif(sum(n) OVER ({w}), 0), 10e0)', 6)} AS venue_bowling_points FROM t JOIN q ON t.match_id = q.match_id)
 SELECT *, {s.rate('venue_pace_economy', 'venue_spin_economy', '1', 6, '1e0')} AS venue_pace_spin_ratio FROM v"""

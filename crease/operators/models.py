@@ -32,19 +32,28 @@ def split(rows: DataFrame, cutoff: str, holdout: tuple[str, str] = HOLDOUT) -> t
     return rows.filter(F.col("match_date") < F.lit(cutoff).cast("date")), rows.filter(F.col("match_date") >= F.lit(cutoff).cast("date"))
 
 
+def _held(train: DataFrame, validation: DataFrame, features: list[str]) -> DataFrame:
+    """All rows as numbers, the validation rows marked."""
+    return numbers(train, features).withColumn("held", F.lit(False)).unionByName(numbers(validation, features).withColumn("held", F.lit(True)))
+
+
 def fit_points(train: DataFrame, validation: DataFrame, features: list[str] = FEATURES, trees: int = 500) -> PipelineModel:
     """Regressor of points. Boosting ends early once the validation rows' error stops falling (training rows' own error if there are none)."""
-    both = numbers(train, features).withColumn("held", F.lit(False)).unionByName(numbers(validation, features).withColumn("held", F.lit(True)))
     model = GBTRegressor(
         featuresCol="features", labelCol="target", predictionCol="prediction", maxIter=trees, stepSize=0.05, maxDepth=6, minInstancesPerNode=3, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, validationIndicatorCol="held", validationTol=1e-3
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), model]).fit(both)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), model]).fit(_held(train, validation, features))
+
+
+def fit_outcome(train: DataFrame, validation: DataFrame, trees: int = 200) -> PipelineModel:
+    """Classifier of whether the first team wins; boosting ends early as that of points does."""
+    model = GBTClassifier(featuresCol="features", labelCol="target", predictionCol="prediction", maxIter=trees, stepSize=0.05, maxDepth=4, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, validationIndicatorCol="held", validationTol=1e-3)
+    return Pipeline(stages=[VectorAssembler(inputCols=OUTCOME, outputCol="features"), model]).fit(_held(train, validation, OUTCOME))
 
 
-def fit_outcome(train: DataFrame, trees: int = 40) -> PipelineModel:
-    """Classifier of whether the first team wins."""
-    model = GBTClassifier(featuresCol="features", labelCol="target", predictionCol="prediction", maxIter=trees, stepSize=0.05, maxDepth=4, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
-    return Pipeline(stages=[VectorAssembler(inputCols=OUTCOME, outputCol="features"), model]).fit(numbers(train, OUTCOME))
+def accuracy(predicted: DataFrame) -> DataFrame:
+    """One row: n, and the share (four digits) of rows whose `predicted` is the `target`; null where there are none."""
+    return predicted.agg(F.count("*").alias("n"), F.bround(F.count_if(F.col("predicted") == F.col("target")) / F.nullif(F.count("*"), F.lit(0)), 4).alias("accuracy"))
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: list[str] = FEATURES) -> DataFrame:
@@ -53,6 +62,12 @@ def predict(model: PipelineModel, rows: DataFrame, features: list[str] = FEATURE
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("predicted_points"), "player_id")).cast("long"))
 
 
+def predict_upcoming(model: PipelineModel, matrix: DataFrame, version: str, features: list[str] = FEATURES) -> DataFrame:
+    """Predicted points (two digits) of the players of matches to come, and their rank in the match; the key of what is stored is (player_id, upcoming_id, model_version)."""
+    out = model.transform(numbers(matrix, features)).select("upcoming_id", "player_id", "team", "credits", F.bround("prediction", 2).alias("predicted_points"), F.lit(version).alias("model_version"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("upcoming_id").orderBy(F.desc("predicted_points"), "player_id")).cast("long"))
+
+
 def metrics(scored: DataFrame) -> DataFrame:
     """One row of n, rmse, spearman (average ranks), top_11_overlap and verdict of (match_id, player_id, target, prediction).
 
@@ -108,6 +123,15 @@ def load(folder: str, version: str) -> PipelineModel:
     return PipelineModel.load(f"{folder.rstrip('/')}/player_points_{version}")
 
 
+def newest(spark: SparkSession, folder: str) -> str:
+    """The version of the last model, by name, that `save` wrote to the folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/player_points_*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        raise FileNotFoundError(f"no model in {folder}")
+    return max(f.getPath().getName() for f in found).removeprefix("player_points_")
+
+
 def importance(spark: SparkSession, model: PipelineModel, features: list[str] = FEATURES) -> DataFrame:
     """Share of each feature in the trees' gains: a handful of rows."""
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray())], "feature string, importance double")

@@ -68,10 +68,18 @@ SELECT d.venue_id, sum(d.runs_total) * 6e0 / count(*) AS avg_pace_economy FROM d
 WHERE legal AND d.venue_id IS NOT NULL AND b.bowling_style IN ('right-arm fast', 'right-arm medium', 'left-arm fast') GROUP BY d.venue_id"""
 
 
+#: Matches to come, their squads, and players whose form is asked for: a stand-in too, so that they can be compared with what happened.
+UPCOMING = "SELECT match_id AS upcoming_id, match_date, league_id, venue_id, team1, team2, toss_winner, toss_decision FROM matches WHERE match_date >= date '1998-05-01'"
+SQUADS = """
+SELECT u.upcoming_id, p.player_id, CASE WHEN p.player_id % 29 > 0 THEN p.team END AS team, CASE WHEN p.player_id % 10 > 0 THEN 7 + (p.player_id % 7) * 5e-1 END AS credits, p.player_id % 13 > 0 AS is_playing_xi
+FROM (SELECT player_id, concat('Team_', cast(cast(floor((player_id - 1) / 11) as int) as varchar(4))) AS team FROM players) p JOIN (SELECT upcoming_id, team1 AS team FROM upcoming UNION ALL SELECT upcoming_id, team2 FROM upcoming) u ON p.team = u.team"""
+ASKED = "SELECT player_id, date '1998-03-01' AS day FROM players"
+
+
 def leagues() -> str:
     return _literal(LEAGUES, "league_id, format, difficulty, similarity, tier")
 
 
 def tables(lineitem: str, orders: str, customer: str) -> dict[str, str]:
-    """The SQL of deliveries, matches, players, leagues, d and venues."""
-    return {"deliveries": deliveries(lineitem), "matches": matches(orders), "players": players(customer), "leagues": leagues(), "d": JOINED, "venues": VENUES}
+    """The SQL of deliveries, matches, players, leagues, d and venues, of upcoming and squads, and of asked."""
+    return {"deliveries": deliveries(lineitem), "matches": matches(orders), "players": players(customer), "leagues": leagues(), "d": JOINED, "venues": VENUES, "upcoming": UPCOMING, "squads": SQUADS, "asked": ASKED}

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from crease import catalog
-from crease.operators import models
+from crease.operators import features, models
+from crease.sources import ingest
 from crease.streaming import momentum
 
 
@@ -67,6 +68,10 @@ def test_models_learn_are_saved_and_tested_forward(spark, tmp_path):
     assert train.count() + val.count() == 780
     model = models.fit_points(train, val, ["a", "b"], trees=60)
     again = models.load(str(tmp_path), models.save(model, str(tmp_path), "v1").rsplit("_", 1)[1])
+    models.save(model, str(tmp_path), "v0")
+    assert models.newest(spark, str(tmp_path)) == "v1"
+    with pytest.raises(FileNotFoundError):
+        models.newest(spark, str(tmp_path / "none"))
     scored = models.predict(again, val, ["a", "b"]).collect()
     assert len(scored) == val.count() and min(r["rank"] for r in scored) == 1
     assert models.metrics(models.score(model, val, ["a", "b"])).first()["spearman"] > 0.9
@@ -85,6 +90,59 @@ def test_no_leakage_in_the_matrix(spark, dialect):
     assert 0 < len(part) < len(whole) and all(whole[k] == v for k, v in part.items())
 
 
+def test_inference_matrix_is_the_training_matrix_of_what_was_played(spark, dialect):
+    """Where a day has one match only, both know the same; on other days the earlier match of the day is not known before it."""
+    s = dialect
+    day = {r["match_id"]: r for r in spark.sql(f"{s.base} SELECT match_id, match_date, toss_decision, count(*) OVER (PARTITION BY match_date) AS n FROM matches").collect()}
+    trained = {(r["player_id"], r["match_id"]): r for r in catalog.run(spark, "g14_matrix", s).collect()}
+    asked = catalog.run(spark, "g16_inference_matrix", s).collect()
+    assert len({(r["upcoming_id"], r["player_id"]) for r in asked}) == len(asked)
+    squads = spark.sql(f"{s.base} SELECT upcoming_id, player_id, team, credits FROM squads WHERE is_playing_xi").collect()
+    assert {(r["upcoming_id"], r["player_id"]) for r in asked} == {(r["upcoming_id"], r["player_id"]) for r in squads}
+    assert all(r["credits"] == 8.0 for r in asked if r["player_id"] % 10 == 0)
+    both = [(r, trained[r["player_id"], r["upcoming_id"]]) for r in asked if (r["player_id"], r["upcoming_id"]) in trained and day[r["upcoming_id"]]["n"] == 1 and day[r["upcoming_id"]]["toss_decision"] and r["player_id"] % 29]
+    assert len(both) > 20
+    assert [(r["player_id"], r["upcoming_id"], c, r[c], x[c]) for r, x in both for c in features.FEATURES if r[c] != x[c]] == []
+
+
+def test_what_is_asked_of_players_without_a_past(spark, dialect):
+    """Own tables of matches to come: unknown players, venues and teams, no toss, a team left out."""
+    s = dialect
+    tables = {t: spark.sql(f"{s.base} SELECT * FROM {t}") for t in ("deliveries", "matches", "players", "leagues")}
+    day = datetime.date(1990, 1, 1)
+    tables["upcoming"] = spark.createDataFrame([(1, day, "none", None, "A", "B", None, None), (2, datetime.date(2000, 1, 1), "ipl", 1, "Team_0", "Team_1", "Team_1", "field")], "upcoming_id int, match_date date, league_id string, venue_id int, team1 string, team2 string, toss_winner string, toss_decision string")
+    tables["squads"] = spark.createDataFrame([(1, 1, None, None, True), (1, 999, "B", 9.5, True), (1, 2, "A", 9.0, False), (2, 1, "Team_0", 9.0, True)], "upcoming_id int, player_id int, team string, credits double, is_playing_xi boolean")
+    tables["asked"] = spark.createDataFrame([(1, day), (999, day), (1, datetime.date(2000, 1, 1)), (1, day)], "player_id int, day date")
+    own = catalog.over_tables(spark, tables)
+    got = {(r["upcoming_id"], r["player_id"]): r for r in catalog.run(spark, "g16_inference_matrix", own).collect()}
+    assert set(got) == {(1, 1), (1, 999), (2, 1)}
+    r = got[1, 1]
+    assert (r["team"], r["credits"], r["prior_matches"], r["days_since_last"], r["points_mean_5"], r["versus_mean"], r["versus_matches"]) == ("A", 8.0, 0, 999, 0.0, None, 0)
+    assert (r["opposition_batting"], r["opposition_bowling"], r["opposition_pace_ratio"], r["vs_pace"], r["vs_left"]) == (15.0, 8.0, 0.5, None, 7.5)
+    assert (r["venue_first_innings"], r["at_venue_mean"], r["at_venue_matches"], r["toss_won"], r["batting_first"], r["league_difficulty"], r["league_tier"]) == (None, None, 0, 0, 0, 1.0, 2)
+    assert (got[1, 999]["credits"], got[1, 999]["is_bat"]) == (9.5, None)
+    r = got[2, 1]
+    assert r["prior_matches"] > 0 and r["venue_first_innings"] > 0 and (r["toss_won"], r["batting_first"]) == (0, 1)
+    form = {(r["player_id"], r["day"]): r["prior_matches"] for r in catalog.run(spark, "g03_form_at", own).collect()}
+    assert form == {(1, day): 0, (999, day): 0, (1, datetime.date(2000, 1, 1)): got[2, 1]["prior_matches"]}
+
+
+def test_outcomes_and_stored_predictions(spark):
+    rows = spark.createDataFrame([(k, k % 2, k % 3 % 2, float(k % 2 * 9), 1.0, 5.0, None, k % 2) for k in range(120)], "match_id int, toss_first_team int, toss_bat int, batting_1 double, bowling_1 double, batting_2 double, bowling_2 double, target int")
+    model = models.fit_outcome(rows.filter("match_id < 80"), rows.filter("match_id >= 80"), trees=20)
+    predicted = model.transform(models.numbers(rows, models.OUTCOME)).withColumnRenamed("prediction", "predicted")
+    assert tuple(models.accuracy(predicted).first()) == (120, 1.0)
+    assert tuple(models.accuracy(predicted.filter("false")).first()) == (0, None)
+    train = spark.createDataFrame([(k, float(k % 5), float(k % 5)) for k in range(100)], "k int, a double, target double")
+    points = models.fit_points(train.filter("k < 80"), train.filter("k >= 80"), ["a"], trees=10)
+    matrix = spark.createDataFrame([(1, 1, "A", 8.0, 4.0), (1, 2, "B", 8.0, 0.0), (2, 1, "A", 8.0, None)], "upcoming_id int, player_id int, team string, credits double, a double")
+    new = models.predict_upcoming(points, matrix, "v1", ["a"])
+    assert [(r["upcoming_id"], r["player_id"], r["rank"]) for r in new.orderBy("upcoming_id", "rank").collect()] == [(1, 1, 1), (1, 2, 2), (2, 1, 1)]
+    keys = ["player_id", "upcoming_id", "model_version"]
+    twice = ingest.upsert(ingest.upsert(new, new, keys), models.predict_upcoming(points, matrix, "v2", ["a"]), keys)
+    assert twice.count() == 6 and twice.groupBy("model_version").count().filter("count = 3").count() == 2
+
+
 def test_momentum_over_a_stream_is_that_over_tables(spark, dialect, tmp_path):
     d = spark.sql(f"{dialect.base} SELECT delivery_id, match_id, innings, over_no, ball_no, extras_type, runs_total, wicket_type, cast(match_date as timestamp) + make_interval(0, 0, 0, 0, 0, cast(delivery_id % 240 as int)) AS bowled_at FROM d WHERE match_id < 6")
     source = tmp_path / "in"

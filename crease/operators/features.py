@@ -160,7 +160,7 @@ SELECT fp.player_id, fp.match_id, {s.r(f'avg(total_points) OVER ({w})', 6)} AS a
 def g12_static(s: Dialect, fmt: str = "T20") -> str:
     flag = lambda c, n: f"CASE WHEN {c} THEN 1 ELSE 0 END AS {n}"
     roles = ", ".join(flag(f"primary_role = '{r}'", f"is_{r.lower()}") for r in ("BAT", "BOWL", "AR", "WK"))
-    return f"{s.base}\nSELECT player_id, {roles}, {flag("batting_hand = 'Left hand'", 'is_left_hand')}, {flag(f'bowling_style IN {PACE}', 'is_pacer')}, {flag(f'bowling_style IN {SPIN}', 'is_spinner')} FROM players"
+    return f"{s.base}\nSELECT player_id, {roles}, {flag("batting_hand = 'Left hand'", 'is_left_hand')}, {flag(f'bowling_style IN {PACE}', 'is_pacer')}, {flag(f'bowling_style IN {SPIN}', 'is_spinner')}, dob FROM players"
 
 
 def g12_batting_position(s: Dialect, fmt: str = "T20") -> str:
@@ -180,15 +180,26 @@ SELECT t.match_id, t.team, CASE WHEN t.toss_winner = t.team THEN 1 ELSE 0 END AS
 #: Columns a model of points learns from; missing ones stay null.
 FEATURES = [
     *FORM, "versus_mean", "versus_matches", "opposition_batting", "opposition_bowling", "opposition_pace_ratio", "vs_pace", "vs_spin", "vs_left_arm", "vs_left", "vs_right", "venue_first_innings", "venue_pace_economy", "venue_spin_economy", "venue_pace_spin_ratio",
-    "venue_batting_points", "venue_bowling_points", "at_venue_mean", "at_venue_matches", "is_bat", "is_bowl", "is_ar", "is_wk", "is_left_hand", "is_pacer", "is_spinner", "batting_position_mean", "toss_won", "batting_first", "league_difficulty", "format_similarity", "league_tier",
+    "venue_batting_points", "venue_bowling_points", "at_venue_mean", "at_venue_matches", "is_bat", "is_bowl", "is_ar", "is_wk", "is_left_hand", "is_pacer", "is_spinner", "age", "batting_position_mean", "toss_won", "batting_first", "league_difficulty", "format_similarity", "league_tier",
 ]
 
 
+def static(s: Dialect, day: str) -> dict[str, str]:
+    """SQL of what a player is on a day: a player who isn't known has no role and hand, and no age."""
+    flags = ["is_bat", "is_bowl", "is_ar", "is_wk", "is_left_hand", "is_pacer", "is_spinner"]
+    return {**{c: f"coalesce({c}, 0)" for c in flags}, "age": s.r(f"{s.days(day, 'dob')} / 365.25e0", 6)}
+
+
+def chosen(own: dict[str, str]) -> str:
+    """The columns of FEATURES, some of them made by SQL of their own."""
+    return ", ".join(f"{own[c]} AS {c}" if c in own else c for c in FEATURES)
+
+
 def g14_matrix(s: Dialect, fmt: str = "T20", prior: int = 3) -> str:
     """One row of all features and the target for each player and match with at least `prior` earlier matches; where the toss is unknown, so are the teams and what hangs on them."""
     sub = lambda f: f"({f(s)})"
     on = lambda a: f"{a}.player_id = f.player_id AND {a}.match_id = f.match_id"
-    return f"""SELECT f.player_id, f.match_id, f.match_date, f.league_id, f.season, f.target, {', '.join(FEATURES)}
+    return f"""SELECT f.player_id, f.match_id, f.match_date, f.league_id, f.season, f.target, {chosen(static(s, 'f.match_date'))}
 FROM ({_form(s)} SELECT * FROM form WHERE prior_matches >= {prior}) f
 LEFT JOIN {sub(g06_versus_opposition)} o ON {on('o')}
 LEFT JOIN {sub(g05_opposition)} st ON st.match_id = f.match_id AND st.team = o.opponent

@@ -137,8 +137,8 @@ def g16_inference_matrix(s: Dialect, fmt: str = "T20") -> str:
     """
     ask = f"({s.base}, {_asked()} SELECT * FROM ask)"
     on = lambda a, *keys: " AND ".join(f"{a}.{k} = a.{k}" for k in (*keys, "day"))
-    own = {"toss_won": "CASE WHEN a.toss_winner = a.team THEN 1 ELSE 0 END", "batting_first": "CASE WHEN (a.toss_winner = a.team) = (a.toss_decision = 'bat') THEN 1 ELSE 0 END", "league_difficulty": "coalesce(l.difficulty, 1e0)", "format_similarity": "coalesce(l.similarity, 1e0)", "league_tier": "coalesce(l.tier, 2)", "at_venue_matches": "coalesce(at_venue_matches, 0)"}
-    return f"""SELECT a.upcoming_id, a.player_id, a.day AS match_date, a.league_id, a.team, a.credits, {', '.join(f'{own[c]} AS {c}' if c in own else c for c in features.FEATURES)}
+    own = {**features.static(s, "a.day"), "toss_won": "CASE WHEN a.toss_winner = a.team THEN 1 ELSE 0 END", "batting_first": "CASE WHEN (a.toss_winner = a.team) = (a.toss_decision = 'bat') THEN 1 ELSE 0 END", "league_difficulty": "coalesce(l.difficulty, 1e0)", "format_similarity": "coalesce(l.similarity, 1e0)", "league_tier": "coalesce(l.tier, 2)", "at_venue_matches": "coalesce(at_venue_matches, 0)"}
+    return f"""SELECT a.upcoming_id, a.player_id, a.day AS match_date, a.league_id, a.team, a.credits, {features.chosen(own)}
 FROM {ask} a
 LEFT JOIN ({_form_before(s, _asked())}) f ON {on('f', 'player_id')}
 LEFT JOIN ({_versus(s)}) o ON {on('o', 'player_id', 'opponent')}

@@ -51,7 +51,8 @@ def players(customer: str) -> str:
     return f"""
 SELECT cast(c_custkey as int) AS player_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'Left hand' ELSE 'Right hand' END AS batting_hand,
   CASE WHEN (c_custkey - 1) % 11 >= 5 THEN CASE c_custkey % 6 {styles} END END AS bowling_style,
-  CASE WHEN (c_custkey - 1) % 11 = 3 THEN 'WK' WHEN (c_custkey - 1) % 11 <= 4 THEN 'BAT' WHEN (c_custkey - 1) % 11 <= 6 THEN 'AR' ELSE 'BOWL' END AS primary_role
+  CASE WHEN (c_custkey - 1) % 11 = 3 THEN 'WK' WHEN (c_custkey - 1) % 11 <= 4 THEN 'BAT' WHEN (c_custkey - 1) % 11 <= 6 THEN 'AR' ELSE 'BOWL' END AS primary_role,
+  CASE WHEN c_custkey % 19 > 0 THEN date '1962-01-01' + cast(c_custkey * 37 % 4000 as int) END AS dob
 FROM {customer} WHERE c_custkey BETWEEN 1 AND 110"""
 
 

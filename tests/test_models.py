@@ -120,8 +120,10 @@ def test_what_is_asked_of_players_without_a_past(spark, dialect):
     assert (r["team"], r["credits"], r["prior_matches"], r["days_since_last"], r["points_mean_5"], r["versus_mean"], r["versus_matches"]) == ("A", 8.0, 0, 999, 0.0, None, 0)
     assert (r["opposition_batting"], r["opposition_bowling"], r["opposition_pace_ratio"], r["vs_pace"], r["vs_left"]) == (15.0, 8.0, 0.5, None, 7.5)
     assert (r["venue_first_innings"], r["at_venue_mean"], r["at_venue_matches"], r["toss_won"], r["batting_first"], r["league_difficulty"], r["league_tier"]) == (None, None, 0, 0, 0, 1.0, 2)
-    assert (got[1, 999]["credits"], got[1, 999]["is_bat"]) == (9.5, None)
+    assert (got[1, 999]["credits"], got[1, 999]["is_bat"], got[1, 999]["age"]) == (9.5, 0, None)
     r = got[2, 1]
+    born = tables["players"].filter("player_id = 1").first()["dob"]
+    assert math.isclose(r["age"], (datetime.date(2000, 1, 1) - born).days / 365.25, abs_tol=1e-6)
     assert r["prior_matches"] > 0 and r["venue_first_innings"] > 0 and (r["toss_won"], r["batting_first"]) == (0, 1)
     form = {(r["player_id"], r["day"]): r["prior_matches"] for r in catalog.run(spark, "g03_form_at", own).collect()}
     assert form == {(1, day): 0, (999, day): 0, (1, datetime.date(2000, 1, 1)): got[2, 1]["prior_matches"]}

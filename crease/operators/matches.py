@@ -181,24 +181,45 @@ k AS (SELECT *, cast(row_number() OVER (PARTITION BY league_id ORDER BY strike_r
 SELECT k.*, coalesce(p.name, {s.text('k.player_id')}) AS name, concat({s.text('balls')}, ' balls in final over') AS qualification FROM k LEFT JOIN players p ON k.player_id = p.player_id WHERE rank <= {limit}"""
 
 
-def _matchups(s: Dialect, fmt: str) -> str:
+def _matchups(s: Dialect, fmt: str, asked: bool = False) -> str:
+    """CTEs up to mu: the bowlers of each batter, ranked. All who met, or those asked for in `attacks`, without a ball too."""
+    own = "JOIN a ON d.striker_id = a.batter_id AND d.bowler_id = a.player_id" if asked else ""
+    sums = f"SELECT striker_id AS batter_id, bowler_id AS player_id, count(*) AS balls_faced, {total('runs_batter')} AS runs, {count(OUT)} AS dismissals FROM d {own} WHERE fmt = '{fmt}' AND faced GROUP BY 1, 2"
+    if asked:
+        zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("balls_faced", "runs", "dismissals"))
+        g = f"a AS (SELECT DISTINCT batter_id, bowler_id AS player_id FROM attacks),\ngb AS ({sums}),\ng AS (SELECT a.*, {zero} FROM a LEFT JOIN gb ON a.batter_id = gb.batter_id AND a.player_id = gb.player_id)"
+    else:
+        g = f"g AS ({sums})"
     return f"""{s.base},
-g AS (SELECT striker_id AS batter_id, bowler_id AS player_id, count(*) AS balls_faced, {total('runs_batter')} AS runs, {count(OUT)} AS dismissals FROM d WHERE fmt = '{fmt}' AND faced GROUP BY 1, 2),
+{g},
 r AS (SELECT *, {s.rate('runs', 'balls_faced', '100', 2)} AS sr_conceded, {s.rate('dismissals', 'balls_faced', '10', 2)} AS dismissal_rate FROM g),
 mu AS (SELECT r.*, CASE WHEN balls_faced >= 20 THEN 'high' WHEN balls_faced >= 10 THEN 'medium' ELSE 'low' END AS confidence, cast(row_number() OVER (PARTITION BY batter_id ORDER BY dismissal_rate DESC, sr_conceded, r.player_id) as bigint) AS rank, coalesce(p.name, {s.text('r.player_id')}) AS name FROM r LEFT JOIN players p ON r.player_id = p.player_id)"""
 
 
+def _recommended(s: Dialect, ranked: str) -> str:
+    return f"""{ranked},
+f AS (SELECT batter_id, {s.joined('name', ', ', 'rank')} AS names FROM mu WHERE confidence = 'low' GROUP BY batter_id)
+SELECT mu.batter_id, CASE WHEN balls_faced = 0 THEN 'No choice: too little is known of them against each other' WHEN dismissals > 0 THEN concat(name, ' is the most effective choice (', {s.text('dismissals')}, CASE WHEN dismissals = 1 THEN ' dismissal in ' ELSE ' dismissals in ' END, {s.text('balls_faced')}, ' balls, strike rate ', {s.text('sr_conceded')}, ')')
+  ELSE concat(name, ' concedes the lowest strike rate (', {s.text('sr_conceded')}, ' in ', {s.text('balls_faced')}, ' balls)') END AS recommendation, CASE WHEN f.names IS NOT NULL THEN concat('Few balls for: ', f.names) END AS caveat
+FROM mu LEFT JOIN f ON mu.batter_id = f.batter_id WHERE rank = 1"""
+
+
 def u01_bowler_matchups(s: Dialect, fmt: str = "T20") -> str:
     return f"{_matchups(s, fmt)}\nSELECT * FROM mu"
 
 
 def u01_recommendation(s: Dialect, fmt: str = "T20") -> str:
     """The bowler to choose against each batter, and whose figures rest on few balls."""
-    return f"""{_matchups(s, fmt)},
-f AS (SELECT batter_id, {s.joined('name', ', ', 'rank')} AS names FROM mu WHERE confidence = 'low' GROUP BY batter_id)
-SELECT mu.batter_id, CASE WHEN dismissals > 0 THEN concat(name, ' is the most effective choice (', {s.text('dismissals')}, CASE WHEN dismissals = 1 THEN ' dismissal in ' ELSE ' dismissals in ' END, {s.text('balls_faced')}, ' balls, strike rate ', {s.text('sr_conceded')}, ')')
-  ELSE concat(name, ' concedes the lowest strike rate (', {s.text('sr_conceded')}, ' in ', {s.text('balls_faced')}, ' balls)') END AS recommendation, CASE WHEN f.names IS NOT NULL THEN concat('Few balls for: ', f.names) END AS caveat
-FROM mu LEFT JOIN f ON mu.batter_id = f.batter_id WHERE rank = 1"""
+    return _recommended(s, _matchups(s, fmt))
+
+
+def u01_asked_matchups(s: Dialect, fmt: str = "T20") -> str:
+    """The bowlers asked for, ranked against each batter; a bowler who never bowled to the batter has zeros."""
+    return f"{_matchups(s, fmt, True)}\nSELECT * FROM mu"
+
+
+def u01_asked_recommendation(s: Dialect, fmt: str = "T20") -> str:
+    return _recommended(s, _matchups(s, fmt, True))
 
 
 def u02_partnerships(s: Dialect, fmt: str = "T20") -> str:

@@ -75,6 +75,9 @@ SQUADS = """
 SELECT u.upcoming_id, p.player_id, CASE WHEN p.player_id % 29 > 0 THEN p.team END AS team, CASE WHEN p.player_id % 10 > 0 THEN 7 + (p.player_id % 7) * 5e-1 END AS credits, p.player_id % 13 > 0 AS is_playing_xi
 FROM (SELECT player_id, concat('Team_', cast(cast(floor((player_id - 1) / 11) as int) as varchar(4))) AS team FROM players) p JOIN (SELECT upcoming_id, team1 AS team FROM upcoming UNION ALL SELECT upcoming_id, team2 FROM upcoming) u ON p.team = u.team"""
 ASKED = "SELECT player_id, date '1998-03-01' AS day FROM players"
+ATTACKS = """
+SELECT b.player_id AS batter_id, w.player_id AS bowler_id FROM squads b JOIN squads w ON b.upcoming_id = w.upcoming_id AND b.team <> w.team JOIN players p ON w.player_id = p.player_id
+WHERE b.is_playing_xi AND w.is_playing_xi AND p.primary_role IN ('BOWL', 'AR')"""
 
 
 def leagues() -> str:
@@ -82,5 +85,5 @@ def leagues() -> str:
 
 
 def tables(lineitem: str, orders: str, customer: str) -> dict[str, str]:
-    """The SQL of deliveries, matches, players, leagues, d and venues, of upcoming and squads, and of asked."""
-    return {"deliveries": deliveries(lineitem), "matches": matches(orders), "players": players(customer), "leagues": leagues(), "d": JOINED, "venues": VENUES, "upcoming": UPCOMING, "squads": SQUADS, "asked": ASKED}
+    """The SQL of deliveries, matches, players, leagues, d and venues, of upcoming and squads, and of what is asked: asked (players and days) and attacks (batters and bowlers)."""
+    return {"deliveries": deliveries(lineitem), "matches": matches(orders), "players": players(customer), "leagues": leagues(), "d": JOINED, "venues": VENUES, "upcoming": UPCOMING, "squads": SQUADS, "asked": ASKED, "attacks": ATTACKS}

@@ -444,3 +444,36 @@ def test_rivalry(t):
         decided = [m["winner"] for m in ms if m["winner"]]
         streak = next((i for i, w in enumerate(decided) if w != decided[0]), len(decided))
         assert r["current_streak"] == streak and r["dominant_team"] == (a if wins[a] > wins[b] else b if wins[b] > wins[a] else "even")
+
+
+def test_bowlers_asked_for(t):
+    balls = defaultdict(list)
+    for b in t.balls:
+        if faced(b) and t.matches[b["match_id"]]["league_id"] != "odi":
+            balls[b["striker_id"], b["bowler_id"]].append(b)
+    upcoming = [m for m in t.matches.values() if m["match_date"] >= datetime.date(1998, 5, 1)]
+    playing = [p for p in t.players if p % 13]
+    team = lambda p: None if p % 29 == 0 else f"Team_{(p - 1) // 11}"
+    pairs = {(b, w) for m in upcoming for x, y in ((m["team1"], m["team2"]), (m["team2"], m["team1"])) for b in playing for w in playing if team(b) == x and team(w) == y and t.players[w]["primary_role"] in ("BOWL", "AR")}
+    of = defaultdict(list)
+    for b, w in pairs:
+        x = balls[b, w]
+        runs, out = sum(d["runs_batter"] for d in x), sum(d["wicket_type"] is not None for d in x)
+        of[b].append((-round(out / len(x) * 10, 2) if x else 0.0, round(runs / len(x) * 100, 2) if x else 0.0, w, len(x), runs, out))
+    got = t.answer("u01_asked_matchups")
+    assert len(got) == len(pairs) and any(r["balls_faced"] == 0 for r in got)
+    said = {r["batter_id"]: r for r in t.answer("u01_asked_recommendation")}
+    assert said.keys() == of.keys()
+    for b, rows in of.items():
+        mine = sorted((r for r in got if r["batter_id"] == b), key=lambda r: r["rank"])
+        for r in mine:
+            x = next(x for x in rows if x[2] == r["player_id"])
+            assert (r["balls_faced"], r["runs"], r["dismissals"]) == x[3:] and near(r["dismissal_rate"], -x[0]) and near(r["sr_conceded"], x[1])
+            assert r["confidence"] == ("high" if x[3] >= 20 else "medium" if x[3] >= 10 else "low")
+        assert all((-p["dismissal_rate"], p["sr_conceded"]) <= (-q["dismissal_rate"], q["sr_conceded"]) for p, q in zip(mine, mine[1:]))
+        if mine[0]["balls_faced"] == 0:
+            assert said[b]["recommendation"].startswith("No choice")
+        else:
+            assert said[b]["recommendation"].startswith(mine[0]["name"])
+        low = [r["name"] for r in mine if r["confidence"] == "low"]
+        assert said[b]["caveat"] == (f"Few balls for: {', '.join(low)}" if low else None)

@@ -35,7 +35,10 @@ def duckdb_dialect() -> Dialect:
 
 
 def over_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Dialect:
-    """The dialect over a user's own deliveries, matches, players and leagues (and venues); several can be in use at once."""
+    """The dialect over a user's own deliveries, matches, players and leagues (and venues); several can be in use at once.
+
+    Questions on what is to come read the tables upcoming and squads, asked (player_id, day) or attacks (batter_id, bowler_id) too.
+    """
     own = uuid.uuid4().hex
     for name, df in tables.items():
         df.createOrReplaceTempView(f"crease_{name}_{own}")
@@ -96,8 +99,8 @@ def x02_outcome_accuracy(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF)
 
 def x06_predictions(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
     """Predicted points and rank of each player in the matches from `cutoff` on."""
-    train, val = models.split(kept(run(spark, "g14_matrix", stored_dialect(spark, sf_dir))), cutoff)
-    return models.predict(models.fit_points(train, val), val)
+    known, test = models.split(kept(run(spark, "g14_matrix", stored_dialect(spark, sf_dir))), cutoff)
+    return models.predict(models.fit_points(*_until(known, cutoff)), test)
 
 
 def x08_upcoming(spark: SparkSession, sf_dir: str, version: str = "latest") -> DataFrame:

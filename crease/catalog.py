@@ -74,9 +74,11 @@ def run(spark: SparkSession, name: str, dialect: Dialect, season: str | None = N
 
 
 def _until(rows: DataFrame, cutoff: str, months: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Rows of before `cutoff`: those that trees are grown on, and those of the last `months`, which end the boosting."""
+    """Rows of before `cutoff`: those that trees are grown on, and those of the last `months`, which end the boosting; all of them for both where either has none."""
     stop, day = F.add_months(F.lit(cutoff).cast("date"), -months), F.col("match_date")
-    return rows.filter(day < stop), rows.filter((day >= stop) & (day < F.lit(cutoff).cast("date")))
+    known = rows.filter(day < F.lit(cutoff).cast("date"))
+    grown, held = known.filter(day < stop), known.filter(day >= stop)
+    return (known, known) if grown.isEmpty() or held.isEmpty() else (grown, held)
 
 
 def x01_points_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crease.llm import bpe, decontam, html_text, langid, licenses, pii, quality, secrets, sharding, simhash
+from crease.llm import bpe, decontam, dialogues, graph, html_text, langid, licenses, periods, pii, quality, secrets, sharding, simhash
 from crease.llm.common import table
 
 
@@ -55,5 +55,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_html_text, op3_language, op4_sharding, op5_secrets, op6_pii, op7_decontamination, op8_licenses, op9_simhash, op10_quality)}
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op12_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.digest(table(spark, sf_dir, "conversations"), damage=True)
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(table(spark, sf_dir, "documents"), damage=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_html_text, op3_language, op4_sharding, op5_secrets, op6_pii, op7_decontamination, op8_licenses, op9_simhash, op10_quality, op11_neighbours, op12_dialogues, op13_periods)}
 ORACLES = {"op7_decontamination": decontam.ORACLE}

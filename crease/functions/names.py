@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crease.session import kept
+
 #: The roles of a ball that are resolved, in this order.
 ROLES = ("striker", "bowler", "non_striker", "wicket_player")
 #: Labels of playing roles.
@@ -113,21 +115,26 @@ def resolve_matches(deliveries: DataFrame, matches: DataFrame, exact: DataFrame,
     Deliveries whose striker_id is null are resolved: names of striker, bowler, non_striker and wicket_player, in this
     order; a bowler who would be the ball's striker is left without an id. Ids that a name doesn't give stay as they
     were. `known` is the pool of strikers; by default those of the deliveries that have ids.
+
+    Names are counted by match before anything is joined, and each match's few names come back to its balls as one
+    map: one join by match, so neither a name that stands in every match nor a missing one gathers balls in a task.
     """
-    when = matches.select("match_id", "league_id", F.year("match_date").alias("year"))
-    rows = deliveries.join(when, "match_id", "left")
     todo = F.col("striker_id").isNull()
-    said = rows.filter(todo).select("match_id", "league_id", "year", F.explode(F.array(*(F.col(r) for r in ROLES))).alias("name")).filter("name is not null and name <> ''")
-    found = resolve(said, exact, pool(deliveries, matches) if known is None else known, manual, **options)
-    for r in ROLES:
-        ids = found.select(F.col("name").alias(r), "league_id", "year", F.col("player_id").alias(f"__{r}"))
-        rows = rows.join(ids.filter(F.col(f"__{r}").isNotNull()), [r, "league_id", "year"], "left")
-    taken = {r: F.col(f"__{r}") for r in ROLES}
-    taken["bowler"] = F.when(F.col("__striker").eqNullSafe(F.col("__bowler")), None).otherwise(F.col("__bowler"))
-    own = [F.when(todo, F.coalesce(taken[c[:-3]], F.col(c))).otherwise(F.col(c)).alias(c) if c.endswith("_id") and c[:-3] in ROLES else F.col(c) for c in deliveries.columns]
-    counted = said.join(found.select("name", "league_id", "year", "method"), ["name", "league_id", "year"])
-    stats = counted.groupBy("match_id").agg(F.count(F.lit(1)).alias("total_names"), *(F.count_if(F.col("method") == m).alias(m) for m in ("exact", "fuzzy", "manual", "unresolved")))
-    return rows.select(*own), stats
+    when = matches.select("match_id", F.col("league_id").alias("of_league"), F.year("match_date").alias("of_year"))
+    said = deliveries.filter(todo).select("match_id", F.explode(F.array(*(F.col(r) for r in ROLES))).alias("said")).filter("said is not null and said <> ''").groupBy("match_id", "said").agg(F.count(F.lit(1)).alias("times"))
+    placed = kept(said.join(when, "match_id", "left"))
+    found = resolve(placed.select(F.col("said").alias("name"), F.col("of_league").alias("league_id"), F.col("of_year").alias("year")), exact, pool(deliveries, matches) if known is None else known, manual, **options)
+    same = F.col("said").eqNullSafe(found["name"]) & F.col("of_league").eqNullSafe(found["league_id"]) & F.col("of_year").eqNullSafe(found["year"])
+    named = placed.join(found, same)
+    ids = F.map_from_entries(F.collect_list(F.when(F.col("player_id").isNotNull(), F.struct("said", "player_id"))))
+    counted = [F.coalesce(F.sum(F.when(F.col("method") == m, F.col("times"))), F.lit(0)).alias(m) for m in ("exact", "fuzzy", "manual", "unresolved")]
+    per = kept(named.groupBy("match_id").agg(F.sum("times").alias("total_names"), *counted, ids.alias("ids")))
+    mine = per.select(F.col("match_id").alias("of_match"), F.col("ids").alias("of_names"))
+    rows = deliveries.join(mine, deliveries["match_id"] == mine["of_match"], "left")
+    taken = {r: F.when(F.col(r).isNotNull(), F.try_element_at(mine["of_names"], F.col(r))) for r in ROLES}
+    taken["bowler"] = F.when(taken["striker"].eqNullSafe(taken["bowler"]), None).otherwise(taken["bowler"])
+    own = [F.when(todo, F.coalesce(taken[c[:-3]], F.col(c))).otherwise(F.col(c)).alias(c) if c.endswith("_id") and c[:-3] in ROLES else deliveries[c] for c in deliveries.columns]
+    return rows.select(*own), per.drop("ids")
 
 
 def totals(stats: DataFrame) -> DataFrame:

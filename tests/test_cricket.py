@@ -232,7 +232,8 @@ def test_match_files(spark, tmp_path):
     (tmp_path / "2.yml").write_text("info: [broken")
     files = ingest.read_matches(spark, str(tmp_path))
     assert files.filter("error is not null").count() == 1
-    m = ingest.matches(files).first()
+    files = ingest.with_match_ids(files)
+    m = ingest.matches(files, ingest.venues(files)).first()
     assert (m["team2"], m["winner"], m["rain_affected"], m["low_ball_count"], str(m["match_date"])) == ("B", "B", True, True, "2020-01-02")
     d = ingest.deliveries(files).orderBy("ball_no").collect()
     assert [(r["ball_no"], r["extras_type"], r["runs_extras"], r["wicket_type"]) for r in d] == [(1, "wides", 2, None), (2, None, 0, "bowled")]

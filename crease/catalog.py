@@ -48,10 +48,13 @@ def over_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Dialect:
 
 
 def store(spark: SparkSession, dialect: Dialect) -> Dialect:
-    """Write the matches, the joined deliveries and the fantasy points to the shared folder, so that queries scan each as a compact table instead of deriving it anew."""
+    """Write what queries begin with to the shared folder, so that they scan it as compact tables instead of deriving it anew: the matches, the joined deliveries, the fantasy points, the players' matches and, where there are matches to come, who is asked for."""
     folder = shared_path(spark, f"crease-tables-{uuid.uuid4().hex}")
-    for name, query in (("matches", "SELECT * FROM matches"), ("d", "SELECT * FROM d"), ("fp", None)):
-        spark.sql(f"{dialect.base} {query}" if query else f"{fantasy.points(dialect)} SELECT * FROM fp").write.parquet(f"{folder}/{name}")
+    begin = {"matches": lambda s: s.base, "d": lambda s: s.base, "fp": fantasy.points, "pm": features.histories}
+    if "upcoming" in dialect.tables:
+        begin["ask"] = lambda s: f"{s.base}, {upcoming.asked(s)}"
+    for name, query in begin.items():
+        spark.sql(f"{query(dialect)} SELECT * FROM {name}").write.parquet(f"{folder}/{name}")
         dialect = replace(dialect, stored={**dialect.stored, name: f"SELECT * FROM parquet.`{folder}/{name}`"})
     return dialect
 

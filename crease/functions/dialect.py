@@ -27,7 +27,7 @@ class Dialect:
         if not re.fullmatch(r"[0-9A-Za-z/ -]+", season):
             raise ValueError(f"no season: {season!r}")
         only = lambda sql: f"SELECT * FROM ({sql}) x WHERE season = '{season}'"
-        return replace(self, tables={**self.tables, "matches": only(self.tables["matches"])}, stored={k: only(v) for k, v in self.stored.items()})
+        return replace(self, tables={**self.tables, "matches": only(self.tables["matches"])}, stored={k: only(v) if k != "ask" else v for k, v in self.stored.items()})
 
     def r(self, x: str, n: int) -> str:
         """Half-even rounding of the binary value: what is rounded to a whole number is x * 10^n as a double."""
@@ -53,15 +53,19 @@ class Dialect:
         n = f"cast(floor({last}) as int)"
         return f"explode(sequence(1, greatest({n}, 1)))" if self.name == "spark" else f"unnest(range(1, greatest({n}, 1) + 1))"
 
+    def each(self, n: int) -> str:
+        """In a list of columns: one row for each integer from 0 to `n` - 1."""
+        return f"explode(sequence(0, {n - 1}))" if self.name == "spark" else f"unnest(range(0, {n}))"
+
     def latest(self, x: str, window: str) -> str:
         """The last value of `x` within `window` that isn't missing."""
         return f"last_value({x}, true) OVER ({window})" if self.name == "spark" else f"last_value({x} IGNORE NULLS) OVER ({window})"
 
     def faded(self, x: str, fade: str, window: str) -> str:
-        """Sum of `x` over `window`, each value weighing `fade` times the one after it; 0 over no rows."""
+        """Sum of `x` over `window` where it isn't missing, each value weighing `fade` times the one after it; 0 over no rows."""
         if self.name == "spark":
             return f"aggregate(collect_list({x}) OVER ({window}), 0e0, (a, v) -> a * {fade} + v)"
-        return f"coalesce(list_reduce(list({x}) OVER ({window}), lambda a, v: a * {fade} + v), 0e0)"
+        return f"coalesce(list_reduce(list({x}) FILTER (WHERE {x} IS NOT NULL) OVER ({window}), lambda a, v: a * {fade} + v), 0e0)"
 
     def joined(self, x: str, by: str, order: str) -> str:
         """An aggregate: the texts `x`, separated by `by`."""

@@ -1,133 +1,34 @@
-"""Features of matches to come: what was known of players, teams and venues before a day; `s` is the dialect.
-
-Each kind of knowledge is a history of rows, one a match, that say what holds after it. Asked days are put among the history
-of their key, before that day's own matches, and take over what the last row said: one window a key, no row met twice.
-"""
+"""Features of matches to come and of players asked for: the streams of `features`, asked from outside; `s` is the dialect."""
 
 from __future__ import annotations
 
-from crease.functions.dialect import Dialect, count, total
+from crease.functions.dialect import Dialect
 from crease.operators import features
-from crease.operators.fantasy import points
 
 #: Credits of a player that a squad gives none.
 CREDITS = "8e0"
 
 
-def _last(n: int, by: str = "player_id") -> str:
-    return f"PARTITION BY {by} ORDER BY match_date, match_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
-
-
-def _all(by: str) -> str:
-    return f"PARTITION BY {by} ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-
-
-def _before(s: Dialect, history: str, keys: list[str], told: list[str]) -> str:
-    """The rows of `ask` by key and day with what `history` (never null) told last before that day; null where it told nothing."""
-    by = ", ".join(keys)
-    w = f"PARTITION BY {by} ORDER BY day, is_told, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    same = " AND ".join(f"t.{k} = a.{k}" for k in keys)
-    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-    rows = f"""SELECT {', '.join(f't.{k}' for k in keys)}, t.match_date AS day, 1 AS is_told, t.match_id, {', '.join(f't.{c}' for c in told)} FROM {history} t JOIN (SELECT DISTINCT {by} FROM ask) a ON {same}
-UNION ALL SELECT DISTINCT {by}, day, 0, NULL, {', '.join('NULL' for _ in told)} FROM ask WHERE {known}"""
-    return f"SELECT {by}, day, {', '.join(told)} FROM (SELECT {by}, day, is_told, {', '.join(f'{s.latest(c, w)} AS {c}' for c in told)} FROM ({rows}) u) y WHERE is_told = 0"
-
-
-def _asked() -> str:
+def asked(s: Dialect) -> str:
     """CTE ask: one row for each player of a squad that is to play; a player without a team is of the first."""
+    if "ask" in s.stored:
+        return f"ask AS ({s.stored['ask']})"
     return f"""ask AS (SELECT u.upcoming_id, q.player_id, coalesce(q.team, u.team1) AS team, CASE WHEN coalesce(q.team, u.team1) = u.team1 THEN u.team2 ELSE u.team1 END AS opponent, u.match_date AS day, u.league_id, u.venue_id, u.toss_winner, u.toss_decision, coalesce(q.credits, {CREDITS}) AS credits
   FROM squads q JOIN upcoming u ON q.upcoming_id = u.upcoming_id WHERE q.is_playing_xi)"""
 
 
-def _form_before(s: Dialect, ask: str) -> str:
-    """player_id, day and the columns of form."""
-    recent = ["points_mean_3", "points_mean_5", "points_mean_10", "points_std_5", "points_faded_mean", "points_trend"]
-    no = lambda cols: ", ".join(f"coalesce({c}, 0e0) AS {c}" for c in cols)
-    return f"""{features.innings(s)}, {ask},
-seen AS (SELECT player_id, match_id, match_date, total_points, row_number() OVER ({features.W}) AS n FROM fp WHERE NOT training_exclude),
-ph AS (SELECT player_id, match_id, match_date, n, match_date AS last_date, {features.recent(s, 'n', _last)} FROM seen),
-pb AS ({_before(s, 'ph', ['player_id'], ['n', 'last_date', *recent])}),
-bb AS ({_before(s, 'bw', ['player_id'], features.BAT)}),
-wb AS ({_before(s, 'ww', ['player_id'], features.BOWL)})
-SELECT pb.player_id, pb.day, coalesce(n, 0) AS prior_matches, coalesce({s.days('pb.day', 'last_date')}, 999) AS days_since_last, {no(recent + features.BAT + features.BOWL)} FROM pb JOIN bb ON pb.player_id = bb.player_id AND pb.day = bb.day JOIN wb ON pb.player_id = wb.player_id AND pb.day = wb.day"""
+def _stream(name: str, key: str, of: list[str], history: str, ask: str, carried: list[str], among: str) -> str:
+    """CTE `name`: the rows of `history` (key, match_id, match_date and `of`) whose key is `among` those asked for, and the rows of `ask` (key, day and `carried`)."""
+    given = [c for c in of if c in carried]
+    more = [c for c in carried if c not in of]
+    return f"""{name} AS (SELECT h.{key}, h.match_date AS day, 1 AS is_told, h.match_id, {', '.join(f'h.{c}' for c in of)}{''.join(f', NULL AS {c}' for c in more)} FROM {history} h WHERE h.{key} IN (SELECT {among})
+  UNION ALL SELECT {key}, day, 0, NULL, {', '.join(c if c in given else 'NULL' for c in of)}{''.join(f', {c}' for c in more)} FROM {ask} WHERE {key} IS NOT NULL)"""
 
 
 def g03_form_at(s: Dialect, fmt: str = "T20") -> str:
     """Form of the players in `asked` before their day."""
-    return _form_before(s, "ask AS (SELECT DISTINCT player_id, day FROM asked)")
-
-
-def _opposition(s: Dialect) -> str:
-    mean = lambda x, other: f"{s.r(f'coalesce({x} / nullif(n, 0), {other})', 6)}"
-    w = _last(5, "opponent")
-    return f"""{points(s)}, {_asked()},
-q AS (SELECT match_id, match_date, sum(batting_points) AS sb, sum(bowling_points) AS sw, count(*) AS n FROM fp GROUP BY match_id, match_date),
-t AS (SELECT match_id, team1 AS opponent FROM matches UNION ALL SELECT match_id, team2 FROM matches),
-j AS (SELECT t.opponent, q.* FROM t JOIN q ON t.match_id = q.match_id),
-h AS (SELECT opponent, match_id, match_date, sum(sb) OVER ({w}) AS sb, sum(sw) OVER ({w}) AS sw, sum(n) OVER ({w}) AS n FROM j),
-b AS ({_before(s, 'h', ['opponent'], ['sb', 'sw', 'n'])})
-SELECT opponent, day, {mean('sb', '15e0')} AS opposition_batting, {mean('sw', '8e0')} AS opposition_bowling FROM b"""
-
-
-def _pace_share(s: Dialect) -> str:
-    w = _last(5, "opponent")
-    return f"""{s.base}, {_asked()},
-m AS (SELECT d.match_id, count(*) FILTER (WHERE b.bowling_style IN {features.PACE}) AS pace, count(b.bowling_style) AS known FROM d LEFT JOIN players b ON d.bowler_id = b.player_id GROUP BY d.match_id),
-t AS (SELECT match_id, match_date, team1 AS opponent FROM matches UNION ALL SELECT match_id, match_date, team2 FROM matches),
-j AS (SELECT t.*, pace, known FROM t JOIN m ON t.match_id = m.match_id),
-h AS (SELECT opponent, match_id, match_date, sum(pace) OVER ({w}) AS p, sum(known) OVER ({w}) AS k FROM j),
-b AS ({_before(s, 'h', ['opponent'], ['p', 'k'])})
-SELECT opponent, day, {s.r('coalesce(p / nullif(k, 0), 5e-1)', 6)} AS opposition_pace_ratio FROM b"""
-
-
-def _versus(s: Dialect) -> str:
-    w = _all("player_id, opponent")
-    return f"""{features.met(s)}, {_asked()},
-c AS (SELECT player_id, opponent, match_id, match_date, sum(total_points) OVER ({w}) AS p, count(*) OVER ({w}) AS n FROM h),
-b AS ({_before(s, 'c', ['player_id', 'opponent'], ['p', 'n'])})
-SELECT player_id, opponent, day, {s.r('p / n', 6)} AS versus_mean, coalesce(n, 0) AS versus_matches FROM b"""
-
-
-def _at_venue(s: Dialect) -> str:
-    w = _all("player_id, venue_id")
-    return f"""{points(s)}, {_asked()},
-h AS (SELECT fp.player_id, m.venue_id, fp.match_id, fp.match_date, fp.total_points FROM fp JOIN matches m ON fp.match_id = m.match_id WHERE m.venue_id IS NOT NULL),
-c AS (SELECT player_id, venue_id, match_id, match_date, sum(total_points) OVER ({w}) AS p, count(*) OVER ({w}) AS n FROM h),
-b AS ({_before(s, 'c', ['player_id', 'venue_id'], ['p', 'n'])})
-SELECT player_id, venue_id, day, {s.r('p / n', 6)} AS at_venue_mean, n AS at_venue_matches FROM b"""
-
-
-def _matchup(s: Dialect, key: str, other: str, values: dict[str, str], ok: str, value: str, least: int, times: int, none: str) -> str:
-    told = [f"{x}_{k}" for k in values for x in "rb"] + ["n"]
-    w = _all("player_id")
-    sums = ", ".join(f"{total(value, c)} AS r_{k}, {count(c)} AS b_{k}" for k, c in values.items())
-    rates = ", ".join(f"CASE WHEN coalesce(n, 0) = 0 THEN {none} WHEN b_{k} >= {least} THEN {s.r(f'r_{k} / nullif(b_{k}, 0) * {times}', 6)} END AS vs_{k}" for k in values)
-    return f"""{s.base}, {_asked()},
-g AS (SELECT d.{key} AS player_id, d.match_id, d.match_date, count(*) AS n, {sums} FROM d LEFT JOIN players o ON d.{other} = o.player_id WHERE {ok} AND d.{key} IS NOT NULL GROUP BY 1, 2, 3),
-c AS (SELECT player_id, match_id, match_date, {', '.join(f'sum({x}) OVER ({w}) AS {x}' for x in told)} FROM g),
-b AS ({_before(s, 'c', ['player_id'], told)})
-SELECT player_id, day, {rates} FROM b"""
-
-
-def _venue(s: Dialect) -> str:
-    told = ["first_total", "n_first", "pace_runs", "pace_balls", "spin_runs", "spin_balls", "sb", "sw", "n"]
-    w = _all("venue_id")
-    mean = lambda a, b, other, times="1": f"{s.r(f'coalesce({a} / nullif({b}, 0) * {times}, {other})', 6)}"
-    return f"""{features.venue_matches(s)}, {_asked()},
-j AS (SELECT t.*, 1 AS n_first, sb, sw, n FROM t JOIN q ON t.match_id = q.match_id),
-h AS (SELECT venue_id, match_id, match_date, {', '.join(f'sum({x}) OVER ({w}) AS {x}' for x in told)} FROM j),
-b AS ({_before(s, 'h', ['venue_id'], told)}),
-v AS (SELECT venue_id, day, {mean('first_total', 'n_first', '160e0')} AS venue_first_innings, {mean('pace_runs', 'pace_balls', '75e-1', '6')} AS venue_pace_economy, {mean('spin_runs', 'spin_balls', '75e-1', '6')} AS venue_spin_economy, {mean('sb', 'n', '20e0')} AS venue_batting_points, {mean('sw', 'n', '10e0')} AS venue_bowling_points FROM b)
-SELECT *, {s.rate('venue_pace_economy', 'venue_spin_economy', '1', 6, '1e0')} AS venue_pace_spin_ratio FROM v"""
-
-
-def _position(s: Dialect) -> str:
-    w = _all("player_id")
-    return f"""{s.base}, {_asked()},
-f AS (SELECT striker_id AS player_id, match_id, match_date, cast(min(over_ball) as double) AS first_over FROM d WHERE striker_id IS NOT NULL GROUP BY 1, 2, 3),
-c AS (SELECT player_id, match_id, match_date, sum(first_over) OVER ({w}) AS p, count(*) OVER ({w}) AS n FROM f),
-b AS ({_before(s, 'c', ['player_id'], ['p', 'n'])})
-SELECT player_id, day, {s.r('p / n', 6)} AS batting_position_mean FROM b"""
+    ask = "ask AS (SELECT DISTINCT player_id, day FROM asked)"
+    return f"{features.told(s, f'{features.histories(s)}, {ask}, {_stream("stream", "player_id", features.TOLD, "pm", "ask", [], "player_id FROM ask")}')}\nSELECT player_id, day, {', '.join(features.FORM)} FROM told WHERE is_told = 0"
 
 
 def g16_inference_matrix(s: Dialect, fmt: str = "T20") -> str:
@@ -135,21 +36,24 @@ def g16_inference_matrix(s: Dialect, fmt: str = "T20") -> str:
 
     A player, team or venue without history has the features' defaults; without a toss nobody has won it or bats first.
     """
-    ask = f"({s.base}, {_asked()} SELECT * FROM ask)"
-    on = lambda a, *keys: " AND ".join(f"{a}.{k} = a.{k}" for k in (*keys, "day"))
+    begin = f"{features.histories(s)}, {asked(s)}"
+    carried = ["opponent", "venue_id", "upcoming_id", "team", "league_id", "toss_winner", "toss_decision", "credits"]
+    players = features.told(s, f"{begin}, {_stream('stream', 'player_id', features.TOLD, 'pm', 'ask', carried, 'player_id FROM ask')}")
+    teams = features.told_of_teams(s, f"""{begin}, {features.of_matches()},
+asked_teams AS (SELECT DISTINCT opponent AS team, day FROM ask),
+team_2 AS (SELECT tq.*, {s.each(2)} AS k FROM tq),
+of_team AS (SELECT CASE WHEN k = 0 THEN team1 ELSE team2 END AS team, team_2.* FROM team_2),
+{_stream('team_stream', 'team', features.OF_TEAM, 'of_team', 'asked_teams', [], 'opponent FROM ask')}""")
+    venues = features.told_of_venues(s, f"""{begin}, {features.of_matches()},
+asked_venues AS (SELECT DISTINCT venue_id, day FROM ask),
+of_venue AS (SELECT * FROM tq WHERE n > 0 AND n_played > 0),
+{_stream('venue_stream', 'venue_id', features.OF_VENUE, 'of_venue', 'asked_venues', [], 'venue_id FROM ask')}""")
     own = {**features.static(s, "a.day"), "toss_won": "CASE WHEN a.toss_winner = a.team THEN 1 ELSE 0 END", "batting_first": "CASE WHEN (a.toss_winner = a.team) = (a.toss_decision = 'bat') THEN 1 ELSE 0 END", "league_difficulty": "coalesce(l.difficulty, 1e0)", "format_similarity": "coalesce(l.similarity, 1e0)", "league_tier": "coalesce(l.tier, 2)", "at_venue_matches": "coalesce(at_venue_matches, 0)"}
     return f"""SELECT a.upcoming_id, a.player_id, a.day AS match_date, a.league_id, a.team, a.credits, {features.chosen(own)}
-FROM {ask} a
-LEFT JOIN ({_form_before(s, _asked())}) f ON {on('f', 'player_id')}
-LEFT JOIN ({_versus(s)}) o ON {on('o', 'player_id', 'opponent')}
-LEFT JOIN ({_opposition(s)}) st ON {on('st', 'opponent')}
-LEFT JOIN ({_pace_share(s)}) ps ON {on('ps', 'opponent')}
-LEFT JOIN ({_matchup(s, **features.BATTER)}) bm ON {on('bm', 'player_id')}
-LEFT JOIN ({_matchup(s, **features.BOWLER)}) wm ON {on('wm', 'player_id')}
-LEFT JOIN ({_venue(s)}) v ON {on('v', 'venue_id')}
-LEFT JOIN ({_at_venue(s)}) pv ON {on('pv', 'player_id', 'venue_id')}
-LEFT JOIN ({features.g12_static(s)}) ps2 ON ps2.player_id = a.player_id
-LEFT JOIN ({_position(s)}) bp ON {on('bp', 'player_id')}
+FROM ({players} SELECT * FROM told WHERE is_told = 0) a
+LEFT JOIN ({teams} SELECT team AS of_team, day AS of_day, opposition_batting, opposition_bowling, opposition_pace_ratio FROM tt WHERE is_told = 0) t ON t.of_team = a.opponent AND t.of_day = a.day
+LEFT JOIN ({venues} SELECT venue_id AS at_venue, day AS at_day, {', '.join(features.VENUE)} FROM tv WHERE is_told = 0) v ON v.at_venue = a.venue_id AND v.at_day = a.day
+LEFT JOIN ({features.g12_static(s)}) p ON p.player_id = a.player_id
 LEFT JOIN ({s.base} SELECT * FROM leagues) l ON l.league_id = a.league_id"""
 
 

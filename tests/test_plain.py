@@ -310,6 +310,11 @@ def team_matches(t):
     return out
 
 
+def earlier(t, ids, match):
+    """Of matches in order those of the days before that of `match`."""
+    return [k for k in ids if t.matches[k]["match_date"] < t.matches[match]["match_date"]]
+
+
 def test_opposition_and_pace_share(t):
     by, pace, known = defaultdict(list), Counter(), Counter()
     for r in t.points:
@@ -321,12 +326,13 @@ def test_opposition_and_pace_share(t):
     got = {(r["team"], r["match_id"]): r for r in t.answer("g05_opposition")}
     share = {(r["team"], r["match_id"]): r["opposition_pace_ratio"] for r in t.answer("g07_pace_share")}
     for team, ids in team_matches(t).items():
-        for i, m in enumerate(ids):
-            rows = [r for k in ids[max(0, i - 5) : i] for r in by[k]]
+        for m in ids:
+            last = earlier(t, ids, m)[-5:]
+            rows = [r for k in last for r in by[k]]
             for c, none in (("batting", 15), ("bowling", 8)):
                 assert near(got[team, m][f"opposition_{c}"], statistics.mean(r[f"{c}_points"] for r in rows) if rows else none, 2e-6)
-            k = sum(known[x] for x in ids[max(0, i - 5) : i])
-            assert near(share[team, m], sum(pace[x] for x in ids[max(0, i - 5) : i]) / k if k else 0.5, 2e-6)
+            k = sum(known[x] for x in last)
+            assert near(share[team, m], sum(pace[x] for x in last) / k if k else 0.5, 2e-6)
 
 
 def test_player_against_team_and_at_venue(t):
@@ -341,18 +347,19 @@ def test_player_against_team_and_at_venue(t):
         for r in rows:
             m = t.matches[r["match_id"]]
             if m["venue_id"] is not None:
-                v = at[m["venue_id"]]
+                v = [y for day, y in at[m["venue_id"]] if day < m["match_date"]]
                 x = venue[p, r["match_id"]]
                 assert x["at_venue_matches"] == len(v) and near(x["at_venue_mean"], statistics.mean(v) if v else None, 2e-6)
-                v.append(r["total_points"])
+                at[m["venue_id"]].append((m["match_date"], r["total_points"]))
             if (first := bats_first(m)) is None:
                 continue
             second = m["team1"] if first == m["team2"] else m["team2"]
             for i in side[p, r["match_id"]]:
                 other = second if i == 1 else first
                 x = got[p, r["match_id"], other]
-                assert x["versus_matches"] == len(met[other]) and near(x["versus_mean"], statistics.mean(met[other]) if met[other] else None, 2e-6)
-                met[other].append(r["total_points"])
+                v = [y for day, y in met[other] if day < m["match_date"]]
+                assert x["versus_matches"] == len(v) and near(x["versus_mean"], statistics.mean(v) if v else None, 2e-6)
+                met[other].append((m["match_date"], r["total_points"]))
 
 
 def test_batter_and_bowler_match_ups(t):
@@ -368,16 +375,15 @@ def test_batter_and_bowler_match_ups(t):
     bowl = {(r["player_id"], r["match_id"]): r for r in t.answer("g09_bowler_matchups")}
     kinds = {"pace": PACE, "spin": SPIN, "left_arm": {"left-arm fast", "left-arm orthodox"}}
     for p, ids in played.items():
-        past, past_bowl = [], []
-        for m in sorted(ids, key=lambda k: (t.matches[k]["match_date"], k)):
+        ids = sorted(ids, key=lambda k: (t.matches[k]["match_date"], k))
+        for m in ids:
+            past, past_bowl = ([x for k in earlier(t, ids, m) for x in of[p, k]] for of in (faced_by, bowled))
             for k, styles in kinds.items():
                 x = [r for s, r in past if s in styles]
                 assert near(bat[p, m][f"vs_{k}"], statistics.mean(x) * 100 if len(x) >= 10 else None, 2e-6)
             for k, hand in (("left", "Left hand"), ("right", "Right hand")):
                 x = [r for h, r in past_bowl if h == hand]
                 assert near(bowl[p, m][f"vs_{k}"], 7.5 if not past_bowl else statistics.mean(x) * 6 if len(x) >= 12 else None, 2e-6)
-            past += faced_by[p, m]
-            past_bowl += bowled[p, m]
 
 
 def test_venue_features(t):
@@ -390,17 +396,18 @@ def test_venue_features(t):
         by[t.matches[k]["venue_id"]].append(k)
     got = {r["match_id"]: r for r in t.answer("g10_venue")}
     for v, ids in by.items():
-        for i, m in enumerate(ids):
-            past = [b for k in ids[:i] for b in balls[k]]
+        for m in ids:
+            before = earlier(t, ids, m)
+            past = [b for k in before for b in balls[k]]
             eco = {}
             for name, styles in (("pace", PACE), ("spin", SPIN)):
                 x = [b["runs_total"] for b in past if legal(b) and t.players.get(b["bowler_id"], {}).get("bowling_style") in styles]
                 eco[name] = statistics.mean(x) * 6 if x else 7.5
                 assert near(got[m][f"venue_{name}_economy"], eco[name], 2e-6)
             assert near(got[m]["venue_pace_spin_ratio"], eco["pace"] / eco["spin"] if eco["spin"] else 1.0, 2e-5)
-            firsts = [sum(b["runs_total"] for b in balls[k] if b["innings"] == 1) for k in ids[:i]]
+            firsts = [sum(b["runs_total"] for b in balls[k] if b["innings"] == 1) for k in before]
             assert near(got[m]["venue_first_innings"], statistics.mean(firsts) if firsts else 160, 2e-6)
-            x = [r["batting_points"] for k in ids[:i] for r in points[k]]
+            x = [r["batting_points"] for k in before for r in points[k]]
             assert near(got[m]["venue_batting_points"], statistics.mean(x) if x else 20, 2e-6)
 
 

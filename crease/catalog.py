@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,10 +85,22 @@ def _until(rows: DataFrame, cutoff: str, months: int = 6) -> tuple[DataFrame, Da
     return (known, known) if grown.isEmpty() or held.isEmpty() else (grown, held)
 
 
+#: Models of points of a session: (application, folder, cutoff) to the model.
+_models: dict[tuple[str, str, str], PipelineModel] = {}
+
+
+def _points_model(spark: SparkSession, sf_dir: str, cutoff: str, known: DataFrame) -> PipelineModel:
+    key = (spark.sparkContext.applicationId, sf_dir, cutoff)
+    if key not in _models:
+        _models[key] = models.fit_points(*_until(known, cutoff))
+    return _models[key]
+
+
 def x01_points_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
-    """Metrics of a model of points on the matches from `cutoff` on, which neither training nor its early stop has seen."""
+    """Metrics, and trees kept, of a model of points on the matches from `cutoff` on, which neither training nor its early stop has seen."""
     known, test = models.split(kept(run(spark, "g14_matrix", stored_dialect(spark, sf_dir))), cutoff)
-    return models.metrics(kept(models.score(models.fit_points(*_until(known, cutoff)), test)))
+    model = _points_model(spark, sf_dir, cutoff, known)
+    return models.metrics(kept(models.score(model, test))).withColumn("trees", F.lit(models.grown(model)))
 
 
 def x02_outcome_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
@@ -95,7 +108,17 @@ def x02_outcome_model(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) ->
     rows = kept(run(spark, "g15_outcome_rows", stored_dialect(spark, sf_dir)))
     test = rows.filter(F.col("match_date") >= F.lit(cutoff).cast("date"))
     model = models.fit_outcome(*_until(rows, cutoff))
-    return model.transform(models.numbers(test, models.OUTCOME)).select("match_id", F.col("target").cast("long").alias("target"), F.col("prediction").cast("long").alias("predicted"))
+    return model.transform(models.numbers(test, models.OUTCOME)).select("match_id", F.col("target").cast("long").alias("target"), F.col("prediction").cast("long").alias("predicted"), F.lit(models.grown(model)).alias("trees"))
+
+
+#: Days between the windows of the registered backtest, and its trees at most; `models.backtest` steps by 30 days unless told otherwise.
+BACKTEST_STEP, BACKTEST_TREES, BACKTEST_PATIENCE = 365, 40, 10
+
+
+def x04_backtest(spark: SparkSession, sf_dir: str, step: int = BACKTEST_STEP, trees: int = BACKTEST_TREES, patience: int = BACKTEST_PATIENCE) -> DataFrame:
+    """Walk-forward metrics of models of points over the whole matrix: a row a window."""
+    rows = run(spark, "g14_matrix", stored_dialect(spark, sf_dir))
+    return models.backtest(rows, shared_path(spark, f"backtest-{uuid.uuid4().hex}"), step=step, trees=trees, patience=patience)
 
 
 def x02_outcome_accuracy(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
@@ -105,7 +128,7 @@ def x02_outcome_accuracy(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF)
 def x06_predictions(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFrame:
     """Predicted points and rank of each player in the matches from `cutoff` on."""
     known, test = models.split(kept(run(spark, "g14_matrix", stored_dialect(spark, sf_dir))), cutoff)
-    return models.predict(models.fit_points(*_until(known, cutoff)), test)
+    return models.predict(_points_model(spark, sf_dir, cutoff, known), test)
 
 
 def x08_upcoming(spark: SparkSession, sf_dir: str, version: str = "latest") -> DataFrame:
@@ -114,7 +137,7 @@ def x08_upcoming(spark: SparkSession, sf_dir: str, version: str = "latest") -> D
     matrix = kept(run(spark, "g16_inference_matrix", s))
     first = spark.sql(f"{s.base} SELECT cast(coalesce(min(match_date), current_date()) as string) FROM upcoming").first()[0]
     known, _ = models.split(kept(run(spark, "g14_matrix", s)), first)
-    return models.predict_upcoming(models.fit_points(*_until(known, first)), matrix, version)
+    return models.predict_upcoming(_points_model(spark, sf_dir, first, known), matrix, version)
 
 
 def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -167,7 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: (lambda spark, sf_dir, name=name: run(spark, name, stored_dialect(spark, sf_dir))) for name in TEMPLATES}
     out["x07_lineups"] = lambda spark, sf_dir: lineup.lineups(run(spark, "x07_candidates", stored_dialect(spark, sf_dir)))
     out |= {f.__name__: f for f in (n03_match_resolution, n03_resolved, n04_totals, n05_labels)}
-    return {**out, "x01_points_model": x01_points_model, "x02_outcome_model": x02_outcome_model, "x02_outcome_accuracy": x02_outcome_accuracy, "x06_predictions": x06_predictions, "x08_upcoming": x08_upcoming}
+    return {**out, "x01_points_model": x01_points_model, "x02_outcome_model": x02_outcome_model, "x02_outcome_accuracy": x02_outcome_accuracy, "x04_backtest": x04_backtest, "x06_predictions": x06_predictions, "x08_upcoming": x08_upcoming}
 
 
 def oracles() -> dict[str, str]:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark import SparkContext, inheritable_thread_target
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,23 +34,68 @@ def split(rows: DataFrame, cutoff: str, holdout: tuple[str, str] = HOLDOUT) -> t
     return rows.filter(F.col("match_date") < F.lit(cutoff).cast("date")), rows.filter(F.col("match_date") >= F.lit(cutoff).cast("date"))
 
 
-def _held(train: DataFrame, validation: DataFrame, features: list[str]) -> DataFrame:
-    """All rows as numbers, the validation rows marked."""
-    return numbers(train, features).withColumn("held", F.lit(False)).unionByName(numbers(validation, features).withColumn("held", F.lit(True)))
+#: Rounds without a better error on the held-out rows after which boosting of points and of outcomes ends.
+PATIENCE, OUTCOME_PATIENCE = 30, 20
 
 
-def fit_points(train: DataFrame, validation: DataFrame, features: list[str] = FEATURES, trees: int = 500) -> PipelineModel:
-    """Regressor of points. Boosting ends early once the validation rows' error stops falling (training rows' own error if there are none)."""
-    model = GBTRegressor(
-        featuresCol="features", labelCol="target", predictionCol="prediction", maxIter=trees, stepSize=0.05, maxDepth=6, minInstancesPerNode=3, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, validationIndicatorCol="held", validationTol=1e-3
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), model]).fit(_held(train, validation, features))
+def best_prefix(errors: list[float], patience: int) -> tuple[int, bool]:
+    """How many trees had the least error before `patience` rounds brought none less, and whether those rounds have passed."""
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
-def fit_outcome(train: DataFrame, validation: DataFrame, trees: int = 200) -> PipelineModel:
-    """Classifier of whether the first team wins; boosting ends early as that of points does."""
-    model = GBTClassifier(featuresCol="features", labelCol="target", predictionCol="prediction", maxIter=trees, stepSize=0.05, maxDepth=4, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, validationIndicatorCol="held", validationTol=1e-3)
-    return Pipeline(stages=[VectorAssembler(inputCols=OUTCOME, outputCol="features"), model]).fit(_held(train, validation, OUTCOME))
+def _cut(model: GBTRegressionModel | GBTClassificationModel, n: int) -> GBTRegressionModel | GBTClassificationModel:
+    """The model of the first `n` trees."""
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for k in range(n):
+        trees[k], weights[k] = java.trees()[k], java.treeWeights()[k]
+    package = gateway.jvm.org.apache.spark.ml
+    made = (package.classification.GBTClassificationModel if isinstance(model, GBTClassificationModel) else package.regression.GBTRegressionModel)(model.uid, trees, weights)
+    return type(model)(made)
+
+
+def _boosted(estimator: GBTRegressor | GBTClassifier, train: DataFrame, validation: DataFrame, features: list[str], trees: int, patience: int) -> PipelineModel:
+    """The trees up to the least error on the validation rows (the training rows if there are none), at most `trees`.
+
+    The error is measured after each tree. Ensembles of twice as many trees are grown until `patience` rounds bring no
+    gain, so no more than thrice the trees needed are grown in all; the same seed grows the same first trees.
+    """
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    rows = kept(assembler.transform(numbers(train, features)).select("features", F.col("target").cast("double").alias("target")))
+    held = kept(assembler.transform(numbers(validation, features)).select("features", F.col("target").cast("double").alias("target")))
+    held = rows if held.isEmpty() else held
+    n = min(trees, 2 * patience)
+    while True:
+        model = estimator.copy({estimator.maxIter: n}).fit(rows)
+        errors = model.evaluateEachIteration(held, "squared") if isinstance(model, GBTRegressionModel) else model.evaluateEachIteration(held)
+        best, over = best_prefix(list(errors), patience)
+        if over or n >= trees:
+            return PipelineModel([assembler, _cut(model, best)])
+        n = min(trees, 2 * n)
+
+
+def grown(model: PipelineModel) -> int:
+    """How many trees the model has."""
+    return model.stages[-1].getNumTrees
+
+
+def fit_points(train: DataFrame, validation: DataFrame, features: list[str] = FEATURES, trees: int = 500, patience: int = PATIENCE) -> PipelineModel:
+    """Regressor of points, boosted until `patience` trees bring no better error on the validation rows (training rows if there are none); it keeps the best first trees."""
+    model = GBTRegressor(featuresCol="features", labelCol="target", predictionCol="prediction", stepSize=0.05, maxDepth=6, minInstancesPerNode=3, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+    return _boosted(model, train, validation, features, trees, patience)
+
+
+def fit_outcome(train: DataFrame, validation: DataFrame, trees: int = 200, patience: int = OUTCOME_PATIENCE) -> PipelineModel:
+    """Classifier of whether the first team wins; boosting ends as that of points does."""
+    model = GBTClassifier(featuresCol="features", labelCol="target", predictionCol="prediction", stepSize=0.05, maxDepth=4, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+    return _boosted(model, train, validation, OUTCOME, trees, patience)
 
 
 def accuracy(predicted: DataFrame) -> DataFrame:
@@ -98,21 +145,47 @@ def score(model: PipelineModel, rows: DataFrame, features: list[str] = FEATURES)
     return model.transform(numbers(rows, features)).select("match_id", "player_id", F.col("target").cast("double").alias("target"), "prediction")
 
 
-def backtest(spark: SparkSession, rows: DataFrame, first: datetime.date, last: datetime.date, step: int = 30, days: int = 90, trees: int = 200, least_train: int = 1000, least_validation: int = 50, features: list[str] = FEATURES) -> DataFrame | None:
-    """Metrics of walk-forward windows: train before a date, validate on the `days` after it; None if no window has enough rows.
+def windows(rows: DataFrame, step: int = 30, days: int = 90, least_train: int = 1000, least_validation: int = 50) -> list[datetime.date]:
+    """First days of the walk-forward windows that have enough rows before them and in their `days`, `step` days apart from the rows' first day on.
 
-    The loop is over dates, not over rows: each window is one distributed fit.
+    Rows are counted by day first, so what is looked at on the driver is a row a day.
     """
-    rows, out, cursor = kept(rows), None, first
-    while cursor <= last:
-        train, val = rows.filter(F.col("match_date") < F.lit(cursor)), rows.filter((F.col("match_date") >= F.lit(cursor)) & (F.col("match_date") < F.lit(cursor + datetime.timedelta(days))))
-        if train.count() >= least_train and val.count() >= least_validation:
-            one = metrics(kept(score(fit_points(train, val, features, trees), val, features))).withColumn("cursor_date", F.lit(cursor))
-            out = one if out is None else out.unionByName(one)
-        cursor += datetime.timedelta(step)
+    per = {r["match_date"]: r["n"] for r in rows.groupBy("match_date").agg(F.count(F.lit(1)).alias("n")).filter("match_date is not null").collect()}
+    out, cursor = [], min(per, default=None)
+    while per and (cursor := cursor + datetime.timedelta(step)) <= max(per):
+        end = cursor + datetime.timedelta(days)
+        if sum(n for d, n in per.items() if d < cursor) >= least_train and sum(n for d, n in per.items() if cursor <= d < end) >= least_validation:
+            out.append(cursor)
     return out
 
 
+def backtest(rows: DataFrame, folder: str, step: int = 30, days: int = 90, trees: int = 200, patience: int = PATIENCE, least_train: int = 1000, least_validation: int = 50, features: list[str] = FEATURES, at_once: int = 4) -> DataFrame:
+    """A row for each of `windows`: cursor_date, n_train, trees kept, and the metrics of a model trained before the day on the `days` from it on.
+
+    The rows are written once and windows are fitted side by side, `at_once` of them, each a distributed fit. Each
+    window's row is written to `folder` when it is done, so a run that was cut off goes on where it ended when given the
+    same rows and folder.
+    """
+    spark = rows.sparkSession
+    rows = kept(rows)
+
+    def one(cursor: datetime.date) -> str:
+        path = f"{folder.rstrip('/')}/cursor={cursor}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            day, until = F.lit(cursor), F.lit(cursor + datetime.timedelta(days))
+            train, val = rows.filter(F.col("match_date") < day), rows.filter((F.col("match_date") >= day) & (F.col("match_date") < until))
+            model = fit_points(train, val, features, trees, patience)
+            measured = metrics(kept(score(model, val, features))).select(F.lit(cursor).alias("cursor_date"), F.lit(train.count()).alias("n_train"), F.lit(grown(model)).alias("trees"), "*")
+            measured.write.mode("overwrite").parquet(path)
+        return path
+
+    with ThreadPoolExecutor(at_once) as pool:
+        paths = list(pool.map(inheritable_thread_target(spark)(one), windows(rows, step, days, least_train, least_validation)))
+    schema = "cursor_date date, n_train int, trees int, n bigint, rmse double, spearman double, top_11_overlap double, verdict string"
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def save(model: PipelineModel, folder: str, version: str) -> str:
     """Write the model under its version; returns the path."""
     model.write().overwrite().save(path := f"{folder.rstrip('/')}/player_points_{version}")

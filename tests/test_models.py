@@ -78,9 +78,40 @@ def test_models_learn_are_saved_and_tested_forward(spark, tmp_path):
     assert len(scored) == val.count() and min(r["rank"] for r in scored) == 1
     assert models.metrics(models.score(model, val, ["a", "b"])).first()["spearman"] > 0.9
     assert {r["feature"]: r["importance"] for r in models.importance(spark, model, ["a", "b"]).collect()}["a"] > 0.9
-    windows = models.backtest(spark, df, day, day + datetime.timedelta(199), step=60, days=60, trees=5, least_train=100, least_validation=50, features=["a", "b"])
-    assert [r["verdict"] for r in windows.collect()] == ["good"] * 3
-    assert models.backtest(spark, df, day, day, features=["a", "b"]) is None
+    assert models.windows(df, 60, 60, 100, 50) == [day + datetime.timedelta(60 * k) for k in (1, 2, 3)]
+    folder = str(tmp_path / "windows")
+    options = {"step": 60, "days": 60, "trees": 5, "least_train": 100, "least_validation": 50, "features": ["a", "b"]}
+    got = models.backtest(df, folder, **options).orderBy("cursor_date").collect()
+    assert [r["verdict"] for r in got] == ["good"] * 3 and all(0 < r["trees"] <= 5 for r in got)
+    for r in got:
+        until = r["cursor_date"] + datetime.timedelta(60)
+        before, after = df.filter(df["match_date"] < r["cursor_date"]), df.filter((df["match_date"] >= r["cursor_date"]) & (df["match_date"] < until))
+        one = models.fit_points(before, after, ["a", "b"], trees=5)
+        assert (before.count(), models.grown(one)) == (r["n_train"], r["trees"])
+        assert math.isclose(models.metrics(models.score(one, after, ["a", "b"])).first()["rmse"], r["rmse"], rel_tol=1e-9)
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "windows").rglob("*.parquet")}
+    last = max(p for p in kept if "cursor=" in str(p)).parent
+    (last / "_SUCCESS").unlink()  # as a run that was cut off leaves it
+    again = models.backtest(df, folder, **options).orderBy("cursor_date").collect()
+    now = {p: p.stat().st_mtime_ns for p in (tmp_path / "windows").rglob("*.parquet")}
+    assert again == got and {p for p in kept if now.get(p) != kept[p]} == {p for p in kept if p.parent == last}
+    assert models.backtest(df, folder, least_train=10**6).count() == 0
+
+
+def test_boosting_keeps_the_best_trees_and_ends_with_patience(spark):
+    assert models.best_prefix([5, 4, 4.5, 3, 3.5, 3.2, 3.1], 3) == (4, True)
+    assert models.best_prefix([5, 4, 4.5, 3, 3.5], 3) == (4, False) and models.best_prefix([1, 2, 3, 0], 2) == (1, True)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 2))
+    y = 3 * (x[:, 0] > 0) + r.normal(size=600)  # a signal of one split, the rest is noise
+    rows = spark.createDataFrame([(float(a), float(b), float(c), k) for k, ((a, b), c) in enumerate(zip(x, y))], "a double, b double, target double, k int")
+    train, held = rows.filter("k < 300"), rows.filter("k >= 300")
+    model = models.fit_points(train, held, ["a", "b"], trees=200, patience=8)
+    n = models.grown(model)
+    assert 5 < n < 200
+    error = lambda m: models.score(m, held.selectExpr("*", "0 AS match_id", "k AS player_id"), ["a", "b"]).selectExpr("avg(pow(target - prediction, 2))").first()[0]
+    of = {k: error(models.fit_points(train, train, ["a", "b"], trees=k, patience=300)) for k in (n - 3, n, n + 6)}
+    assert math.isclose(of[n], error(model), rel_tol=1e-9) and of[n] < of[n - 3] and of[n] < of[n + 6]
 
 
 def test_no_leakage_in_the_matrix(spark, dialect):

@@ -49,9 +49,9 @@ def over_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Dialect:
 
 
 def store(spark: SparkSession, dialect: Dialect) -> Dialect:
-    """Write what queries begin with to the shared folder, so that they scan it as compact tables instead of deriving it anew: the matches, the joined deliveries, the fantasy points, the players' matches and, where there are matches to come, who is asked for."""
+    """Write what queries begin with to the shared folder, so that they scan it as compact tables instead of deriving it anew: the matches, the deliveries, alone and joined, the fantasy points, the players' matches and, where there are matches to come, who is asked for."""
     folder = shared_path(spark, f"crease-tables-{uuid.uuid4().hex}")
-    begin = {"matches": lambda s: s.base, "d": lambda s: s.base, "fp": fantasy.points, "pm": features.histories}
+    begin = {"matches": lambda s: s.base, "deliveries": lambda s: s.base, "d": lambda s: s.base, "fp": fantasy.points, "pm": features.histories}
     if "upcoming" in dialect.tables:
         begin["ask"] = lambda s: f"{s.base}, {upcoming.asked(s)}"
     for name, query in begin.items():

@@ -27,7 +27,7 @@ class Dialect:
         if not re.fullmatch(r"[0-9A-Za-z/ -]+", season):
             raise ValueError(f"no season: {season!r}")
         only = lambda sql: f"SELECT * FROM ({sql}) x WHERE season = '{season}'"
-        return replace(self, tables={**self.tables, "matches": only(self.tables["matches"])}, stored={k: only(v) if k != "ask" else v for k, v in self.stored.items()})
+        return replace(self, tables={**self.tables, "matches": only(self.tables["matches"])}, stored={k: only(v) if k not in ("ask", "deliveries") else v for k, v in self.stored.items()})
 
     def r(self, x: str, n: int) -> str:
         """Half-even rounding of the binary value: what is rounded to a whole number is x * 10^n as a double."""
@@ -71,6 +71,22 @@ class Dialect:
         """An aggregate: the texts `x`, separated by `by`."""
         return f"listagg({x}, '{by}') WITHIN GROUP (ORDER BY {order})" if self.name == "spark" else f"string_agg({x}, '{by}' ORDER BY {order})"
 
+    def counted(self, key: str, n: str) -> str:
+        """An aggregate: a map of the keys that aren't missing to their `n`, in the order of keys."""
+        if self.name == "spark":
+            return f"map_from_entries(array_sort(collect_list(struct({key} AS k, {n} AS n)) FILTER (WHERE {key} IS NOT NULL)))"
+        return f"map_from_entries(list({{'k': {key}, 'n': {n}}} ORDER BY {key}) FILTER (WHERE {key} IS NOT NULL))"
+
+    def at(self, counted: str, key: str) -> str:
+        """What a map of counts has for a key; 0 if nothing."""
+        return f"coalesce({f'try_element_at({counted}, {key!r})' if self.name == 'spark' else f'{counted}[{key!r}]'}, 0)"
+
+    def listed(self, counted: str) -> str:
+        """A map of counts as text: key and count, in the order of keys."""
+        if self.name == "spark":
+            return f"array_join(transform(map_entries({counted}), e -> concat(e.key, ': ', cast(e.value as string))), ', ')"
+        return f"coalesce(array_to_string(list_transform(map_entries({counted}), lambda e: concat(e.key, ': ', cast(e.value as varchar))), ', '), '')"
+
     def text(self, x: str) -> str:
         return f"cast({x} as {'string' if self.name == 'spark' else 'varchar'})"
 

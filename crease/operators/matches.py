@@ -106,15 +106,15 @@ SELECT g.a AS team1, g.b AS team2, total_meetings, team1_wins, team2_wins, no_re
 def m01_pitch(s: Dialect, fmt: str = "T20", after_over: int = 3) -> str:
     """How the pitch plays from the first overs, against the venue's economy of pace bowling (75e-1 where it isn't known)."""
     few, plural = "n < 12", lambda x, word: f"CASE WHEN {x} = 1 THEN '{word}' ELSE '{word}s' END"
-    rate, kinds = s.text("actual_run_rate"), ("bowled", "caught", "lbw", "run out", "stumped")
-    counts = ", ".join(f"{count(f'wicket_type = {chr(39)}{k}{chr(39)}')} AS w_{k.replace(' ', '_')}" for k in kinds)
-    said = " || ".join(f"CASE WHEN w_{k.replace(' ', '_')} > 0 THEN concat(', {k}: ', {s.text('w_' + k.replace(' ', '_'))}) ELSE '' END" for k in kinds)
+    rate = s.text("actual_run_rate")
     overs = f"{after_over} over{'s' if after_over != 1 else ''}"
     return f"""{s.base},
-g AS (SELECT d.match_id, max(v.avg_pace_economy) AS venue_economy, count(*) AS n, {count('faced')} AS balls, {total('runs_total')} AS runs, {count(OUT)} AS wickets, {counts} FROM d LEFT JOIN venues v ON d.venue_id = v.venue_id WHERE innings = 1 AND over_no < {after_over} GROUP BY d.match_id),
-r AS (SELECT *, {s.r('runs / greatest(balls, 1) * 6', 2)} AS rr, {s.r('(w_bowled + w_lbw) / greatest(wickets, 1)', 2)} AS pi, w_caught / greatest(wickets, 1) AS bounce, coalesce(venue_economy, 75e-1) AS par FROM g),
-c AS (SELECT match_id, n, venue_economy, w_bowled + w_lbw AS straight, w_caught, CASE WHEN {few} THEN 0 ELSE {after_over} END AS overs_analyzed, CASE WHEN {few} THEN 0 ELSE wickets END AS wickets_in_sample, CASE WHEN {few} THEN 0e0 ELSE rr END AS actual_run_rate, CASE WHEN {few} THEN 0e0 ELSE pi END AS pace_indicator,
-  CASE WHEN {few} THEN '' ELSE substring({said}, 3) END AS wicket_types,
+k AS (SELECT match_id, venue_id, wicket_type, count(*) AS n, {count('faced')} AS balls, {total('runs_total')} AS runs FROM d WHERE innings = 1 AND over_no < {after_over} GROUP BY 1, 2, 3),
+kg AS (SELECT match_id, venue_id, cast(sum(n) as bigint) AS n, cast(sum(balls) as bigint) AS balls, cast(sum(runs) as bigint) AS runs, {total('n', OUT)} AS wickets, {s.counted('wicket_type', 'n')} AS out FROM k GROUP BY 1, 2),
+g AS (SELECT kg.*, {s.at('out', 'bowled')} + {s.at('out', 'lbw')} AS straight, {s.at('out', 'caught')} AS w_caught, v.avg_pace_economy AS venue_economy FROM kg LEFT JOIN venues v ON kg.venue_id = v.venue_id),
+r AS (SELECT *, {s.r('runs / greatest(balls, 1) * 6', 2)} AS rr, {s.r('straight / greatest(wickets, 1)', 2)} AS pi, w_caught / greatest(wickets, 1) AS bounce, coalesce(venue_economy, 75e-1) AS par FROM g),
+c AS (SELECT match_id, n, venue_economy, straight, w_caught, CASE WHEN {few} THEN 0 ELSE {after_over} END AS overs_analyzed, CASE WHEN {few} THEN 0 ELSE wickets END AS wickets_in_sample, CASE WHEN {few} THEN 0e0 ELSE rr END AS actual_run_rate, CASE WHEN {few} THEN 0e0 ELSE pi END AS pace_indicator,
+  CASE WHEN {few} THEN '' ELSE {s.listed('out')} END AS wicket_types,
   CASE WHEN {few} THEN 'insufficient_data' WHEN pi > 5e-1 AND rr < par THEN 'pace-friendly' WHEN bounce > 5e-1 THEN 'pace-friendly' WHEN rr > 9 THEN 'batting-friendly' WHEN wickets = 0 AND rr > 8 THEN 'batting-friendly' ELSE 'balanced' END AS classification FROM r)
 SELECT match_id, overs_analyzed, wickets_in_sample, wicket_types, actual_run_rate, pace_indicator, classification, CASE WHEN wickets_in_sample <= 1 THEN 'low' WHEN wickets_in_sample <= 3 THEN 'medium' ELSE 'high' END AS confidence,
   CASE WHEN {few} OR venue_economy IS NULL THEN NULL WHEN abs(actual_run_rate - venue_economy) <= 3e-1 THEN 'at' WHEN actual_run_rate > venue_economy THEN 'above' ELSE 'below' END AS vs_venue_baseline,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crease.functions.dialect import Dialect, count
+from crease.functions.dialect import Dialect, count, total
 from crease.operators.fantasy import points
 
 
@@ -16,18 +16,22 @@ def d01_points(s: Dialect, fmt: str = "T20") -> str:
 
 
 def _checks(s: Dialect) -> str:
-    one = lambda name, bad, of, critical: f"SELECT '{name}' AS check_name, {count(bad)} AS n, count(*) AS total, '{critical}' AS kind FROM {of}"
-    checks = [
-        one("null_striker", "striker_id IS NULL", "deliveries", "share"),
-        one("null_bowler", "bowler_id IS NULL", "deliveries", "share"),
-        one("missing_style", "bowling_style IS NULL", "players", "note"),
-        one("missing_hand", "batting_hand IS NULL", "players", "note"),
-        one("missing_role", "primary_role IS NULL", "players", "note"),
-        "SELECT 'duplicate_balls', cast(coalesce(sum(n - 1), 0) as bigint), cast(sum(n) as bigint), 'critical' FROM (SELECT delivery_id, count(*) AS n FROM deliveries GROUP BY delivery_id) x",
-        "SELECT 'low_ball_matches', cast(count(*) FILTER (WHERE n < 9e-1 * CASE WHEN fmt = 'T20' THEN 120 ELSE 600 END) as bigint), count(*), 'note' FROM (SELECT match_id, fmt, count(*) AS n FROM d GROUP BY match_id, fmt) x",
-        "SELECT 'orphan_deliveries', cast(count(*) FILTER (WHERE m.match_id IS NULL) as bigint), count(*), 'critical' FROM deliveries e LEFT JOIN matches m ON e.match_id = m.match_id",
-    ]
-    return f"{s.base},\nc AS ({' UNION ALL '.join(checks)}),\nck AS (SELECT check_name, n, total, CASE WHEN n = 0 THEN 'ok' WHEN kind = 'critical' OR kind = 'share' AND n > 5e-2 * total THEN 'critical' ELSE 'warning' END AS level FROM c)"
+    """CTEs up to ck: the balls are read twice, once by match and once for repeated ids; all else is sums of matches and players."""
+    none = lambda *cs: ", ".join(f"{count(f'{c} IS NULL')} AS no_{c}" for c in cs)
+    checks = [  # name, rows that break it, rows looked at, how bad that is
+        ("null_striker", "no_striker_id", "balls", "share"), ("null_bowler", "no_bowler_id", "balls", "share"), ("missing_style", "no_bowling_style", "players", "note"), ("missing_hand", "no_batting_hand", "players", "note"),
+        ("missing_role", "no_primary_role", "players", "note"), ("duplicate_balls", "again", "balls", "critical"), ("low_ball_matches", "low", "played", "note"), ("orphan_deliveries", "orphans", "balls", "critical"),
+    ]
+    by = lambda k: "CASE k " + " ".join(f"WHEN {i} THEN {x[k] if k in (1, 2) else repr(x[k])}" for i, x in enumerate(checks)) + " END"
+    return f"""{s.base},
+b AS (SELECT match_id, count(*) AS n, {none('striker_id', 'bowler_id')} FROM deliveries GROUP BY match_id),
+bm AS (SELECT b.*, m.match_id AS known, l.format AS fmt FROM b LEFT JOIN matches m ON b.match_id = m.match_id LEFT JOIN leagues l ON m.league_id = l.league_id),
+f AS (SELECT {total('n')} AS balls, {total('no_striker_id')} AS no_striker_id, {total('no_bowler_id')} AS no_bowler_id, {total('n', 'known IS NULL')} AS orphans, {count('fmt IS NOT NULL')} AS played, {count("n < 9e-1 * CASE WHEN fmt = 'T20' THEN 120 ELSE 600 END AND fmt IS NOT NULL")} AS low FROM bm),
+p AS (SELECT count(*) AS players, {none('bowling_style', 'batting_hand', 'primary_role')} FROM players),
+r AS (SELECT {total('n - 1')} AS again FROM (SELECT delivery_id, count(*) AS n FROM deliveries GROUP BY delivery_id) x),
+one AS (SELECT f.*, p.*, r.*, {s.each(len(checks))} AS k FROM f CROSS JOIN p CROSS JOIN r),
+c AS (SELECT {by(0)} AS check_name, {by(1)} AS n, {by(2)} AS total, {by(3)} AS kind FROM one),
+ck AS (SELECT check_name, n, total, CASE WHEN n = 0 THEN 'ok' WHEN kind = 'critical' OR kind = 'share' AND n > 5e-2 * total THEN 'critical' ELSE 'warning' END AS level FROM c)"""
 
 
 def d02_checks(s: Dialect, fmt: str = "T20") -> str:
@@ -65,4 +69,12 @@ def h01_page_names(s: Dialect, fmt: str = "T20") -> str:
     return f"SELECT page_id, trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)) AS name FROM {s.pages}"
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "dkh" and k[1:3].isdigit()}
+def s01_sessions(s: Dialect, fmt: str = "T20", minutes: int = 30) -> str:
+    """Each user's visits: runs of events of which none comes more than `minutes` after the one before; the end is that long after the last."""
+    gap = f"ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > interval '{minutes}' minute"
+    return f"""WITH e AS (SELECT user_id, event_type, ts, CASE WHEN {gap} THEN 1 ELSE 0 END AS fresh FROM {s.events} WHERE ts IS NOT NULL),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS visit FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + interval '{minutes}' minute AS session_end, count(*) AS events, count(DISTINCT event_type) AS kinds FROM n GROUP BY user_id, visit"""
+
+
+QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "dkhs" and k[1:3].isdigit()}

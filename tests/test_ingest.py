@@ -264,3 +264,34 @@ def test_writes_with_clashing_columns_and_null_keys(spark):
     assert rows(ingest.fill_nulls(ingest.fill_nulls(old, new, "id").drop("outcome"), new, "id").drop("outcome")) == rows(ingest.fill_nulls(old, new, "id").drop("outcome"))
     assert rows(ingest.update(old, new, ["id"])) == [(1, "b", "w", None), (2, "k", "u", None), (None, "n", "y", None)]
     assert rows(ingest.upsert(old.drop("seen"), new, ["id"])) == [(1, "b", "w"), (2, "k", "u"), (5, "e", "z"), (None, "n", "y")]
+
+
+def test_pitch_lists_any_kind_of_wicket(spark, folder):
+    s, _, _ = own_tables(spark, ingest.read_matches(spark, str(folder)))
+    got = {r["match_id"]: r["wicket_types"] for r in catalog.run(spark, "m01_pitch", s, after_over=20).collect()}
+    want = {}
+    for stem, i in (("zz", 1), ("bb", 2), ("mm", 3), ("aa", 4)):
+        data = yaml.safe_load(next(folder.rglob(f"{stem}.*")).read_text())
+        out = defaultdict(int)
+        for inn, _, _, b in balls(data):
+            if inn == 1 and b.get("wickets"):
+                out[b["wickets"][0]["kind"]] += 1
+        want[i] = ", ".join(f"{k}: {n}" for k, n in sorted(out.items()))
+    assert got == want and any("hit wicket" in x for x in want.values()) and any("caught and bowled" in x for x in want.values())
+
+
+def test_checks_find_what_is_broken_in_two_scans(spark, sf_dir, folder):
+    s, _, tables = own_tables(spark, ingest.read_matches(spark, str(folder)))
+    level = {r["check_name"]: (r["n"], r["total"], r["level"]) for r in catalog.run(spark, "d02_checks", s).collect()}
+    n = tables["deliveries"].count()
+    assert level["duplicate_balls"] == (0, n, "ok") and level["missing_style"][2] == "warning" and level["low_ball_matches"] == (0, 4, "ok")
+    d = tables["deliveries"]
+    broken = d.unionByName(d.filter("match_id = 1").limit(3)).unionByName(d.filter("match_id = 2").limit(2).withColumn("match_id", F.lit(99).cast("long")).withColumn("delivery_id", F.col("delivery_id") * 1000)).withColumn("bowler_id", F.when(F.col("over_no") > 5, F.col("bowler_id")))
+    level = {r["check_name"]: (r["n"], r["level"]) for r in catalog.run(spark, "d02_checks", catalog.over_tables(spark, tables | {"deliveries": broken})).collect()}
+    assert level["duplicate_balls"] == (3, "critical") and level["orphan_deliveries"] == (2, "critical") and level["null_bowler"][1] == "critical" and level["null_striker"] == (0, "ok")
+    for name in ("d02_checks", "d07_report"):
+        df = catalog.queries()[name](spark, sf_dir)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        scans = [x for x in plan.split("\n") if "FileScan" in x]
+        assert sum("delivery_id#" in x or "striker_id#" in x for x in scans) <= 2 and not any("l_orderkey" in x for x in scans)

@@ -108,6 +108,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
 
     n = len(page)
     token, last = TOKEN, page.rfind(">")
+    endless: set[str] = set()  # raw elements without an end tag from here on: each is looked for once
     while at < n:
         begin, m = at, None
         while (begin := page.find("<", begin)) >= 0:
@@ -137,7 +138,9 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             continue
         if not closing and tag in RAW:
             if not m.group(0).endswith("/>"):
-                end = RAW[tag].search(page, at)
+                end = RAW[tag].search(page, at) if tag not in endless else None
+                if end is None:
+                    endless.add(tag)
                 at = end.end() if end else n if tag in SWALLOW else at
             continue
         if tag in BLOCKS or tag in BAD:

@@ -4,14 +4,16 @@ Base: e-mail addresses, IP addresses, card numbers and phone numbers by pattern
 corpus tells how strongly a term (a word outside all findings) reveals a protected entity. Entities are
 taken at three grains: the kind of a finding, the group it belongs to (an e-mail's domain, an address's
 network, a card's issuer, a phone's area) and its value, written one way. A term meets a kind where both
-stand in a document, a group or value where it stands within `window` words of it. With n documents of
-the term, m of them with the entity, and p(e) the entity's share of all documents, the share
-p(e|t) = (m + smoothing p(e)) / (n + smoothing) gives the mutual information log p(e|t) / p(e), compared to
-the entity's information content -log p(e), which it can't exceed. A term whose ratio reaches
-`disclosure`, in at least `support` documents, gives the entity away and is reported (kind `term`)
-wherever it stands outside the base's findings, to be generalised or removed.
-
-All counts cover all documents and are made in one pass. Terms that disclose are sent to every task up to
+stand in a document, a group or value where it stands within `window` words of it. With n different texts of
+the term, m of them with the entity, and p(e) the entity's share of all texts, p(e|t) is taken at the lower
+end of Wilson's interval for m of n, as wide as keeps the chance of one error among all pairs that are tested
+(those that meet in `support` texts) at `error`: words that meet an entity a few times by chance don't count
+for much. The mutual information log p(e|t) / p(e) is compared to the entity's information content
+-log p(e), which it can't exceed. A term whose ratio reaches `disclosure` gives the entity away and is
+reported (kind `term`) wherever it stands outside the base's findings, to be generalised or removed.
+Copies of a text are one piece of evidence: each of c copies counts 1/c.
+
+All counts cover all documents and are made in one pass, after one over the texts' digests that finds copies. Terms that disclose are sent to every task up to
 BROADCAST_TERMS; more are joined with all places of words. Null texts count as empty; repeated rows count
 and are returned as often as they come; empty tables give empty results. `find` reads no other columns,
 `sanitise` passes them all through, whatever their names. Ids may be of any type.
@@ -24,6 +26,8 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
+from statistics import NormalDist
 
 import pyarrow as pa
 import xxhash
@@ -41,9 +45,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 TERM = re.compile(r"[^\W\d_]{3,}")
 DIGITS = re.compile(r"[0-9]")
-WINDOW, SUPPORT, DISCLOSURE, SMOOTHING = 3, 3, 0.9, 1.0
+WINDOW, SUPPORT, DISCLOSURE, ERROR = 3, 3, 0.9, 0.05
 #: Counts that a task holds before it hands them on.
 HELD = 300_000
+#: Texts that have copies up to which their digests are sent to every task; about 60 bytes each.
+BROADCAST_COPIES = 500_000
 #: Disclosing terms up to which they are sent to every task; 8 bytes each, about 100 in a task's set.
 BROADCAST_TERMS = 200_000
 
@@ -119,8 +125,20 @@ def entities(kind: str, value: str) -> tuple[str, str]:
     return f"{kind} group {group}", f"{kind} value {value}"
 
 
+def _weighted(docs: DataFrame, text: str) -> DataFrame:
+    """text and weight: 1 / c for each of c equal texts, null for a text that is there once."""
+    rows = docs.select(F.coalesce(col(text), F.lit("")).alias("text")).select("text", F.md5(F.col("text").cast("binary")).alias("digest"))
+    copies = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    side = copies.select("digest", (1 / F.col("n")).alias("weight"))
+    if copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES:
+        joined = rows.join(F.broadcast(side), "digest", "left")
+    else:
+        joined = join_heavy(rows, side, "digest", lambda: copies, rows.count(), "left")
+    return joined.select("text", "weight")
+
+
 def _counts(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """entity, term, n: in how many documents they meet; with ALL, in how many one of them stands, or how many there are.
+    """entity, term, n: in how many different texts they meet; with ALL, in how many one of them stands, or how many there are.
 
     One pass; what a task has counted is handed on before it grows beyond HELD entries.
     """
@@ -136,39 +154,49 @@ def _counts(docs: DataFrame, text: str, window: int) -> DataFrame:
             rows += [(e, t, n) for (e, t), n in pairs.items()]
             for c in (words, pairs, *by_kind.values()):
                 c.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["entity", "term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.float64()) for i in range(3)], names=["entity", "term", "n"])
 
         for b in pieces(batches, "text"):
-            for t in b.column("text").to_pylist():
-                pairs[ALL, ALL] += 1
+            for t, weight in zip(b.column("text").to_pylist(), b.column("weight").to_pylist()):
+                add = _plain if weight is None else partial(_part, weight)
+                pairs[ALL, ALL] += weight or 1
                 if not t:
                     continue
                 spans = base_spans(t)
                 if not spans:
-                    words.update({w.lower() for w in set(TERM.findall(t))})
+                    add(words, {w.lower() for w in set(TERM.findall(t))})
                     continue
                 free = free_words(t, spans)
                 here = {t[x:y].lower() for x, y in free}
-                words.update(here)
+                add(words, here)
                 met = set()
                 for k in {k for _, _, k in spans}:
-                    by_kind[k].update(here)
+                    add(by_kind[k], here)
                     met.add((KIND_IDS[k], ALL))
                 for a, z, k in spans:
                     near = [term_hash(t[x:y]) for x, y in neighbours(free, a, z, window)]
                     for e in map(_hash, entities(k, t[a:z])):
                         met.add((e, ALL))
                         met.update((e, w) for w in near)
-                pairs.update(met)
+                add(pairs, met)
             if len(words) + len(pairs) + sum(map(len, by_kind.values())) > HELD:
                 yield out()
         yield out()
 
-    counted = docs.select(col(text).alias("text")).mapInArrow(run, "entity long, term long, n long")
-    return counted.groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    counted = _weighted(docs, text).mapInArrow(run, "entity long, term long, n double")
+    return counted.groupBy("entity", "term").agg(F.round(F.sum("n"), 6).alias("n"))
+
+
+def _plain(counter: Counter, keys: set) -> None:
+    counter.update(keys)
+
+
+def _part(weight: float, counter: Counter, keys: set) -> None:
+    for k in keys:
+        counter[k] += weight
 
 
-def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
+def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, error: float = ERROR) -> DataFrame:
     """entity, term, ratio of the pairs whose mutual information reaches the threshold."""
     counts = cut(_counts(docs, text, window))
     total = float(max((counts.filter(f"entity = {ALL} AND term = {ALL}").first() or {"n": 0})["n"], 2))
@@ -179,8 +207,11 @@ def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, suppor
     terms = counts.filter(f"entity = {ALL} AND term <> {ALL}").select("term", F.col("n").alias("n_term"))
     paired = join_heavy(often, known, "entity", lambda: often.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), size)
     paired = join_heavy(paired, terms, "term", lambda: often.groupBy("term").agg(F.count(F.lit(1)).alias("n")), size)
-    share = F.col("n_entity") / total
-    ratio = F.log((F.col("both") + smoothing * share) / (F.col("n_term") + smoothing) / share) / -F.log(share)
+    share, n = F.col("n_entity") / total, F.col("n_term")
+    z2 = NormalDist().inv_cdf(1 - error / max(size, 1)) ** 2
+    p = F.least(F.col("both") / n, F.lit(1.0))
+    least = (p + z2 / (2 * n) - F.sqrt(z2 * p * (1 - p) / n + z2 * z2 / (4 * n * n))) / (1 + z2 / n)
+    ratio = F.log(F.greatest(least, F.lit(1e-300)) / share) / -F.log(share)
     return paired.filter(F.col("n_entity") < total).select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure)
 
 

@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from statistics import NormalDist
 
 import duckdb
 import numpy as np
@@ -191,12 +192,42 @@ def test_html_rules_decide_on_the_table(spark, sf_dir):
     assert same > 0.7 * len(pages)
 
 
+def unmarked(page):
+    """The page without what marks its parts: no article, no tag that says what it is, no class or id."""
+    page = re.sub(r"</?(?:article|main)[^>]*>", "", page)
+    page = re.sub(r"<(/?)(?:nav|footer|aside|header|form|menu)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_each_html_rule_changes_pages_without_marks(spark, monkeypatch):
+    pages = [unmarked(r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    now = [html_text.main_text(x) for x in pages]
+    off = {"density": ("STOP_WORDS", frozenset()), "links": ("LINKS", 2.0), "length": ("SHORT", 0), "neighbours": ("second_pass", lambda found, first: [(bool(x), why) for x, why in first])}
+    changed = {}
+    for rule, (name, value) in off.items():
+        with monkeypatch.context() as m:
+            m.setattr(html_text, name, value)
+            changed[rule] = sum(html_text.main_text(x) != y for x, y in zip(pages, now))
+    assert min(changed.values()) > 40, changed  # of 250
+
+
+def test_html_marks_that_are_wrong():
+    good = "The house of the man is by the sea and it was built for him in the year of the flood, as they say to this day."
+    links = "".join(f'<li><a href="/{i}">the page of {i}</a></li>' for i in range(9))
+    assert html_text.main_text(f"<article><ul>{links}</ul><p>{good}</p></article>") == good  # links go within an article too
+    assert html_text.main_text(f"<div><p>{good}</p></div><article></article>") == good  # an article without a block says nothing
+
+
 def test_html_takes_broken_and_very_long_pages():
     good = "The house of the man is by the sea and it was built for him in the year of the flood, as they say to this day."
     assert html_text.main_text(f'<p data=it\'s>{good}</p><a title="x>{good}</a>').startswith(good)
     began = time.time()
     for x in ('<a b="', "<a ", "<!x", "<p>x<!-- ", "<p>text", "<div>", "<li>", "</b>", "<ul><li><div>"):
         html_text.main_text(x * 50_000)
+    now = time.time()
+    for x in ("svg", "object", "noscript", "template", "canvas"):
+        html_text.main_text(f"<{x}> a" * 40_000)
+    assert time.time() - now < 5
     html_text.main_text("<div>" * 50_000 + "</b><li></li>x" * 50_000)
     assert html_text.main_text(f"<p>{good} " * 5_000).count("flood") == 5_000
     assert time.time() - began < 30
@@ -436,11 +467,11 @@ def test_pii_base(spark, texts, edge, empty):
     assert pii.find(edge).count() == edge.count() and pii.find(empty).count() == 0
 
 
-def plain_disclosing(texts, window=3, support=3, disclosure=0.9, smoothing=1.0):
-    """Terms whose smoothed mutual information with some entity reaches the threshold, from all texts at once."""
+def plain_disclosing(texts, window=3, support=3, disclosure=0.9, error=0.05):
+    """Terms whose mutual information with some entity, at the lower end of the interval, reaches the threshold; each text once."""
     term_docs, entity_docs, both = Counter(), Counter(), Counter()
+    texts = sorted({t or "" for t in texts})
     for t in texts:
-        t = t or ""
         spans = [(int(a), int(z), k) for k, a, z in (x.split(":") for x in base_pii(t))]
         words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < z for a, z, _ in spans)]
         here = {t[x:y].lower() for x, y in words}
@@ -464,10 +495,13 @@ def plain_disclosing(texts, window=3, support=3, disclosure=0.9, smoothing=1.0):
                 pairs |= {(e, w) for w in near}
         entity_docs.update(found)
         both.update(pairs)
-    out, n = set(), max(len(texts), 2)
-    for (e, w), m in both.items():
-        p = entity_docs[e] / n
-        if m >= support and p < 1 and math.log((m + smoothing * p) / (term_docs[w] + smoothing) / p) / -math.log(p) >= disclosure - 1e-12:
+    out, total = set(), max(len(texts), 2)
+    tested = {x: m for x, m in both.items() if m >= support}
+    z = NormalDist().inv_cdf(1 - error / max(1, len(tested)))
+    for (e, w), m in tested.items():
+        p, n = entity_docs[e] / total, term_docs[w]
+        least = (m / n + z * z / (2 * n) - z * math.sqrt(m / n * (1 - m / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if p < 1 and least > 0 and math.log(least / p) / -math.log(p) >= disclosure - 1e-12:
             out.add(w)
     return out
 
@@ -486,9 +520,9 @@ def plain_pii(rows):
     return terms, sorted(out, key=str)
 
 
-PLANTED = [(100_000 + i, f"write to Zebulon{'' if i % 2 else ' dear'} at zeb{i}@zebulon.example about the plan, says {'mailto' if i % 3 else 'no one'}") for i in range(12)]
-PLANTED += [(200_000 + i, f"Quentin <q{i}@long.words.example> +1 555 123 4567 calls 10.20.{i}.7 from home") for i in range(8)]
-PLANTED += [(300_000 + i, "card of Perdita 4111 1111 1111 1111 and so on") for i in range(5)] + [(400_000, "Perdita lives here, so does zebulon"), (None, "old Zebulon has no mail")]
+PLANTED = [(100_000 + i, f"write to Zebulon{'' if i % 2 else ' dear'} at zeb{i}@zebulon.example about plan {i}, says {'mailto' if i % 3 else 'no one'}") for i in range(90)]
+PLANTED += [(200_000 + i, f"Quentin <q{i}@long.words.example> +1 555 123 4567 calls 10.20.{i}.7 from home") for i in range(80)]
+PLANTED += [(300_000 + i, f"card of Perdita 4111 1111 1111 1111 and so on, {i}") for i in range(70)] + [(310_000 + i, "of Umbriel 5500 0000 0000 0004 and so on") for i in range(70)] + [(400_000, "Perdita lives here, so does zebulon"), (None, "old Zebulon has no mail")]
 
 
 @pytest.mark.parametrize("limit", [None, 0])
@@ -498,7 +532,7 @@ def test_pii_terms_by_brute_force(spark, texts, monkeypatch, limit):
     monkeypatch.setattr(pii, "HELD", 500)
     rows = [*texts.items(), *PLANTED, (5, None), (6, "")]
     terms, want = plain_pii(rows)
-    assert {"zebulon", "quentin", "perdita"} <= terms and "the" not in terms
+    assert {"zebulon", "quentin", "perdita"} <= terms and not {"the", "umbriel"} & terms  # 70 copies of a text say no more than one
     got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["spans"]) for r in got), key=str) == want
 
@@ -511,8 +545,8 @@ def test_pii_terms_of_the_table_itself(spark, texts):
 
 def test_pii_terms_wherever_they_stand(spark):
     pad = "." * 300
-    rows = [(i, f"mr Zebulon {pad} zeb@x.org is it") for i in range(6)] + [(7, "zebulon came, and later on after many other words again Zebulon wrote zeb@x.org"), (None, "old Zebulon has no mail")]
-    rows += [(10 + i, "the plan at hand is to write of it") for i in range(400)]
+    rows = [(i, f"mr Zebulon {pad} zeb@x.org is it {i}") for i in range(-60, 6)] + [(7, "zebulon came, and later on after many other words again Zebulon wrote zeb@x.org"), (None, "old Zebulon has no mail")]
+    rows += [(10 + i, f"the plan at hand is to write of it {i}") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     text = dict(rows)
     terms = {r["doc_id"]: [text[r["doc_id"]][int(a) : int(z)] for k, a, z in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"] for r in pii.find(df).collect()}
@@ -818,6 +852,39 @@ def test_quality_hosts(spark):
     assert {r["doc_id"] for r in quality.keep_good(df).collect()} == {i for i, k in kept.items() if k}
 
 
+def plain_rates(hosts, credible=0.95):
+    """host: (rate, worse) of host: (n, failed), by the moments of the raw rates, and how much of each posterior lies above the bar."""
+    raw = {h: f / n for h, (n, f) in hosts.items()}
+    m = min(max(sum(f for _, f in hosts.values()) / sum(n for n, _ in hosts.values()), 1e-6), 1 - 1e-6)
+    mean = sum(raw.values()) / len(raw)
+    v = sum((x - mean) ** 2 for x in raw.values()) / (len(raw) - 1) if len(raw) > 1 else 0.0
+    spread = max(v - m * (1 - m) * sum(1 / n for n, _ in hosts.values()) / len(hosts), 1e-6)
+    strength = min(max(m * (1 - m) / spread - 1, 1.0), 1e4)
+    bar = m + math.sqrt(m * (1 - m) / (strength + 1))
+    out, above = {}, {}
+    for h, (n, f) in hosts.items():
+        a, b = f + m * strength, n - f + (1 - m) * strength
+        rate = a / (a + b)
+        out[h] = rate, rate - NormalDist().inv_cdf(credible) * math.sqrt(a * b / (a + b) ** 2 / (a + b + 1)) > bar
+        x = (np.arange(20_000) + 0.5) / 20_000
+        density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - ((a - 1) * math.log(rate) + (b - 1) * math.log1p(-rate)))
+        above[h] = density[x > bar].sum() / density.sum()
+    return out, above
+
+
+def test_host_rates_as_the_plain_version_and_the_whole_posterior(spark):
+    r = random.Random(8)
+    hosts = {f"h{i}": (n := r.choice([1, 2, 5, 30, 200, 3000]), sum(r.random() < p for _ in range(n))) for i in range(60) for p in [r.choice([0.02, 0.1, 0.1, 0.1, 0.6, 0.95])]}
+    for some in (hosts, dict(list(hosts.items())[:1]), {"a": (50, 0), "b": (70, 0)}, {"a": (3, 3), "b": (4, 4)}):
+        rows = [(h, k >= f, False) for h, (n, f) in some.items() for k in range(n)] + [(None, True, True)] * 5
+        measured = spark.createDataFrame([(h, not ok, soft) for h, ok, soft in rows], "host string, base_failed boolean, soft_failed boolean")
+        got = {x["host"]: x for x in quality.host_rates(measured).collect()}
+        want, above = plain_rates(some)
+        assert got.keys() == want.keys() and all(math.isclose(got[h]["rate"], want[h][0], rel_tol=1e-9) and got[h]["worse"] == want[h][1] for h in want)
+        assert all(above[h] > 0.9 for h, (_, worse) in want.items() if worse)  # the normal tail is not far from the posterior's own
+    assert 3 < sum(worse for _, worse in plain_rates(hosts)[0].values()) < 30
+
+
 def test_language_of_numbers_that_are_no_letters_is_undetermined():
     scorer = langid.Scorer({"langs": ["a", "b"], "tables": {k: {} for k in range(langid.GRAM + 1)}, "rows": np.zeros((0, 2), np.float32)})
     assert [x for x, _ in scorer.predict(["\u00b2 \u00bd", "", None, "x\u00b2"])] == ["und", "und", "und", "a"]

@@ -7,7 +7,9 @@ mandatory key phrases. At most m = n - threshold n of its words can lack there,
 highest IDF (document frequencies are counted over all documents) m + 1 at least are in the run, and their
 relative positions agree but for what was left out or inserted. The postings of these words are therefore
 intersected by relative position, within 3m places, and only runs that enough of them agree on are
-aligned. The index thus misses no match; frequencies decide its cost, never its result. The score is the
+aligned. The index thus misses no match; frequencies decide its cost, never its result. A name
+(a template that is its own key phrase) is no match where a word of denial stands shortly before it, as in
+"not under the MIT license". The score is the
 share of the template's words in the best run.
 
 Base: fixed phrases, counted wherever their words stand consecutively. Null texts count as empty; empty
@@ -58,6 +60,33 @@ NAMES = {
     "artistic-2.0": ["artistic license 2 0", "spdx license identifier artistic 2 0"],
 }
 
+#: Families that are named by initials and a version, and their versions; label and spelling follow the rule below.
+VERSIONS = {"gpl": ["2.0", "3.0"], "lgpl": ["2.1", "3.0"], "agpl": ["3.0"]}
+CC_KINDS, CC_VERSIONS = ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"], ["2.0", "2.5", "3.0", "4.0"]
+#: Words that deny a name when one of them stands within DENIED words before it.
+NOT, DENIED = frozenset((b"not", b"never", b"isn", b"aren", b"wasn", b"doesn", b"nor")), 4
+
+
+def versioned() -> dict[str, list[str]]:
+    """Names by initials and version: `gpl 3`, `gplv3`, `gpl v3`, `gpl version 3`, `cc by sa 3 0` and the like, by label."""
+    out: dict[str, list[str]] = {}
+    for family, versions in VERSIONS.items():
+        for v in versions:
+            major, whole = v.removesuffix(".0").replace(".", " "), v.replace(".", " ")
+            label = "lgpl" if family == "lgpl" else f"{family}-{v}"
+            out.setdefault(label, []).extend(f"{family}{x}" for x in (f" {major}", f"v{major}", f" v{major}", f" version {major}", f" {whole}") if f"{family}{x}" not in out[label])
+    for kind in CC_KINDS:
+        for v in CC_VERSIONS:
+            out.setdefault(f"cc-{kind}-{v}", []).append(f"cc {kind.replace('-', ' ')} {v.replace('.', ' ')}")
+    return out
+
+
+NAMES["apache-2.0"] += ["apache 2 0", "apache license 2", "apache license version 2", "apache license v2"]
+NAMES["cc0"] += ["cc0"]
+for _label, _names in versioned().items():
+    NAMES.setdefault(_label, [])
+    NAMES[_label] += [x for x in _names if x not in NAMES[_label]]
+
 #: Label, text and mandatory key phrases of licence texts and notices, public and in wide use.
 TEXTS = [
     (
@@ -156,6 +185,12 @@ def common_length(bits: dict[bytes, int], n: int, words: list[bytes]) -> int:
     return n - row.bit_count()
 
 
+def denied(words: list[bytes], start: int) -> bool:
+    """Whether a word of denial stands within DENIED words before `start`, and not as `not only`."""
+    before = words[max(0, start - DENIED) : start]
+    return any(w in NOT and before[k + 1 : k + 2] != [b"only"] for k, w in enumerate(before))
+
+
 class Index:
     """The templates' postings, restricted to each template's words of highest IDF."""
 
@@ -172,7 +207,7 @@ class Index:
             for p in picked:
                 self.postings[t[p]].append((i, p))
             phrases = [words_of(k.encode()) for k in keys]
-            self.templates.append((label, n, least, m, bits_of(t), phrases, {w for k in phrases for w in k}))
+            self.templates.append((label, n, least, m, bits_of(t), phrases, {w for k in phrases for w in k}, keys == [text]))
 
     def match(self, words: list[bytes], at: dict[bytes, list[int]], present: set[bytes]) -> dict[str, float]:
         """Label and best score of the templates found; `at`: places of the index's words."""
@@ -183,7 +218,7 @@ class Index:
                     hits[i] += [(x - p, p) for x in at[w]]
         found: dict[str, float] = {}
         for i, begins in hits.items():
-            label, n, least, m, bits, phrases, _ = self.templates[i]
+            label, n, least, m, bits, phrases, _, is_name = self.templates[i]
             begins.sort()
             window: Counter = Counter()
             left, done = 0, -1
@@ -202,7 +237,7 @@ class Index:
                     done = s
                     run = words[s : s + n + m]
                     got = common_length(bits, n, run)
-                    if got >= least and got / n > found.get(label, 0.0) and all(any(run[k : k + len(y)] == y for k in range(len(run))) for y in phrases):
+                    if got >= least and got / n > found.get(label, 0.0) and all(any(run[k : k + len(y)] == y for k in range(len(run))) for y in phrases) and not (is_name and denied(words, s)):
                         found[label] = got / n
         return found
 

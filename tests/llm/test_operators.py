@@ -655,6 +655,8 @@ def plain_match(words, templates, threshold=0.8):
             run = words[s : s + len(t) + m]
             if len(set(run) & set(t)) + m < len(set(t)) or any(" ".join(map(repr, licenses.words_of(k.encode()))) not in " ".join(map(repr, run)) for k in keys):
                 continue
+            if keys == [text] and any(w in licenses.NOT and words[k + 1 : k + 2] != [b"only"] for k, w in enumerate(words[:s]) if k >= s - 4):
+                continue
             score = lcs(t, run) / len(t)
             if score >= threshold - 1e-9 and score > out.get(label, 0):
                 out[label] = score
@@ -706,6 +708,16 @@ def test_license_notices_as_they_are_written(spark):
         "Copyright 2020\n" + mit.replace("merge, ", "").replace("Software is", "Software (as said) is"): "mit",
         "see cc by-sa 4.0, or CC-BY 4.0": "cc-by,cc-by-4.0,cc-by-sa-4.0",
         "we permit the use of this software": "",
+        "This code is GPLv3": "gpl-3.0",
+        "licensed under GPL-2": "gpl-2.0",
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "LGPL-2.1 or later": "lgpl",
+        "AGPLv3": "agpl-3.0",
+        "(CC BY 3.0)": "cc-by,cc-by-3.0",
+        "dedicated under CC0": "cc0",
+        "This is not under the MIT license": "",
+        "This is not only under the MIT license": "mit",
+        "It isn't GPLv3. But parts of what is in here are under GPLv2": "gpl-2.0",
     }
     rows = list(enumerate(cases))
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.functions import names
@@ -140,14 +140,29 @@ def x08_upcoming(spark: SparkSession, sf_dir: str, version: str = "latest") -> D
     return models.predict_upcoming(_points_model(spark, sf_dir, first, known), matrix, version)
 
 
+#: The first year whose deliveries have names only, in the stand-in for deliveries to resolve.
+NAMED_FROM = 1998
+
+
+def _name(i: str, how: str = "said") -> str:
+    """SQL of the name of player `i`, two words of letters and digits: as it is `said` in a match (by the id right, misspelt, another name, or one nobody knows), the `right` or the `other` name."""
+    a, b = f"substr(md5(cast({i} as varchar(9))), 1, 8)", f"substr(md5(cast({i} as varchar(9))), 9, 10)"
+    right, other = f"concat({a}, ' ', {b})", f"concat('alias ', {b}, 'x', substr({a}, 3, 4))"
+    if how != "said":
+        return right if how == "right" else other
+    bent = f"concat({b}, '  ', upper(substr({a}, 1, 4)), substr({a}, 6, 3))"
+    return f"CASE {i} % 4 WHEN 0 THEN {right} WHEN 1 THEN {bent} WHEN 2 THEN {other} WHEN 3 THEN concat('nobody ', reverse({b})) END"
+
+
 def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The order tables' deliveries with names in place of ids, their matches, and maps that know two thirds of the names."""
+    """The order tables' deliveries with names, those of NAMED_FROM on without ids; their matches; and the maps of right and of other names."""
     s = stored_dialect(spark, sf_dir)
     sql = lambda q: spark.sql(f"{s.base} {q}")
-    roles = ", ".join(f"cast(null as int) AS {r}_id, {r[0]}.name AS {r}" for r in names.ROLES)
-    joins = " ".join(f"LEFT JOIN players {r[0]} ON d.{r}_id = {r[0]}.player_id" for r in names.ROLES)
-    deliveries = sql(f"SELECT d.delivery_id, d.match_id, {roles} FROM d {joins}")
-    return deliveries, sql("SELECT match_id, league_id, match_date FROM matches"), *(sql(f"SELECT name, player_id FROM players WHERE player_id % 3 = {k}") for k in (0, 1))
+    known = f"year(match_date) < {NAMED_FROM}"
+    right = lambda r: f"CASE WHEN {r}_id IS NOT NULL THEN {_name(f'{r}_id', 'right')} END"
+    roles = ", ".join(f"CASE WHEN {known} THEN {r}_id END AS {r}_id, CASE WHEN {known} THEN {right(r)} ELSE {_name(f'{r}_id')} END AS {r}" for r in names.ROLES)
+    maps = (sql(f"SELECT {_name('player_id', how)} AS name, player_id FROM players WHERE player_id % 4 = {k}") for k, how in ((0, "right"), (2, "other")))
+    return sql(f"SELECT delivery_id, match_id, {roles} FROM d"), sql("SELECT match_id, league_id, match_date FROM matches"), *maps
 
 
 def n03_match_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,25 +179,40 @@ def n04_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.totals(n03_match_resolution(spark, sf_dir))
 
 
+#: Labels that no map knows.
+UNKNOWN_LABELS = ["right-arm underarm", "umpire"]
+
+
 def n05_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Styles and roles of players, from labels as pages write them."""
-    s = stored_dialect(spark, sf_dir)
-    rows = spark.sql(f"{s.base} SELECT player_id, concat(' ', upper(bowling_style), ' ') AS style, CASE primary_role WHEN 'WK' THEN 'Wicketkeeper Batter' WHEN 'AR' THEN 'Bowling Allrounder' WHEN 'BAT' THEN 'Opening batter' ELSE 'Umpire' END AS role FROM players")
-    return rows.select("player_id", names.bowling_style(F.col("style"), {x: x for x in projection.STYLES}).alias("bowling_style"), names.playing_role(F.col("role")).alias("primary_role"))
+    """Styles and roles of players, from labels as pages write them: each label of the maps, and unknown ones."""
+
+    def pick(labels: dict[str, str]) -> Column:
+        every = [*labels, *UNKNOWN_LABELS]
+        return F.concat(F.lit(" "), F.initcap(F.get(F.array(*map(F.lit, every)), F.col("player_id") % len(every))), F.lit(" "))
+
+    players = run(spark, "g12_static", stored_dialect(spark, sf_dir)).select("player_id")
+    return players.select("player_id", names.bowling_style(pick(names.STYLE_LABELS)).alias("bowling_style"), names.playing_role(pick(names.ROLE_LABELS)).alias("primary_role"))
 
 
 def _by_hand() -> dict[str, str]:
     """SQL of the queries that are no templates."""
-    base = duckdb_dialect().base
-    said = f"""{base}, t AS (SELECT match_id, unnest([striker_id, bowler_id, non_striker_id, wicket_player_id]) AS id FROM d),
-c AS (SELECT match_id, count(*) AS total_names, count(*) FILTER (WHERE id % 3 = 0) AS exact, cast(0 as bigint) AS fuzzy, count(*) FILTER (WHERE id % 3 = 1) AS manual, count(*) FILTER (WHERE id % 3 = 2) AS unresolved FROM t JOIN players ON id = player_id GROUP BY match_id)"""
-    some = ", ".join(f"CASE WHEN {r}_id % 3 <> 2 AND {r}_id IN (SELECT player_id FROM players) {'AND striker_id <> bowler_id ' if r == 'bowler' else ''}THEN {r}_id END AS {r}_id" for r in names.ROLES)
-    sums = ", ".join(f"cast(sum({c}) as bigint) AS {c}" for c in ("total_names", "exact", "fuzzy", "manual", "unresolved"))
+    base, known, methods = duckdb_dialect().base, f"year(match_date) < {NAMED_FROM}", ("exact", "fuzzy", "manual", "unresolved")
+    counts = ", ".join(f"count(*) FILTER (WHERE method = '{m}') AS {m}" for m in methods)
+    how = f"""{base}, seen AS (SELECT DISTINCT striker_id AS id, league_id, year(match_date) AS y FROM d WHERE {known}),
+near AS (SELECT DISTINCT a.league_id, a.y, seen.id FROM (SELECT DISTINCT league_id, year(match_date) AS y FROM d WHERE NOT {known}) a JOIN seen ON a.league_id = seen.league_id AND abs(a.y - seen.y) <= 5),
+t AS (SELECT match_id, league_id, year(match_date) AS y, unnest([striker_id, bowler_id, non_striker_id, wicket_player_id]) AS id FROM d WHERE NOT {known}),
+how AS (SELECT t.*, CASE WHEN t.id % 4 = 0 THEN 'exact' WHEN t.id % 4 = 1 AND near.id IS NOT NULL THEN 'fuzzy' WHEN t.id % 4 = 2 THEN 'manual' ELSE 'unresolved' END AS method FROM t LEFT JOIN near ON near.id = t.id AND near.league_id = t.league_id AND near.y = t.y WHERE t.id IS NOT NULL),
+c AS (SELECT match_id, count(*) AS total_names, {counts} FROM how GROUP BY match_id)"""
+    some = ", ".join(f"CASE WHEN {known} THEN d.{r}_id ELSE i_{r}.id END AS {r}_id" for r in names.ROLES)
+    joins = " ".join(f"LEFT JOIN ids i_{r} ON i_{r}.id = d.{r}_id AND i_{r}.league_id = d.league_id AND i_{r}.y = year(d.match_date)" for r in names.ROLES)
+    sums = ", ".join(f"cast(sum({c}) as bigint) AS {c}" for c in ("total_names", *methods))
+    pick = lambda labels: f"[{', '.join(map(repr, [*labels, *UNKNOWN_LABELS]))}][player_id % {len(labels) + len(UNKNOWN_LABELS)} + 1]"
+    table = lambda labels: f"(VALUES {', '.join(f'({k!r}, {v!r})' for k, v in labels.items())})"
     return {
-        "n03_match_resolution": f"{said} SELECT * FROM c",
-        "n03_resolved": f"{base} SELECT delivery_id, {some} FROM d",
-        "n04_totals": f"{said}, g AS (SELECT {sums} FROM c) SELECT *, round_even((total_names - unresolved) / total_names * 100, 1) AS resolution_rate FROM g",
-        "n05_labels": f"{base} SELECT player_id, bowling_style, CASE WHEN primary_role <> 'BOWL' THEN primary_role END AS primary_role FROM players",
+        "n03_match_resolution": f"{how} SELECT * FROM c",
+        "n03_resolved": f"{how}, ids AS (SELECT DISTINCT league_id, y, id FROM how WHERE method <> 'unresolved') SELECT d.delivery_id, {some} FROM d {joins}",
+        "n04_totals": f"{how}, g AS (SELECT {sums} FROM c) SELECT *, round_even((total_names - unresolved) / total_names * 100, 1) AS resolution_rate FROM g",
+        "n05_labels": f"{base}, p AS (SELECT player_id, {pick(names.STYLE_LABELS)} AS style, {pick(names.ROLE_LABELS)} AS role FROM players) SELECT player_id, s.b AS bowling_style, r.b AS primary_role FROM p LEFT JOIN {table(names.STYLE_LABELS)} s(a, b) ON p.style = s.a LEFT JOIN {table(names.ROLE_LABELS)} r(a, b) ON p.role = r.a",
     }
 
 

@@ -17,6 +17,15 @@ ROLE_LABELS = {
     "batting allrounder": "AR", "allrounder": "AR", "all-rounder": "AR", "wicketkeeper": "WK", "wicketkeeper batter": "WK", "wicket-keeper": "WK",
 }
 
+#: Labels of bowling styles as pages write them, and the style of each.
+STYLE_LABELS = {
+    "right-arm fast": "right-arm fast", "right-arm fast-medium": "right-arm fast", "right-arm fastmedium": "right-arm fast", "right-arm medium-fast": "right-arm medium", "right-arm medium": "right-arm medium",
+    "right-arm offbreak": "right-arm offbreak", "right-arm off break": "right-arm offbreak", "off break": "right-arm offbreak",
+    "right-arm legbreak": "legbreak", "right-arm leg break": "legbreak", "legbreak": "legbreak", "leg break": "legbreak", "legbreak googly": "legbreak", "right-arm leg-break googly": "legbreak",
+    "left-arm fast": "left-arm fast", "left-arm fast-medium": "left-arm fast", "left-arm fastmedium": "left-arm fast", "left-arm medium-fast": "left-arm fast", "left-arm medium": "left-arm fast",
+    "slow left-arm orthodox": "left-arm orthodox", "left-arm orthodox": "left-arm orthodox", "slow left-arm": "left-arm orthodox", "left-arm chinaman": "left-arm orthodox", "left-arm spin": "left-arm orthodox",
+}
+
 
 def _indel(a: str, b: str) -> float:
     """100 (1 - insertions and deletions / total length), from the longest common subsequence."""
@@ -143,7 +152,7 @@ def totals(stats: DataFrame) -> DataFrame:
     return sums.withColumn("resolution_rate", F.bround((F.col("total_names") - F.col("unresolved")) / F.greatest(F.col("total_names"), F.lit(1)) * 100, 1))
 
 
-def bowling_style(label: Column, styles: dict[str, str]) -> Column:
+def bowling_style(label: Column, styles: dict[str, str] = STYLE_LABELS) -> Column:
     """The style of a label as a page writes it, by a map of lower-case labels; null for an unknown one."""
     return F.create_map(*[F.lit(x) for k, v in styles.items() for x in (k.strip().lower(), v)])[F.lower(F.trim(label))]
 

@@ -7,24 +7,26 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crease.functions import names
 from crease.functions.dialect import Dialect
-from crease.operators import fantasy, features, lineup, matches, models, players, service, upcoming
+from crease.operators import client, fantasy, features, lineup, matches, models, players, service, upcoming
 from crease.session import kept, shared_path
 from crease.sources import projection
 
 #: Date from which the order tables' matches are kept from the models' training.
 CUTOFF = "1997-06-01"
-TEMPLATES = {**players.QUERIES, **matches.QUERIES, **fantasy.QUERIES, **features.QUERIES, **upcoming.QUERIES, **service.QUERIES}
+TEMPLATES = {**players.QUERIES, **matches.QUERIES, **fantasy.QUERIES, **features.QUERIES, **upcoming.QUERIES, **client.QUERIES, **service.QUERIES}
 
 
 #: Formats that a question can be asked of.
 FORMATS = ("T20", "ODI")
-#: Tables written once a session: (application, folder) to the SQL that reads them.
-_stored: dict[tuple[str, str], dict[str, str]] = {}
+#: Templates whose answer depends on the format: these are registered for each.
+BY_FORMAT = [name for name, f in TEMPLATES.items() if f(probe := Dialect("duckdb", {}), fmt="ODI") != f(probe)]
+#: Tables written once a session and state of the data: (application, folder, state) to the SQL that reads them.
+_stored: dict[tuple, dict[str, str]] = {}
 
 
 def spark_dialect(sf_dir: str) -> Dialect:
@@ -49,9 +51,11 @@ def over_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Dialect:
 
 
 def store(spark: SparkSession, dialect: Dialect) -> Dialect:
-    """Write what queries begin with to the shared folder, so that they scan it as compact tables instead of deriving it anew: the matches, the deliveries, alone and joined, the fantasy points, the players' matches and, where there are matches to come, who is asked for."""
+    """Write what queries begin with to the shared folder, so that they scan it as compact tables instead of deriving it anew: the matches, the deliveries, alone and joined, the fantasy points, the players' matches and, where there are matches to come, who is asked for and who bowls to whom."""
     folder = shared_path(spark, f"crease-tables-{uuid.uuid4().hex}")
     begin = {"matches": lambda s: s.base, "deliveries": lambda s: s.base, "d": lambda s: s.base, "fp": fantasy.points, "pm": features.histories}
+    if "attacks" in dialect.tables:
+        begin["attacks"] = lambda s: s.base
     if "upcoming" in dialect.tables:
         begin["ask"] = lambda s: f"{s.base}, {upcoming.asked(s)}"
     for name, query in begin.items():
@@ -60,9 +64,20 @@ def store(spark: SparkSession, dialect: Dialect) -> Dialect:
     return dialect
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Bytes, files and time of change of each source table: what is stored is made anew once they differ."""
+    out = []
+    for name in ("lineitem", "orders", "customer"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        size = fs.getContentSummary(at)
+        out.append((size.getLength(), size.getFileCount(), fs.getFileStatus(at).getModificationTime()))
+    return tuple(out)
+
+
 def stored_dialect(spark: SparkSession, sf_dir: str) -> Dialect:
-    """The dialect over the order tables of `sf_dir`, its derived tables written at the first call in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The dialect over the order tables of `sf_dir`, its derived tables written at the first call in a session, and again when the data has changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _stored:
         _stored[key] = store(spark, spark_dialect(sf_dir)).stored
     return replace(spark_dialect(sf_dir), stored=_stored[key])
@@ -85,12 +100,12 @@ def _until(rows: DataFrame, cutoff: str, months: int = 6) -> tuple[DataFrame, Da
     return (known, known) if grown.isEmpty() or held.isEmpty() else (grown, held)
 
 
-#: Models of points of a session: (application, folder, cutoff) to the model.
-_models: dict[tuple[str, str, str], PipelineModel] = {}
+#: Models of points of a session and state of the data: (application, folder, state, cutoff) to the model.
+_models: dict[tuple, PipelineModel] = {}
 
 
 def _points_model(spark: SparkSession, sf_dir: str, cutoff: str, known: DataFrame) -> PipelineModel:
-    key = (spark.sparkContext.applicationId, sf_dir, cutoff)
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), cutoff)
     if key not in _models:
         _models[key] = models.fit_points(*_until(known, cutoff))
     return _models[key]
@@ -131,6 +146,21 @@ def x06_predictions(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> D
     return models.predict(_points_model(spark, sf_dir, cutoff, known), test)
 
 
+def run_sql(spark: SparkSession, dialect: Dialect, query: str) -> DataFrame:
+    return spark.sql(f"{dialect.base} {query}")
+
+
+def w03_dream_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best line-up of each match to come that has one, with names, roles and credits: a row a player, and the line-up's totals."""
+    s = stored_dialect(spark, sf_dir)
+    rows = kept(run(spark, "w03_candidates", s))
+    players = run_sql(spark, s, "SELECT player_id, name AS player_name FROM players")
+    own = rows.select("match_id", "player_id", "team", "role", "credits")
+    picked = lineup.lineups(rows).join(own, ["match_id", "player_id"]).join(players, "player_id", "left")
+    per = Window.partitionBy("match_id")
+    return picked.select(F.col("match_id").alias("upcoming_id"), "player_id", "player_name", "team", "role", F.col("points").alias("predicted_points"), "credits", "is_captain", "is_vice_captain", F.round(F.sum("credits").over(per), 1).alias("total_credits"), F.col("score").alias("projected_score"))
+
+
 def x08_upcoming(spark: SparkSession, sf_dir: str, version: str = "latest") -> DataFrame:
     """Predicted points and ranks of the squads of all matches to come, by a model of what was played before the first of them."""
     s = stored_dialect(spark, sf_dir)
@@ -218,10 +248,14 @@ c AS (SELECT match_id, count(*) AS total_names, {counts} FROM how GROUP BY match
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: (lambda spark, sf_dir, name=name: run(spark, name, stored_dialect(spark, sf_dir))) for name in TEMPLATES}
+    out |= {f"{name}_odi": (lambda spark, sf_dir, name=name: run(spark, name, stored_dialect(spark, sf_dir), fmt="ODI")) for name in BY_FORMAT}
     out["x07_lineups"] = lambda spark, sf_dir: lineup.lineups(run(spark, "x07_candidates", stored_dialect(spark, sf_dir)))
+    out["x07_lineup_text"] = lambda spark, sf_dir: lineup.described(out["x07_lineups"](spark, sf_dir), run_sql(spark, stored_dialect(spark, sf_dir), "SELECT player_id, name, primary_role FROM players"))
+    out["w03_dream_teams"] = w03_dream_teams
     out |= {f.__name__: f for f in (n03_match_resolution, n03_resolved, n04_totals, n05_labels)}
     return {**out, "x01_points_model": x01_points_model, "x02_outcome_model": x02_outcome_model, "x02_outcome_accuracy": x02_outcome_accuracy, "x04_backtest": x04_backtest, "x06_predictions": x06_predictions, "x08_upcoming": x08_upcoming}
 
 
 def oracles() -> dict[str, str]:
-    return {**{name: f(duckdb_dialect()) for name, f in TEMPLATES.items()}, **_by_hand()}
+    of = {name: f(duckdb_dialect()) for name, f in TEMPLATES.items()}
+    return {**of, **{f"{name}_odi": TEMPLATES[name](duckdb_dialect(), fmt="ODI") for name in BY_FORMAT}, **_by_hand()}

@@ -6,6 +6,10 @@ import re
 from dataclasses import dataclass, field, replace
 
 
+#: Tables that no season is asked of.
+WHOLE = ("ask", "attacks", "deliveries")
+
+
 @dataclass(frozen=True)
 class Dialect:
     """`tables`: the SQL of each table that a query begins with; `stored`: which of them, and fp, are read as written."""
@@ -27,7 +31,7 @@ class Dialect:
         if not re.fullmatch(r"[0-9A-Za-z/ -]+", season):
             raise ValueError(f"no season: {season!r}")
         only = lambda sql: f"SELECT * FROM ({sql}) x WHERE season = '{season}'"
-        return replace(self, tables={**self.tables, "matches": only(self.tables["matches"])}, stored={k: only(v) if k not in ("ask", "deliveries") else v for k, v in self.stored.items()})
+        return replace(self, tables={**self.tables, "matches": only(self.tables["matches"])}, stored={k: v if k in WHOLE else only(v) for k, v in self.stored.items()})
 
     def r(self, x: str, n: int) -> str:
         """Half-even rounding of the binary value: what is rounded to a whole number is x * 10^n as a double."""

@@ -44,7 +44,7 @@ sides AS (SELECT match_id, innings, over_ball, striker_id, bowler_id, runs_batte
 ps AS (SELECT CASE side WHEN 0 THEN striker_id ELSE bowler_id END AS player_id, match_id, min(CASE side WHEN 0 THEN innings ELSE 3 - innings END) AS bats, {count(bat)} AS balls, {total('runs_batter', bat)} AS runs, {count(f'{bat} AND runs_batter IN (4, 6)')} AS big,
   cast(min(over_ball) FILTER (WHERE side = 0) as double) AS first_over, {count(bowl)} AS bowled, {total('runs_total', bowl)} AS conceded, {count(f'side = 1 AND {credited}')} AS wickets, {count('side = 1')} AS sent, {total('runs_total', 'side = 1 AND innings = 1')} AS first_total, {', '.join(against)}
   FROM sides LEFT JOIN players o ON o.player_id = CASE side WHEN 0 THEN bowler_id ELSE striker_id END GROUP BY 1, 2),
-joint AS (SELECT coalesce(fp.player_id, ps.player_id) AS player_id, coalesce(fp.match_id, ps.match_id) AS match_id, batting_points, bowling_points, total_points, training_exclude, {', '.join(did)} FROM fp FULL JOIN ps ON fp.player_id = ps.player_id AND fp.match_id = ps.match_id),
+joint AS (SELECT coalesce(fp.player_id, ps.player_id) AS player_id, coalesce(fp.match_id, ps.match_id) AS match_id, batting_points, bowling_points, fielding_points, total_points, training_exclude, {', '.join(did)} FROM fp FULL JOIN ps ON fp.player_id = ps.player_id AND fp.match_id = ps.match_id),
 pm AS (SELECT x.*, b.bowling_style, m.match_date, m.league_id, m.season, m.venue_id, m.team1, m.team2, m.toss_winner, m.toss_decision, CASE WHEN bats IS NOT NULL AND toss_decision IS NOT NULL THEN CASE WHEN ({first} = team1) = (bats = 1) THEN team2 ELSE team1 END END AS opponent
   FROM joint x JOIN matches m ON x.match_id = m.match_id LEFT JOIN players b ON x.player_id = b.player_id)"""
 

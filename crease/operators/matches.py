@@ -272,10 +272,16 @@ def check_state(innings: int, overs_done: int, wickets: int, runs: int, target:
 
 
 def o01_blueprint(s: Dialect, fmt: str = "T20") -> str:
-    """What a chase at a steady rate has scored by the milestone overs that lie ahead, one short of the target at most."""
-    ahead = ", ".join(f"({o})" for o in ((10, 15, 18, 19) if fmt == "T20" else (20, 30, 40, 45, 48, 49)))
-    return f"""WITH {states()}, o AS (SELECT * FROM (VALUES {ahead}) AS v(over))
-SELECT state_id, over, cast(least(runs + {s.r(f'greatest(target - runs, 0) * ((over - overs_done) * 6) / greatest(({overs(fmt)} - overs_done) * 6, 1)', 0)}, target - 1) as bigint) AS target_runs_by_end FROM st JOIN o ON o.over > st.overs_done WHERE innings = 2 AND target IS NOT NULL"""
+    """For every chase played, after some overs of it: what a chase at a steady rate has scored by the milestone overs that lie ahead, one short of the target at most."""
+    done, ahead = ((6, 10, 15), (10, 15, 18, 19)) if fmt == "T20" else ((10, 25, 40), (20, 30, 40, 45, 48, 49))
+    rows = lambda xs: ", ".join(f"({x})" for x in xs)
+    return f"""{s.base},
+tg AS (SELECT match_id, sum(runs_total) + 1 AS target FROM d WHERE fmt = '{fmt}' AND innings = 1 GROUP BY match_id),
+ov AS (SELECT match_id, over_no, sum(runs_total) AS runs FROM d WHERE fmt = '{fmt}' AND innings = 2 GROUP BY 1, 2),
+st AS (SELECT ov.match_id, p.overs_done, sum(ov.runs) AS runs, max(over_no) AS last_over FROM ov JOIN (SELECT * FROM (VALUES {rows(done)}) AS v(overs_done)) p ON ov.over_no < p.overs_done GROUP BY 1, 2),
+o AS (SELECT * FROM (VALUES {rows(ahead)}) AS v(over))
+SELECT st.match_id, overs_done, over, cast(least(runs + {s.r(f'greatest(target - runs, 0) * ((over - overs_done) * 6) / greatest(({overs(fmt)} - overs_done) * 6, 1)', 0)}, target - 1) as bigint) AS target_runs_by_end
+FROM st JOIN tg ON st.match_id = tg.match_id JOIN o ON o.over > st.overs_done WHERE last_over = overs_done - 1"""
 
 
 def o02_collapse(s: Dialect, fmt: str = "T20") -> str:

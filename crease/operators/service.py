@@ -60,6 +60,24 @@ k AS (SELECT user_id, key_name, count(*) AS total, {count('day = today')} AS tod
 SELECT k.*, count(*) OVER (PARTITION BY user_id) < {most} AS may_add FROM k"""
 
 
+def _since(s: Dialect, days: int) -> str:
+    """CTE r: events of the last `days` days, 1 to 90 of them, up to the last day there is."""
+    return f"""e AS (SELECT user_id, event_type AS key_name, cast(ts as date) AS day FROM {s.events}), z AS (SELECT max(day) AS today FROM e),
+r AS (SELECT e.* FROM e JOIN z ON true WHERE {s.days('today', 'day')} <= {max(1, min(days, 90))})"""
+
+
+def k04_usage_since(s: Dialect, fmt: str = "T20", days: int = 30) -> str:
+    """Requests by user, key and day within the last `days` days."""
+    return f"WITH {_since(s, days)}\nSELECT user_id, key_name, day, count(*) AS request_count FROM r GROUP BY 1, 2, 3"
+
+
+def k04_key_share(s: Dialect, fmt: str = "T20", days: int = 30) -> str:
+    """Each key's share, in percent, of its user's requests within the last `days` days."""
+    return f"""WITH {_since(s, days)},
+g AS (SELECT user_id, key_name, count(*) AS requests FROM r GROUP BY 1, 2)
+SELECT user_id, key_name, requests, {s.r('requests / sum(requests) OVER (PARTITION BY user_id) * 100', 1)} AS share FROM g"""
+
+
 def k02_usage_daily(s: Dialect, fmt: str = "T20") -> str:
     return f"SELECT user_id, cast(ts as date) AS day, count(*) AS request_count FROM {s.events} GROUP BY 1, 2"
 

@@ -25,10 +25,25 @@ def _stream(name: str, key: str, of: list[str], history: str, ask: str, carried:
   UNION ALL SELECT {key}, day, 0, NULL, {', '.join(c if c in given else 'NULL' for c in of)}{''.join(f', {c}' for c in more)} FROM {ask} WHERE {key} IS NOT NULL)"""
 
 
+def _begin(s: Dialect) -> str:
+    return f"{features.histories(s)}, {asked(s)}"
+
+
+def squads_told(s: Dialect) -> str:
+    """CTEs up to told: the players of `ask` (is_told = 0) with all that was known of them before the day."""
+    carried = ["opponent", "venue_id", "upcoming_id", "team", "league_id", "toss_winner", "toss_decision", "credits"]
+    return features.told(s, f"{_begin(s)}, {_stream('stream', 'player_id', features.TOLD, 'pm', 'ask', carried, 'player_id FROM ask')}")
+
+
+def players_told(s: Dialect) -> str:
+    """CTEs up to told: the players and days in `asked` (is_told = 0) with all that was known of them before the day."""
+    ask = "ask AS (SELECT DISTINCT player_id, day FROM asked)"
+    return features.told(s, f"{features.histories(s)}, {ask}, {_stream('stream', 'player_id', features.TOLD, 'pm', 'ask', [], 'player_id FROM ask')}")
+
+
 def g03_form_at(s: Dialect, fmt: str = "T20") -> str:
     """Form of the players in `asked` before their day."""
-    ask = "ask AS (SELECT DISTINCT player_id, day FROM asked)"
-    return f"{features.told(s, f'{features.histories(s)}, {ask}, {_stream("stream", "player_id", features.TOLD, "pm", "ask", [], "player_id FROM ask")}')}\nSELECT player_id, day, {', '.join(features.FORM)} FROM told WHERE is_told = 0"
+    return f"{players_told(s)}\nSELECT player_id, day, {', '.join(features.FORM)} FROM told WHERE is_told = 0"
 
 
 def g16_inference_matrix(s: Dialect, fmt: str = "T20") -> str:
@@ -36,9 +51,7 @@ def g16_inference_matrix(s: Dialect, fmt: str = "T20") -> str:
 
     A player, team or venue without history has the features' defaults; without a toss nobody has won it or bats first.
     """
-    begin = f"{features.histories(s)}, {asked(s)}"
-    carried = ["opponent", "venue_id", "upcoming_id", "team", "league_id", "toss_winner", "toss_decision", "credits"]
-    players = features.told(s, f"{begin}, {_stream('stream', 'player_id', features.TOLD, 'pm', 'ask', carried, 'player_id FROM ask')}")
+    begin, players = _begin(s), squads_told(s)
     teams = features.told_of_teams(s, f"""{begin}, {features.of_matches()},
 asked_teams AS (SELECT DISTINCT opponent AS team, day FROM ask),
 team_2 AS (SELECT tq.*, {s.each(2)} AS k FROM tq),

@@ -218,6 +218,27 @@ def test_derived_tables_are_scanned_not_made_anew(spark, sf_dir):
         assert "lineitem" not in df._jdf.queryExecution().executedPlan().toString(), name
 
 
+def test_derived_tables_follow_the_data(spark, sf_dir, tmp_path):
+    for t in ("lineitem", "orders", "customer"):
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        (df.filter("l_orderkey < 600") if t == "lineitem" else df).write.parquet(str(tmp_path / f"{t}.parquet"))
+    answer = catalog.queries()["d01_summary"]
+    assert answer(spark, str(tmp_path)).first()["matches"] == 10
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_orderkey < 900").write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+    assert answer(spark, str(tmp_path)).first()["matches"] == 15
+
+
+def test_line_ups_of_matches_to_come(spark, sf_dir):
+    rows = catalog.queries()["w03_dream_teams"](spark, sf_dir).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["upcoming_id"], []).append(r)
+    assert by and all(len(v) == 11 and sum(r["is_captain"] for r in v) == 1 and abs(sum(r["credits"] for r in v) - v[0]["total_credits"]) < 0.06 and v[0]["total_credits"] <= 100 for v in by.values())
+    want = {(r["upcoming_id"], r["player_id"]): r["predicted_points"] for r in catalog.queries()["w02_predictions"](spark, sf_dir).collect()}
+    assert all(want[r["upcoming_id"], r["player_id"]] == r["predicted_points"] for r in rows)
+    assert catalog.queries()["x07_lineup_text"](spark, sf_dir).first()["text"].count("\n") == 11
+
+
 def test_lineup_of_three_teams_and_text(spark):
     rows = [(m, i, float(i), 8.0, ["WK", "BAT", "BAT", "BAT", "BAT", "AR", "AR", "BOWL", "BOWL", "BOWL", "BOWL", "BAT"][i % 12], t) for m in (1, 2) for i in range(12) for t in ["C" if m == 2 and i == 3 else "AB"[i % 2]]]
     got = lineup.lineups(spark.createDataFrame(rows, "match_id int, player_id int, points double, credits double, role string, team string"))

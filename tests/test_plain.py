@@ -211,9 +211,101 @@ def test_win_probability(t):
         want = min(p, 0.02) if need is not None and need > 36 else p
         assert got[k]["sample_size"] == len(found[k]) and near(got[k]["win_probability"], want, 0.0002)
     assert sum(map(bool, found)) > 5
-    plan = {(r["state_id"], r["over"]): r["target_runs_by_end"] for r in t.answer("o01_blueprint")}
-    want = {(k, o): min(r + round(max(g - r, 0) * (o - d) * 6 / max((20 - d) * 6, 1)), g - 1) for k, (i, d, _, r, g) in enumerate(STATES) if i == 2 for o in (10, 15, 18, 19) if o > d}
-    assert plan == want
+
+
+def test_steady_chases(t):
+    plan = {(r["match_id"], r["overs_done"], r["over"]): r["target_runs_by_end"] for r in t.answer("o01_blueprint")}
+    first, second, last = Counter(), defaultdict(Counter), Counter()
+    for b in t.balls:
+        if t.matches[b["match_id"]]["league_id"] == "odi":
+            continue
+        if b["innings"] == 1:
+            first[b["match_id"]] += b["runs_total"]
+        else:
+            second[b["match_id"]][b["over_no"]] += b["runs_total"]
+    want = {}
+    for m, by in second.items():
+        for done in (6, 10, 15):
+            if done - 1 in by and m in first:
+                runs, target = sum(x for o, x in by.items() if o < done), first[m] + 1
+                want |= {(m, done, o): min(runs + round(max(target - runs, 0) * (o - done) * 6 / max((20 - done) * 6, 1)), target - 1) for o in (10, 15, 18, 19) if o > done}
+    assert plan == want and len(want) > 500
+
+
+PHASE = lambda over: "powerplay" if over < 6 else "middle" if over < 15 else "death"
+
+
+def test_clutch_and_phases_and_dismissals(t):
+    """P1, P2, P4 and P12 from the balls."""
+    clutch, bowl = defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0])
+    phase, out, at = defaultdict(lambda: [0, 0, 0, 0, 0]), defaultdict(Counter), {}
+    for b in t.balls:
+        p, hit = b["striker_id"], b["wicket_type"] is not None
+        if b["innings"] == 2 and b["over_no"] >= 15:
+            clutch[p][0] += faced(b)
+            clutch[p][1] += b["runs_batter"] * faced(b)
+            clutch[p][2] += faced(b) and hit
+            bowl[b["bowler_id"]][0] += legal(b)
+            bowl[b["bowler_id"]][1] += b["runs_total"] * legal(b)
+        if t.matches[b["match_id"]]["league_id"] != "odi":
+            key = p, PHASE(b["over_no"])
+            if faced(b):
+                x = phase[key]
+                x[0], x[1], x[2], x[3], x[4] = x[0] + 1, x[1] + b["runs_batter"], x[2] + (b["runs_batter"] in (4, 6)), x[3] + (b["runs_batter"] == 0), x[4] + hit
+                if hit:
+                    out[key][b["wicket_type"]] += 1
+    got = {r["player_id"]: r for r in t.answer("p01_clutch")}
+    assert got.keys() == clutch.keys() | bowl.keys()
+    for p, r in got.items():
+        balls, runs, outs = clutch.get(p, [0, 0, 0])
+        sr = round(runs / balls * 100, 2) if balls else 0
+        assert r["clutch_deliveries"] == balls and near(r["clutch_batting_sr"], sr) and near(r["clutch_batting_avg"], runs / outs if outs else None)
+        n, c = bowl.get(p, [0, 0])
+        assert near(r["clutch_bowling_economy"], c / n * 6 if n else None) and near(r["clutch_index"], max(0, min(10, sr / 150 * 10)))
+    rows = {(r["player_id"], r["phase"]): r for r in t.answer("p02_phase_profile")}
+    assert rows.keys() == phase.keys()
+    for k, (balls, runs, big, dots, outs) in phase.items():
+        r = rows[k]
+        assert (r["balls"], r["runs"], r["boundaries"], r["dismissals"]) == (balls, runs, big, outs) and near(r["sr"], runs / balls * 100) and near(r["dot_pct"], dots / balls, 1e-4) and near(r["boundary_pct"], big / balls, 1e-4)
+    rows = {(r["player_id"], r["phase"]): r for r in t.answer("p04_dismissals")}
+    for k, (_, _, _, _, outs) in phase.items():
+        r = rows[k]
+        assert r["dismissals"] == outs and all(r[c.replace(" ", "_")] == out[k][c] for c in ("caught", "bowled", "lbw", "run out", "stumped"))
+
+
+def test_par_and_final_overs(t):
+    """V3 and L1 from the balls."""
+    venues, bowl, bat = defaultdict(lambda: defaultdict(Counter)), defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0])
+    for b in t.balls:
+        m = t.matches[b["match_id"]]
+        odi = m["league_id"] == "odi"
+        if b["innings"] == 1 and not odi and m["venue_id"] is not None:
+            venues[m["venue_id"]][b["match_id"]][b["over_no"]] += b["runs_total"]
+        if b["innings"] == 2 and b["over_no"] == (49 if odi else 19):
+            x = bowl[m["league_id"], b["bowler_id"]]
+            x[0], x[1], x[2] = x[0] + faced(b), x[1] + b["runs_total"], x[2] + (faced(b) and b["wicket_type"] is not None)
+            if faced(b):
+                y = bat[m["league_id"], b["striker_id"]]
+                y[0], y[1] = y[0] + 1, y[1] + b["runs_batter"]
+    got = {(r["venue_id"], r["over"]): r["par_runs"] for r in t.answer("v03_par_progression")}
+    score = {r["venue_id"]: r for r in t.answer("v03_par_score")}
+    assert got.keys() == {(v, o) for v in venues for o in range(1, 21)} and score.keys() == venues.keys()
+    for v, ms in venues.items():
+        for o in range(1, 21):
+            assert near(got[v, o], statistics.median(sum(r for k, r in x.items() if k < o) for x in ms.values()), 0.051)
+        assert score[v]["matches_analyzed"] == len(ms) and near(score[v]["avg_first_innings_total"], statistics.mean(sum(x.values()) for x in ms.values()), 0.051)
+    want = defaultdict(list)
+    for (league, p), (n, runs, out) in bowl.items():
+        if n >= 10:
+            want[league].append((round(runs / n * 6, 2), p, n, runs, out))
+    found = {(r["league_id"], r["rank"]): (r["economy"], r["player_id"], r["balls"], r["runs_conceded"], r["wickets"]) for r in t.answer("l01_final_over_bowlers")}
+    assert found == {(league, k): x for league, xs in want.items() for k, x in enumerate(sorted(xs)[:10], 1)} and found
+    want = defaultdict(list)
+    for (league, p), (n, runs) in bat.items():
+        if n >= 10:
+            want[league].append((-round(runs / n * 100, 2), p))
+    found = {(r["league_id"], r["rank"]): (-r["strike_rate"], r["player_id"]) for r in t.answer("l01_final_over_batters")}
+    assert found == {(league, k): x for league, xs in want.items() for k, x in enumerate(sorted(xs)[:10], 1)} and found
 
 
 def test_collapse(t):

@@ -174,6 +174,48 @@ def read_mapping(spark: SparkSession, path: str, id_column: str | None = None) -
     return df.withColumn(id_column, F.expr(f"try_cast(`{id_column}` as int)")).filter(F.col(id_column).isNotNull()) if id_column else df
 
 
+#: What the columns of a file of names and player ids can be called.
+NAME_COLUMNS, ID_COLUMNS = ("cricsheet_name", "name"), ("player_id", "espn_id")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _first_of(df: DataFrame, columns: tuple[str, ...]) -> Column:
+    """The first of the columns that isn't blank, trimmed; null where none is there."""
+    return F.coalesce(*(F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns if c in df.columns), F.lit(None).cast("string"))
+
+
+def _last_of_each(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Of rows of one key the last in the file."""
+    return df.withColumn("line_", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(value, "line_").alias(value))
+
+
+def player_ids(spark: SparkSession, path: str, comments: bool = False) -> DataFrame:
+    """name, player_id of a CSV of names and ids (exact names); lines without a name or a whole number are left out, a missing file is empty."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], "name string, player_id int")
+    df = spark.read.csv(path, header=True, comment="#" if comments else None, inferSchema=False)
+    rows = df.select(_first_of(df, NAME_COLUMNS).alias("name"), _first_of(df, ID_COLUMNS).alias("player_id"))
+    rows = rows.withColumn("player_id", F.expr("try_cast(player_id as int)")).filter("name is not null and player_id is not null")
+    return _last_of_each(rows, "name", "player_id")
+
+
+def manual_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """name, player_id of a CSV of overrides: as `player_ids`, without lines that begin with #."""
+    return player_ids(spark, path, comments=True)
+
+
+def style_labels(spark: SparkSession, path: str) -> dict[str, str]:
+    """Label (lower case, trimmed) to style of a CSV of raw_label and enum_value, for `page_facts`; a missing file is empty. A label list is a few hundred lines."""
+    if not _there(spark, path):
+        return {}
+    rows = spark.read.csv(path, header=True, inferSchema=False).select(F.lower(F.trim("raw_label")).alias("label"), F.trim("enum_value").alias("style")).filter("label is not null and style is not null")
+    return {r["label"]: r["style"] for r in _last_of_each(rows, "label", "style").collect()}
+
+
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """`old` and the rows of `new` whose key it lacks, once each; a null key is like another."""
     return old.unionByName(absent(old, new, keys))

@@ -295,3 +295,15 @@ def test_checks_find_what_is_broken_in_two_scans(spark, sf_dir, folder):
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         scans = [x for x in plan.split("\n") if "FileScan" in x]
         assert sum("delivery_id#" in x or "striker_id#" in x for x in scans) <= 2 and not any("l_orderkey" in x for x in scans)
+
+
+def test_mapping_files_and_what_they_mean(spark, tmp_path):
+    (tmp_path / "ids.csv").write_text("cricsheet_name,espn_id,note\n A One ,1,x\n#Hash,2,\nB,two,\n,3,\nC,,\nA One,9,later\n")
+    (tmp_path / "names.csv").write_text("name,player_id\nD, 4 \n")
+    (tmp_path / "over.csv").write_text("cricsheet_name,player_id,notes\n# a comment,1,\nE,5,why\nF,x,\n")
+    (tmp_path / "styles.csv").write_text("raw_label,enum_value\nRight-Arm Fast ,right-arm fast\nLegbreak, legbreak\n")
+    at = lambda x: str(tmp_path / x)
+    assert rows(ingest.player_ids(spark, at("ids.csv"))) == [("#Hash", 2), ("A One", 9)]
+    assert rows(ingest.player_ids(spark, at("names.csv"))) == [("D", 4)] and rows(ingest.manual_overrides(spark, at("over.csv"))) == [("E", 5)]
+    assert ingest.style_labels(spark, at("styles.csv")) == {"right-arm fast": "right-arm fast", "legbreak": "legbreak"}
+    assert rows(ingest.player_ids(spark, at("none.csv"))) == [] and ingest.style_labels(spark, at("none.csv")) == {}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crease.llm.common import pieces
+from crease.llm.common import col, pieces
 
 NONE = np.int64(1) << 62
 #: Words of more bytes get a tree of their own.
@@ -265,5 +265,5 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", b
 
 def digest(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
-    done = round_trip(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path)
+    done = round_trip(df.select(col(doc_id).alias("doc_id"), col(text).alias("text")), path)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

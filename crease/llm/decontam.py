@@ -22,13 +22,34 @@ from pyspark.sql import functions as F
 from crease.llm.common import col, cut, fresh
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Rows of signatures, shingles or candidates (some 100 bytes each in a task's table) up to which they are sent to every task.
-BROADCAST_ROWS = 500_000
+#: Rows of signatures, shingles or candidates (some 100 bytes each in a task's table), and bytes of their texts, up to which they are sent to every task.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
+#: Parts that the rows of each shingle are dealt to where its side is too large to be sent.
+PARTS = 64
+
+
+def _fits(df: DataFrame) -> bool:
+    texts = sum((F.coalesce(F.octet_length(col(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(0))
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(texts), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """`df`, broadcast if it has at most BROADCAST_ROWS rows; else the join shuffles."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """`df`, broadcast if it has at most BROADCAST_ROWS rows and BROADCAST_BYTES of text; else the join shuffles."""
+    return F.broadcast(df) if _fits(df) else df
+
+
+def _meet(held: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """`held` (with its places, i) joined with `side` by the shingles `on`, however many rows of `held` hold the same one.
+
+    A side that fits is sent to every task. A larger one has each row repeated for PARTS parts and `held` is dealt
+    to these by text and place, so that a shingle which many documents hold goes to as many tasks.
+    """
+    if _fits(side):
+        return held.drop("i").join(F.broadcast(side), on)
+    every = side.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("doc_id", "key", "i"), F.lit(PARTS)).cast("int")).drop("i")
+    return dealt.join(every, [*on, "part"]).drop("part")
 
 
 def _words(text: Column) -> Column:
@@ -67,21 +88,29 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     sizes = sorted(r[0] for r in index.select("size").distinct().collect())  # at most `shingle` values
     words = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("key"), _words(col(text)).alias("words"))
 
-    def held(df: DataFrame, exact: bool) -> DataFrame:
-        """doc_id, key, size, h (and the shingle itself): what the documents hold, all sizes in one pass."""
-        kind = "struct<size:int,h:bigint,s:string>" if exact else "struct<size:int,h:bigint>"
-
-        def entry(parts: list[Column]) -> Column:
-            return F.struct(F.lit(len(parts)).alias("size"), F.xxhash64(*parts).alias("h"), *([_joined(parts).alias("s")] if exact else []))
+    def of_size(make: Callable[[list[Column]], Column]) -> Column:
+        """`make` of the words at place i, as many as `size` says."""
+        out = F.lit(None)
+        for k in sizes:
+            out = F.when(F.col("size") == k, make([F.get("words", F.col("i") + j) for j in range(k)])).otherwise(out)
+        return out
 
-        every = [_runs(F.col("words"), k, entry, kind) for k in sizes] or [F.array().cast(f"array<{kind}>")]
-        return df.select("doc_id", "key", F.explode(F.concat(*every)).alias("x")).select("doc_id", "key", "x.*")
-
-    signatures = _small(index.filter("signature").select("size", "h", "item_id").distinct())
-    found = cut(held(words, False).join(signatures, ["size", "h"]).select("doc_id", "key", "item_id").distinct())
+    def held(df: DataFrame, exact: bool) -> DataFrame:
+        """doc_id, key, size, i, h (and the shingle itself): what the documents hold at each place, all sizes in one pass.
+
+        Places are exploded, not shingles, so that the shingles are made in generated code.
+        """
+        sized = df.withColumn("size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")))
+        ends = F.size("words") - F.col("size")
+        placed = sized.withColumn("i", F.explode(F.when(ends >= 0, F.sequence(F.lit(0), ends))))
+        h = of_size(lambda parts: F.xxhash64(*parts)).cast("bigint").alias("h")
+        return placed.select("doc_id", "key", "size", "i", h, *([of_size(_joined).cast("string").alias("s")] if exact else []))
+
+    signatures = index.filter("signature").select("size", "h", "item_id").distinct()
+    found = cut(_meet(held(words, False), signatures, ["size", "h"]).select("doc_id", "key", "item_id").distinct())
     wanted = _small(found.select("doc_id", "key").distinct().withColumnsRenamed({"doc_id": "d", "key": "k"}))
     suspects = words.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
-    shared = held(suspects, True).join(_small(index.select("size", "h", "s", "item_id", "n")), ["size", "h", "s"])
+    shared = _meet(held(suspects, True), index.select("size", "h", "s", "item_id", "n"), ["size", "h", "s"])
     counted = shared.select("doc_id", "key", "item_id", "n", "s").distinct().groupBy("doc_id", "key", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     pairs = counted.filter(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
     best = pairs.groupBy("doc_id", "item_id").agg(F.max("n_shared").cast("long").alias("n_shared"), F.max("n").cast("long").alias("n_shingles"))

@@ -156,7 +156,71 @@ Unless required by applicable law or agreed to in writing, software distributed
         ["released into the public domain"],
     ),
     ("unlicense", "This is free and unencumbered software released into the public domain", ["released into the public domain"]),
+    (
+        "apache-2.0",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        ["each contributor hereby grants to you", "derivative works of"],
+    ),
+    (
+        "gpl-2.0",
+        """The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users. This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it.""",
+        ["your freedom to share and change", "applies to most of the free software foundation s software"],
+    ),
+    (
+        "gpl-3.0",
+        """The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works.""",
+        ["gnu general public license is a free copyleft license"],
+    ),
+    (
+        "agpl-3.0",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+        ["affero general public license is a free copyleft license"],
+    ),
+    (
+        "lgpl",
+        "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it.",
+        ["specially designated software packages"],
+    ),
+    (
+        "lgpl",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+        ["supplemented by the additional permissions"],
+    ),
+    (
+        "mpl-2.0",
+        """Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: (a) under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a Larger Work""",
+        ["licensable by such contributor", "larger work"],
+    ),
+    (
+        "epl",
+        """The accompanying program is provided under the terms of this Eclipse Public License ("Agreement"). Any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement.""",
+        ["terms of this eclipse public license"],
+    ),
+    (
+        "bsd",
+        """This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.""",
+        ["copyright holders and contributors", "are disclaimed"],
+    ),
+    (
+        "isc",
+        """The software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.""",
+        ["the author disclaims all warranties"],
+    ),
 ]
+
+
+def legal_codes() -> list[tuple[str, str, list[str]]]:
+    """The opening sentence of the legal code of each kind of Creative Commons licence, version 4.0, by the rule that names them."""
+    words = {"by": "Attribution", "sa": "ShareAlike", "nc": "NonCommercial", "nd": "NoDerivatives"}
+    out = []
+    for kind in CC_KINDS:
+        name = "-".join(words[x] for x in kind.split("-"))
+        text = f'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License ("Public License").'
+        out.append((f"cc-{kind}-4.0", text, [f"creative commons {name} 4 0 international public license".replace("-", " ").lower()]))
+    return out
+
+
+TEXTS += legal_codes()
 TEMPLATES = [(label, name, [name]) for label, names in NAMES.items() for name in names] + TEXTS
 THRESHOLD = 0.8
 

@@ -57,6 +57,12 @@ def test_bpe_as_the_library(which, request):
     assert sorted(map(tuple, got.collect()), key=str) == expected_bpe([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_bpe_of_columns_with_dots(spark):
+    df = spark.createDataFrame([(1, "a b")], "`doc.id` long, `the.text` string")
+    plain = bpe.digest(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), tokenizer_path()).first()
+    assert bpe.digest(df, tokenizer_path(), "doc.id", "the.text").first() == plain
+
+
 def test_bpe_decode_inverts_and_takes_any_ids(spark, edge):
     back = bpe.decode(bpe.encode(edge.select("doc_id", "text"), tokenizer_path()), tokenizer_path())
     assert all(r["decoded"] == (r["text"] or "") for r in back.collect())
@@ -615,6 +621,28 @@ def test_signature_misses_nothing(spark):
     assert got == want and 5 < len(want) < 40
 
 
+def test_leaks_of_a_shingle_that_all_hold_without_broadcasts(spark, monkeypatch):
+    r = random.Random(9)
+    hot = "these five words stand everywhere and so on"
+    items = [(k, " ".join(f"w{r.randrange(40)}" for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 9, 20, 40])] + [(99, hot)]
+    docs = [(i, " ".join([hot, *(f"w{r.randrange(40)}" for _ in range(60)), items[i % 9][1], "end"])) for i in range(60)] + [(i, "copy of " + hot) for i in range(60, 200)]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    sent = sorted(map(tuple, decontam.leaks(*tables).collect()))
+    for limits in ((0, 1 << 30), (1 << 30, 10)):  # too many rows, and too many bytes of texts and shingles
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", limits[0])
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", limits[1])
+        assert sorted(map(tuple, decontam.leaks(*tables).collect())) == sent
+    want = set()
+    for i, t in docs:
+        w = t.split()
+        for j, x in items:
+            need, n, _ = grams5(x)
+            have = {" ".join(w[k : k + n]) for k in range(len(w) - n + 1)}
+            if 10 * len(need & have) >= 8 * len(need):
+                want.add((i, j, len(need & have), len(need)))
+    assert {x[:4] for x in sent} == want and sum(j == 99 for _, j, *_ in sent) == 200
+
+
 # 8
 
 
@@ -697,6 +725,24 @@ def words_everywhere(templates):
     return sorted({w for _, t, _ in templates for w in licenses.words_of(t.encode())})
 
 
+def test_license_texts_within_files(spark):
+    r = random.Random(4)
+    rows = []
+    for k, (label, text, _) in enumerate(licenses.TEXTS):
+        words = text.split()
+        wrapped = "".join(f" * {' '.join(words[i : i + 9])}\n" for i in range(0, len(words), 9))  # as a comment in a source file
+        rows.append((k, label, f"/* file {r.random()}\n{wrapped} */\nint main(void) {{ return 0; }}"))
+    got = {x["doc_id"]: x["labels"].split(",") for x in licenses.scan(spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string")).collect()}
+    assert all(label in got[k] for k, label, _ in rows)
+    codes = {label: k for k, (label, text, _) in enumerate(licenses.TEXTS) if text.startswith("By exercising")}
+    assert len(codes) == 6
+    for label, k in codes.items():  # one kind is not another
+        assert [x for x in got[k] if x in codes] == [label]
+    versions = {k: label for k, (label, text, _) in enumerate(licenses.TEXTS) if label in ("gpl-2.0", "gpl-3.0", "agpl-3.0")}
+    for k, label in versions.items():
+        assert {x for x in got[k] if x in versions.values()} == {label}
+
+
 def test_license_notices_as_they_are_written(spark):
     mit = next(t for label, t, _ in licenses.TEXTS if label == "mit")
     cases = {

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 from itertools import combinations
 
 import duckdb
@@ -117,6 +118,24 @@ def test_lineup_is_the_best_of_all():
     assert lineup.best([r for r in rows if r[3] != "WK"]) is None
 
 
+def _squads(n, seed):
+    """`n` lists of 22 candidates of two teams, with points and credits by chance."""
+    chance, roles = random.Random(seed), ["BAT", "BAT", "BAT", "WK", "BAT", "AR", "AR", "BOWL", "BOWL", "BOWL", "BOWL"]
+    return [[(11 * t + k, round(chance.uniform(0, 60), 2), chance.choice([7.5, 8.5, 9, 9.3, 10]), r, team) for t, team in enumerate("AB") for k, r in enumerate(roles)] for _ in range(n)]
+
+
+def test_many_lineups_take_milliseconds_each():
+    start = time.process_time()
+    assert all(len(lineup.best(rows)) == 11 for rows in _squads(200, 1))
+    assert time.process_time() - start < 6
+
+
+def test_lineups_of_equal_points_are_those_of_the_first_candidates():
+    rows = [(i, 1.0 + (i == 0), 9.0 - 0.5 * (i % 3), r, "AB"[i % 2]) for i, r in enumerate(["WK", "WK", "BAT", "BAT", "BAT", "BAT", "AR", "AR", "BOWL", "BOWL", "BOWL", "BOWL", "BAT"])]
+    fits = [c for c in combinations(range(13), 11) if all(a <= sum(rows[i][3] == r for i in c) <= b for r, (a, b) in lineup.ROLES.items()) and sum(rows[i][2] for i in c) <= 95 and max(sum(rows[i][4] == t for i in c) for t in "AB") <= 7]
+    assert lineup.best(rows, credits=95) == list(min(fits, key=lambda c: (-sum(rows[i][1] for i in c), c)))
+
+
 def test_lineups_by_match(spark, sf_dir):
     rows = catalog.queries()["x07_lineups"](spark, sf_dir).collect()
     by = {}

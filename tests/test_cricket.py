@@ -144,6 +144,16 @@ def test_lineups_by_match(spark, sf_dir):
     assert by and all(len(v) == 11 and sum(r["is_captain"] for r in v) == 1 for v in by.values())
 
 
+def test_a_mean_does_not_hang_on_the_order_of_rows(spark):
+    chance, values = random.Random(3), [0.07, 64.2, 1.13, 33.1, 12.85, 7.3, 28.64, 19.9, 3.3, 41.76, 9.01, 15.55, 44.4, 2.22, 31.7, 18.18, 27.9, 36.06, 5.6]
+    values.append(round(445 - sum(values), 2))
+    rows = [(g, x) for g in range(200) for x in chance.sample(values, len(values))]
+    spark.createDataFrame(rows, "g int, x double").coalesce(1).createOrReplaceTempView("means")
+    s = catalog.spark_dialect("")
+    assert {r[0] for r in spark.sql(f"SELECT {s.r(s.mean('x', 2), 1)} FROM means GROUP BY g").collect()} == {22.2}
+    assert len({r[0] for r in spark.sql(f"SELECT {s.r('avg(x)', 1)} FROM means GROUP BY g").collect()}) > 1
+
+
 def test_names(spark):
     names = spark.createDataFrame([("V Kohli", "ipl", 2020), ("Sharma Rohit", "ipl", 2020), ("Nobody Atall", "ipl", 2020), ("M One", "ipl", 2020)], "name string, league_id string, year int")
     exact = spark.createDataFrame([("V Kohli", 1)], "name string, player_id int")

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 import time
 from itertools import combinations
 
@@ -144,6 +145,19 @@ def test_lineups_by_match(spark, sf_dir):
     assert by and all(len(v) == 11 and sum(r["is_captain"] for r in v) == 1 for v in by.values())
 
 
+@pytest.mark.parametrize("name", ["g14_matrix", "g16_inference_matrix", "m02_turning_point"])
+def test_large_tables_are_dealt_by_key_into_more_parts(spark, sf_dir, name, monkeypatch):
+    s = catalog.stored_dialect(spark, sf_dir)
+    assert s.parts == 0
+    monkeypatch.setattr(catalog, "LEAST_PARTS", 1)
+    monkeypatch.setattr(catalog, "PART", 30_000)
+    dealt = catalog.stored_dialect(spark, sf_dir)
+    got, want = catalog.run(spark, name, dealt), catalog.run(spark, name, s)
+    n = dealt.parts * (1 if name == "m02_turning_point" else 4)
+    assert dealt.parts > 0 and re.search(rf"hashpartitioning\(\w+#\d+L?, {n}\), REPARTITION_BY_NUM", got._jdf.queryExecution().toString())
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_a_mean_does_not_hang_on_the_order_of_rows(spark):
     chance, values = random.Random(3), [0.07, 64.2, 1.13, 33.1, 12.85, 7.3, 28.64, 19.9, 3.3, 41.76, 9.01, 15.55, 44.4, 2.22, 31.7, 18.18, 27.9, 36.06, 5.6]
     values.append(round(445 - sum(values), 2))

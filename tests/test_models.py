@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import GBTRegressor
 
 from crease import catalog
 from crease.operators import features, models
@@ -114,6 +115,27 @@ def test_boosting_keeps_the_best_trees_and_ends_with_patience(spark):
     assert math.isclose(of[n], error(model), rel_tol=1e-9) and of[n] < of[n - 3] and of[n] < of[n + 6]
 
 
+def test_trees_are_grown_on_as_many_parts_as_the_rows_need(spark, monkeypatch):
+    """A matrix dealt by player comes in hundreds of parts, most of them empty; each tree asks every part several times."""
+    fit, parts = GBTRegressor.fit, []
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, rows: parts.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    rows = spark.range(300).selectExpr("id % 30 AS match_id", "id AS player_id", "cast(id % 5 as double) AS a", "cast(id % 5 as double) AS target")
+    models.fit_points(rows.repartition(200, "match_id"), rows.repartition(150, "match_id"), ["a"], trees=2)
+    monkeypatch.setattr(models, "PART_ROWS", 100)
+    models.fit_points(rows.repartition(200, "match_id"), rows, ["a"], trees=2)
+    assert parts == [1, 3]
+    placed = lambda df: [[tuple(r) for r in part] for part in models.dealt(df, 300).rdd.glom().collect()]
+    one, other = placed(rows), placed(rows.orderBy("a").repartition(7))
+    assert one == other and len(one) == 3 and sorted(r for part in one for r in part) == sorted(tuple(r) for r in rows.collect())
+
+
+def test_matrix_of_the_models_is_g14(spark, sf_dir):
+    s = catalog.stored_dialect(spark, sf_dir)
+    got, want = catalog._matrix(spark, s), catalog.run(spark, "g14_matrix", s)
+    assert got.columns == want.columns and got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+    assert got.rdd.getNumPartitions() == 1
+
+
 def test_no_leakage_in_the_matrix(spark, dialect):
     whole = {(r["player_id"], r["match_id"]): r for r in catalog.run(spark, "g14_matrix", dialect).collect()}
     tables = {t: spark.sql(f"{dialect.base} SELECT * FROM {t}") for t in ("deliveries", "matches", "players", "leagues")}

@@ -168,6 +168,19 @@ def test_a_mean_does_not_hang_on_the_order_of_rows(spark):
     assert len({r[0] for r in spark.sql(f"SELECT {s.r('avg(x)', 1)} FROM means GROUP BY g").collect()}) > 1
 
 
+def test_a_mean_by_key_adds_as_the_sql_does(spark):
+    s, sf_dir = catalog.spark_dialect(""), "/root/testdata/sf0.01"
+    rows = [(g, k, 1e16 if k == 3 else float(k)) for g in range(50) for k in random.Random(g).sample(range(1, 5), 4)] + [(99, 1, None)]
+    spark.createDataFrame(rows, "g int, k int, x double").coalesce(1).createOrReplaceTempView("keyed")
+    got = {r[0]: r[1] for r in spark.sql(f"SELECT g, {s.mean('x', 2, 'k')} FROM keyed GROUP BY g").collect()}
+    assert got.pop(99) is None and set(got.values()) == {(4.0 + 1e16 + 2.0 + 1.0) / 4}
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = sorted(con.sql(catalog.oracles()["w02_match"]).fetchall())
+    assert sorted(map(tuple, catalog.queries()["w02_match"](spark, sf_dir).collect())) == want
+
+
 def test_names(spark):
     names = spark.createDataFrame([("V Kohli", "ipl", 2020), ("Sharma Rohit", "ipl", 2020), ("Nobody Atall", "ipl", 2020), ("M One", "ipl", 2020)], "name string, league_id string, year int")
     exact = spark.createDataFrame([("V Kohli", 1)], "name string, player_id int")
